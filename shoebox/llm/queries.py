@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import decontam, language_id, sentencepiece_codec, url_filter
+from shoebox.llm import decontam, language_id, ngram_join, sentencepiece_codec, suffix_dedup, url_filter
 from shoebox.llm.common import table
 
 #: The file of the SentencePiece model; a parameter of the environment, else that of the installed public tokenizers.
@@ -60,6 +60,49 @@ FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path AND m.k = 1
 """
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 0) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(x.c, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) x ON x.doc_id = d.doc_id
+"""
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["b"] - s["a"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, p, md5(substring(x, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS p FROM d WHERE len(x) >= 200)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS o FROM r),
+i AS (SELECT doc_id, p, sum(o) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+t AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM t),
+y AS (
+  SELECT doc_id, string_agg(substring(x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS h, max(b) AS z, sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN y.doc_id IS NULL THEN x ELSE h || substring(x, 2 * z + 1) END)) AS kept_sha256
+FROM d LEFT JOIN y USING (doc_id)
+"""
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -94,5 +137,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_url_filter": op2_url_filter, "op9_decontamination": op9_decontamination, "op10_sentencepiece": op10_sentencepiece}
-ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op9_decontamination": OP9_SQL}
+QUERIES = {"op1_language_id": op1_language_id, "op2_url_filter": op2_url_filter, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_decontamination": op9_decontamination, "op10_sentencepiece": op10_sentencepiece}
+ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}

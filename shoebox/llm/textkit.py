@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 CHUNK_BYTES = 1 << 20
+#: Rows of a step at most, so that a row's place fits 16 bits and sorts by radix.
+CHUNK_ROWS = 1 << 15
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -66,7 +68,7 @@ def chunks(raw: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES) -> Ite
     """(first row, end row, bytes, offsets) of consecutive rows with about ``size`` bytes together."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+        hi = min(lo + CHUNK_ROWS, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1))
         yield lo, hi, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
@@ -127,6 +129,28 @@ class Words:
         return at, splitmix(out)
 
 
+def shingle_sets(words: Words, k: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, row edges): the distinct ``k``-word shingles of each row, sorted within the row.
+
+    A row with fewer words, but not none, has its whole sequence as its one shingle.
+    """
+    counts = np.diff(words.first)
+    parts = [words.ngrams(k)]
+    for size in np.unique(counts[(counts > 0) & (counts < k)]):
+        at, hashes = words.ngrams(int(size))
+        whole = counts[words.row[at]] == size
+        parts.append((at[whole], hashes[whole]))
+    hashes = np.concatenate([h for _, h in parts])
+    row = words.row[np.concatenate([a for a, _ in parts])].astype(np.uint16)
+    order = np.argsort(hashes)
+    order = order[np.argsort(row[order], kind="stable")]
+    hashes, row = hashes[order], row[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    hashes, row = hashes[fresh], row[fresh]
+    return hashes, np.searchsorted(row, np.arange(rows + 1))
+
+
 def window_reduce(x: np.ndarray, width: int, op) -> np.ndarray:
     """op over x[i : i + width] for every i; length len(x) - width + 1."""
     done = 1
