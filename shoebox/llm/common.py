@@ -72,3 +72,8 @@ def batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
 def lower_ascii(column):
     """A-Z lower-cased, everything else as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def let(value, body):
+    """``body`` of a column that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

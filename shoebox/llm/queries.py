@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import decontam, language_id, ngram_join, sentencepiece_codec, suffix_dedup, url_filter
+from shoebox.llm import ann, decontam, language_id, license_scan, ngram_join, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
 from shoebox.llm.common import table
 
 #: The file of the SentencePiece model; a parameter of the environment, else that of the installed public tokenizers.
@@ -60,6 +60,83 @@ FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path AND m.k = 1
 """
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc.archive(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS b FROM pages),
+q AS (SELECT page_id, h, b, CASE WHEN b >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS head FROM p)
+SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN head <> page_id THEN head END AS refers_to
+FROM q
+"""
+
+#: Bytes of text in a shard.
+SHARD_LIMIT = 1 << 20
+
+
+def op4_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), limit=SHARD_LIMIT)
+
+
+def _op4_sql() -> str:
+    """Depths 0 to 12 of the directory; enough where ids are unique and a shard in 4096 is not full."""
+    deepest = 12
+    sums = ", ".join(f"sum(b) OVER (PARTITION BY w >> {32 - d}) AS s{d}" for d in range(deepest + 1))
+    first = " ".join(f"WHEN s{d} <= {SHARD_LIMIT} THEN {d}" for d in range(deepest))
+    return f"""
+WITH d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS b, CAST('0x' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS w FROM documents),
+s AS (SELECT doc_id, b, w, {sums} FROM d),
+x AS (SELECT doc_id, b, w, CASE {first} ELSE {deepest} END AS depth FROM s)
+SELECT doc_id, substring(lpad(bin(w), 32, '0'), 1, depth) AS shard, CAST(depth AS INTEGER) AS depth, CAST(b AS BIGINT) AS n_bytes FROM x
+"""
+
+
+OP4_SQL = _op4_sql()
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"), license_scan.template_table(spark))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_windows")
+
+
+def _op5_sql() -> str:
+    written = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in license_scan.TEMPLATES)
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS tid, license, {words} AS w FROM (VALUES {written}) v(license, text)),
+ts AS (SELECT DISTINCT tid, license, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT tid, license, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM t)),
+tn AS (SELECT tid, count(*) AS n, CAST(ceil(log2(count(*))) AS BIGINT) AS c FROM ts GROUP BY tid),
+d AS (SELECT doc_id, {words} AS w FROM documents),
+s AS (SELECT doc_id, i - 1 AS i, greatest(len(w) - 5, 0) + 1 AS m, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM d WHERE len(w) > 0)),
+h AS (SELECT doc_id, i, m, ts.tid, license, n, g, CAST(pow(2, c) AS BIGINT) AS k FROM s JOIN ts USING (g) JOIN tn ON tn.tid = ts.tid),
+p AS (SELECT doc_id, tid, license, n, g, unnest([i // k, i // k - 1]) AS win, greatest(0, CAST(ceil((m - 2 * k) / k) AS BIGINT)) AS final FROM h),
+f AS (SELECT doc_id, tid, license, win FROM p WHERE win BETWEEN 0 AND final GROUP BY doc_id, tid, license, win, n HAVING 100 * count(DISTINCT g) >= 80 * n),
+r AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n_windows FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_windows, 0) AS n_windows FROM documents LEFT JOIN r USING (doc_id)
+"""
+
+
+OP5_SQL = _op5_sql()
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
@@ -137,5 +214,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_url_filter": op2_url_filter, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_decontamination": op9_decontamination, "op10_sentencepiece": op10_sentencepiece}
-ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}
+QUERIES = {"op1_language_id": op1_language_id, "op2_url_filter": op2_url_filter, "op3_warc": op3_warc, "op4_extendible_hashing": op4_extendible_hashing, "op5_license_scan": op5_license_scan, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_decontamination": op9_decontamination, "op10_sentencepiece": op10_sentencepiece}
+ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL, "op4_extendible_hashing": OP4_SQL, "op5_license_scan": OP5_SQL, "op6_nearest_neighbours": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}
