@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -77,3 +78,14 @@ def lower_ascii(column):
 def let(value, body):
     """``body`` of a column that is computed once, however often ``body`` names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def carried(docs: DataFrame, carry: bool) -> list:
+    """The column that takes whole input rows through an operator, if asked for; inside it no name can clash."""
+    return [F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if carry else []
+
+
+def with_row(schema: str, source: DataFrame) -> T.StructType:
+    """A schema, and the column ``row`` of ``source`` behind it if there is one."""
+    found = T.StructType.fromDDL(schema)
+    return T.StructType([*found.fields, *(f for f in source.schema.fields if f.name == "row")])

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoebox.llm.common import carried, with_row
 from shoebox.llm.textkit import byte_table, chunks, flat
 
 #: Labelled documents that each language's distribution is fitted on, at most (a hash of the id chooses them).
@@ -153,18 +154,18 @@ def mixtures(model: LanguageModel, raw: np.ndarray, offsets: np.ndarray) -> np.n
     return out
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(``id_col``, lang_pred, score, noise, languages array<string>, shares array<double>), one row for each row of ``docs``.
 
     ``lang_pred`` is the language with the largest proportion (ties: the first in order) and ``score`` its share among
     the languages, 0 to 1; ``languages`` and ``shares`` are the chosen set, largest first; ``noise`` is the proportion of words that no
     language spells. A null text, or one without a letter, and every text under a model without languages, is ``und``
-    with score 0. Repeated rows are judged each, null ids are kept, other columns are not carried, an empty table gives
-    an empty result. Only the text is read for a prediction.
+    with score 0. Repeated rows are judged each, null ids are kept, an empty table gives an empty result. With ``carry``
+    the input row follows as the struct ``row``; else other columns are not carried. Only the text is read for a prediction.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    names = ["id", "lang_pred", "score", "noise", "languages", "shares"]
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried(docs, carry))
+    names = ["id", "lang_pred", "score", "noise", "languages", "shares", *["row"] * carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = sent.value
@@ -185,8 +186,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     [
                         whole.column(0).slice(lo, hi - lo), pa.array(languages[best], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(share[:, k]),
                         pa.array([[languages[j] for j in c] for c in chosen], pa.list_(pa.string())), pa.array([s[c].tolist() for c, s in zip(chosen, spoken, strict=True)], pa.list_(pa.float64())),
+                        *(whole.column(2).slice(lo, hi - lo) for _ in range(carry)),
                     ], names
                 )
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, lang_pred string, score double, noise double, languages array<string>, shares array<double>").withColumnRenamed("id", id_col)
+    schema = with_row(f"id {kind}, lang_pred string, score double, noise double, languages array<string>, shares array<double>", source)
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)

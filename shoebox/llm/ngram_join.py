@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import materialize, packed, partitions_for, unpacked
+from shoebox.llm.common import carried, materialize, packed, partitions_for, unpacked, with_row
 from shoebox.llm.components import components
 from shoebox.llm.textkit import NOT_SPACE, Words, chunks, flat, shingle_sets, splitmix
 
@@ -215,18 +215,18 @@ def _linked(sets: list[np.ndarray], ids: np.ndarray, side: np.ndarray | None, pe
     return edges
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, carry: bool = False) -> DataFrame:
     """(``id_col``, n_shingles, component_id), one row for each row of ``docs``.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct ``shingle``-word shingles,
     or the whole sequence of a shorter text. Two ids link when 100 * intersection >= ``percent`` * union of their sets
     (``percent`` from 1 to 100); ``component_id`` is the smallest id reachable by links. Null, empty and blank texts have
     no shingles and link with nothing. Rows that share an id are one node, linked if any of their texts is; a row with a
-    null id has a null component and links nothing. Other columns are not carried, an empty table gives an empty result.
-    Ids are integers.
+    null id has a null component and links nothing. An empty table gives an empty result. With ``carry`` the input row
+    follows as the struct ``row``; else other columns are not carried. Ids are integers.
     """
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    known = source.where("id IS NOT NULL")
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *carried(docs, carry))
+    known = source.where("id IS NOT NULL").select("id", "text")
     families = components(candidate_edges(known, shingle, percent))
     linked = components(similar_pairs(known, families, shingle, percent))
 
@@ -234,8 +234,9 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for whole in batches:
             raw, offsets = flat(whole.column(1))
             for lo, hi, part, local in chunks(raw, offsets):
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), pa.array(np.diff(_sets(part, local, shingle)[1]))], ["id", "n_shingles"])
+                row = [whole.column(2).slice(lo, hi - lo)] if carry else []
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), pa.array(np.diff(_sets(part, local, shingle)[1])), *row], ["id", "n_shingles", *["row"] * carry])
 
-    counted = source.mapInArrow(count, "id bigint, n_shingles bigint")
+    counted = source.mapInArrow(count, with_row("id bigint, n_shingles bigint", source))
     out = counted.join(linked, counted["id"] == linked["node"], "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"), *["row"] * carry)

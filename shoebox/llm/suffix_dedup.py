@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import materialize, packed, partitions_for, unpacked
+from shoebox.llm.common import carried, materialize, packed, partitions_for, unpacked, with_row
 from shoebox.llm.textkit import chunks, flat, prefix_hash, span_hash, splitmix, window_reduce
 
 LENGTH = 100
@@ -224,31 +224,33 @@ def _flat_list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct_ids(docs: DataFrame) -> DataFrame:
-    """(row_id, id, text) with an id for each distinct (id, text), in the same order; a table of unique ids keeps its own."""
+    """``docs`` and row_id: an id for each distinct (id, text), in the same order; a table of unique ids keeps its own."""
     repeated = docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
     most = repeated.agg(F.max("n")).first()[0]
     if most is None:
-        return docs.select(F.col("id").alias("row_id"), "id", "text")
+        return docs.select(F.col("id").alias("row_id"), "*")
     place = F.dense_rank().over(Window.partitionBy("id").orderBy(F.sha2(F.coalesce("text", F.lit("")), 256))) - 1
-    return docs.select((F.col("id") * F.lit(most) + place).alias("row_id"), "id", "text")
+    return docs.select((F.col("id") * F.lit(most) + place).alias("row_id"), "*")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(``id_col``, n_bytes, spans array<struct<a, b>>, kept binary), one row for each row of ``docs``.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: bool = False) -> DataFrame:
+    """(``id_col``, n_bytes, spans array<struct<a, b>>, kept binary, kept_text), one row for each row of ``docs``.
 
     Texts are their UTF-8 bytes; a null text is empty. A byte is removed if a ``length``-byte string covers it that also
     starts earlier: in a text of a smaller id, or earlier in the same text; overlaps count, and matches never cross texts.
-    ``spans`` are the maximal removed runs [a, b), ``kept`` the other bytes, which may cut a character. Rows with the same
+    ``spans`` are the maximal removed runs [a, b), ``kept`` the other bytes, which may cut a character, and ``kept_text`` the
+    whole characters among them. Rows with the same
     id and text are one document; of different texts with the same id, that with the smaller SHA-256 is the earlier one. A
-    row with a null id is left whole and is nobody's source. Ids are integers, ``length`` is even; other columns are
-    not carried; an empty table gives an empty result.
+    row with a null id is left whole and is nobody's source. An empty table gives an empty result. With ``carry`` the
+    input row follows as the struct ``row``; else other columns are not carried. Ids are integers.
     """
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried(docs, carry))
     known = _distinct_ids(source.where("id IS NOT NULL"))
     distinct = known.select(F.col("row_id").alias("id"), "text")
+    more = ["row"] * carry
     spans = repeated_spans(distinct, length).withColumnRenamed("id", "span_id")
-    rows = known.join(spans, known["row_id"] == spans["span_id"], "left").select("id", "text", "starts", "ends")
-    rows = rows.union(source.where("id IS NULL").select("id", "text", F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<bigint>")))
+    rows = known.join(spans, known["row_id"] == spans["span_id"], "left").select("id", "text", "starts", "ends", *more)
+    rows = rows.union(source.where("id IS NULL").select("id", "text", F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<bigint>"), *more))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -270,6 +272,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         kept.append(text.tobytes())
                         found.append([])
                 spans_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), pa.array(np.diff(local)), pa.array(found, spans_type), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
+                texts = [k.decode("utf-8", "ignore") for k in kept]
+                columns = [whole.column(0).slice(lo, hi - lo), pa.array(np.diff(local)), pa.array(found, spans_type), pa.array(kept, pa.binary()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *(whole.column(4).slice(lo, hi - lo) for _ in more)], ["id", "n_bytes", "spans", "kept", "kept_text", *more])
 
-    return rows.mapInArrow(cut, "id bigint, n_bytes bigint, spans array<struct<a:bigint,b:bigint>>, kept binary").withColumnRenamed("id", id_col)
+    schema = with_row("id bigint, n_bytes bigint, spans array<struct<a:bigint,b:bigint>>, kept binary, kept_text string", rows)
+    return rows.mapInArrow(cut, schema).withColumnRenamed("id", id_col)
