@@ -1,12 +1,93 @@
-"""Training-data pipeline over ``documents``: each stage reads what its predecessor kept."""
+"""Training-data pipeline over ``documents``: each stage works on all that its predecessor kept.
+
+``STAGES`` are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and reread as the next one's ``docs``. All but the last return the columns of ``docs``, in their order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shoebox.llm import decontam, language_id, ngram_join, sentencepiece_codec, suffix_dedup
+from shoebox.llm.common import materialize, table
+from shoebox.llm.queries import learned_languages, piece_model
+from shoebox.session import ship
+
+#: A document is rejected if more than this share of its words is noise to every language.
+MOST_NOISE = 0.5
+
+
+def _rows(found: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of ``docs`` out of the carried struct ``row``, some replaced."""
+    return found.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters and those that no language spells; ``lang`` becomes the language found."""
+    ship(spark)
+    found = language_id.identify(docs, learned_languages(docs), carry=True)
+    kept = found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("noise") <= MOST_NOISE))
+    return _rows(kept, docs, lang=F.col("lang_pred"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of each group of documents linked by similar sets of five-word shingles, the one with the smallest id.
+
+    Of rows that share an id, the one with the smallest text stays; rows with a null id link with nothing and stay.
+    """
+    ship(spark)
+    groups = ngram_join.join_components(docs, shingle=5, percent=80, carry=True)
+    kept = groups.where("doc_id IS NULL OR doc_id = component_id")
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        first = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+        kept = first.select("row").union(kept.where("doc_id IS NULL").select("row"))
+    return _rows(kept, docs)
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out every 100-byte string that starts earlier too, with the characters that a cut divides.
+
+    Documents of which only white space is left are dropped; ``n_chars`` follows the text.
+    """
+    ship(spark)
+    cut = suffix_dedup.remove_repeats(docs, carry=True)
+    changed = F.size("spans") > 0
+    left = cut.where(~changed | (F.trim("kept_text") != ""))
+    return _rows(left, docs, text=F.when(changed, F.col("kept_text")).otherwise(F.col("row.text")), n_chars=F.when(changed, F.length("kept_text").cast("bigint")).otherwise(F.col("row.n_chars")))
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a ten-word window of a benchmark item occurs."""
+    ship(spark)
+    keyed = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), "text")
+    found = decontam.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="key")
+    bad = materialize(found.where("contaminated").select(F.col("key").alias("bad_key")).distinct(), "contaminated")
+    return docs.join(bad, F.sha2(F.coalesce("text", F.lit("")), 256) == bad["bad_key"], "left_anti")
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): the SentencePiece ids of every text."""
+    ship(spark)
+    coded = sentencepiece_codec.encode_texts(docs, piece_model())
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("suffix-array dedup", repeated_passage_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("SentencePiece encoding and decoding", token_stage),
+]
 
-STAGES: list = []
+#: Language ID is learned and iterative and the last stage needs a tokenizer, so SQL can't give these rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; what a stage returns is written as Parquet and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
