@@ -113,7 +113,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, error: float = ERROR,
 def _search_block(index: Index, queries: DataFrame, k: int, error: float) -> DataFrame:
     asked = queries.select("id", "vector").orderBy("id").collect()
     ids = np.array([r["id"] for r in asked], np.int64)
-    original = np.array([r["vector"] for r in asked], np.float64).reshape(len(asked), -1)
+    original = np.array([r["vector"] for r in asked], np.float64).reshape(len(asked), len(index.centre))
     sent = index.rows.sparkSession.sparkContext.broadcast((ids, original, index.centre, index.rotation))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ def check_model(model_path: str) -> None:
     plain = spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces and not spec.precompiled_charsmap
     if not plain or model.trainer_spec.treat_whitespace_as_suffix:
         raise ValueError("the model changes texts beyond marking spaces")
-    if any(p.type == p.USER_DEFINED or MARK in p.piece.lstrip(MARK) for p in model.pieces):
+    if MARK not in {p.piece for p in model.pieces} or any(p.type == p.USER_DEFINED or MARK in p.piece.lstrip(MARK) for p in model.pieces):
         raise ValueError("pieces of this model cross whitespace markers")
 
 
@@ -52,9 +52,12 @@ class ChunkTable:
         self.ids, self.lens, self.texts = np.zeros(0, np.int32), np.zeros(0, np.int64), []
 
     def add(self, chunks: list[str]) -> None:
-        """Segment chunks that are not in the table. The first marker of a chunk is the one that the library adds."""
+        """Segment chunks that are not in the table. The first marker of a chunk is the one that the library adds, but to an
+        empty text it adds none: a marker alone, at the end of a text, is its piece."""
         encoded = self.processor.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1)
         self.texts += [" " + t for t in self.processor.decode(encoded, num_threads=1)]
+        if MARK in chunks:
+            encoded[chunks.index(MARK)] = [self.processor.piece_to_id(MARK)]
         lens = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.fromiter((i for ids in encoded for i in ids), np.int32, int(lens.sum()))
         self.ids, self.lens = np.concatenate([self.ids, flat]), np.concatenate([self.lens, lens])

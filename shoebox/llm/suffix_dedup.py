@@ -1,6 +1,6 @@
 """Removal of repeated byte strings by distributed prefix doubling on anchored positions.
 
-Two positions have the same rank at length h if their next h bytes are equal. Ranks start at half the threshold, and only
+Two positions have the same rank at length h if their next h bytes are equal. Ranks start at half the threshold (rounded up), and only
 at anchors: of every window of ``length`` bytes the position whose half-length rank is smallest, so equal windows have
 their anchor at the same place. Spark brings equal ranks together, and
 
@@ -39,7 +39,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     A position is an anchor if it has the smallest rank, ties included, in some window of its text. Windows that share
     their smallest rank in several places belong to each of these anchors.
     """
-    half = length // 2
+    half = (length + 1) // 2
     reach = length - half
     n = len(raw)
     if n < length:
@@ -116,7 +116,7 @@ def _read(rows: pa.Table, *columns: tuple[str, type]) -> list[np.ndarray]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, starts, ends): disjoint sorted byte spans of (id, text), ids distinct, that repeats of ``length`` bytes cover."""
     bins = partitions_for(docs.sparkSession, 8)
-    reach = length - length // 2
+    reach = length // 2
     anchor_schema = f"{_SPANS}, rank binary, context binary, c_doc binary, c_at binary, c_low binary, c_high binary"
     by_doc_schema = f"{_SPANS}, {_MARKS}"
 
@@ -197,7 +197,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         step = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
         start = base[of] + step
         sums, inverse = prefix_hash(raw)
-        half = length // 2
+        half = (length + 1) // 2
         front, back = (span_hash(sums, inverse, s, s + half) for s in (start, start + length - half))
         with np.errstate(over="ignore"):
             pair = splitmix(front * _U(0x9E3779B97F4A7C15) + back) + (at[of] - a[of] - step).astype(_U)
