@@ -100,7 +100,8 @@ def keyword_recall(queries: DataFrame, photos: DataFrame, analysis: DataFrame, k
     tiers = [t for t in ("exact", "expanded", *TIERS) if f"{t}_terms" in queries.columns]
     tiers = list(dict.fromkeys(tiers))
     weight = {"expanded": 1.0} | TIERS
-    pairs = [F.transform(f"{t}_terms", lambda x, t=t: F.struct(F.lower(x).alias("term"), F.lit(weight[t]).alias("w"))) for t in tiers]
+    pair = lambda w: lambda x: F.struct(F.lower(x).alias("term"), F.lit(w).alias("w"))
+    pairs = [F.transform(f"{t}_terms", pair(weight[t])) for t in tiers]
     terms = F.filter(F.array_distinct(F.flatten(F.array(*pairs))), lambda x: x["term"] != "")
     q = queries.select("project_id", "query_id", terms.alias("terms"), F.size(F.array_distinct(F.transform(terms, lambda x: x["term"]))).alias("n_terms"))
     fields = [F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in TEXT_WEIGHTS] + [F.transform(c, F.lower).alias(c) for c in TAG_WEIGHTS]
@@ -171,7 +172,7 @@ def multi_field_score(hits: DataFrame, k: int = 200, min_score: float = 0.3, wei
     """Weighted similarity over fields of hits (…, field, similarity); absent and negative ones count 0."""
     w = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
     total = hits.groupBy(*KEYS).agg(F.sum(w[F.col("field")] * F.greatest("similarity", F.lit(0.0))).alias("s"))
-    scored = total.select(*KEYS, F.round("s", 6).alias("score")).where(F.col("score") >= min_score)
+    scored = total.select(*KEYS, F.round("s", 8).alias("score")).where(F.col("score") >= min_score)
     return ranked(scored, k, F.desc("score"), "photo_id")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +14,16 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str, *names: str):
-    """Register a function of derived tables under its name, with the SQL of its rows over the same tables."""
+def query(sql: str | None, *names: str):
+    """Register a function of derived tables under its name, with the SQL of its rows over the same tables.
+
+    Without names the tables are the parameters and the SQL stands alone; without SQL there is no oracle."""
 
     def add(function):
-        QUERIES[function.__name__] = lambda spark, sf_dir: function(*(load(spark, sf_dir, n) for n in names))
-        SQL[function.__name__] = oracle(sql, *names)
+        tables = names or tuple(inspect.signature(function).parameters)
+        QUERIES[function.__name__] = lambda spark, sf_dir: function(*(load(spark, sf_dir, n) for n in tables))
+        if sql:
+            SQL[function.__name__] = oracle(sql, *names) if names else sql
         return function
 
     return add
