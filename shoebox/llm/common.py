@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Spark's setting that removes shuffle files when an execution ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
@@ -30,15 +32,18 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it back, which cuts its lineage.
 
-    Shuffle files live until the driver collects the plan that made them, so garbage is collected here: the next step
-    then starts without the disk of the one before.
+    The shuffle files of the write go as soon as it is done: what was written is whole, and the next step starts with free disks.
     """
     spark = df.sparkSession
     path, schema = f"{scratch_dir(spark)}/{name}", df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 

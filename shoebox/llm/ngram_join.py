@@ -3,8 +3,12 @@
 A set's shingles are XOR-hashed into the parts of a sketch. One differing shingle changes one part, so the Hamming
 distance of two sketches, counted in parts, is at most the symmetric difference of the sets. For two sets of a size band
 that the threshold can link, the difference is bounded by ``d``, so of ``d + 1`` parts at least one agrees: sketches meet
-by an equi-join on (band, part, value). Linked candidates form families; within a family, bit sketches (one parity bit for
-a shingle) bound the difference again, and what passes is verified on the exact sets.
+by an equi-join on (band, part, value). Candidates are tested on bit sketches (one parity bit for a shingle, XORed), whose
+Hamming distance is a lower bound of the difference too, and what passes is verified on the exact sets.
+
+Equal sets are one node from the start. Of up to ``PAIRED`` nodes that share a part all pairs are candidates. More than that
+are joined into hot families by one edge for each, and a family's bit sketches, a few bytes for a shingle, are compared block by
+block inside tasks, which only report a spanning forest of what passes.
 """
 
 from __future__ import annotations
@@ -21,8 +25,10 @@ from shoebox.llm.common import carried, materialize, packed, partitions_for, unp
 from shoebox.llm.components import components
 from shoebox.llm.textkit import NOT_SPACE, Words, chunks, flat, shingle_sets, splitmix
 
-#: Distinct sets of a family that one task compares with each other.
-BLOCK = 512
+#: Nodes with a part in common of which all pairs are candidates.
+PAIRED = 16
+#: Bit sketches, and exact sets, of a family that one task compares with each other.
+SKETCH_BLOCK, BLOCK = 2048, 512
 _U = np.uint64
 
 
@@ -93,94 +99,220 @@ def _sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return shingle_sets(Words(raw, offsets, NOT_SPACE), k, len(offsets) - 1)
 
 
-def candidate_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Distinct (u, v): u and the smallest id v that share a sketch part with it, from (id, text)."""
+def _node(hashes: np.ndarray) -> int:
+    """Identity of a set: 64 bits of its digest."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def bit_sketch(hashes: np.ndarray) -> np.ndarray:
+    """One parity bit for each shingle, in at least twice as many bits; 64-bit words. Halves XORed give the sketch of half the size."""
+    log = max(6, int(2 * len(hashes) - 1).bit_length())
+    bits = np.zeros(1 << (log - 3), np.uint8)
+    at = (hashes & _U((1 << log) - 1)).astype(np.int64)
+    np.bitwise_xor.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    return bits.view(np.uint64)
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def node_table(docs: DataFrame, k: int) -> DataFrame:
+    """(id, node, n, bits) of every text with words, from (id, text): its set's identity, size and bit sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            raw, offsets = flat(whole.column(1))
+            for lo, _, part, local in chunks(raw, offsets):
+                hashes, edges = _sets(part, local, k)
+                full = np.flatnonzero(np.diff(edges))
+                sets = [hashes[edges[i] : edges[i + 1]] for i in full]
+                columns = [pa.array([_node(x) for x in sets], pa.int64()), pa.array(np.diff(edges)[full]), pa.array([bit_sketch(x).tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([whole.column(0).take(pa.array(full + lo)), *columns], ["id", "node", "n", "bits"])
+
+    return docs.mapInArrow(run, "id bigint, node bigint, n bigint, bits binary")
+
+
+def candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Distinct (u, v, hot) of nodes that share a sketch part, from (id, text).
+
+    hot = false: a candidate pair. hot = true: u and v belong to one hot family. A batch sends a part's nodes once; if it has
+    more than ``PAIRED`` of them it joins them itself and sends one, so a part that very many texts share stays small.
+    """
     bins = partitions_for(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            ids = whole.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             raw, offsets = flat(whole.column(1))
-            found = [(ids[lo + row], key) for lo, _, part, local in chunks(raw, offsets) for row, key in part_keys(*_sets(part, local, k), percent)]
+            found = []
+            for _, _, part, local in chunks(raw, offsets):
+                hashes, edges = _sets(part, local, k)
+                nodes = np.array([_node(hashes[a:b]) if b > a else 0 for a, b in zip(edges[:-1], edges[1:], strict=True)], np.int64)
+                found += [(nodes[row], key) for row, key in part_keys(hashes, edges, percent)]
             if not found:
                 continue
-            doc, key = np.concatenate([d for d, _ in found]), np.concatenate([x for _, x in found])
-            u, v, first = _stars(key, doc)
-            key, doc = key[first], doc[first]
-            out = {b: [*data, b"", b""] for b, data in packed((key % _U(bins)).astype(np.int64), bins, [key, doc])}
+            node, key = np.concatenate([d for d, _ in found]), np.concatenate([x for _, x in found])
+            key, node, starts, sizes = _groups(key, node)
+            wide = np.repeat(sizes > PAIRED, sizes)
+            lead = np.zeros(len(key), bool)
+            lead[starts] = True
+            u, v = node[wide & ~lead], np.repeat(node[starts], sizes)[wide & ~lead]
+            sent = ~wide | lead
+            columns = [_short(key[sent], bins), node[sent], wide[sent]]
+            rows = {b: [*data, b"", b""] for b, data in packed((key[sent] % _U(bins)).astype(np.int64), bins, columns)}
             for b, (us, vs) in packed(u % bins, bins, [u, v]):
-                out[b] = [*out.get(b, [b"", b""])[:2], us, vs]
-            columns = zip(*out.values(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["bin", "keys", "docs", "us", "vs"])
+                rows[b] = [*rows.get(b, [b"", b"", b""])[:3], us, vs]
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*rows.values(), strict=True))], ["bin", "keys", "nodes", "wide", "us", "vs"])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        key = np.zeros((sum(len(x.as_buffer()) for x in rows["keys"]) // 6, 8), np.uint8)
+        key[:, :6] = unpacked(rows["keys"], np.uint8).reshape(-1, 6)
+        key, node, starts, sizes, wide = _groups(key.view(_U).ravel(), unpacked(rows["nodes"], np.int64), unpacked(rows["wide"], bool))
+        hot = (np.add.reduceat(wide, starts) > 0) | (sizes > PAIRED) if len(starts) else np.zeros(0, bool)
+        first = np.repeat(node[starts], sizes)
+        far = np.repeat(hot, sizes) & (node != first)
+        edges = {True: [np.stack([node[far], first[far]]), np.stack([unpacked(rows["us"], np.int64), unpacked(rows["vs"], np.int64)])], False: []}
+        for size in np.unique(sizes[~hot & (sizes > 1)]):
+            block = node[starts[~hot & (sizes == size)][:, None] + np.arange(size)]
+            i, j = np.triu_indices(size, 1)
+            edges[False].append(np.stack([block[:, j].ravel(), block[:, i].ravel()]))
+        out = []
+        for kind, parts in edges.items():
+            pairs = np.unique(np.concatenate([*parts, np.zeros((2, 0), np.int64)], axis=1), axis=1)
+            out.append(pa.table({"u": pairs[0], "v": pairs[1], "hot": np.full(pairs.shape[1], kind)}))
+        return pa.concat_tables(out)
+
+    rows = docs.mapInArrow(sketch, "bin int, keys binary, nodes binary, wide binary, us binary, vs binary")
+    return rows.groupBy("bin").applyInArrow(meet, "u bigint, v bigint, hot boolean").distinct()
+
+
+def _short(key: np.ndarray, bins: int) -> np.ndarray:
+    """Six bytes of each key beyond those that choose its bin; keys that agree in them only make a candidate more."""
+    return np.ascontiguousarray((key // _U(bins)).view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _groups(key: np.ndarray, node: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, node, starts, sizes, …): distinct rows sorted by key and node; flags of equal rows are joined."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    at = np.flatnonzero(fresh)
+    more = tuple(np.logical_or.reduceat(m[order], at) if len(at) else m for m in more)
+    key, node = key[at], node[at]
+    opens = np.ones(len(key), bool)
+    opens[1:] = key[1:] != key[:-1]
+    starts = np.flatnonzero(opens)
+    return key, node, starts, np.diff(np.append(starts, len(key))), *more
+
+
+def _in_blocks(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """Rows (family, node, …) dealt to tasks so that every two of a family meet: columns small, group, b1, b2 name the task and own
+    the row's block. Families of at most ``block`` rows share tasks."""
+    large = sizes.select("family", F.ceil(F.col("n_nodes") / block).cast("int").alias("blocks")).where("blocks > 1")
+    spread = rows.join(large, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    spread = spread.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bins = partitions_for(rows.sparkSession)
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.col("family"))
+    return spread.select(*rows.columns, "own", (F.col("blocks") == 1).alias("small"), group.alias("group"), F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
+
+
+_TASK = ("small", "group", "b1", "b2")
+
+
+def close_pairs(found: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of nodes whose bit sketches (node, n, bits) do not rule out a link; of a hot family only a spanning forest."""
+    sides = [sketches.toDF(*(f"{s}_{c}" for c in ("node", "n", "bits"))) for s in "uv"]
+    pairs = found.where("NOT hot").join(sides[0], F.col("u") == F.col("u_node")).join(sides[1], F.col("v") == F.col("v_node"))
+    pairs = pairs.where(100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")).select("u", "v", "u_n", "v_n", "u_bits", "v_bits")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            u, v, n, m = (whole.column(i).to_numpy() for i in range(4))
+            keep = np.zeros(len(u), bool)
+            for i, (a, b) in enumerate(zip(whole.column(4), whole.column(5), strict=True)):
+                a, b = np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U)
+                words = min(len(a), len(b))
+                keep[i] = np.bitwise_count(_folded(a, words) ^ _folded(b, words)).sum() <= most_different(n[i] + m[i], percent)
+            yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], ["u", "v"])
 
-    def meet(found: pa.Table) -> pa.Table:
-        u, v, _ = _stars(unpacked(found["keys"], np.uint64), unpacked(found["docs"], np.int64))
-        pairs = np.unique(np.stack([np.concatenate([u, unpacked(found["us"], np.int64)]), np.concatenate([v, unpacked(found["vs"], np.int64)])]), axis=1)
-        return pa.table({"u": pairs[0], "v": pairs[1]})
+    def compare(rows: pa.Table) -> pa.Table:
+        return _edge_table(_across(rows, lambda group, sides_: _forest(group, sides_, percent)))
 
-    rows = docs.mapInArrow(sketch, "bin int, keys binary, docs binary, us binary, vs binary")
-    return rows.groupBy("bin").applyInArrow(meet, "u bigint, v bigint").distinct()
+    hot = components(found.where("hot").select("u", "v")).select("node", F.col("component").alias("family"))
+    members = hot.join(sketches, "node").select("family", "node", "n", "bits")
+    dealt = _in_blocks(members, hot.groupBy("family").agg(F.count("*").alias("n_nodes")), SKETCH_BLOCK)
+    return pairs.mapInArrow(test, "u bigint, v bigint").union(dealt.groupBy(*_TASK).applyInArrow(compare, "u bigint, v bigint"))
 
 
-def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, first): edges from the ids of each key to its smallest id v, and the place of that id for each key."""
-    order = np.lexsort((doc, key))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = key[order][1:] != key[order][:-1]
-    first = order[fresh]
-    least = doc[first][np.cumsum(fresh) - 1] if len(order) else doc
-    u, v = doc[order], least
-    differs = u != v
-    pairs = np.unique(np.stack([u[differs], v[differs]]), axis=1)
-    return pairs[0], pairs[1], first
+def _edge_table(edges: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
 
 
-def similar_pairs(docs: DataFrame, families: DataFrame, k: int, percent: int) -> DataFrame:
-    """(u, v): verified links that connect, within every family, all ids whose sets are linked through similar sets."""
-    members = docs.join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id").select("id", "family", "text")
+def _across(rows: pa.Table, link) -> list[tuple[int, int]]:
+    """Edges that ``link`` finds in each family of a task's rows; with two blocks it gets the block of each row."""
+    family, own = rows["family"].to_numpy(), rows["own"].to_numpy()
+    across = rows.num_rows > 0 and rows["b1"][0].as_py() != rows["b2"][0].as_py()
+    order = np.argsort(family, kind="stable")
+    edges: list[tuple[int, int]] = []
+    for at in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+        if len(at) > 1:
+            edges += link(rows.take(pa.array(at)), own[at] if across else None)
+    return edges
+
+
+def _forest(rows: pa.Table, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a family whose bit sketches are close enough."""
+    sizes = rows["n"].to_numpy()
+    order = np.argsort(sizes, kind="stable")
+    nodes, sizes = rows["node"].to_numpy()[order], sizes[order]
+    side = side[order] if side is not None else None
+    raw = [np.frombuffer(x.as_buffer(), _U) for x in rows["bits"].take(pa.array(order))]
+    lens = np.array([len(x) for x in raw])
+    stacked = {int(w): np.stack([_folded(x, w) if len(x) >= w else np.zeros(w, _U) for x in raw]) for w in np.unique(lens)}
+    root, edges = np.arange(len(nodes)), []
+    for i in range(len(nodes) - 1):
+        end = int(np.searchsorted(sizes, 100 * sizes[i] // percent, "right"))
+        near = np.arange(i + 1, end)
+        near = near[root[near] != root[i]]
+        if side is not None:
+            near = near[side[near] != side[i]]
+        if not len(near):
+            continue
+        bits = stacked[int(lens[i])]
+        apart = np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        for j in near[apart <= most_different(sizes[near] + sizes[i], percent)]:
+            if root[i] != root[j]:
+                edges.append((int(max(nodes[i], nodes[j])), int(min(nodes[i], nodes[j]))))
+                root[root == root[j]] = root[i]
+    return edges
+
+
+def similar_pairs(docs: DataFrame, nodes: DataFrame, families: DataFrame, k: int, percent: int) -> DataFrame:
+    """(u, v): verified links that connect, within every family (node, component), all nodes that are linked through similar sets."""
+    shown = nodes.join(families.withColumnRenamed("component", "family"), "node").groupBy("node", "family").agg(F.min("id").alias("id"))
+    # Texts are shuffled at every size: a broadcast of the families would stop working somewhere between two inputs.
+    members = docs.hint("merge").join(shown, "id").select("id", "family", "node", "text")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            raw, offsets = flat(whole.column(2))
+            raw, offsets = flat(whole.column(3))
+            node = whole.column(2).to_numpy()
             for lo, hi, part, local in chunks(raw, offsets):
                 hashes, edges = _sets(part, local, k)
-                blobs = [hashes[edges[i] : edges[i + 1]].tobytes() for i in range(hi - lo)]
-                keys = [xxhash.xxh3_128_digest(b) for b in blobs]
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), whole.column(1).slice(lo, hi - lo), pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], ["id", "family", "set_key", "tokens"])
-
-    sets = materialize(members.mapInArrow(expand, "id bigint, family bigint, set_key binary, tokens binary"), "sets")
-    alone = sets.groupBy("family", "set_key").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
-    copies = sets.select("id", "set_key").join(alone.select("set_key", F.col("id").alias("v")), "set_key").where("id <> v").select(F.col("id").alias("u"), "v")
-
-    large = sets.select("family", "set_key").distinct().groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    spread = alone.join(large, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    spread = spread.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    bins = partitions_for(docs.sparkSession)
-    spread = spread.withColumn("group", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.col("family")))
-    spread = spread.select("family", "id", "tokens", "own", "group", F.col("blocks") == 1, F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
-    spread = spread.toDF("family", "id", "tokens", "own", "group", "small", "b1", "b2")
+                sets = [hashes[edges[i] : edges[i + 1]] for i in range(hi - lo)]
+                own = np.array([i for i, x in enumerate(sets) if len(x) and _node(x) == node[lo + i]], np.int64)
+                yield pa.RecordBatch.from_arrays([whole.column(1).take(pa.array(own + lo)), whole.column(2).take(pa.array(own + lo)), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["family", "node", "tokens"])
 
     def compare(rows: pa.Table) -> pa.Table:
-        edges = _verified(rows, percent)
-        return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
+        return _edge_table(_across(rows, lambda group, side: _linked([np.frombuffer(x.as_buffer(), _U) for x in group["tokens"]], group["node"].to_numpy(), side, percent)))
 
-    found = spread.groupBy("small", "group", "b1", "b2").applyInArrow(compare, "u bigint, v bigint")
-    return found.union(copies)
-
-
-def _verified(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Links between the sets of one task; with two blocks, those across them. Ids already connected here are skipped."""
-    family, ids, own = (rows[c].to_numpy() for c in ("family", "id", "own"))
-    blobs = rows["tokens"].combine_chunks() if rows.num_rows else []
-    across = rows.num_rows > 0 and rows["b1"][0].as_py() != rows["b2"][0].as_py()
-    order = np.lexsort((ids, family))
-    cuts = np.flatnonzero(np.diff(family[order])) + 1
-    edges: list[tuple[int, int]] = []
-    for group in np.split(order, cuts):
-        if len(group) > 1:
-            sets = [np.frombuffer(blobs[int(i)].as_buffer(), np.uint64) for i in group]
-            edges += _linked(sets, ids[group], own[group] if across else None, percent)
-    return edges
+    sets = members.mapInArrow(expand, "family bigint, node bigint, tokens binary")
+    sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("n_nodes"))
+    return _in_blocks(sets, sizes, BLOCK).groupBy(*_TASK).applyInArrow(compare, "u bigint, v bigint")
 
 
 def _linked(sets: list[np.ndarray], ids: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -227,8 +359,11 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *carried(docs, carry))
     known = source.where("id IS NOT NULL").select("id", "text")
-    families = components(candidate_edges(known, shingle, percent))
-    linked = components(similar_pairs(known, families, shingle, percent))
+    nodes = materialize(node_table(known, shingle), "nodes")
+    found = materialize(candidates(known, shingle, percent), "candidates")
+    families = components(close_pairs(found, nodes.select("node", "n", "bits").dropDuplicates(["node"]), percent))
+    linked = components(_with_shared_ids(similar_pairs(known, nodes, families, shingle, percent), nodes))
+    labels = materialize(_labels(nodes, linked), "labels")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -238,5 +373,19 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), pa.array(np.diff(_sets(part, local, shingle)[1])), *row], ["id", "n_shingles", *["row"] * carry])
 
     counted = source.mapInArrow(count, with_row("id bigint, n_shingles bigint", source))
-    out = counted.join(linked, counted["id"] == linked["node"], "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"), *["row"] * carry)
+    out = counted.join(labels, counted["id"] == labels["l_id"], "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("label", "id").alias("component_id"), *["row"] * carry)
+
+
+def _with_shared_ids(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links, and those between different sets of rows that share an id."""
+    own = nodes.select("id", "node")
+    shared = own.groupBy("id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w")
+    return links.union(own.join(shared, "id").where("node <> v").select(F.col("node").alias("u"), "v"))
+
+
+def _labels(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(l_id, label): the smallest id of the component of every id that is not the smallest itself."""
+    placed = nodes.select("id", "node").join(linked, "node", "left").select("id", F.coalesce("component", "node").alias("c"))
+    least = placed.groupBy("c").agg(F.min("id").alias("label"), F.max("id").alias("most")).where("label <> most")
+    return placed.join(least, "c").where("id <> label").select(F.col("id").alias("l_id"), "label").distinct()

@@ -255,9 +255,11 @@ def brute_components(rows, k, percent):
     return root
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 50)])
-def test_join_matches_brute_force(spark, monkeypatch, k, percent):
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+@pytest.mark.parametrize(("k", "percent", "small"), [(3, 90, False), (5, 80, True), (1, 50, True)])
+def test_join_matches_brute_force(spark, monkeypatch, k, percent, small):
+    if small:  # hot families of a few nodes, compared in many blocks
+        for name, value in (("BLOCK", 4), ("SKETCH_BLOCK", 4), ("PAIRED", 2)):
+            monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(k)
     rows = []
     for base in range(12):
