@@ -258,3 +258,21 @@ def cancel_lines(manifest: DataFrame, claimed: DataFrame, cancelled: DataFrame)
     key = ["project_id", "photo_id"]
     marked = manifest.join(cancelled.select(*key, F.lit(True).alias("cancel")).distinct(), key, "left").join(claimed.select(*key, F.lit(True).alias("claim")).distinct(), key, "left")
     return marked.select(*key, F.when(F.col("cancel") & F.col("claim"), "conflict").when(F.col("cancel"), "removed").otherwise("kept").alias("outcome"))
+
+
+def concepts(analysis: DataFrame, aliases: DataFrame, related: DataFrame) -> DataFrame:
+    """(project_id, photo_id, entities, concepts): entities whose alias (alias, entity) is contained in a tag or the caption, and the
+    concepts related to them (entity, concept), with those that the number of people implies; all sorted.
+
+    Terms are made distinct before they meet the aliases, so a tag that very many photos carry is tested once.
+    """
+    terms = analysis.select("project_id", "photo_id", F.explode(F.array_distinct(F.transform(F.concat("object_tags", "scene_tags", F.array("ocr_text")), F.lower))).alias("term"))
+    tested = terms.select("term").distinct().join(aliases, F.col("term").contains(F.lower("alias"))).select("term", "entity").distinct()
+    found = terms.join(tested, "term").select("project_id", "photo_id", "entity").distinct()
+    entities = found.groupBy("project_id", "photo_id").agg(F.sort_array(F.collect_set("entity")).alias("entities"))
+    wider = found.join(related, "entity").groupBy("project_id", "photo_id").agg(F.collect_set("concept").alias("wider"))
+    n = F.col("people_count")
+    people = F.array_compact(F.array(F.when(n >= 1, "people"), F.when(n == 1, "portrait"), F.when(n >= 2, "group photo"), F.when(n >= 3, "gathering")))
+    none = F.array().cast("array<string>")
+    joined = analysis.select("project_id", "photo_id", "people_count").join(entities, ["project_id", "photo_id"], "left").join(wider, ["project_id", "photo_id"], "left")
+    return joined.select("project_id", "photo_id", F.coalesce("entities", none).alias("entities"), F.sort_array(F.array_distinct(F.concat(F.coalesce("wider", none), people))).alias("concepts"))

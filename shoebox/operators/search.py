@@ -232,3 +232,36 @@ def evaluate(cases: DataFrame, pages: DataFrame) -> DataFrame:
     found = cases.join(got, ["project_id", "query_id"], "left")
     missing = F.sort_array(F.array_except("expected", F.coalesce("found", F.array().cast("array<bigint>"))))
     return found.select("project_id", "query_id", F.array_join(missing, ",").alias("missing"), ((F.size(missing) == 0) & (F.coalesce("total", F.lit(0)) >= F.col("min_total"))).alias("passed"))
+
+
+def tag_boost(rows: DataFrame, analysis: DataFrame, queries: DataFrame) -> DataFrame:
+    """``final_score`` with, for each distinct tag of a photo, 0.04 if the request expands to it, else 0.02 if it supports it, else
+    0.01 if it is broad; and 0.03 less for each penalised one."""
+    tags = analysis.select("project_id", "photo_id", F.array_distinct(F.concat("scene_tags", "object_tags", "activity_tags")).alias("tags"))
+    q = queries.select("project_id", "query_id", "expanded_terms", "support_terms", "broad_terms", "penalised_terms")
+    found = rows.join(tags, ["project_id", "photo_id"], "left").join(q, ["project_id", "query_id"])
+    within = lambda c, t: F.array_contains(c, t)
+    worth = lambda t: F.when(within("expanded_terms", t), 4).when(within("support_terms", t), 2).when(within("broad_terms", t), 1).otherwise(0) - F.when(within("penalised_terms", t), 3).otherwise(0)
+    hundredths = F.aggregate(F.coalesce("tags", F.array().cast("array<string>")), F.lit(0), lambda s, t: s + worth(t))
+    return found.select(*KEYS, F.round(F.col("final_score") + hundredths / 100, 9).alias("final_score"))
+
+
+def facet_filter(rows: DataFrame, analysis: DataFrame, queries: DataFrame, bypass: float = 0.55) -> DataFrame:
+    """Why a row fails its request's facet (facet, positive_terms, negative_terms; facet null: none asked), in this order: a negative
+    term in its texts, no positive term although its vector score is below ``bypass``."""
+    text = F.lower(F.concat_ws(" ", "caption", "ocr_text", F.array_join("scene_tags", " "), F.array_join("object_tags", " ")))
+    known = analysis.select("project_id", "photo_id", text.alias("text"))
+    found = rows.join(known, ["project_id", "photo_id"], "left").join(queries.select("project_id", "query_id", "facet", "positive_terms", "negative_terms"), ["project_id", "query_id"])
+    has = lambda c: F.exists(c, lambda t: F.coalesce(F.col("text"), F.lit("")).contains(F.lower(t)))
+    reason = F.when(F.col("facet").isNull(), None).when(has("negative_terms"), "negative_evidence").when(~has("positive_terms") & (F.coalesce("vector_score", F.lit(0.0)) < bypass), "no_evidence")
+    return found.select(*KEYS, reason.alias("reason"))
+
+
+def routed(queries: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """The result list of each request's mode: rows of ``lists[mode]`` for requests with that ``mode``."""
+    out = None
+    for mode, rows in lists.items():
+        own = queries.where(F.col("mode") == mode).select("project_id", "query_id")
+        part = rows.join(own, ["project_id", "query_id"], "left_semi").select(*KEYS, "score", F.lit(mode).alias("mode"))
+        out = part if out is None else out.union(part)
+    return out

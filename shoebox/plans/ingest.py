@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoebox.functions.text import model_answer
 from shoebox.operators import ingest
 from shoebox.plans.library import ACTIVE, query
 
@@ -214,3 +215,33 @@ def snk1_manifest_append(photos: DataFrame, jobs: DataFrame, analysis: DataFrame
 @query("SELECT project_id, photo_id, CASE WHEN photo_id % 3 = 0 AND photo_id % 2 = 0 THEN 'conflict' WHEN photo_id % 3 = 0 THEN 'removed' ELSE 'kept' END AS outcome FROM analysis", "analysis")
 def snk2_manifest_cancel(analysis: DataFrame) -> DataFrame:
     return ingest.cancel_lines(analysis.select("project_id", "photo_id"), analysis.where("photo_id % 2 = 0"), analysis.where("photo_id % 3 = 0"))
+
+
+@query(
+    """SELECT project_id, photo_id, CASE photo_id % 4 WHEN 3 THEN 'plain ' || ocr_text ELSE ocr_text END AS caption, CASE photo_id % 4 WHEN 3 THEN NULL ELSE people_count END AS people_count,
+  CASE photo_id % 4 WHEN 3 THEN NULL WHEN 2 THEN 0.5 ELSE confidence END AS confidence FROM analysis""",
+    "analysis",
+)
+def ing14_model_output(analysis: DataFrame) -> DataFrame:
+    kind, body = F.col("photo_id") % 4, F.to_json(F.struct(F.col("ocr_text").alias("caption"), "people_count", "confidence"))
+    lines = F.concat(F.lit("Description: "), F.col("ocr_text"), F.lit("\npeople: about "), F.col("people_count").cast("string"), F.lit("\nscore: 50%"))
+    raw = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```"))).when(kind == 2, lines).otherwise(F.concat(F.lit("plain "), F.col("ocr_text")))
+    return analysis.select("project_id", "photo_id", model_answer(raw).alias("a")).select("project_id", "photo_id", "a.caption", "a.people_count", "a.confidence")
+
+
+_ALIASES = [("the", "article"), ("th", "dental"), ("la", "article"), ("ein", "article"), ("src1", "source")]
+_RELATED = [("article", "grammar"), ("dental", "sound"), ("dental", "speech")]
+
+
+@query(
+    f""", t AS (SELECT project_id, photo_id, unnest(list_transform(object_tags || scene_tags || [ocr_text], lambda x: lower(x))) AS term FROM analysis), al(alias, entity) AS (VALUES {", ".join(map(str, _ALIASES))}), re(entity, concept) AS (VALUES {", ".join(map(str, _RELATED))}),
+f AS (SELECT DISTINCT project_id, photo_id, entity FROM t JOIN al ON contains(term, alias)), e AS (SELECT project_id, photo_id, string_agg(entity, '|' ORDER BY entity) AS entities FROM f GROUP BY ALL),
+c0 AS (SELECT project_id, photo_id, concept FROM f JOIN re USING (entity) UNION SELECT project_id, photo_id, c FROM analysis JOIN (VALUES (1, 99, 'people'), (1, 1, 'portrait'), (2, 99, 'group photo'), (3, 99, 'gathering')) v(a, b, c) ON people_count BETWEEN a AND b),
+c AS (SELECT project_id, photo_id, string_agg(concept, '|' ORDER BY concept) AS concepts FROM c0 GROUP BY ALL)
+SELECT a.project_id, a.photo_id, coalesce(entities, '') AS entities, coalesce(concepts, '') AS concepts FROM analysis a LEFT JOIN e ON e.project_id = a.project_id AND e.photo_id = a.photo_id LEFT JOIN c ON c.project_id = a.project_id AND c.photo_id = a.photo_id""",
+    "analysis",
+)
+def ing15_concept_normalise(analysis: DataFrame) -> DataFrame:
+    table = lambda rows, *names: analysis.sparkSession.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(r, names, strict=True))) for r in rows))))
+    found = ingest.concepts(analysis, table(_ALIASES, "alias", "entity"), table(_RELATED, "entity", "concept"))
+    return found.select("project_id", "photo_id", F.array_join("entities", "|").alias("entities"), F.array_join("concepts", "|").alias("concepts"))

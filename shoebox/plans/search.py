@@ -235,3 +235,35 @@ SELECT project_id, query_id, array_to_string(missing, ',') AS missing, len(missi
 def sch23_evaluation(photos: DataFrame, analysis: DataFrame, searches: DataFrame) -> DataFrame:
     cases = searches.select("project_id", "query_id", F.array(F.col("query_id"), F.col("query_id") + 7).alias("expected"), F.lit(3).alias("min_total"))
     return search.evaluate(cases, _page(photos, analysis, searches, 1, 50))
+
+
+@query(
+    _LEVELS + """, tg AS (SELECT project_id, photo_id, list_distinct(scene_tags || object_tags || activity_tags) AS tags FROM analysis)
+SELECT sc.project_id, sc.query_id, sc.photo_id, round(final_score + CAST(coalesce(list_sum(list_transform(tags, lambda t: CASE WHEN list_contains(expanded_terms, t) THEN 4 WHEN list_contains(exact_terms, t) THEN 2 WHEN t = concept_term THEN 1 ELSE 0 END - CASE WHEN t = 'the' THEN 3 ELSE 0 END)), 0) AS DOUBLE) / 100, 9) AS final_score
+FROM sc LEFT JOIN tg ON tg.project_id = sc.project_id AND tg.photo_id = sc.photo_id JOIN searches s ON s.project_id = sc.project_id AND s.query_id = sc.query_id""",
+    *_SEARCH,
+)
+def sch19_tag_boost(photos: DataFrame, analysis: DataFrame, searches: DataFrame) -> DataFrame:
+    q = searches.select("project_id", "query_id", "expanded_terms", F.col("exact_terms").alias("support_terms"), F.array("concept_term").alias("broad_terms"), F.array(F.lit("the")).alias("penalised_terms"))
+    return search.tag_boost(search.evidence(_fused(photos, analysis, searches)), analysis, q)
+
+
+@query(
+    _LEVELS + """, tx AS (SELECT project_id, photo_id, lower(caption || ' ' || ocr_text || ' ' || array_to_string(scene_tags, ' ') || ' ' || array_to_string(object_tags, ' ')) AS t FROM analysis)
+SELECT sc.project_id, sc.query_id, sc.photo_id, CASE WHEN s.query_id % 2 = 0 THEN NULL WHEN contains(coalesce(t, ''), 'src1') THEN 'negative_evidence' WHEN NOT contains(coalesce(t, ''), exact_terms[1]) AND coalesce(vector_score, 0) < 0.55 THEN 'no_evidence' END AS reason
+FROM sc LEFT JOIN tx ON tx.project_id = sc.project_id AND tx.photo_id = sc.photo_id JOIN searches s ON s.project_id = sc.project_id AND s.query_id = sc.query_id""",
+    *_SEARCH,
+)
+def sch18_core_facet_filter(photos: DataFrame, analysis: DataFrame, searches: DataFrame) -> DataFrame:
+    q = searches.select("project_id", "query_id", F.when(F.col("query_id") % 2 == 1, "night").alias("facet"), F.slice("exact_terms", 1, 1).alias("positive_terms"), F.array(F.lit("SRC1")).alias("negative_terms"))
+    return search.facet_filter(search.evidence(_fused(photos, analysis, searches)), analysis, q)
+
+
+@query(
+    _META + _KEYWORD.replace(f", {_LIVE}", "", 1) + _CONCEPT + " SELECT project_id, query_id, photo_id, score, 'metadata' AS mode FROM m WHERE query_id % 3 = 0 UNION ALL SELECT project_id, query_id, photo_id, score, 'keyword' FROM kw WHERE query_id % 3 = 1 UNION ALL SELECT project_id, query_id, photo_id, score, 'concept' FROM cl WHERE query_id % 3 = 2",
+    *_SEARCH,
+)
+def sch21_mode_routing(photos: DataFrame, analysis: DataFrame, searches: DataFrame) -> DataFrame:
+    mode = F.when(F.col("query_id") % 3 == 0, "metadata").when(F.col("query_id") % 3 == 1, "keyword").otherwise("concept")
+    lists = {"metadata": search.metadata_recall(searches, photos), "keyword": search.keyword_recall(searches, photos, analysis), "concept": _concepts(photos, analysis, searches)}
+    return search.routed(searches.withColumn("mode", mode), lists)

@@ -132,3 +132,33 @@ def test_entry_without_the_training_data_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'brw6_tag_counts' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_files_and_exports(spark, tmp_path):
+    from shoebox.sources import files
+
+    for name, text in (("a/x.JPG", "one"), ("a/b/y.png", "two"), ("a/z.txt", "no"), ("trash/t.jpg", "gone")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found = files.inventory(spark, str(tmp_path), (f"file:{tmp_path}/trash",)).collect()
+    assert sorted((r["file_path"].rsplit("/", 1)[1], r["file_size"]) for r in found) == [("x.JPG", 3), ("y.png", 3)]
+    lines = spark.createDataFrame([(2, "b"), (1, "a")], "photo_id bigint, action string")
+    files.write_manifest(lines, f"{tmp_path}/m")
+    files.write_manifest(lines, f"{tmp_path}/m")
+    assert spark.read.json(f"{tmp_path}/m").count() == 4
+    items = spark.createDataFrame([(1, 7, "KEEP", datetime(2026, 1, 1)), (2, 7, "TRASH", datetime(2026, 1, 2)), (3, 7, None, None)], "id bigint, project_id bigint, human_label string, created_at timestamp")
+    files.export_calibration(items, f"{tmp_path}/c")
+    assert [r["id"] for r in spark.read.option("header", True).csv(f"{tmp_path}/c").collect()] == ["2", "1"]
+    files.write_table(items, f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").where("project_id = 7").count() == 3
+
+
+def test_model_answers(spark):
+    from shoebox.functions.text import model_answer, nfkc
+
+    rows = ['{"caption": "c", "people_count": 2}', 'x {"objects": ["a", "a", " b "], "score": "85%", "people": "3 persons"} y', "just words", "", None, '{"caption": "cut', "```json\n{\"caption\": \"f\"}\n```"]
+    got = [r["a"] for r in spark.createDataFrame([(r,) for r in rows], "t string").select(model_answer(F.col("t")).alias("a")).collect()]
+    assert (got[0]["caption"], got[0]["people_count"]) == ("c", 2)
+    assert (got[1]["object_tags"], got[1]["confidence"], got[1]["people_count"]) == (["a", "b"], 0.85, 3)
+    assert got[2]["caption"] == "just words" and got[6]["caption"] == "f" and got[5]["caption"]
+    assert spark.createDataFrame([("ｆ①",), (None,)], "t string").select(nfkc("t")).first()[0] == "f1"
