@@ -29,7 +29,7 @@ def photo_page(photos: DataFrame, page: int, size: int, date_from: str | None =
         found = found.where(F.col("taken_at") < F.lit(date_to).cast("timestamp"))
     totals = found.groupBy("project_id").agg(F.count("*").alias("total"))
     ranked = found.withColumn("position", F.row_number().over(Window.partitionBy("project_id").orderBy(*newest_first()))).where(F.col("position") <= page * size)
-    return ranked.where(F.col("position") > (page - 1) * size).join(F.broadcast(totals), "project_id").select("project_id", "position", "id", "taken_at", "total")
+    return ranked.where(F.col("position") > (page - 1) * size).join(totals, "project_id").select("project_id", "position", "id", "taken_at", "total")
 
 
 def keyset_page(photos: DataFrame, cursors: DataFrame, size: int) -> DataFrame:

@@ -89,7 +89,7 @@ def deletion_reconcile(items: DataFrame, inventory: DataFrame, projects: DataFra
     waiting = items.where(F.col("status").isin("delete_queued", "quarantined")).select("project_id", "photo_id")
     there = inventory.select("project_id", F.col("id").alias("photo_id"), F.lit(True).alias("there"))
     roots = projects.select(F.col("id").alias("project_id"), "available")
-    found = waiting.join(there, ["project_id", "photo_id"], "left").join(F.broadcast(roots), "project_id", "left")
+    found = waiting.join(there, ["project_id", "photo_id"], "left").join(roots, "project_id", "left")
     state = F.when(~F.coalesce("available", F.lit(False)), "failed").when(F.col("there"), "remaining").otherwise("confirmed")
     return found.select("project_id", "photo_id", state.alias("state"))
 

@@ -77,7 +77,7 @@ def missing_files(photos: DataFrame, inventory: DataFrame, projects: DataFrame)
     """Active photos without a file, but none of a project whose root cannot be reached."""
     away = projects.where(~F.col("available")).select(F.col("id").alias("project_id"))
     gone = photos.where(active()).select("project_id", "file_path", "id").join(inventory.select("project_id", "file_path"), ["project_id", "file_path"], "left_anti")
-    return gone.join(F.broadcast(away), "project_id", "left_anti").select("project_id", "id")
+    return gone.join(away, "project_id", "left_anti").select("project_id", "id")
 
 
 def reindex(photos: DataFrame, fresh: DataFrame, columns: list[str], scope: str = "all") -> DataFrame:

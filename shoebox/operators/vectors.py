@@ -44,29 +44,34 @@ def _scored(queries: DataFrame, rows: DataFrame, k: int, key: str) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(by_key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        best = {own: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for own in sent.value}
         for whole in batches:
             keys, ids = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-            for own in np.unique(keys):
-                if own not in sent.value:
-                    continue
+            for own in sorted(set(keys.tolist()) & sent.value.keys()):
                 at = np.flatnonzero(keys == own)
                 vectors = _unit(whole.column(2).take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1))
-                q_ids, q = sent.value[own]
-                scores = np.round(q @ vectors.T, 6) + 0.0
-                for q_id, score in zip(q_ids, scores, strict=True):
-                    old_ids, old = best.get(q_id, (np.zeros(0, np.int64), np.zeros(0)))
-                    all_ids, all_scores = np.concatenate([old_ids, ids[at]]), np.concatenate([old, score])
-                    order = np.lexsort((all_ids, -all_scores))[:k]
-                    best[q_id] = (all_ids[order], all_scores[order])
-        of = {q: own for own, (q_ids, _) in sent.value.items() for q in q_ids}
-        for q_id, (ids, scores) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), of[q_id])), pa.array(np.full(len(ids), q_id)), pa.array(ids), pa.array(scores)], [key, "query_id", "id", "similarity"])
+                scores = np.round(sent.value[own][1] @ vectors.T, 6) + 0.0
+                # What is worse than the k-th of this batch cannot be among the k; ties stay and are ordered by id below.
+                least = np.partition(scores, len(at) - k, axis=1)[:, len(at) - k] if len(at) > k else np.full(len(scores), -2.0)
+                q, row = np.nonzero(scores >= least[:, None])
+                old = best[own]
+                best[own] = _first(np.concatenate([old[0], q]), np.concatenate([old[1], ids[at[row]]]), np.concatenate([old[2], scores[q, row]]), k)
+        for own, (q, ids, scores) in best.items():
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), own)), pa.array(sent.value[own][0][q]), pa.array(ids), pa.array(scores)], [key, "query_id", "id", "similarity"])
 
     source = rows.select(F.col(key).cast("bigint"), F.col("id").cast("bigint"), F.col("vector").cast("array<double>"))
     return source.mapInArrow(run, f"{key} bigint, query_id bigint, id bigint, similarity double")
 
 
+def _first(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best rows of each query, ties to smaller ids."""
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    top = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[top], ids[top], scores[top]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.sqrt((x**2).sum(axis=1, keepdims=True))
     return np.divide(x, norm, out=np.zeros_like(x, dtype=float), where=norm > 0)
