@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shoebox.functions.text import model_answer
 from shoebox.operators import ingest
 from shoebox.plans.library import ACTIVE, query
+from shoebox.sources import files
 
 
 
@@ -245,3 +246,24 @@ def ing15_concept_normalise(analysis: DataFrame) -> DataFrame:
     table = lambda rows, *names: analysis.sparkSession.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(r, names, strict=True))) for r in rows))))
     found = ingest.concepts(analysis, table(_ALIASES, "alias", "entity"), table(_RELATED, "entity", "concept"))
     return found.select("project_id", "photo_id", F.array_join("entities", "|").alias("entities"), F.array_join("concepts", "|").alias("concepts"))
+
+
+_PATH = "CASE WHEN id % 4 = 0 THEN replace(file_path, '.jpg', '.TXT') WHEN id % 4 = 1 THEN replace(file_path, '.jpg', '.HEIC') ELSE file_path END"
+
+
+@query(
+    f"""SELECT DISTINCT p.project_id, path AS file_path, root FROM (SELECT project_id, {_PATH} AS path FROM photos) p JOIN projects r ON r.id = p.project_id
+WHERE regexp_matches(lower(path), '\\.(jpg|jpeg|png|webp|heic|heif|mp4|mov|m4v|avi|mkv|webm)$')""",
+    "photos", "projects",
+)
+def src1_library_inventory(photos: DataFrame, projects: DataFrame) -> DataFrame:
+    inner = projects.select(F.col("id").alias("project_id"), F.concat("root", F.lit("/y1995/")).alias("path"))
+    roots = ingest.outer_roots(projects.select(F.col("id").alias("project_id"), F.col("root").alias("path")).union(inner))
+    path = F.when(F.col("id") % 4 == 0, F.replace("file_path", F.lit(".jpg"), F.lit(".TXT"))).when(F.col("id") % 4 == 1, F.replace("file_path", F.lit(".jpg"), F.lit(".HEIC"))).otherwise(F.col("file_path"))
+    listed = photos.select("project_id", path.alias("file_path")).join(roots.withColumnRenamed("path", "root"), "project_id")
+    return ingest.media_files(listed.where(F.col("file_path").startswith(F.concat("root", F.lit("/"))))).distinct()
+
+
+@query("SELECT id, project_id, photo_id, status, decision, classification, confidence, human_label, created_at FROM items WHERE human_label IS NOT NULL", "items")
+def snk3_calibration_export(items: DataFrame) -> DataFrame:
+    return files.calibration_rows(items)

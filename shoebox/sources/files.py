@@ -24,9 +24,15 @@ def write_manifest(lines: DataFrame, path: str) -> None:
     lines.select(*sorted(lines.columns)).write.mode("append").json(path)
 
 
+def calibration_rows(items: DataFrame) -> DataFrame:
+    """Items that a human has labelled, with the columns of the export."""
+    wanted = ("id", "project_id", "photo_id", "status", "decision", "classification", "confidence", "human_label", "created_at")
+    return items.where("human_label IS NOT NULL").select(*(c for c in wanted if c in items.columns))
+
+
 def export_calibration(items: DataFrame, path: str) -> None:
     """Labelled items as CSV with a header, newest label first."""
-    items.where("human_label IS NOT NULL").orderBy(F.desc("created_at"), F.desc("id")).write.option("header", True).csv(path)
+    calibration_rows(items).orderBy(F.desc("created_at"), F.desc("id")).write.option("header", True).csv(path)
 
 
 def write_table(rows: DataFrame, path: str) -> None:
