@@ -243,11 +243,20 @@ def close_pairs(found: DataFrame, sketches: DataFrame, percent: int) -> DataFram
         return _edge_table(_across(rows, lambda group, sides_: _forest(group, sides_, percent)))
 
     hot = components(found.where("hot").select("u", "v")).select("node", F.col("component").alias("family"))
-    members = hot.join(sketches, "node").select("family", "node", "n", "bits")
-    dealt = _in_blocks(members, hot.groupBy("family").agg(F.count("*").alias("n_nodes")), SKETCH_BLOCK)
+    members = hot.join(sketches, "node").withColumn("size", F.explode(_size_classes(F.col("n"), percent)))
+    members = members.select(F.xxhash64("family", "size").alias("family"), "node", "n", "bits")
+    dealt = _in_blocks(members, members.groupBy("family").agg(F.count("*").alias("n_nodes")), SKETCH_BLOCK)
     return pairs.mapInArrow(test, "u bigint, v bigint").union(dealt.groupBy(*_TASK).applyInArrow(compare, "u bigint, v bigint"))
 
 
+def _size_classes(n, percent: int):
+    """Both places of a set among its family's sizes: a class is a little wider than the ratio that two similar sets can have, so
+    they are in one class or in neighbours, and a place holds a class and the next. A family's sets that differ more in size
+    never meet."""
+    own = F.floor(F.log(n.cast("double")) / float(np.log(100 / percent * 1.001)))
+    return F.array(own, own - 1)
+
+
 def _edge_table(edges: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
 
@@ -271,8 +280,9 @@ def _forest(rows: pa.Table, side: np.ndarray | None, percent: int) -> list[tuple
     nodes, sizes = rows["node"].to_numpy()[order], sizes[order]
     side = side[order] if side is not None else None
     raw = [np.frombuffer(x.as_buffer(), _U) for x in rows["bits"].take(pa.array(order))]
-    lens = np.array([len(x) for x in raw])
-    stacked = {int(w): np.stack([_folded(x, w) if len(x) >= w else np.zeros(w, _U) for x in raw]) for w in np.unique(lens)}
+    lens = np.array([len(x) for x in raw])  # grows with the size, so the sketches that a width is compared with stand together
+    reach = 1 << int(np.ceil(np.log2(100 / percent)))
+    stacked = {int(w): (at := np.flatnonzero((lens >= w) & (lens <= reach * w)), np.stack([_folded(raw[i], int(w)) for i in at])) for w in np.unique(lens)}
     root, edges = np.arange(len(nodes)), []
     for i in range(len(nodes) - 1):
         end = int(np.searchsorted(sizes, 100 * sizes[i] // percent, "right"))
@@ -282,8 +292,8 @@ def _forest(rows: pa.Table, side: np.ndarray | None, percent: int) -> list[tuple
             near = near[side[near] != side[i]]
         if not len(near):
             continue
-        bits = stacked[int(lens[i])]
-        apart = np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        at, bits = stacked[int(lens[i])]
+        apart = np.bitwise_count(bits[near - at[0]] ^ bits[i - at[0]]).sum(axis=1, dtype=np.int64)
         for j in near[apart <= most_different(sizes[near] + sizes[i], percent)]:
             if root[i] != root[j]:
                 edges.append((int(max(nodes[i], nodes[j])), int(min(nodes[i], nodes[j]))))
