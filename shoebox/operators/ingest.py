@@ -232,19 +232,24 @@ def backfill_scope(rows: DataFrame, photos: DataFrame, default_project: int) ->
 MANIFEST = "version int, action string, project_id bigint, photo_id bigint, file_name string, relative_path string, file_hash string, file_size bigint"
 
 
-def read_manifest(lines: DataFrame, action: str, project_id: int) -> DataFrame:
-    """Lines (n, value) of a manifest with the fields read and ``error`` for lines that make the batch invalid; blank ones are skipped."""
-    parsed = lines.where(F.trim("value") != "").select("n", F.from_json("value", MANIFEST).alias("m")).select("n", "m.*")
-    photo, path = Window.partitionBy("photo_id"), Window.partitionBy("relative_path")
+def read_manifest(lines: DataFrame, action: str, project_id: int | None = None) -> DataFrame:
+    """Lines (n, value) of a manifest with the fields read and ``error`` for lines that make the batch invalid; blank ones are skipped.
+
+    Without ``project_id``, lines (manifest_project, n, value) of one manifest for each project, which are told apart by that column.
+    """
+    own = F.col("manifest_project") if project_id is None else F.lit(project_id)
+    parsed = lines.where(F.trim("value") != "").select(own.alias("manifest_project"), "n", F.from_json("value", MANIFEST).alias("m")).select("manifest_project", "n", "m.*")
+    photo, path = Window.partitionBy("manifest_project", "photo_id"), Window.partitionBy("manifest_project", "relative_path")
     parts = F.split("relative_path", "/")
     unsafe = F.col("relative_path").startswith("/") | F.exists(parts, lambda p: p.isin("", ".", "..")) | (F.element_at(parts, -1) != F.col("file_name"))
     bad = lambda c: F.coalesce(c, F.lit(True))
     error = (
-        F.when(bad(F.col("version") != 1), "version").when(bad(F.col("action") != action), "action").when(bad(F.col("project_id") != project_id), "project")
+        F.when(bad(F.col("version") != 1), "version").when(bad(F.col("action") != action), "action").when(bad(F.col("project_id") != F.col("manifest_project")), "project")
         .when(bad(F.col("photo_id") <= 0), "photo").when(bad(unsafe), "path").when(bad(~F.col("file_hash").rlike("^[0-9a-fA-F]{64}$")), "hash").when(F.col("file_size") < 0, "size")
         .when(F.count("*").over(photo) > 1, "duplicate photo").when(F.count("*").over(path) > 1, "duplicate path")
     )
-    return parsed.withColumn("error", error)
+    found = parsed.withColumn("error", error)
+    return found if project_id is None else found.drop("manifest_project")
 
 
 def new_manifest_lines(deleted: DataFrame, manifest: DataFrame, action: str) -> DataFrame:

@@ -196,14 +196,25 @@ SELECT id AS n, CASE WHEN photo_id <= 0 THEN 'photo' WHEN relative_path = '../x'
     "photos",
 )
 def src2_manifest_validate(photos: DataFrame) -> DataFrame:
-    own = photos.where("project_id = 2")
+    return ingest.read_manifest(_manifest_lines(photos.where("project_id = 2")), "trash", 2).select("n", "error")
+
+
+def _manifest_lines(photos: DataFrame) -> DataFrame:
     photo, name = F.when(F.col("id") % 11 == 0, -1).otherwise(F.col("id") % 5000 + 1), F.col("file_name")
     entry = F.struct(
         F.lit(1).alias("version"), F.lit("trash").alias("action"), "project_id", photo.alias("photo_id"), F.when(F.col("id") % 7 == 0, "x").otherwise(name).alias("file_name"),
         F.when(F.col("id") % 7 == 0, "../x").otherwise(F.concat(F.lit("a/"), name)).alias("relative_path"), F.when(F.col("id") % 13 == 0, "short").otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("file_hash"), "file_size",
     )
-    lines = own.select(F.col("id").alias("n"), F.when(F.col("id") % 17 == 0, " ").otherwise(F.to_json(entry)).alias("value"))
-    return ingest.read_manifest(lines, "trash", 2).select("n", "error")
+    return photos.select(F.col("project_id").alias("manifest_project"), F.col("id").alias("n"), F.when(F.col("id") % 17 == 0, " ").otherwise(F.to_json(entry)).alias("value"))
+
+
+@query(
+    """, l AS (SELECT project_id, id, CASE WHEN id % 11 = 0 THEN -1 ELSE id % 5000 + 1 END AS photo_id, CASE WHEN id % 7 = 0 THEN '../x' ELSE 'a/' || file_name END AS relative_path, CASE WHEN id % 13 = 0 THEN 'short' ELSE sha256(CAST(id AS STRING)) END AS h FROM photos WHERE id % 17 <> 0)
+SELECT project_id, id AS n, CASE WHEN photo_id <= 0 THEN 'photo' WHEN relative_path = '../x' THEN 'path' WHEN h = 'short' THEN 'hash' WHEN count(*) OVER (PARTITION BY project_id, photo_id) > 1 THEN 'duplicate photo' END AS error FROM l""",
+    "photos",
+)
+def src2_manifest_validate_whole(photos: DataFrame) -> DataFrame:
+    return ingest.read_manifest(_manifest_lines(photos), "trash").select(F.col("manifest_project").alias("project_id"), "n", "error")
 
 
 @query("SELECT DISTINCT p.project_id, p.id AS photo_id, 'trash' AS action FROM photos p JOIN jobs j ON j.photo_id = p.id WHERE NOT EXISTS (FROM analysis a WHERE a.project_id = p.project_id AND a.photo_id = p.id AND a.photo_id % 2 = 0)", "photos", "jobs", "analysis")

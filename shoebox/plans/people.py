@@ -26,6 +26,11 @@ def ppl1_centroid_prototype(assignments: DataFrame, faces: DataFrame) -> DataFra
     return people.prototypes(assignments, faces, limit=5).select("project_id", "person_id", "sample_count", _digest())
 
 
+@query(_PROTOTYPES + f" SELECT project_id, person_id, sample_count, round({_HEAD}, 5) AS element_sum FROM pr", "assignments", "face_embeddings")
+def ppl1_centroid_prototype_whole(assignments: DataFrame, faces: DataFrame) -> DataFrame:
+    return people.prototypes(assignments, faces).select("project_id", "person_id", "sample_count", _digest())
+
+
 @query(
     _PROTOTYPES.replace("quality >= 0.7", "quality >= 0.98") + ", p1 AS MATERIALIZED (SELECT * FROM pr) " + _SAMPLES.replace("{where}", "").replace("{limit}", "200").replace("s AS", "s2 AS", 1)
     + _MEAN.replace("m0", "n0").replace("m1", "n1").replace("pr AS", "p2 AS").replace("FROM s)", "FROM s2)")
@@ -153,6 +158,17 @@ def ppl14_delete_rules(persons: DataFrame, assignments: DataFrame) -> DataFrame:
     return people.deletable_people(assignments.where("id % 10 = 4"), persons)
 
 
+@query(
+    """, every AS (SELECT project_id, id FROM persons UNION ALL SELECT project_id, id + 1000 FROM persons)
+SELECT p.project_id, p.id AS person_id, NOT EXISTS (FROM assignments a WHERE a.assignment_status <> 'rejected' AND a.project_id = p.project_id AND a.person_id = p.id) AS deletable FROM every p""",
+    "persons", "assignments",
+)
+def ppl14_delete_rules_whole(persons: DataFrame, assignments: DataFrame) -> DataFrame:
+    """All assignments; each person is joined by one without any, since every person of the derived table has some."""
+    known = persons.select("project_id", "id")
+    return people.deletable_people(assignments, known.union(known.withColumn("id", F.col("id") + 1000)))
+
+
 @query(
     """SELECT project_id, id AS photo_id, CASE WHEN EXISTS (FROM jobs j WHERE status IN ('queued', 'running') AND j.project_id = p.project_id AND j.photo_id = p.id) THEN 'skipped' ELSE 'created' END AS outcome
 FROM photos p WHERE deleted_at IS NULL AND NOT EXISTS (FROM face_embeddings f WHERE f.project_id = p.project_id AND f.photo_id = p.id)""",

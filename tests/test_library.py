@@ -162,3 +162,38 @@ def test_model_answers(spark):
     assert (got[1]["object_tags"], got[1]["confidence"], got[1]["people_count"]) == (["a", "b"], 0.85, 3)
     assert got[2]["caption"] == "just words" and got[6]["caption"] == "f" and got[5]["caption"]
     assert spark.createDataFrame([("ｆ①",), (None,)], "t string").select(nfkc("t")).first()[0] == "f1"
+
+
+SMALLEST, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
+
+
+def rows_of(spark, name, folder=SMALLEST):
+    from shoebox.plans import ingest, library, people, search  # noqa: F401
+
+    return library.QUERIES[name](spark, folder).collect()
+
+
+def test_people_queries_read_all_assignments(spark):
+    from shoebox.sources.tables import load
+
+    held = {(r["project_id"], r["person_id"]) for r in load(spark, SMALLEST, "assignments").where("assignment_status <> 'rejected'").select("project_id", "person_id").distinct().collect()}
+    got = {(r["project_id"], r["person_id"]): r["deletable"] for r in rows_of(spark, "ppl14_delete_rules_whole")}
+    assert got == {key: key not in held for key in got} and set(got.values()) == {True, False}
+    counts = {(r["project_id"], r["person_id"]): r["sample_count"] for r in rows_of(spark, "ppl1_centroid_prototype_whole", LARGER)}
+    good = people.samples(load(spark, LARGER, "assignments"), load(spark, LARGER, "face_embeddings"), limit=10**9).groupBy("project_id", "person_id").count()
+    assert counts == {(r["project_id"], r["person_id"]): min(r["count"], 200) for r in good.collect()} and max(counts.values()) > 5
+
+
+def test_more_samples_than_the_limit(spark):
+    rows = [(1, i, [float(i), 1.0], 0.8, "embedded") for i in range(1, 204)]
+    assigned = [(1, 1000 + i, i, 7, "human_confirmed", True) for i in range(1, 204)]
+    row = people.prototypes(spark.createDataFrame(assigned, ASSIGNED), spark.createDataFrame(rows, FACE)).first()
+    assert (row["vector"], row["sample_count"]) == ([sum(range(4, 204)) / 200, 1.0], 200)
+
+
+def test_every_project_has_a_manifest(spark):
+    assert {r["project_id"] for r in rows_of(spark, "src2_manifest_validate_whole")} == set(range(7))
+    text = '{{"version": 1, "action": "trash", "project_id": {}, "photo_id": {}, "file_name": "x", "relative_path": "{}/x", "file_hash": "' + "a" * 64 + '", "file_size": 1}}'
+    lines = [(1, 1, text.format(1, 5, "a")), (2, 2, text.format(2, 5, "a")), (2, 3, text.format(2, 5, "b")), (2, 4, text.format(1, 6, "c")), (2, 5, " ")]
+    found = ingest.read_manifest(spark.createDataFrame(lines, "manifest_project bigint, n bigint, value string"), "trash").collect()
+    assert {r["n"]: r["error"] for r in found} == {1: None, 2: "duplicate photo", 3: "duplicate photo", 4: "project"}
