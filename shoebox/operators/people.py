@@ -101,10 +101,13 @@ def generalised_bars(protos: DataFrame, faces: DataFrame, excluded: DataFrame, a
     return pairs.where((alike >= accept) & (alike >= F.col("similarity"))).select("project_id", "face_id", F.col("person_id").alias("not_person_id")).distinct()
 
 
-def rematch_candidates(faces: DataFrame, assignments: DataFrame, limit: int = 1000) -> DataFrame:
-    """Embedded faces without a human or automatic assignment, highest ids first, at most ``limit`` for each project."""
+def rematch_candidates(faces: DataFrame, assignments: DataFrame, limit: int | None = 1000) -> DataFrame:
+    """Embedded faces without a human or automatic assignment, highest ids first, at most ``limit`` for each project; without
+    ``limit`` all of them, and no rank, which only a window over a whole project could number."""
     taken = assignments.where(is_human() | (F.col("assignment_status") == "auto_assigned")).select("project_id", "face_id").distinct()
     free = faces.where("status = 'embedded'").select("project_id", "face_id").join(taken, ["project_id", "face_id"], "left_anti")
+    if limit is None:
+        return free
     return free.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("face_id")))).where(F.col("rank") <= limit)
 
 
@@ -119,35 +122,43 @@ def apply_rematch(assignments: DataFrame, decisions: DataFrame) -> DataFrame:
     return kept.union(added)
 
 
-def cluster_unknown(faces: DataFrame, assignments: DataFrame, limit: int = 500, threshold: float = CLUSTER) -> DataFrame:
-    """(project_id, face_id, cluster): faces without an open assignment, the first ``limit`` ids of each project, each joined in
-    order to the cluster whose running mean is most similar (from ``threshold`` on; the earliest of equals), else a new one.
+def cluster_unknown(faces: DataFrame, assignments: DataFrame, limit: int | None = None, threshold: float = CLUSTER) -> DataFrame:
+    """(project_id, face_id, cluster): faces without an open assignment (with ``limit``, the first ids of each project), each joined in
+    id order to the cluster whose running mean is most similar (from ``threshold`` on; the earliest of equals), else a new one.
 
-    The result depends on the order, so a project is one group; ``limit`` is the operator's own bound of it.
+    The result depends on the order, so a project is one sorted run of a task. Faces pass in batches, and only the sums and counts of
+    clusters are kept between them, so a project may have any number of faces.
     """
     taken = assignments.where("assignment_status <> 'rejected'").select("project_id", "face_id").distinct()
-    free = faces.where("status = 'embedded'").select("project_id", "face_id", "embedding").join(taken, ["project_id", "face_id"], "left_anti")
-    first = free.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy("face_id"))).where(F.col("rank") <= limit)
-
-    def leaders(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("face_id")
-        sums: list[np.ndarray] = []
-        counts: list[int] = []
-        out = []
-        for vector in rows["embedding"]:
-            vector = np.asarray(vector, float)
-            scores = (_unit(np.array(sums) / np.array(counts)[:, None]) @ _unit(vector[None])[0]) if sums else np.zeros(0)
-            best = int(scores.argmax()) if len(scores) else -1
-            if best >= 0 and scores[best] >= threshold:
-                sums[best], counts[best] = sums[best] + vector, counts[best] + 1
-            else:
-                best = len(sums)
-                sums.append(vector)
-                counts.append(1)
-            out.append(best)
-        return pd.DataFrame({"project_id": rows["project_id"], "face_id": rows["face_id"], "cluster": out})
+    free = faces.where("status = 'embedded'").select(F.col("project_id").cast("bigint"), F.col("face_id").cast("bigint"), F.col("embedding").cast("array<double>")).join(taken, ["project_id", "face_id"], "left_anti")
+    if limit is not None:
+        free = free.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy("face_id"))).where(F.col("rank") <= limit).drop("rank")
 
-    return first.select("project_id", "face_id", "embedding").groupBy("project_id").applyInPandas(leaders, "project_id bigint, face_id bigint, cluster bigint")
+    def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, n = None, 0
+        sums = means = counts = np.zeros(0)
+        for whole in batches:
+            out = []
+            for own, vector in zip(whole.column(0).to_pylist(), whole.column(2).to_pylist(), strict=True):
+                vector = np.array(vector)
+                if own != project:
+                    project, n = own, 0
+                    sums, means, counts = np.zeros((64, len(vector))), np.zeros((64, len(vector))), np.zeros(64)
+                scores = means[:n] @ _unit(vector[None])[0]
+                best = int(scores.argmax()) if n else -1
+                if best < 0 or scores[best] < threshold:
+                    best, n = n, n + 1
+                    if n > len(sums):
+                        sums, means, counts = (np.concatenate([x, np.zeros_like(x)]) for x in (sums, means, counts))
+                    sums[best], counts[best] = 0, 0
+                sums[best] += vector
+                counts[best] += 1
+                means[best] = _unit((sums[best] / counts[best])[None])[0]
+                out.append(best)
+            yield pa.RecordBatch.from_arrays([whole.column(0), whole.column(1), pa.array(out, pa.int64())], ["project_id", "face_id", "cluster"])
+
+    run = free.select("project_id", "face_id", "embedding").repartition("project_id").sortWithinPartitions("project_id", "face_id")
+    return run.mapInArrow(leaders, "project_id bigint, face_id bigint, cluster bigint")
 
 
 def reconcile_boxes(old: DataFrame, new: DataFrame, threshold: float = SAME_BOX) -> DataFrame:

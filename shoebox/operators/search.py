@@ -90,10 +90,10 @@ def intersect(sets: list[DataFrame], active: list[DataFrame]) -> DataFrame:
     return marks.groupBy(*KEYS).agg(F.count("*").alias("n")).join(needed, ["project_id", "query_id"]).where("n = needed").select(*KEYS)
 
 
-def keyword_recall(queries: DataFrame, photos: DataFrame, analysis: DataFrame, k: int = 2000, scan: int = 10_000) -> DataFrame:
+def keyword_recall(queries: DataFrame, photos: DataFrame, analysis: DataFrame, k: int = 2000, scan: int | None = 10_000) -> DataFrame:
     """Photos with a term of a request (``<tier>_terms`` arrays) in a text or tag, scored.
 
-    Of each request's candidates, that is photos that contain an exact or expanded term anywhere, the ``scan`` newest are
+    Of each request's candidates, that is photos that contain an exact or expanded term anywhere, the ``scan`` newest (None: all) are
     scored: every term adds its tier's weight times the field's for each text field and each tag that contains it; the sum is
     divided by the number of distinct terms and the sum of field weights, cut at 1 and rounded to 4 places.
     """
@@ -109,7 +109,9 @@ def keyword_recall(queries: DataFrame, photos: DataFrame, analysis: DataFrame, k
     rows = rows.select("project_id", "photo_id", "taken_at", "created_at", *fields).join(q, "project_id")
     inside = lambda t: F.col("caption").contains(t) | F.col("ocr_text").contains(t) | F.col("file_name").contains(t) | F.concat_ws(" ", *TAG_WEIGHTS).contains(t)
     newest = (F.desc_nulls_last("taken_at"), F.desc("created_at"), F.desc("photo_id"))
-    found = ranked(rows.where(F.exists("terms", lambda x: inside(x["term"]))), scan, *newest).drop("rank")
+    found = rows.where(F.exists("terms", lambda x: inside(x["term"])))
+    if scan is not None:
+        found = ranked(found, scan, *newest).drop("rank")
     total = sum(TEXT_WEIGHTS.values()) + sum(TAG_WEIGHTS.values())
 
     def worth(x: Column) -> Column:

@@ -84,6 +84,15 @@ def ppl5_rematch_candidates(faces: DataFrame, assignments: DataFrame) -> DataFra
     return people.rematch_candidates(faces, assignments)
 
 
+@query(
+    """SELECT project_id, face_id FROM face_embeddings f WHERE status = 'embedded'
+  AND NOT EXISTS (FROM assignments a WHERE (assignment_status LIKE 'human%' OR assignment_status = 'auto_assigned') AND a.project_id = f.project_id AND a.face_id = f.face_id)""",
+    "face_embeddings", "assignments",
+)
+def ppl5_rematch_candidates_whole(faces: DataFrame, assignments: DataFrame) -> DataFrame:
+    return people.rematch_candidates(faces, assignments, None)
+
+
 @query(
     _MATCH + """ SELECT a.project_id, a.face_id, a.person_id, a.id, CASE WHEN assignment_status LIKE 'human%' OR be.person_id IS NULL THEN assignment_status WHEN be.person_id = a.person_id THEN decision ELSE 'rejected' END AS assignment_status
 FROM assignments a LEFT JOIN be ON be.project_id = a.project_id AND be.face_id = a.face_id UNION ALL
@@ -96,7 +105,7 @@ def ppl6_rematch_apply(assignments: DataFrame, faces: DataFrame) -> DataFrame:
 
 @query(None, "face_embeddings", "assignments")
 def ppl7_unknown_face_clustering(faces: DataFrame, assignments: DataFrame) -> DataFrame:
-    return people.cluster_unknown(faces, assignments.where("id % 3 = 0"))
+    return people.cluster_unknown(faces, assignments)
 
 
 @query(None, "lineitem")

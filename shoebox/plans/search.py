@@ -76,6 +76,14 @@ def sch6_keyword_recall(photos: DataFrame, analysis: DataFrame, searches: DataFr
     return search.keyword_recall(searches, photos, analysis)
 
 
+_ALL_SCORED = _KEYWORD.replace(f" QUALIFY row_number() OVER (PARTITION BY project_id, query_id ORDER BY {_NEW}) <= 10000", "")
+
+
+@query(_ALL_SCORED + " SELECT * FROM kw", "photos", "analysis", "searches")
+def sch6_keyword_recall_whole(photos: DataFrame, analysis: DataFrame, searches: DataFrame) -> DataFrame:
+    return search.keyword_recall(searches, photos, analysis, scan=None)
+
+
 _CONCEPT = f""", c1 AS (SELECT l.project_id, s.query_id, l.photo_id, list_distinct([concept_term, expanded_terms[1]]) AS cw, list_distinct(exact_terms) AS ew, list_distinct(semantic_concepts) AS co, list_distinct(object_tags || search_keywords) AS eo
   FROM l JOIN analysis a ON a.project_id = l.project_id AND a.photo_id = l.photo_id JOIN searches s ON s.project_id = l.project_id),
 c2 AS (SELECT *, round((len(list_intersect(cw, co)) / len(cw) + len(list_intersect(ew, eo)) / len(ew)) / 2, 6) AS score FROM c1),

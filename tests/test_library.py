@@ -197,3 +197,52 @@ def test_every_project_has_a_manifest(spark):
     lines = [(1, 1, text.format(1, 5, "a")), (2, 2, text.format(2, 5, "a")), (2, 3, text.format(2, 5, "b")), (2, 4, text.format(1, 6, "c")), (2, 5, " ")]
     found = ingest.read_manifest(spark.createDataFrame(lines, "manifest_project bigint, n bigint, value string"), "trash").collect()
     assert {r["n"]: r["error"] for r in found} == {1: None, 2: "duplicate photo", 3: "duplicate photo", 4: "project"}
+
+
+def one_by_one(rows, threshold=people.CLUSTER):
+    """Clusters of (face_id, vector) by the rule itself."""
+    groups, out = [], {}
+    for face, vector in sorted(rows, key=lambda r: r[0]):
+        vector = np.asarray(vector, float)
+        means = [np.mean(g, axis=0) for g in groups]
+        scores = [float(m @ vector / (np.linalg.norm(m) * np.linalg.norm(vector))) for m in means]
+        best = int(np.argmax(scores)) if scores else -1
+        if best < 0 or scores[best] < threshold:
+            best = len(groups)
+            groups.append([])
+        groups[best].append(vector)
+        out[face] = best
+    return out
+
+
+def test_every_unknown_face_has_a_cluster(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i % 2, i, rng.standard_normal(6).tolist(), 0.9, "embedded") for i in range(1400)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    got = people.cluster_unknown(spark.createDataFrame(rows, FACE), spark.createDataFrame([], ASSIGNED)).collect()
+    stored = lambda v: np.asarray(v, np.float32)
+    for project in (0, 1):
+        assert {r["face_id"]: r["cluster"] for r in got if r["project_id"] == project} == one_by_one([(f, stored(v)) for p, f, v, _, _ in rows if p == project])
+    assert len(got) == 1400
+
+
+def test_clustered_faces_are_those_without_an_open_assignment(spark):
+    from shoebox.sources.tables import load
+
+    taken = load(spark, SMALLEST, "assignments").where("assignment_status <> 'rejected'")
+    free = load(spark, SMALLEST, "face_embeddings").where("status = 'embedded'").join(taken, ["project_id", "face_id"], "left_anti")
+    assert {r["face_id"] for r in rows_of(spark, "ppl7_unknown_face_clustering")} == {r["face_id"] for r in free.select("face_id").collect()}
+
+
+def test_rematch_candidates_without_a_limit(spark):
+    faces = spark.createDataFrame([(1, i, [1.0], 0.9, "embedded") for i in range(1200)], FACE)
+    assert people.rematch_candidates(faces, spark.createDataFrame([], ASSIGNED), None).count() == 1200
+
+
+def test_old_matches_are_scored_too(spark):
+    table = photos(spark, [(i, i, "", "indexed") for i in range(1, 6)])
+    tags = ", ".join(f"{c} array<string>" for c in ("scene_tags", "object_tags", "activity_tags", "search_keywords", "quality_tags", "location_clues"))
+    texts = spark.createDataFrame([(1, i, "dog" if i > 1 else "dog cat", "", *[[]] * 6, None) for i in range(1, 6)], f"project_id bigint, photo_id bigint, caption string, ocr_text string, {tags}, created_at timestamp")
+    asked = spark.createDataFrame([(1, 9, ["dog", "cat"])], "project_id bigint, query_id bigint, exact_terms array<string>")
+    assert [r["photo_id"] for r in search.keyword_recall(asked, table, texts, k=1, scan=2).collect()] == [5]
+    assert [r["photo_id"] for r in search.keyword_recall(asked, table, texts, k=1, scan=None).collect()] == [1]
