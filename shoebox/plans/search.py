@@ -170,6 +170,33 @@ def sch12_multi_field_score(embeddings: DataFrame) -> DataFrame:
     return search.multi_field_score(_field_hits(embeddings), 30, 0.1)
 
 
+_ALL_FIELDS = """WITH v AS (SELECT floor(vec_id / 20)::BIGINT % 2 AS project_id, vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v WHERE id % 20 = 0),
+d AS (SELECT 'content' AS field, * FROM v UNION ALL SELECT 'tag', * FROM v),
+f AS (SELECT field, d.project_id, q.id AS query_id, d.id AS photo_id, round(list_cosine_similarity(q.e, d.e), 6) AS similarity, CAST(row_number() OVER (PARTITION BY field, q.id ORDER BY round(list_cosine_similarity(q.e, d.e), 6) DESC, d.id) AS INT) AS rank
+  FROM d JOIN q USING (project_id) QUALIFY rank <= 200)"""
+
+
+def _all_field_hits(embeddings: DataFrame) -> DataFrame:
+    """Every 20th id asks both fields of its project, which is a run of 20 ids in turn, so that both projects have queries."""
+    rows = embeddings.select((F.floor(F.col("vec_id") / 20) % 2).alias("project_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    content, tag = (vectors.top_k(asked, rows, 200).withColumn("field", F.lit(name)) for name in ("content", "tag"))
+    return content.union(tag).withColumnRenamed("id", "photo_id")
+
+
+@query(_ALL_FIELDS + " SELECT * FROM f")
+def sch11_vector_top_k_whole(embeddings: DataFrame) -> DataFrame:
+    return _all_field_hits(embeddings)
+
+
+@query(
+    _ALL_FIELDS + """, m AS (SELECT project_id, query_id, photo_id, round(sum(CASE field WHEN 'content' THEN 0.5 ELSE 0.25 END::DOUBLE * greatest(similarity, 0)), 8) AS score FROM f GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY project_id, query_id ORDER BY score DESC, photo_id) AS INT) AS rank FROM m WHERE score >= 0.1 QUALIFY rank <= 200"""
+)
+def sch12_multi_field_score_whole(embeddings: DataFrame) -> DataFrame:
+    return search.multi_field_score(_all_field_hits(embeddings), 200, 0.1)
+
+
 @query(
     _KEYWORD + _CONCEPT + _PEOPLE + """, u AS (SELECT 'keyword' AS source, * FROM kw UNION ALL SELECT 'concept', * FROM cl UNION ALL SELECT 'people', * FROM pl)
 SELECT project_id, query_id, photo_id, max(score) AS score, string_agg(source, ',' ORDER BY source) AS sources FROM u GROUP BY ALL""",

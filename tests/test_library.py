@@ -246,3 +246,9 @@ def test_old_matches_are_scored_too(spark):
     asked = spark.createDataFrame([(1, 9, ["dog", "cat"])], "project_id bigint, query_id bigint, exact_terms array<string>")
     assert [r["photo_id"] for r in search.keyword_recall(asked, table, texts, k=1, scan=2).collect()] == [5]
     assert [r["photo_id"] for r in search.keyword_recall(asked, table, texts, k=1, scan=None).collect()] == [1]
+
+
+def test_every_20th_vector_asks_both_fields(spark):
+    found = rows_of(spark, "sch11_vector_top_k_whole")
+    assert {r["query_id"] for r in found} == set(range(0, 500, 20)) and {r["project_id"] for r in found} == {0, 1}
+    assert {f: max(r["rank"] for r in found if r["field"] == f) for f in ("content", "tag")} == {"content": 200, "tag": 200}
