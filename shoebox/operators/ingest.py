@@ -265,15 +265,24 @@ def cancel_lines(manifest: DataFrame, claimed: DataFrame, cancelled: DataFrame)
     return marked.select(*key, F.when(F.col("cancel") & F.col("claim"), "conflict").when(F.col("cancel"), "removed").otherwise("kept").alias("outcome"))
 
 
-def concepts(analysis: DataFrame, aliases: DataFrame, related: DataFrame) -> DataFrame:
+TAGS = ("object_tags", "scene_tags", "activity_tags", "search_keywords", "location_clues")
+
+
+def concepts(analysis: DataFrame, aliases: DataFrame, related: DataFrame, tags: tuple[str, ...] = TAGS, caption: bool = True) -> DataFrame:
     """(project_id, photo_id, entities, concepts): entities whose alias (alias, entity) is contained in a tag or the caption, and the
     concepts related to them (entity, concept), with those that the number of people implies; all sorted.
 
-    Terms are made distinct before they meet the aliases, so a tag that very many photos carry is tested once.
+    Tags and the OCR text are made distinct before they meet the aliases, so a tag that very many photos carry is tested once.
+    Captions are long and seldom equal, so they are tested row by row; without ``caption`` they are left out.
     """
-    terms = analysis.select("project_id", "photo_id", F.explode(F.array_distinct(F.transform(F.concat("object_tags", "scene_tags", F.array("ocr_text")), F.lower))).alias("term"))
+    fields = [F.coalesce(c, F.array().cast("array<string>")) for c in tags]
+    terms = analysis.select("project_id", "photo_id", F.explode(F.array_distinct(F.transform(F.concat(*fields, F.array("ocr_text")), F.lower))).alias("term"))
     tested = terms.select("term").distinct().join(aliases, F.col("term").contains(F.lower("alias"))).select("term", "entity").distinct()
-    found = terms.join(tested, "term").select("project_id", "photo_id", "entity").distinct()
+    found = terms.join(tested, "term").select("project_id", "photo_id", "entity")
+    if caption:
+        texts = analysis.select("project_id", "photo_id", F.lower("caption").alias("text"))
+        found = found.union(texts.join(aliases, F.col("text").contains(F.lower("alias"))).select("project_id", "photo_id", "entity"))
+    found = found.distinct()
     entities = found.groupBy("project_id", "photo_id").agg(F.sort_array(F.collect_set("entity")).alias("entities"))
     wider = found.join(related, "entity").groupBy("project_id", "photo_id").agg(F.collect_set("concept").alias("wider"))
     n = F.col("people_count")

@@ -245,17 +245,26 @@ _ALIASES = [("the", "article"), ("th", "dental"), ("la", "article"), ("ein", "ar
 _RELATED = [("article", "grammar"), ("dental", "sound"), ("dental", "speech")]
 
 
-@query(
-    f""", t AS (SELECT project_id, photo_id, unnest(list_transform(object_tags || scene_tags || [ocr_text], lambda x: lower(x))) AS term FROM analysis), al(alias, entity) AS (VALUES {", ".join(map(str, _ALIASES))}), re(entity, concept) AS (VALUES {", ".join(map(str, _RELATED))}),
+_CONCEPTS = f""", t AS (SELECT project_id, photo_id, unnest(list_transform(object_tags || scene_tags || [ocr_text], lambda x: lower(x))) AS term FROM analysis), al(alias, entity) AS (VALUES {", ".join(map(str, _ALIASES))}), re(entity, concept) AS (VALUES {", ".join(map(str, _RELATED))}),
 f AS (SELECT DISTINCT project_id, photo_id, entity FROM t JOIN al ON contains(term, alias)), e AS (SELECT project_id, photo_id, string_agg(entity, '|' ORDER BY entity) AS entities FROM f GROUP BY ALL),
 c0 AS (SELECT project_id, photo_id, concept FROM f JOIN re USING (entity) UNION SELECT project_id, photo_id, c FROM analysis JOIN (VALUES (1, 99, 'people'), (1, 1, 'portrait'), (2, 99, 'group photo'), (3, 99, 'gathering')) v(a, b, c) ON people_count BETWEEN a AND b),
 c AS (SELECT project_id, photo_id, string_agg(concept, '|' ORDER BY concept) AS concepts FROM c0 GROUP BY ALL)
-SELECT a.project_id, a.photo_id, coalesce(entities, '') AS entities, coalesce(concepts, '') AS concepts FROM analysis a LEFT JOIN e ON e.project_id = a.project_id AND e.photo_id = a.photo_id LEFT JOIN c ON c.project_id = a.project_id AND c.photo_id = a.photo_id""",
-    "analysis",
-)
+SELECT a.project_id, a.photo_id, coalesce(entities, '') AS entities, coalesce(concepts, '') AS concepts FROM analysis a LEFT JOIN e ON e.project_id = a.project_id AND e.photo_id = a.photo_id LEFT JOIN c ON c.project_id = a.project_id AND c.photo_id = a.photo_id"""
+
+
+@query(_CONCEPTS, "analysis")
 def ing15_concept_normalise(analysis: DataFrame) -> DataFrame:
+    return _concepts(analysis, tags=("object_tags", "scene_tags"), caption=False)
+
+
+@query(_CONCEPTS.replace("object_tags || scene_tags || [ocr_text]", "object_tags || scene_tags || activity_tags || search_keywords || location_clues || [ocr_text, caption]"), "analysis")
+def ing15_concept_normalise_whole(analysis: DataFrame) -> DataFrame:
+    return _concepts(analysis)
+
+
+def _concepts(analysis: DataFrame, **fields) -> DataFrame:
     table = lambda rows, *names: analysis.sparkSession.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(r, names, strict=True))) for r in rows))))
-    found = ingest.concepts(analysis, table(_ALIASES, "alias", "entity"), table(_RELATED, "entity", "concept"))
+    found = ingest.concepts(analysis, table(_ALIASES, "alias", "entity"), table(_RELATED, "entity", "concept"), **fields)
     return found.select("project_id", "photo_id", F.array_join("entities", "|").alias("entities"), F.array_join("concepts", "|").alias("concepts"))
 
 

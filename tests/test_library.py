@@ -252,3 +252,11 @@ def test_every_20th_vector_asks_both_fields(spark):
     found = rows_of(spark, "sch11_vector_top_k_whole")
     assert {r["query_id"] for r in found} == set(range(0, 500, 20)) and {r["project_id"] for r in found} == {0, 1}
     assert {f: max(r["rank"] for r in found if r["field"] == f) for f in ("content", "tag")} == {"content": 200, "tag": 200}
+
+
+def test_aliases_are_found_in_captions(spark):
+    texts = spark.createDataFrame([(1, 1, "a long way to the Tiger", "", [], [], [], [], [], 0), (1, 2, "none", "", [], [], ["Tiger walk"], [], [], 0), (1, 3, None, None, None, [], [], [], [], 1)], "project_id bigint, photo_id bigint, caption string, ocr_text string, object_tags array<string>, scene_tags array<string>, activity_tags array<string>, search_keywords array<string>, location_clues array<string>, people_count int")
+    aliases = spark.createDataFrame([("tiger", "cat")], "alias string, entity string")
+    related = spark.createDataFrame([("cat", "animal")], "entity string, concept string")
+    found = {r["photo_id"]: (r["entities"], r["concepts"]) for r in ingest.concepts(texts, aliases, related).collect()}
+    assert found == {1: (["cat"], ["animal"]), 2: (["cat"], ["animal"]), 3: ([], ["people", "portrait"])}
