@@ -223,7 +223,7 @@ def apply_feedback(assignments: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def feedback_constraints(events: DataFrame) -> DataFrame:
-    """(project_id, face_id, not_person_id) after events: of excluded pairs, and of persons who lost a face to a confirmed one."""
+    """(project_id, face_id, not_person_id) after events: of excluded pairs only."""
     key = ["project_id", "face_id", "person_id"]
     last = events.groupBy(*key).agg(F.max_by("action", "seq").alias("action"))
     return last.where("action = 'exclude'").select("project_id", "face_id", F.col("person_id").alias("not_person_id"))
