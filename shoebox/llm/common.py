@@ -15,6 +15,11 @@ from pyspark.sql import types as T
 #: Spark's setting that removes shuffle files when an execution ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes of packed rows that one group of a Python function gets, about.
+BIN_BYTES = 32 << 20
+#: A key is hot if more than one in so many of the counted rows has it.
+HOT_SHARE = 1000
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
@@ -51,9 +56,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions_for(spark: SparkSession, times: int = 4) -> int:
-    """Number of hash bins for packed rows: some for each shuffle partition, so that bins stay small and even."""
-    return times * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bins_for(spark: SparkSession, n_bytes: int, times: int = 4) -> int:
+    """Number of hash bins for packed rows of about ``n_bytes`` together: at most ``BIN_BYTES`` each, and some for each shuffle
+    partition, so that bins stay small and even at every size."""
+    return max(times * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BIN_BYTES))
+
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """UTF-8 bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0
+
+
+def join_back(left: DataFrame, right: DataFrame, key: str, rows: str = "n", total: int | None = None) -> DataFrame:
+    """``left`` with the columns of ``right`` by the equal column ``key``, a left join in which no key makes a task large.
+
+    ``key`` is unique and not null in ``right``; its column ``rows`` tells how many rows of ``left`` have the key and is dropped.
+    Rows of ``left`` with a null key are not shuffled. Nor are those with a key that more than a ``HOT_SHARE``-th of the counted rows
+    have: there are fewer than ``HOT_SHARE`` such keys whatever the size of the tables, so these rows of ``right`` are broadcast.
+    ``total`` is the sum of ``rows`` or more, if it is known; else ``right`` is written and summed.
+    """
+    if total is None:
+        right = materialize(right, "right")
+        total = right.agg(F.sum(rows)).first()[0] or 0
+    is_hot = F.col(rows) * HOT_SHARE > total
+    hot = F.broadcast(right.where(is_hot).drop(rows).withColumn("is_hot", F.lit(True)))
+    near = left.join(hot, key, "left").where(F.col(key).isNull() | F.col("is_hot")).drop("is_hot")
+    far = left.where(F.col(key).isNotNull()).join(F.broadcast(right.where(is_hot).select(key)), key, "left_anti")
+    return near.unionByName(far.join(right.where(~is_hot).drop(rows), key, "left"))
+
+
+def ordered_ids(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(``by``…, row_id): a bigint for each distinct tuple of ``by``, in their order, from a range sort; written, so that it stays."""
+    spark = rows.sparkSession
+    distinct = rows.select(*by).distinct()
+    dealt = distinct.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
+    return materialize(dealt.withColumn("row_id", F.monotonically_increasing_id()), "ids")
 
 
 def packed(bins: np.ndarray, n_bins: int, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:

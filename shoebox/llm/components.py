@@ -9,19 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import materialize
+from shoebox.llm.common import join_back, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (u, v: integers); the component is its smallest node.
 
-    Loops, repeated and reversed edges and null ends do not matter; nodes only met in them are not returned.
+    Loops, repeated and reversed edges and null ends do not matter; nodes only met in them are not returned. The edges of a node with
+    very many neighbours meet its minimum by a broadcast of the few such nodes (``join_back``).
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     pairs = materialize(pairs.distinct(), "edges")
-    before = None
-    while (now := _mark(pairs)) != before:
-        pairs, before = materialize(_small_star(_large_star(pairs)).distinct(), "edges"), now
+    now, before = _mark(pairs), None
+    while now != before:
+        larger = materialize(_large_star(pairs, 2 * now[0]), "edges")
+        pairs = materialize(_small_star(larger, now[0]).distinct(), "edges")
+        now, before = _mark(pairs), now
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select("v", "v").distinct())
 
 
@@ -29,13 +32,15 @@ def _mark(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
+def _large_star(pairs: DataFrame, total: int) -> DataFrame:
+    """Larger neighbours of every node, joined to its smallest one (or itself)."""
     both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return pairs.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0")
+    return join_back(pairs.select(F.col("v").alias("u"), F.col("u").alias("w")), least, "u", total=total).select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(pairs: DataFrame) -> DataFrame:
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    moved = pairs.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least)
+def _small_star(pairs: DataFrame, total: int) -> DataFrame:
+    """Smaller neighbours of every node, and itself, joined to the smallest of them."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_back(pairs, least, "u", total=total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", "m"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import carried, materialize, packed, partitions_for, unpacked, with_row
+from shoebox.llm.common import bins_for, carried, join_back, materialize, packed, unpacked, with_row
 from shoebox.llm.components import components
 from shoebox.llm.textkit import NOT_SPACE, Words, chunks, flat, shingle_sets, splitmix
 
@@ -99,9 +99,20 @@ def _sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return shingle_sets(Words(raw, offsets, NOT_SPACE), k, len(offsets) - 1)
 
 
-def _node(hashes: np.ndarray) -> int:
-    """Identity of a set: 64 bits of its digest."""
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+def _digest(hashes: np.ndarray) -> tuple[int, int]:
+    """Two halves of a set's 128-bit digest."""
+    high, low = divmod(xxhash.xxh3_128_intdigest(hashes.tobytes()), 1 << 64)
+    return low - (1 << 63), high - (1 << 63)
+
+
+#: Nodes of sets whose first half of the digest is also another set's.
+Renamed = dict[tuple[int, int], int]
+
+
+def _node(hashes: np.ndarray, renamed: Renamed) -> int:
+    """Identity of a set: the first half of its digest, or another number if sets with another second half have that too."""
+    digest = _digest(hashes)
+    return renamed.get(digest, digest[0])
 
 
 def bit_sketch(hashes: np.ndarray) -> np.ndarray:
@@ -121,7 +132,7 @@ def _folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def node_table(docs: DataFrame, k: int) -> DataFrame:
-    """(id, node, n, bits) of every text with words, from (id, text): its set's identity, size and bit sketch."""
+    """(id, node, half, n, bits) of every text with words, from (id, text): its set's digest in halves, size and bit sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -130,19 +141,33 @@ def node_table(docs: DataFrame, k: int) -> DataFrame:
                 hashes, edges = _sets(part, local, k)
                 full = np.flatnonzero(np.diff(edges))
                 sets = [hashes[edges[i] : edges[i + 1]] for i in full]
-                columns = [pa.array([_node(x) for x in sets], pa.int64()), pa.array(np.diff(edges)[full]), pa.array([bit_sketch(x).tobytes() for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([whole.column(0).take(pa.array(full + lo)), *columns], ["id", "node", "n", "bits"])
+                halves = [_digest(x) for x in sets]
+                columns = [pa.array([h[0] for h in halves], pa.int64()), pa.array([h[1] for h in halves], pa.int64()), pa.array(np.diff(edges)[full]), pa.array([bit_sketch(x).tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([whole.column(0).take(pa.array(full + lo)), *columns], ["id", "node", "half", "n", "bits"])
 
-    return docs.mapInArrow(run, "id bigint, node bigint, n bigint, bits binary")
+    return docs.mapInArrow(run, "id bigint, node bigint, half bigint, n bigint, bits binary")
+
+
+def rename_clashes(nodes: DataFrame) -> tuple[DataFrame, Renamed]:
+    """``nodes`` without half, different sets having different nodes, and the new numbers by digest.
+
+    N sets are expected to have N**2 / 2**65 clashes of the first half: 11 for 2 * 10**10 sets. These few reach the driver.
+    """
+    clashing = nodes.groupBy("node").agg(F.min("half").alias("least"), F.max("half").alias("most")).where("least <> most").select("node", "least")
+    others = nodes.join(clashing, "node").where("half <> least").select("node", "half").distinct()
+    renamed = {(r["node"], r["half"]): r["new"] for r in others.withColumn("new", F.xxhash64("node", "half")).collect()}
+    node = F.col("node")
+    for (first, second), new in renamed.items():
+        node = F.when((F.col("node") == first) & (F.col("half") == second), F.lit(new)).otherwise(node)
+    return nodes.select("id", node.alias("node"), "n", "bits"), renamed
 
 
-def candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def candidates(docs: DataFrame, k: int, percent: int, renamed: Renamed, bins: int) -> DataFrame:
     """Distinct (u, v, hot) of nodes that share a sketch part, from (id, text).
 
     hot = false: a candidate pair. hot = true: u and v belong to one hot family. A batch sends a part's nodes once; if it has
     more than ``PAIRED`` of them it joins them itself and sends one, so a part that very many texts share stays small.
     """
-    bins = partitions_for(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -150,7 +175,7 @@ def candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
             found = []
             for _, _, part, local in chunks(raw, offsets):
                 hashes, edges = _sets(part, local, k)
-                nodes = np.array([_node(hashes[a:b]) if b > a else 0 for a, b in zip(edges[:-1], edges[1:], strict=True)], np.int64)
+                nodes = np.array([_node(hashes[a:b], renamed) if b > a else 0 for a, b in zip(edges[:-1], edges[1:], strict=True)], np.int64)
                 found += [(nodes[row], key) for row, key in part_keys(hashes, edges, percent)]
             if not found:
                 continue
@@ -209,13 +234,12 @@ def _groups(key: np.ndarray, node: np.ndarray, *more: np.ndarray) -> tuple[np.nd
     return key, node, starts, np.diff(np.append(starts, len(key))), *more
 
 
-def _in_blocks(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+def _in_blocks(rows: DataFrame, sizes: DataFrame, block: int, bins: int) -> DataFrame:
     """Rows (family, node, …) dealt to tasks so that every two of a family meet: columns small, group, b1, b2 name the task and own
     the row's block. Families of at most ``block`` rows share tasks."""
     large = sizes.select("family", F.ceil(F.col("n_nodes") / block).cast("int").alias("blocks")).where("blocks > 1")
     spread = rows.join(large, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     spread = spread.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    bins = partitions_for(rows.sparkSession)
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.col("family"))
     return spread.select(*rows.columns, "own", (F.col("blocks") == 1).alias("small"), group.alias("group"), F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
 
@@ -223,7 +247,7 @@ def _in_blocks(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
 _TASK = ("small", "group", "b1", "b2")
 
 
-def close_pairs(found: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def close_pairs(found: DataFrame, sketches: DataFrame, percent: int, bins: int) -> DataFrame:
     """(u, v) of nodes whose bit sketches (node, n, bits) do not rule out a link; of a hot family only a spanning forest."""
     sides = [sketches.toDF(*(f"{s}_{c}" for c in ("node", "n", "bits"))) for s in "uv"]
     pairs = found.where("NOT hot").join(sides[0], F.col("u") == F.col("u_node")).join(sides[1], F.col("v") == F.col("v_node"))
@@ -245,7 +269,7 @@ def close_pairs(found: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     hot = components(found.where("hot").select("u", "v")).select("node", F.col("component").alias("family"))
     members = hot.join(sketches, "node").withColumn("size", F.explode(_size_classes(F.col("n"), percent)))
     members = members.select(F.xxhash64("family", "size").alias("family"), "node", "n", "bits")
-    dealt = _in_blocks(members, members.groupBy("family").agg(F.count("*").alias("n_nodes")), SKETCH_BLOCK)
+    dealt = _in_blocks(members, members.groupBy("family").agg(F.count("*").alias("n_nodes")), SKETCH_BLOCK, bins)
     return pairs.mapInArrow(test, "u bigint, v bigint").union(dealt.groupBy(*_TASK).applyInArrow(compare, "u bigint, v bigint"))
 
 
@@ -301,9 +325,9 @@ def _forest(rows: pa.Table, side: np.ndarray | None, percent: int) -> list[tuple
     return edges
 
 
-def similar_pairs(docs: DataFrame, nodes: DataFrame, families: DataFrame, k: int, percent: int) -> DataFrame:
+def similar_pairs(docs: DataFrame, nodes: DataFrame, families: DataFrame, k: int, percent: int, renamed: Renamed, bins: int) -> DataFrame:
     """(u, v): verified links that connect, within every family (node, component), all nodes that are linked through similar sets."""
-    shown = nodes.join(families.withColumnRenamed("component", "family"), "node").groupBy("node", "family").agg(F.min("id").alias("id"))
+    shown = nodes.groupBy("node").agg(F.min("id").alias("id")).join(families.withColumnRenamed("component", "family"), "node")
     # Texts are shuffled at every size: a broadcast of the families would stop working somewhere between two inputs.
     members = docs.hint("merge").join(shown, "id").select("id", "family", "node", "text")
 
@@ -314,7 +338,7 @@ def similar_pairs(docs: DataFrame, nodes: DataFrame, families: DataFrame, k: int
             for lo, hi, part, local in chunks(raw, offsets):
                 hashes, edges = _sets(part, local, k)
                 sets = [hashes[edges[i] : edges[i + 1]] for i in range(hi - lo)]
-                own = np.array([i for i, x in enumerate(sets) if len(x) and _node(x) == node[lo + i]], np.int64)
+                own = np.array([i for i, x in enumerate(sets) if len(x) and _node(x, renamed) == node[lo + i]], np.int64)
                 yield pa.RecordBatch.from_arrays([whole.column(1).take(pa.array(own + lo)), whole.column(2).take(pa.array(own + lo)), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["family", "node", "tokens"])
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -322,7 +346,7 @@ def similar_pairs(docs: DataFrame, nodes: DataFrame, families: DataFrame, k: int
 
     sets = members.mapInArrow(expand, "family bigint, node bigint, tokens binary")
     sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("n_nodes"))
-    return _in_blocks(sets, sizes, BLOCK).groupBy(*_TASK).applyInArrow(compare, "u bigint, v bigint")
+    return _in_blocks(sets, sizes, BLOCK, bins).groupBy(*_TASK).applyInArrow(compare, "u bigint, v bigint")
 
 
 def _linked(sets: list[np.ndarray], ids: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -369,10 +393,12 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *carried(docs, carry))
     known = source.where("id IS NOT NULL").select("id", "text")
-    nodes = materialize(node_table(known, shingle), "nodes")
-    found = materialize(candidates(known, shingle, percent), "candidates")
-    families = components(close_pairs(found, nodes.select("node", "n", "bits").dropDuplicates(["node"]), percent))
-    linked = components(_with_shared_ids(similar_pairs(known, nodes, families, shingle, percent), nodes))
+    nodes, renamed = rename_clashes(materialize(node_table(known, shingle), "nodes"))
+    # A shingle takes 8 bytes of a set, and about as many of its keys.
+    bins = bins_for(docs.sparkSession, 16 * (nodes.agg(F.sum("n")).first()[0] or 0))
+    found = materialize(candidates(known, shingle, percent, renamed, bins), "candidates")
+    families = components(close_pairs(found, nodes.select("node", "n", "bits").dropDuplicates(["node"]), percent, bins))
+    linked = components(_with_shared_ids(similar_pairs(known, nodes, families, shingle, percent, renamed, bins), nodes))
     labels = materialize(_labels(nodes, linked), "labels")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,6 +422,7 @@ def _with_shared_ids(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _labels(nodes: DataFrame, linked: DataFrame) -> DataFrame:
     """(l_id, label): the smallest id of the component of every id that is not the smallest itself."""
-    placed = nodes.select("id", "node").join(linked, "node", "left").select("id", F.coalesce("component", "node").alias("c"))
-    least = placed.groupBy("c").agg(F.min("id").alias("label"), F.max("id").alias("most")).where("label <> most")
-    return placed.join(least, "c").where("id <> label").select(F.col("id").alias("l_id"), "label").distinct()
+    copies = nodes.groupBy("node").agg(F.count("*").alias("n"))
+    placed = join_back(nodes.select("id", "node"), linked.join(copies, "node"), "node").select("id", F.coalesce("component", "node").alias("c"))
+    least = placed.groupBy("c").agg(F.min("id").alias("label"), F.max("id").alias("most"), F.count("*").alias("n")).where("label <> most")
+    return join_back(placed, least, "c").where("id <> label").select(F.col("id").alias("l_id"), "label").distinct()

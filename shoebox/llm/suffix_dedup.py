@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import carried, materialize, packed, partitions_for, unpacked, with_row
+from shoebox.llm.common import bins_for, carried, materialize, ordered_ids, packed, text_bytes, unpacked, with_row
 from shoebox.llm.textkit import chunks, flat, prefix_hash, span_hash, splitmix, window_reduce
 
 LENGTH = 100
@@ -115,7 +115,7 @@ def _read(rows: pa.Table, *columns: tuple[str, type]) -> list[np.ndarray]:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, starts, ends): disjoint sorted byte spans of (id, text), ids distinct, that repeats of ``length`` bytes cover."""
-    bins = partitions_for(docs.sparkSession, 8)
+    bins = bins_for(docs.sparkSession, 2 * text_bytes(docs), 8)
     reach = length // 2
     anchor_schema = f"{_SPANS}, rank binary, context binary, c_doc binary, c_at binary, c_low binary, c_high binary"
     by_doc_schema = f"{_SPANS}, {_MARKS}"
@@ -223,14 +223,18 @@ def _flat_list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
 
 
-def _distinct_ids(docs: DataFrame) -> DataFrame:
-    """``docs`` and row_id: an id for each distinct (id, text), in the same order; a table of unique ids keeps its own."""
-    repeated = docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    most = repeated.agg(F.max("n")).first()[0]
-    if most is None:
-        return docs.select(F.col("id").alias("row_id"), "*")
-    place = F.dense_rank().over(Window.partitionBy("id").orderBy(F.sha2(F.coalesce("text", F.lit("")), 256))) - 1
-    return docs.select((F.col("id") * F.lit(most) + place).alias("row_id"), "*")
+def _known(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``docs`` with row_id, distinct (id, text) of them): ids in the order of id, then digest of the text.
+
+    A table of unique integer ids keeps its own; else pairs of id and digest are numbered, and copies of a row have one number.
+    """
+    whole = docs.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    if whole and docs.groupBy("id").count().where("count > 1").isEmpty():
+        known = docs.select(F.col("id").cast("bigint").alias("row_id"), "*")
+        return known, known.select(F.col("row_id").alias("id"), "text")
+    keyed = docs.withColumn("digest", F.sha2("text", 256))
+    known = keyed.join(ordered_ids(keyed, ["id", "digest"]), ["id", "digest"])
+    return known, known.dropDuplicates(["row_id"]).select(F.col("row_id").alias("id"), "text")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: bool = False) -> DataFrame:
@@ -242,11 +246,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole characters among them. Rows with the same
     id and text are one document; of different texts with the same id, that with the smaller SHA-256 is the earlier one. A
     row with a null id is left whole and is nobody's source. An empty table gives an empty result. With ``carry`` the
-    input row follows as the struct ``row``; else other columns are not carried. Ids are integers.
+    input row follows as the struct ``row``; else other columns are not carried. Ids have any type with an order.
     """
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried(docs, carry))
-    known = _distinct_ids(source.where("id IS NOT NULL"))
-    distinct = known.select(F.col("row_id").alias("id"), "text")
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried(docs, carry))
+    known, distinct = _known(source.where("id IS NOT NULL"))
     more = ["row"] * carry
     spans = repeated_spans(distinct, length).withColumnRenamed("id", "span_id")
     rows = known.join(spans, known["row_id"] == spans["span_id"], "left").select("id", "text", "starts", "ends", *more)
@@ -276,5 +279,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 columns = [whole.column(0).slice(lo, hi - lo), pa.array(np.diff(local)), pa.array(found, spans_type), pa.array(kept, pa.binary()), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, *(whole.column(4).slice(lo, hi - lo) for _ in more)], ["id", "n_bytes", "spans", "kept", "kept_text", *more])
 
-    schema = with_row("id bigint, n_bytes bigint, spans array<struct<a:bigint,b:bigint>>, kept binary, kept_text string", rows)
+    schema = with_row(f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, spans array<struct<a:bigint,b:bigint>>, kept binary, kept_text string", rows)
     return rows.mapInArrow(cut, schema).withColumnRenamed("id", id_col)

@@ -12,11 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 CHUNK_BYTES = 1 << 20
 #: Rows of a step at most, so that a row's place fits 16 bits and sorts by radix.
 CHUNK_ROWS = 1 << 15
+#: Words of more bytes are hashed by XXH3: long runs of a polynomial modulo 2**64 have constructible collisions.
+LONG_WORD = 256
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -114,7 +117,10 @@ class Words:
         self.start, self.end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.row = np.searchsorted(offsets, self.start, "right") - 1
         self.first = np.searchsorted(self.start, offsets)
-        self.hash = span_hash(*prefix_hash(_LOWER[raw]), self.start, self.end)
+        lower = _LOWER[raw]
+        self.hash = span_hash(*prefix_hash(lower), self.start, self.end)
+        for i in np.flatnonzero(self.end - self.start > LONG_WORD):
+            self.hash[i] = xxhash.xxh3_64_intdigest(lower[self.start[i] : self.end[i]].tobytes())
 
     def ngrams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of every run of ``k`` words inside one row."""

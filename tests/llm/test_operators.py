@@ -344,12 +344,19 @@ def test_repeats_match_brute_force(spark, length):
 
 
 def test_repeats_of_repeated_ids(spark):
-    a, b = "abcdefghij" * 3 + "0123456789klmnop", "zyxwvutsrqponmlkjihgfedcba9876543210"
-    rows = [(1, a, None), (1, a, None), (1, b, None), (2, b + "!", None), (None, a, None)]
-    got = [(r["doc_id"], bytes(r["kept"]).decode()) for r in suffix_dedup.remove_repeats(documents(spark, rows), length=20).collect()]
-    assert got.count((None, a)) == 1 and got.count((1, b)) == 1
-    assert len([x for x in got if x[0] == 1]) == 3 and len({x for x in got if x[0] == 1}) == 2
-    assert (2, "!") in got or (2, "") in got
+    rng = random.Random(8)
+    far = 2**62 + 5
+    a, b, c, long = (sentence(rng, n, 50000) for n in (60, 60, 60, 180_000))
+    rows = [(1, a), (1, a), (1, b), (2, b + "!"), (far, c), (far, c + a), (far, c), (far + 1, "x" + c), (9, long), (10, long[700_000:] + "end"), (None, a), (None, a), (3, None), (3, None), (3, "")]
+    assert len(long) > 1_000_000
+    got = suffix_dedup.remove_repeats(documents(spark, [(i, t, None) for i, t in rows]).repartition(3), length=20).collect()
+    order = sorted({(i, t or "") for i, t in rows if i is not None}, key=lambda r: (r[0], hashlib.sha256(r[1].encode()).hexdigest()))
+    drops = brute_repeats([(r, r) for r in order], 20)
+    kept = [(i, bytes(np.frombuffer((t or "").encode(), np.uint8)[~drops[i, t or ""]]) if i is not None else t.encode()) for i, t in rows]
+    assert sorted(((r["doc_id"], bytes(r["kept"])) for r in got), key=repr) == sorted(kept, key=repr)
+    assert [k for i, k in kept if i == 1].count(a.encode()) == 2 and max(len(k) for _, k in kept) > 1_000_000
+    words = spark.createDataFrame([("a", a), ("b", a + " b"), ("a", a)], "doc_id string, text string")
+    assert sorted(len(r["kept"]) for r in suffix_dedup.remove_repeats(words, length=20).collect()) == [2, len(a), len(a)]
     assert suffix_dedup.remove_repeats(documents(spark, [])).count() == 0
 
 
