@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.llm.common import carried, with_row
@@ -23,15 +23,12 @@ from shoebox.llm.textkit import byte_table, chunks, flat
 #: Labelled documents that each language's distribution is fitted on, at most (a hash of the id chooses them).
 SAMPLE_DOCS = 2000
 #: Labels that a model may have; more is taken for a wrong column.
-MAX_LANGUAGES = 512
+MAX_LANGUAGES = 256
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 
-_LETTER = byte_table(lambda b: b >= 0x80 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
-_FOLD = np.zeros(256, np.uint64)
-_FOLD[_LETTER] = np.arange(256)[_LETTER]
-_FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
+_LETTER = byte_table(lambda b: b != 0x20)
 
 
 @dataclass(frozen=True)
@@ -43,11 +40,15 @@ class LanguageModel:
     noise: float
 
 
+def spelled(text: Column) -> Column:
+    """The words of a text: runs of letters and their marks, lower-cased, with a space between; nothing if it has no letter."""
+    return F.when(text.rlike(r"\p{L}"), F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "))
+
+
 def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of each letter's trigram, first trigram of each word, row of each word).
 
-    Words are runs of letters (ASCII letters and all bytes of non-ASCII characters), lower-cased; the trigram of a letter
-    is it with the two before, with spaces in front of the word.
+    Texts are ``spelled``; the trigram of a byte of a word is it with the two before, with spaces in front of the word.
     """
     letter = _LETTER[raw]
     edge = np.zeros(len(raw) + 1, bool)
@@ -55,7 +56,7 @@ def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     at = np.flatnonzero(letter)
     begins = letter.copy()
     begins[1:] &= ~letter[:-1] | edge[1:-1]
-    value = _FOLD[raw]
+    value = raw.astype(np.uint64)
     first = begins[at]
     second = np.zeros(len(at), bool)
     second[1:] = first[:-1] & ~first[1:]
@@ -68,21 +69,24 @@ def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return bucket, starts, np.searchsorted(offsets, at[starts], "right") - 1
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
+def fit(
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, max_languages: int = MAX_LANGUAGES
+) -> LanguageModel:
     """Model of the languages in ``lang_col``; rows with a null label or text, and labels without letters, teach nothing.
 
     ``sample_docs`` bounds the rows of each language: a hash of the id keeps about so many of them, or all if there are
-    fewer. The counts that reach the driver are BUCKETS per language at most.
+    fewer. The counts that reach the driver are BUCKETS per language at most, of ``max_languages`` languages at most; more
+    labels are an error.
     """
     labelled = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels in {lang_col}")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} labels in {lang_col}")
     steps = 1 << 30
     share = F.lit(0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(steps, int(steps * sample_docs / n)))).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(steps)) < share).select("lang", "text")
+    sample = labelled.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(steps)) < share).select("lang", spelled(F.col("text")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -126,9 +130,9 @@ def mixtures(model: LanguageModel, raw: np.ndarray, offsets: np.ndarray) -> np.n
     bucket, starts, row = trigrams(raw, offsets)
     if not len(starts) or not k:
         return out
-    score = np.add.reduceat(model.log_prob[bucket], starts, axis=0)
+    score = np.add.reduceat(model.log_prob[bucket], starts, axis=0, dtype=np.float64)
     length = np.diff(np.append(starts, len(bucket)))
-    score = np.concatenate([score, (length * model.noise)[:, None].astype(np.float32)], axis=1)
+    score = np.concatenate([score, (length * model.noise)[:, None]], axis=1)
     likelihood = np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -60.0))
     docs, bounds = np.unique(row, return_index=True)
     local = np.repeat(np.arange(len(docs)), np.diff(np.append(bounds, len(row))))
@@ -164,7 +168,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     the input row follows as the struct ``row``; else other columns are not carried. Only the text is read for a prediction.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried(docs, carry))
+    source = docs.select(F.col(id_col).alias("id"), spelled(F.col(text_col)).alias("text"), *carried(docs, carry))
     names = ["id", "lang_pred", "score", "noise", "languages", "shares", *["row"] * carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

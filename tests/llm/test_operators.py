@@ -1,6 +1,7 @@
 """Edge cases, defined results and brute-force comparisons of the training-data operators."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -51,6 +52,62 @@ def test_language_mixtures(spark):
     assert carried.select("row.*").columns == docs.columns and carried.count() == 10
 
 
+def test_language_letters_are_unicode(spark):
+    model = language_id.fit(train(spark))
+    none = ["12 \u2014 34", "\u2026", "\u3002", "\u0661\u0662\u0663", "\u20ac 5", "\U0001f600", "\u00a0", "\u0301", None, ""]
+    docs = documents(spark, [(i, t, None) for i, t in enumerate(none)] + [(100, "SCH\u00d6N W\u00c4RE", None), (101, "sch\u00f6n w\u00e4re", None), (102, "the\u2014thing, other\u2026the" * 60_000, None)])
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in range(len(none)))
+    assert got[100]["lang_pred"] == "de" and got[100]["shares"] == got[101]["shares"] and got[102]["lang_pred"] == "en"
+
+
+def plain_mixture(model, text):
+    """One document at a time, word by word: proportions after 10 rounds, then languages dropped while BIC allows."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    k = len(model.languages)
+    rows = []
+    for word in words:
+        data = b"\0\0" + word.encode()
+        score = [0.0] * k + [model.noise * (len(data) - 2)]
+        for i in range(2, len(data)):
+            bucket = (((data[i] | data[i - 1] << 8 | data[i - 2] << 16) * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> 48
+            for j in range(k):
+                score[j] += float(model.log_prob[bucket, j])
+        top = max(score)
+        rows.append([math.exp(max(x - top, -60)) for x in score])
+
+    def em(share, rounds):
+        for _ in range(rounds):
+            sums = [0.0] * (k + 1)
+            for r in rows:
+                joint = [a * b for a, b in zip(r, share, strict=True)]
+                for j in range(k + 1):
+                    sums[j] += joint[j] / sum(joint)
+            share = [x / len(rows) for x in sums]
+        return share, sum(math.log(sum(a * b for a, b in zip(r, share, strict=True))) for r in rows)
+
+    share, now = em([1 / (k + 1)] * (k + 1), 10)
+    while len(alive := [j for j in range(k) if share[j] > 0]) > 1:
+        weakest = min(alive, key=lambda j: share[j])
+        trial = [0.0 if j == weakest else x for j, x in enumerate(share)]
+        tried, then = em([x / sum(trial) for x in trial], 3)
+        if then + 0.5 * math.log(len(rows) + 1) < now:
+            break
+        share, now = tried, then
+    return share
+
+
+def test_language_mixtures_equal_plain_em(spark):
+    model = language_id.fit(train(spark))
+    rng = random.Random(12)
+    vocabulary = ["the", "and", "thing", "der", "nicht", "sch\u00f6n", "w\u00e4re", "zeit", "qxq", "zzk"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    for r in language_id.identify(documents(spark, [(i, t, None) for i, t in enumerate(texts)]), model).collect():
+        share = plain_mixture(model, texts[r["doc_id"]])
+        found = dict(zip(r["languages"], r["shares"], strict=True))
+        assert all(abs(found.get(g, 0) - share[j]) < 1e-6 for j, g in enumerate(model.languages)) and abs(r["noise"] - share[-1]) < 1e-6
+
+
 def test_language_empty(spark):
     none = documents(spark, [])
     model = language_id.fit(none)
