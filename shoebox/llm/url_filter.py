@@ -1,7 +1,8 @@
 """URL filtering by host-suffix and path-prefix rules, with DataFrame functions only.
 
-A url is expanded into the host-suffix + path-prefix expressions that any rule could equal, the expressions meet the
-rules in an equi-join on a short hash prefix, the full digests are compared, and the longest rule wins.
+A url is expanded into the host-suffix + path-prefix expressions that any rule could equal. The expressions meet the distinct
+hash prefixes of the rules, 8 bytes a rule, in an equi-join; what is left meets the rules by full digest, host and path are
+compared, and the longest rule wins.
 """
 
 from __future__ import annotations
@@ -9,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import lower_ascii
+from shoebox.llm.common import join_back, lower_ascii
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Hex digits of the digest that the join compares first.
+#: Hex digits of the digest that are compared first, as a number.
 HASH_PREFIX = 8
 
 
@@ -43,8 +44,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     are judged each; other columns of ``pages`` are not carried. An empty table gives an empty result.
 
     Each distinct (host, path) is expanded once, only to the label counts and path lengths that rules have, so the
-    expansion is bounded by the rule shapes and not by the length of a url. The planner broadcasts the rules if they are
-    below its own size threshold and shuffles both sides on the hash prefix otherwise.
+    expansion is bounded by the rule shapes and not by the length of a url. The planner broadcasts prefixes or rules if they are
+    below its own size threshold and shuffles both sides otherwise. Pages without a host are not shuffled, and frequent urls
+    are not gathered (``join_back``).
     """
     rules = rules.select(
         lower_ascii(F.col("host")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")
@@ -56,24 +58,31 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     for labels, length in rules.select("labels", "length").distinct().collect():
         shapes.setdefault(labels, []).append(length)
     judged = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    hits = _matches(judged.select("host", "path").distinct(), rules, shapes)
-    joined = judged.alias("p").join(hits.alias("h"), (F.col("p.host") == F.col("h.m_host")) & (F.col("p.path") == F.col("h.m_path")), "left")
+    judged = judged.withColumn("place", F.when(F.length("host") > 0, F.concat("host", "path")))
+    urls = judged.where("place IS NOT NULL").groupBy("host", "path", "place").agg(F.count("*").alias("n"))
+    joined = join_back(judged, _matches(urls, rules, shapes), "place")
     return joined.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
+def _digest(expression: str) -> list[Column]:
+    digest = F.sha2(expression, 256)
+    return [digest.alias("digest"), F.conv(F.substring(digest, 1, HASH_PREFIX), 16, 10).cast("bigint").alias("prefix")]
+
+
 def _matches(urls: DataFrame, rules: DataFrame, shapes: dict[int, list[int]]) -> DataFrame:
-    """(m_host, m_path, best) of the urls that some rule fits."""
+    """(place, n, best) of the urls (host, path, place, n) that some rule fits."""
     labels = F.split("host", r"\.")
     choices = []
     for n, lengths in sorted(shapes.items()):
         suffix = F.when(F.size(labels) >= n, F.substring_index("host", ".", -n))
-        choices += [F.when(F.length("path") >= k, F.concat(suffix, F.substring("path", 1, k))) for k in sorted(lengths)]
-    expressions = F.array_compact(F.array(*choices)) if choices else F.array().cast("array<string>")
-    wide = urls.where(F.length("host") > 0).select("host", "path", F.explode(expressions).alias("expression"))
-    wide = wide.withColumn("digest", F.sha2("expression", 256)).withColumn("prefix", F.substring("digest", 1, HASH_PREFIX))
-    known = rules.select("*", F.sha2("r_rule", 256).alias("r_digest")).withColumn("r_prefix", F.substring("r_digest", 1, HASH_PREFIX))
-    met = wide.join(known, (F.col("prefix") == F.col("r_prefix")) & (F.col("digest") == F.col("r_digest")))
+        choices += [F.when(F.length("path") >= k, F.struct(suffix.alias("suffix"), F.substring("path", 1, k).alias("start"))) for k in sorted(lengths)]
+    kind = "array<struct<suffix:string,start:string>>"
+    expressions = F.array_compact(F.array(*choices)) if choices else F.array().cast(kind)
+    wide = urls.select("place", "n", F.inline(expressions)).where("suffix IS NOT NULL").withColumn("expression", F.concat("suffix", "start"))
+    wide = wide.select("place", "n", "suffix", "start", *_digest("expression"))
+    known = rules.select("r_host", "r_path", "r_rule", "r_verdict", *_digest("r_rule"))
+    near = wide.join(known.select("prefix").distinct(), "prefix", "left_semi")
+    met = near.join(known.drop("prefix"), "digest").where((F.col("suffix") == F.col("r_host")) & (F.col("start") == F.col("r_path")))
     rank = F.struct(F.length("r_rule"), F.length("r_host"))
-    return met.groupBy(F.col("host").alias("m_host"), F.col("path").alias("m_path")).agg(
-        F.max_by(F.struct(F.col("r_rule").alias("rule"), F.col("r_verdict").alias("verdict")), F.struct(rank, F.when(F.col("r_verdict") == "allow", 1).otherwise(0))).alias("best")
-    )
+    best = F.max_by(F.struct(F.col("r_rule").alias("rule"), F.col("r_verdict").alias("verdict")), F.struct(rank, F.when(F.col("r_verdict") == "allow", 1).otherwise(0)))
+    return met.groupBy("place", "n").agg(best.alias("best"))
