@@ -82,10 +82,10 @@ def op4_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op4_sql() -> str:
-    """Depths 0 to 12 of the directory; enough where ids are unique and a shard in 4096 is not full."""
-    deepest = 12
-    sums = ", ".join(f"sum(b) OVER (PARTITION BY w >> {32 - d}) AS s{d}" for d in range(deepest + 1))
-    first = " ".join(f"WHEN s{d} <= {SHARD_LIMIT} THEN {d}" for d in range(deepest))
+    """All 32 depths of the first address word; more are needed only for equal keys or digests."""
+    deepest = 32
+    sums = ", ".join(f"sum(b) OVER (PARTITION BY w >> {32 - d}) AS s{d}, count(*) OVER (PARTITION BY w >> {32 - d}) AS c{d}" for d in range(deepest + 1))
+    first = " ".join(f"WHEN s{d} <= {SHARD_LIMIT} OR c{d} = 1 THEN {d}" for d in range(deepest))
     return f"""
 WITH d AS (
   SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS b, CAST('0x' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS w FROM documents),
