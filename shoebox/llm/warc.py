@@ -15,21 +15,24 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import materialize, scratch_dir
+from shoebox.llm.common import join_back, materialize, scratch_dir
+from shoebox.llm.sharding import split_by_bits
 
 #: Payload bytes of a shard, about; a shard is what one task sorts and writes.
 SHARD_BYTES = 64 << 20
 #: Compressed size after which a file is closed.
 ROLL_BYTES = 256 << 20
+#: Shards of a larger table grow instead, up to twice as many are made.
+MOST_SHARDS = 1 << 17
 #: Payloads of fewer bytes are always written in full.
 REVISIT_BYTES = 1000
-#: Bins of the id histogram for each shard.
-BINS = 64
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("8f6f5e64-0d5b-5c39-9a3e-5b0f3a7c1d20")
@@ -40,27 +43,38 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     payload = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("digest"), F.sha2("payload", 256).alias("full"))
-    heads = rows.where(F.col("payload_bytes") >= revisit_bytes).groupBy("full").agg(F.max("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    heads = materialize(heads.select(F.col("full").alias("h_full"), "head"), "heads")
-    key = F.when(F.col("payload_bytes") >= revisit_bytes, F.col("full"))
-    joined = rows.join(heads, key == F.col("h_full"), "left")
+    rows = rows.withColumn("full", F.when(F.col("payload_bytes") >= revisit_bytes, F.col("full")))
+    heads = rows.where("full IS NOT NULL").groupBy("full").agg(F.max("id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    joined = join_back(rows, heads, "full")
     again = F.coalesce(F.col("head") != F.col("id"), F.lit(False))
     return joined.select("id", "url", "payload", "payload_bytes", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("head")).alias("refers_to"))
 
 
 def _with_shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """(rows with the column shard, number of shards): id ranges of about equal payload, from an exact histogram."""
+    """(rows with the column shard, number of shards): ranges of ids that hold at most ``shard_bytes``, in order.
+
+    The range of all ids is halved, and halves are halved again, as long as they are too large; a digest divides the rows of
+    one id. So bounds follow from the rows alone, and one far id does not matter. Their number is bounded: from
+    ``MOST_SHARDS`` shards on, shards grow. Sorted bounds are sent to the tasks.
+    """
     low, high, total = rows.agg(F.min("id"), F.max("id"), F.sum(F.col("payload_bytes") + 1024)).first()
-    shards = max(1, -(-(total or 0) // shard_bytes))
-    if shards == 1 or low is None or high == low:
+    shard_bytes = max(shard_bytes, (total or 0) // MOST_SHARDS)
+    if (total or 0) <= shard_bytes:
         return rows.withColumn("shard", F.lit(0)), 1
-    bins = BINS * shards
-    place = F.floor((F.col("id").cast("double") - F.lit(float(low))) / F.lit(float(high - low + 1)) * bins)
-    rows = rows.withColumn("place", F.coalesce(place, F.lit(0)).cast("int"))
-    sums = rows.groupBy("place").agg(F.sum(F.col("payload_bytes") + 1024).alias("b"))
-    before = F.coalesce(F.sum("b").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bounds = materialize(sums.select("place", F.least(F.floor(before * shards / total), F.lit(shards - 1)).cast("int").alias("shard")), "bounds")
-    return rows.join(bounds, "place").drop("place"), shards
+    low, high = (0, 0) if low is None else (low, high)
+    width = max(1, (high - low).bit_length())
+    offset = F.coalesce(F.conv((F.col("id").cast("decimal(20)") - F.lit(low)).cast("string"), 10, 2), F.lit("0"))
+    tie = F.conv(F.substring(F.sha1(F.concat_ws(" ", "digest", "url")), 1, 12), 16, 2)
+    bits = F.concat(F.when(F.col("id").isNull(), "0").otherwise("1"), F.lpad(offset, width, "0"), F.lpad(tie, 48, "0"))  # null ids come first
+    width += 49
+    sizes = materialize(rows.select(bits.alias("bits"), (F.col("payload_bytes") + 1024).alias("bytes")), "sizes")
+    starts = np.array([r[0] for r in split_by_bits(sizes, shard_bytes, width).select(F.rpad("prefix", width, "0").alias("start")).orderBy("start").collect()], f"S{width}")
+
+    @F.pandas_udf("int")
+    def shard_of(bits: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, bits.to_numpy().astype(f"S{width}"), "right") - 1)
+
+    return rows.withColumn("shard", shard_of(bits)), len(starts)
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -134,9 +148,10 @@ _MANIFEST = "temporary string, name string, bytes bigint, records bigint, sha256
 def write_warc(rows: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write ``records`` as archives below ``root`` (a folder all executors reach) and return the committed manifest.
 
-    Records are ordered by id, then digest and url; null ids come first. A file begins with a warcinfo record. Dates are
-    fixed and record ids follow from the page and its digest, so equal tables give equal bytes. Ids that share a range are
-    never divided, so a shard of one repeated id can be larger than ``shard_bytes``; files still roll by size.
+    Records are ordered by id, then digest and url; null ids come first; rows of one id that are too large for a shard are
+    dealt to several by a digest first. A file begins with a warcinfo record. Dates are fixed and record ids follow from the
+    page and its digest, so equal tables give equal bytes. Identical rows are never divided; files still roll by size. What
+    tasks left under temporary names is removed after the commit.
     """
     spark = rows.sparkSession
     rows, shards = _with_shards(rows, shard_bytes)
@@ -167,6 +182,9 @@ def write_warc(rows: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_
 
     moved = spark.read.schema(_MANIFEST).parquet(f"{root}/_written").mapInArrow(rename, _MANIFEST)
     moved.drop("temporary").write.parquet(f"{root}/_committed")
+    fs, base = _open(root)
+    if fs.get_file_info(f"{base}/_temporary").type == pafs.FileType.Directory:
+        fs.delete_dir(f"{base}/_temporary")
     return manifest(spark, root)
 
 
@@ -254,7 +272,8 @@ def archive(pages: DataFrame, root: str | None = None, shard_bytes: int = SHARD_
 
     Null bodies are empty payloads and null urls empty ones; a null id has no Page-Id. Of rows with equal payloads of at
     least ``REVISIT_BYTES`` bytes, those with the largest id are responses and the others revisit it; repeated rows are
-    written each. Line breaks in a url are dropped in its header. Other columns are not carried; an empty table gives no file.
+    written each. Line breaks in a url are dropped in its header. Ids are integers. Other columns are not carried; an empty table
+    gives no file.
     """
     spark = pages.sparkSession
     root = root or f"{scratch_dir(spark)}/warc"
