@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import materialize
+from shoebox.llm.common import join_back, materialize
 from shoebox.llm.textkit import ALNUM, Words, chunks, flat
 
 #: Words of a window and of the shingles it is made of.
@@ -124,24 +124,25 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     # Rarity of every shingle over all documents, then the rarest shingle of each window.
     rarity = met.select("copies", "size", F.explode("tokens").alias("token")).groupBy("size", "token").agg(F.sum("copies").alias("df"))
-    numbered = windows.groupBy("size", "n_words", "tokens").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    places = numbered.select("*", F.posexplode("tokens").alias("place", "token")).join(rarity, ["size", "token"])
-    prefix = places.groupBy("size", "n_words", "tokens").agg(F.min_by(F.struct("token", "place", "items"), F.struct("df", "place")).alias("rare"), F.count("*").alias("present"))
+    places = windows.select("size", "n_words", "tokens").distinct().select("*", F.posexplode("tokens").alias("place", "token")).join(rarity, ["size", "token"])
+    prefix = places.groupBy("size", "n_words", "tokens").agg(F.min_by(F.struct("token", "place"), F.struct("df", "place")).alias("rare"), F.count("*").alias("present"))
     prefix = prefix.where(F.col("present") == F.size("tokens")).select("size", F.col("n_words").alias("w_words"), F.col("tokens").alias("w_tokens"), "rare.*")
 
     at = met.select("text_key", "size", "start", F.col("tokens").alias("run"), F.posexplode("tokens").alias("pos", "token"))
     near = at.join(prefix, ["size", "token"]).withColumn("offset", F.col("pos") - F.col("place"))
     near = near.where((F.col("offset") >= 0) & (F.col("offset") + F.size("w_tokens") <= F.size("run")))
     exact = near.where(F.slice("run", F.col("offset") + 1, F.size("w_tokens")) == F.col("w_tokens"))
-    exact = exact.select("text_key", (F.col("start") + F.col("offset")).alias("a"), (F.col("start") + F.col("offset") + F.col("w_words")).alias("b"), "items")
+    exact = exact.select("text_key", (F.col("start") + F.col("offset")).alias("a"), (F.col("start") + F.col("offset") + F.col("w_words")).alias("b"), "size", "w_words", "w_tokens")
 
     # Words covered: each window adds what lies behind the furthest end so far.
     before = F.coalesce(F.max("b").over(Window.partitionBy("text_key").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = exact.groupBy("text_key", "a").agg(F.max("b").alias("b"))
     covered = spans.withColumn("new", F.greatest(F.lit(0), F.col("b") - F.greatest("a", before))).groupBy("text_key").agg(F.sum("new").alias("n_hit"))
-    named = exact.select("text_key", F.explode_outer("items").alias("item")).groupBy("text_key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    hits = covered.join(named, "text_key")
-    out = runs.select("id", "n_words", "text_key").join(hits, "text_key", "left")
+    # Items by window: a window that many items share is joined, not carried along as a list.
+    own = windows.select("size", F.col("n_words").alias("w_words"), F.col("tokens").alias("w_tokens"), F.col("item_id").cast("string").alias("item")).where("item IS NOT NULL").distinct()
+    named = exact.select("text_key", "size", "w_words", "w_tokens").distinct().join(own, ["size", "w_words", "w_tokens"]).groupBy("text_key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
+    hits = covered.join(named, "text_key", "left").join(texts.select("text_key", "copies"), "text_key")
+    out = join_back(runs.select("id", "n_words", "text_key"), hits, "text_key", "copies")
     return out.select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
