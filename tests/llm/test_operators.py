@@ -276,14 +276,18 @@ def test_neighbours_match_brute_force(spark):
 def test_neighbours_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (5, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (10, [float("nan"), 1.0]), (11, [float("inf"), 1.0]), (12, [None, 1.0]), (15, [1.0]), (None, [1.0, 1.0])]
     got = ann.nearest_neighbours(vectors(spark, rows), F.col("id") % 5 == 0, k=10).orderBy("query_id", "rank").collect()
-    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 3, 0.0), (0, 2, 5, 0.0), (5, 1, 0, 0.0), (5, 2, 3, 0.0)]
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 3, 0.0), (0, 2, 3, 0.0), (0, 3, 5, 0.0), (5, 1, 0, 0.0), (5, 2, 3, 0.0), (5, 3, 3, 0.0)]
+    more = [(20, [2.0]), (21, [4.0]), (25, [1.0, 2.0]), (25, [1.0, 3.0]), (25, [1.0, 3.0])]
+    got = ann.nearest_neighbours(vectors(spark, rows + more), F.col("id") % 20 == 0, k=2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 3, 0.0), (0, 3, 0.0), (20, 15, 1.0), (20, 21, 2.0)]
+    assert ann.nearest_neighbours(vectors(spark, rows + more), F.col("id") == 25, k=9).groupBy("query_id").count().first()[1] == 8
     assert ann.nearest_neighbours(vectors(spark, []), F.col("id") % 5 == 0).count() == 0
     assert ann.nearest_neighbours(vectors(spark, [(0, [1.0])]), F.col("id") % 5 == 0).count() == 0
 
 
 def test_query_blocks_change_nothing(spark):
     rng = np.random.default_rng(6)
-    index = ann.build_index(vectors(spark, [(i, rng.standard_normal(8).tolist()) for i in range(120)]))
+    index = ann.build_index(ann.usable(vectors(spark, [(i, rng.standard_normal(8).tolist()) for i in range(120)]), "vec_id", "embedding"))
     asked = index.rows.select("id", "vector")
     one, many = (sorted(map(tuple, ann.search(index, asked, 3, block=b).collect())) for b in (4096, 25))
     assert one == many
