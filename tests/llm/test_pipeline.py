@@ -44,6 +44,33 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, kept[4]))
 
 
+CLASH = f"{SCHEMA}, row_id string, digest string, text_digest string, n string, id string, row string, is_hit string"
+
+
+def test_near_duplicates_lose_no_text_for_its_id(spark, tmp_path):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    a, b, c, d, long = text(50), text(50), text(50), text(50), text(250_000)
+    assert len(long) > 1_000_000
+    rows = [(1, a), (1, b), (1, a), (2, a + " more"), (3, b), (None, c), (None, c), (None, d), (4, d), (5, None), (5, None), (5, ""), (6, long), (7, long + " end")] + [(100 + i, f"{c} {i}") for i in range(300)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, "x", "y", "z", "n", "i", "r", "h") for r in rows], CLASH)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert found == sorted([(1, a), (1, b), (None, c), (None, d), (5, None), (5, None), (5, ""), (6, long)], key=repr)
+
+
+def test_stages_keep_rows_with_clashing_names(spark, tmp_path):
+    rows, _ = corpus(random.Random(9))
+    spark.createDataFrame([(1, " ".join(rows[11][1].split()[5:20]))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = spark.createDataFrame([(*r[:2], r[2], r[3], r[4]) for r in rows] * 2, SCHEMA)
+    wide = spark.createDataFrame([(*r, "x", "y", "z", "n", "i", "r", "h") for r in rows] * 2, CLASH)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, str(tmp_path))
+        assert got.columns == wide.columns
+        assert sorted(map(str, got.select(plain.columns).collect())) == sorted(map(str, stage(spark, plain, str(tmp_path)).collect()))
+
+
 def test_stages_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([], SCHEMA)
