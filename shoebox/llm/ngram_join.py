@@ -154,6 +154,8 @@ def rename_clashes(nodes: DataFrame) -> tuple[DataFrame, Renamed]:
     N sets are expected to have N**2 / 2**65 clashes of the first half: 11 for 2 * 10**10 sets. These few reach the driver.
     """
     clashing = nodes.groupBy("node").agg(F.min("half").alias("least"), F.max("half").alias("most")).where("least <> most").select("node", "least")
+    if clashing.isEmpty():
+        return nodes.drop("half"), {}
     others = nodes.join(clashing, "node").where("half <> least").select("node", "half").distinct()
     renamed = {(r["node"], r["half"]): r["new"] for r in others.withColumn("new", F.xxhash64("node", "half")).collect()}
     node = F.col("node")
