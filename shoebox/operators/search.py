@@ -1,22 +1,36 @@
 """Recall, fusion and evidence for batches of search requests.
 
 A recall gives rows (project_id, query_id, photo_id, score, …). Requests are joined to the rows of their project, so the
-smaller side is left to the planner to broadcast.
+smaller side is left to the planner to broadcast. Words of requests are looked for once in each photo, however many
+requests have them (``shoebox.functions.terms``).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoebox.functions.terms import TAG_WEIGHTS, TEXT_WEIGHTS, term_hits
+
 KEYS = ["project_id", "query_id", "photo_id"]
-PLACE_COLUMNS = ("country_name", "admin1", "city")
-#: Weight of a term found in a field; tag fields count for every matching tag.
-TEXT_WEIGHTS = {"caption": 3, "ocr_text": 5, "file_name": 1}
-TAG_WEIGHTS = {"scene_tags": 4, "object_tags": 4, "activity_tags": 4, "search_keywords": 4, "quality_tags": 2, "location_clues": 2}
-TIERS = {"exact": 1.0, "strong": 0.7, "support": 0.5, "weak": 0.3}
+REQUEST = ["project_id", "query_id"]
+PLACE_COLUMNS = ("country_name", "admin1", "admin2", "city", "district", "formatted_address")
+#: Request columns of each tier and what a term of it is worth, in tenths.
+TIERS = {"exact": ("exact_terms", 10), "strong": ("expanded_terms", 7), "support": ("support_terms", 5), "weak": ("broad_terms", 3)}
 LEVEL_SCORES = {"A": 1.0, "B": 0.7, "C": 0.45, "D": 0.15, "E": -0.5, "F": -1.0}
 FIELD_WEIGHTS = {"content": 0.5, "tag": 0.25, "caption": 0.2, "ocr": 0.05}
+OCR_FIELD_WEIGHTS = {"content": 0.35, "tag": 0.15, "caption": 0.1, "ocr": 0.4}
+#: Most vectors of a field that a request for one kind of thing takes, and the least.
+PROFILE_CAPS = {"content": (15, 5), "tag": (25, 8), "caption": (30, 10), "ocr": (5, 0)}
+STRICT, NORMAL, FAINT = 0.42, 0.32, 0.25
+#: Least scores of a request for one kind of thing when only vectors speak for a photo: all fields, tags, caption.
+ENTITY_LEAST, ENTITY_TAG, ENTITY_CAPTION = 0.62, 0.62, 0.58
+ANIMAL_FLOOR = 0.65
+# Activities whose words name animals but that are no search for animals, and tags of group photos.
+ANIMAL_ACTIVITIES = ("钓鱼", "垂钓", "捕鱼", "捞鱼", "摸鱼", "骑马", "赛马", "驯马", "马术", "斗鸡", "放鸟", "牧羊")
+GROUP_KEYWORDS, GROUP_ACTIVITIES = ("合照", "合影", "多人"), ("合影", "合照")
 
 
 def ranked(rows: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("project_id", "query_id")) -> DataFrame:
@@ -28,47 +42,76 @@ def live(photos: DataFrame) -> DataFrame:
     return photos.where("deleted_at IS NULL").withColumnRenamed("id", "photo_id")
 
 
+def _asked(queries: DataFrame, *columns: str) -> DataFrame:
+    """The requests with ``columns``; those they lack are null."""
+    have = set(queries.columns)
+    return queries.select(*REQUEST, *(F.col(c) if c in have else F.lit(None).alias(c) for c in columns))
+
+
 def metadata_recall(queries: DataFrame, photos: DataFrame, k: int = 5000) -> DataFrame:
-    """Photos that meet a request's filters (year, month, date_from, date_to, needs_gps, iso_min, iso_max, place_terms, camera;
-    null or missing: none), newest first; score 1."""
+    """Photos that meet a request's filters, newest first; score 1. A filter that is null or missing does not count.
+
+    date_from and date_to (from on, before) win over year and month, these over months; needs_gps asks for both coordinates or for
+    a missing one; camera_make and camera_model are contained, one of them if both are given; iso_min, iso_max; every one of
+    place_terms is contained in one of the six place columns.
+    """
     have = set(queries.columns)
-    q = queries.select("project_id", "query_id", *(c for c in ("year", "month", "date_from", "date_to", "needs_gps", "iso_min", "iso_max", "place_terms", "camera") if c in have))
-    found = live(photos).join(q, "project_id")
+    names = ("year", "month", "months", "date_from", "date_to", "needs_gps", "iso_min", "iso_max", "place_terms", "camera_make", "camera_model")
+    asked = [c for c in names if c in have]
+    found = live(photos).join(queries.select(*REQUEST, *(F.col(c).alias(f"q_{c}") for c in asked)), "project_id")
     gps = F.col("gps_latitude").isNotNull() & F.col("gps_longitude").isNotNull()
-    dated = F.lit(False) if "date_from" not in have else F.col("date_from").isNotNull()
+    given = lambda c: F.col(f"q_{c}").isNotNull() if c in have else F.lit(False)
+    dated = given("date_from") | given("date_to")
+    inside = lambda c: F.lower(c).contains(F.lower(f"q_{c}"))
     rules = {
-        "date_from": F.col("taken_at") >= F.col("date_from"), "date_to": F.col("taken_at") < F.col("date_to"), "year": dated | (F.year("taken_at") == F.col("year")), "month": dated | (F.month("taken_at") == F.col("month")),
-        "needs_gps": gps == F.col("needs_gps"), "iso_min": F.col("iso") >= F.col("iso_min"), "iso_max": F.col("iso") <= F.col("iso_max"),
-        "camera": F.lower("camera_make").contains(F.lower("camera")) | F.lower("camera_model").contains(F.lower("camera")),
-        "place_terms": F.forall("place_terms", lambda t: F.lower(F.concat_ws("\n", *PLACE_COLUMNS)).contains(F.lower(t))),
+        "date_from": lambda: F.col("taken_at") >= F.col("q_date_from"), "date_to": lambda: F.col("taken_at") < F.col("q_date_to"),
+        "year": lambda: dated | (F.year("taken_at") == F.col("q_year")), "month": lambda: dated | (F.month("taken_at") == F.col("q_month")),
+        "months": lambda: dated | given("year") | given("month") | (F.size("q_months") == 0) | F.array_contains("q_months", F.month("taken_at")),
+        "needs_gps": lambda: gps == F.col("q_needs_gps"), "iso_min": lambda: F.col("iso") >= F.col("q_iso_min"), "iso_max": lambda: F.col("iso") <= F.col("q_iso_max"),
+        "camera_make": lambda: inside("camera_make") | (F.coalesce(inside("camera_model"), F.lit(False)) if "camera_model" in have else F.lit(False)),
+        "camera_model": lambda: inside("camera_model") | (F.coalesce(inside("camera_make"), F.lit(False)) if "camera_make" in have else F.lit(False)),
+        "place_terms": lambda: F.forall("q_place_terms", lambda t: reduce(Column.__or__, (F.coalesce(F.lower(c).contains(F.lower(t)), F.lit(False)) for c in PLACE_COLUMNS))),
     }
-    for column, rule in rules.items():
-        if column in have:
-            found = found.where(F.col(column).isNull() | rule)
+    for column in asked:
+        found = found.where(F.col(f"q_{column}").isNull() | rules[column]())
     newest = (F.desc_nulls_last("taken_at"), F.desc("created_at"), F.desc("photo_id"))
     return ranked(found, k, *newest).select(*KEYS, F.lit(1.0).alias("score"), "rank")
 
 
 def structured_filter(clauses: DataFrame, photos: DataFrame, analysis: DataFrame) -> DataFrame:
-    """Photos for which all clauses (project_id, query_id, field, op, value) of a request hold; unknown fields do not count."""
+    """Photos for which all clauses (project_id, query_id, field, op, value) of a request hold.
+
+    Fields: people_count, iso, taken_at, created_at, camera_make, camera_model, has_gps (eq, ne). Operators: eq, ne, gt, gte, lt,
+    lte, contains (in any case), in (values with commas between). Clauses with an unknown field or operator do not count.
+    """
     rows = live(photos).join(analysis.select("project_id", "photo_id", "people_count"), ["project_id", "photo_id"], "left")
-    value, number = F.col("value"), F.col("value").try_cast("double")
+    op, value = F.col("op"), F.col("value")
 
-    def compare(left: Column, right: Column) -> Column:
-        ops = {"eq": left == right, "ne": left != right, "gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right}
-        out = F.lit(None).cast("boolean")
-        for name, test in ops.items():
-            out = F.when(F.col("op") == name, test).otherwise(out)
-        return out
+    def compare(left: Column, kind: str) -> Column:
+        right, text = value.try_cast(kind), left.cast("string")
+        several = F.array_contains(F.transform(F.split(value, ","), lambda v: F.trim(v).try_cast(kind)), left)
+        tests = {"eq": left == right, "ne": left != right, "gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right, "contains": F.lower(text).contains(F.lower(value)), "in": several}
+        return reduce(lambda out, x: F.when(op == x[0], F.coalesce(x[1], F.lit(False))).otherwise(out), tests.items(), F.lit(True))
 
-    text = lambda c: F.when(F.col("op") == "contains", F.lower(c).contains(F.lower(value))).when(F.col("op") == "in", F.array_contains(F.split(value, ","), F.col(c))).otherwise(compare(F.col(c), value))
     has_gps = F.col("gps_latitude").isNotNull() & F.col("gps_longitude").isNotNull()
-    met = (
-        F.when(F.col("field").isin("people_count"), compare(F.col("people_count").cast("double"), number)).when(F.col("field") == "iso", compare(F.col("iso").cast("double"), number))
-        .when(F.col("field") == "taken_at", compare(F.col("taken_at"), value.try_cast("timestamp"))).when(F.col("field") == "camera_make", text("camera_make")).when(F.col("field") == "camera_model", text("camera_model"))
-        .when(F.col("field") == "has_gps", has_gps == value.try_cast("boolean")).otherwise(F.lit(True))
-    )
-    return rows.join(clauses, "project_id").groupBy(*KEYS).agg(F.every(F.coalesce(met, F.lit(False))).alias("met")).where("met").select(*KEYS)
+    kinds = {"people_count": "double", "iso": "double", "taken_at": "timestamp", "created_at": "timestamp", "camera_make": "string", "camera_model": "string"}
+    met = F.when((F.col("field") == "has_gps") & op.isin("eq", "ne"), F.coalesce((has_gps == value.try_cast("boolean")) == (op == "eq"), F.lit(True))).otherwise(F.lit(True))
+    for field, kind in kinds.items():
+        met = F.when(F.col("field") == field, compare(F.col(field).cast(kind), kind)).otherwise(met)
+    return rows.join(clauses, "project_id").groupBy(*KEYS).agg(F.every(met).alias("met")).where("met").select(*KEYS)
+
+
+def face_filter(queries: DataFrame, faces: DataFrame, assignments: DataFrame, persons: DataFrame) -> DataFrame:
+    """``face_count_filter``, and photos with (true) or without (false) a face that waits for review (has_review_pending), and with or
+    without an unnamed person (has_unnamed_people). Photos without a face that did not fail never match."""
+    found = face_count_filter(queries, faces).join(_asked(queries, "has_review_pending", "has_unnamed_people"), REQUEST)
+    held = assignments.join(faces.select("project_id", "face_id", "photo_id"), ["project_id", "face_id"])
+    pending = held.where("assignment_status = 'review_pending'").select("project_id", "photo_id", F.lit(True).alias("pending")).distinct()
+    nameless = persons.where("NOT is_named").select("project_id", F.col("id").alias("person_id"))
+    unnamed = held.where("assignment_status <> 'rejected'").join(nameless, ["project_id", "person_id"], "left_semi").select("project_id", "photo_id", F.lit(True).alias("unnamed")).distinct()
+    marked = found.join(pending, ["project_id", "photo_id"], "left").join(unnamed, ["project_id", "photo_id"], "left")
+    fits = lambda want, have: F.col(want).isNull() | (F.col(want) == F.coalesce(have, F.lit(False)))
+    return marked.where(fits("has_review_pending", "pending") & fits("has_unnamed_people", "unnamed")).select(*KEYS)
 
 
 def face_count_filter(queries: DataFrame, faces: DataFrame) -> DataFrame:
@@ -90,61 +133,129 @@ def intersect(sets: list[DataFrame], active: list[DataFrame]) -> DataFrame:
     return marks.groupBy(*KEYS).agg(F.count("*").alias("n")).join(needed, ["project_id", "query_id"]).where("n = needed").select(*KEYS)
 
 
-def keyword_recall(queries: DataFrame, photos: DataFrame, analysis: DataFrame, k: int = 2000, scan: int | None = 10_000) -> DataFrame:
-    """Photos with a term of a request (``<tier>_terms`` arrays) in a text or tag, scored.
-
-    Of each request's candidates, that is photos that contain an exact or expanded term anywhere, the ``scan`` newest (None: all) are
-    scored: every term adds its tier's weight times the field's for each text field and each tag that contains it; the sum is
-    divided by the number of distinct terms and the sum of field weights, cut at 1 and rounded to 4 places.
+def request_terms(queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(project_id, query_id, tier, term, alias): lower-cased distinct terms of each tier and of ``negative_terms``, with the other words
+    (term, alias) they stand for; every term is its own alias."""
+    have = set(queries.columns)
+    columns = {tier: column for tier, (column, _) in TIERS.items()} | {"negative": "negative_terms"}
+    entry = lambda tier: lambda t: F.struct(F.lit(tier).alias("tier"), F.lower(t).alias("term"))
+    lists = [F.transform(F.coalesce(column, F.array().cast("array<string>")), entry(tier)) for tier, column in columns.items() if column in have]
+    rows = queries.select(*REQUEST, F.inline(F.array_distinct(F.flatten(F.array(*lists))))).where("term <> ''")
+    own = rows.withColumn("alias", F.col("term"))
+    if aliases is None:
+        return own
+    known = aliases.select(F.lower("term").alias("term"), F.lower("alias").alias("alias")).where("alias <> ''").distinct()
+    return own.union(rows.join(known, "term").select(*own.columns)).distinct()
+
+
+def keyword_recall(queries: DataFrame, photos: DataFrame, analysis: DataFrame, k: int = 2000, scan: int | None = None, aliases: DataFrame | None = None, constrained: DataFrame | None = None) -> DataFrame:
+    """(project_id, query_id, photo_id, score, tiers, term_hits, negative_hits, rank): photos with a term of a request, scored.
+
+    Candidates contain an exact or expanded term (or an alias of it) anywhere; with ``scan``, only the newest
+    max(k, min(5 k, ``scan``)) of them are scored. Every term of a tier adds the tier's worth times the field's weight for each text
+    and each tag that contains it; the sum is divided by the number of distinct terms and the sum of weights, cut at 1 and rounded to 4
+    places. A request of intent animal_search whose expanded term was hit, with a hit in caption, objects or keywords, gets
+    ``ANIMAL_FLOOR`` at least, unless an exact term is an activity. ``tiers`` are those with a hit, and negative; ``term_hits``
+    are "tier:term"; ``constrained`` (project_id, query_id, photo_id) limits the candidates.
     """
-    tiers = [t for t in ("exact", "expanded", *TIERS) if f"{t}_terms" in queries.columns]
-    tiers = list(dict.fromkeys(tiers))
-    weight = {"expanded": 1.0} | TIERS
-    pair = lambda w: lambda x: F.struct(F.lower(x).alias("term"), F.lit(w).alias("w"))
-    pairs = [F.transform(f"{t}_terms", pair(weight[t])) for t in tiers]
-    terms = F.filter(F.array_distinct(F.flatten(F.array(*pairs))), lambda x: x["term"] != "")
-    q = queries.select("project_id", "query_id", terms.alias("terms"), F.size(F.array_distinct(F.transform(terms, lambda x: x["term"]))).alias("n_terms"))
-    fields = [F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in TEXT_WEIGHTS] + [F.transform(c, F.lower).alias(c) for c in TAG_WEIGHTS]
-    rows = live(photos).select("project_id", "photo_id", "file_name", "taken_at", "created_at").join(analysis.drop("created_at"), ["project_id", "photo_id"])
-    rows = rows.select("project_id", "photo_id", "taken_at", "created_at", *fields).join(q, "project_id")
-    inside = lambda t: F.col("caption").contains(t) | F.col("ocr_text").contains(t) | F.col("file_name").contains(t) | F.concat_ws(" ", *TAG_WEIGHTS).contains(t)
+    terms = request_terms(queries, aliases)
+    rows = live(photos).select("project_id", "photo_id", "file_name", "taken_at", "created_at").join(analysis.select("project_id", "photo_id", *(c for c in (*TEXT_WEIGHTS, *TAG_WEIGHTS) if c != "file_name")), ["project_id", "photo_id"])
+    hits = term_hits(rows, terms.select("project_id", "term", "alias").distinct())
+    found = hits.join(terms.select(*REQUEST, "tier", "term").distinct(), ["project_id", "term"])
+    if constrained is not None:
+        found = found.join(constrained.select(*KEYS).distinct(), KEYS, "left_semi")
+    worth = reduce(lambda out, x: F.when(F.col("tier") == x[0], F.lit(x[1][1])).otherwise(out), TIERS.items(), F.lit(0))
+    negative = F.col("tier") == "negative"
+    counts = (F.col("raw") > 0) & ~negative | negative & F.col("in_negative")
+    hit = F.when(counts, F.concat("tier", F.lit(":"), "term"))
+    sums = found.groupBy(*KEYS).agg(
+        F.bool_or(F.col("tier").isin("exact", "strong") & F.col("anywhere")).alias("candidate"), F.sum(F.col("raw") * worth).alias("raw"),
+        F.sort_array(F.collect_set(F.when(counts, F.col("tier")))).alias("tiers"), F.sort_array(F.collect_set(hit)).alias("term_hits"), F.count_if(negative & F.col("in_negative")).alias("negative_hits"),
+        F.bool_or((F.col("tier") != "negative") & F.col("in_entity")).alias("entity"), F.bool_or((F.col("tier") != "negative") & F.col("in_weak")).alias("weak_field"),
+    )
+    sums = sums.where("candidate")
     newest = (F.desc_nulls_last("taken_at"), F.desc("created_at"), F.desc("photo_id"))
-    found = rows.where(F.exists("terms", lambda x: inside(x["term"])))
+    sums = sums.join(live(photos).select("project_id", "photo_id", "taken_at", "created_at"), ["project_id", "photo_id"])
     if scan is not None:
-        found = ranked(found, scan, *newest).drop("rank")
+        sums = ranked(sums, max(k, min(5 * k, scan)), *newest).drop("rank")
+    sizes = terms.where("tier <> 'negative'").groupBy(*REQUEST).agg(F.count_distinct("term").alias("n_terms"))
+    active = terms.where("tier = 'exact'").groupBy(*REQUEST).agg(F.bool_or(F.col("term").isin(*ANIMAL_ACTIVITIES)).alias("activity"))
+    joined = sums.join(sizes, REQUEST).join(_asked(queries, "intent"), REQUEST).join(active, REQUEST, "left")
     total = sum(TEXT_WEIGHTS.values()) + sum(TAG_WEIGHTS.values())
+    score = F.round(F.least(F.lit(1.0), F.col("raw") / (F.col("n_terms") * (10 * total))), 4)
+    animal = (F.coalesce("intent", F.lit("")) == "animal_search") & F.array_contains("tiers", "strong") & F.col("entity") & ~F.coalesce("activity", F.lit(False))
+    scored = joined.withColumn("score", F.when(animal, F.greatest(score, F.lit(ANIMAL_FLOOR))).otherwise(score)).where("score > 0")
+    return ranked(scored, k, F.desc("score"), *newest).select(*KEYS, "score", "tiers", "term_hits", "negative_hits", "weak_field", "rank")
+
 
-    def worth(x: Column) -> Column:
-        sums = F.lit(0.0)
-        for c, w in TEXT_WEIGHTS.items():
-            sums = sums + F.when(F.col(c).contains(x["term"]), w).otherwise(0)
-        for c, w in TAG_WEIGHTS.items():
-            sums = sums + F.size(F.filter(c, lambda tag: tag.contains(x["term"]))) * w
-        return sums * x["w"]
+def _tagged(tier: str, terms: Column) -> Column:
+    return F.transform(terms, lambda t: F.concat(F.lit(f"{tier}:"), t))
 
-    score = F.aggregate(F.transform("terms", worth), F.lit(0.0), lambda a, b: a + b) / (F.col("n_terms") * total)
-    scored = found.withColumn("score", F.round(F.least(F.lit(1.0), score), 4)).where("score > 0")
-    return ranked(scored, k, F.desc("score"), *newest).select(*KEYS, "score", "rank")
 
+def concept_recall(queries: DataFrame, photos: DataFrame, analysis: DataFrame, k: int, scan: int | None = None) -> DataFrame:
+    """Photos with a concept (semantic_concepts), an entity (object_tags, search_keywords) or, if a request has neither kind of term,
+    a facet (semantic_facets) of a request: the mean of the coverages of the kinds it has terms of, 0 for facets alone.
 
-def concept_recall(queries: DataFrame, photos: DataFrame, analysis: DataFrame, k: int) -> DataFrame:
-    """Photos with a concept (semantic_concepts) or entity (object_tags, search_keywords) of a request; the mean of the coverages."""
-    rows = live(photos).select("project_id", "photo_id", "taken_at").join(analysis, ["project_id", "photo_id"]).join(queries.select("project_id", "query_id", "concept_terms", "entity_terms"), "project_id")
-    have = F.array_distinct(F.concat("object_tags", "search_keywords"))
-    cover = lambda want, own: F.when(F.size(want) > 0, F.size(F.array_intersect(want, own)) / F.size(F.array_distinct(want)))
-    concept, entity = cover(F.col("concept_terms"), F.col("semantic_concepts")), cover(F.col("entity_terms"), have)
-    parts = F.array_compact(F.array(concept, entity))
-    score = F.round(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) / F.size(parts), 6)
-    return ranked(rows.withColumn("score", score).where("score > 0"), k, F.desc("score"), "photo_id").select(*KEYS, "score", "rank")
+    A request of intent animal_search with entities gives a photo with only concepts 0.3 of its score and the tier weak, else the tier is
+    strong. With ``scan`` only the newest so many candidates are scored.
+    """
+    none = F.array().cast("array<string>")
+    asked = _asked(queries, "concept_terms", "entity_terms", "facet_terms", "intent").select(*REQUEST, "intent", *(F.array_distinct(F.filter(F.coalesce(F.col(c).cast("array<string>"), none), lambda t: F.trim(t) != "")).alias(c) for c in ("concept_terms", "entity_terms", "facet_terms")))
+    facets = F.coalesce("semantic_facets", none) if "semantic_facets" in analysis.columns else none
+    own = analysis.select("project_id", "photo_id", "created_at", F.col("semantic_concepts").alias("own_concepts"), F.concat("object_tags", "search_keywords").alias("own_entities"), facets.alias("own_facets"))
+    rows = live(photos).select("project_id", "photo_id").join(own, ["project_id", "photo_id"]).join(asked, "project_id")
+    rows = rows.select("*", F.array_intersect("concept_terms", "own_concepts").alias("c"), F.array_intersect("entity_terms", "own_entities").alias("e"), F.array_intersect("facet_terms", "own_facets").alias("f"))
+    bare = (F.size("concept_terms") == 0) & (F.size("entity_terms") == 0)
+    rows = rows.where((F.size("c") > 0) | (F.size("e") > 0) | bare & (F.size("f") > 0))
+    if scan is not None:
+        rows = ranked(rows, scan, F.desc("created_at"), F.desc("photo_id")).drop("rank")
+    cover = lambda hit, want: F.when(F.size(want) > 0, F.size(hit) / F.size(want))
+    parts = F.array_compact(F.array(cover("c", "concept_terms"), cover("e", "entity_terms")))
+    mean = F.when(F.size(parts) > 0, F.round(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) / F.size(parts), 6)).otherwise(0.0)
+    pale = (F.coalesce("intent", F.lit("")) == "animal_search") & (F.size("entity_terms") > 0) & (F.size("e") == 0) & (F.size("c") > 0)
+    every = F.concat("c", "e", "f")
+    scored = rows.select(*KEYS, F.when(pale, F.round(mean * 0.3, 6)).otherwise(mean).alias("score"), F.array(F.when(pale, "weak").otherwise("strong")).alias("tiers"), F.sort_array(F.array_distinct(F.when(pale, _tagged("weak", every)).otherwise(_tagged("strong", every)))).alias("term_hits"))
+    return ranked(scored, k, F.desc("score"), "photo_id").select(*KEYS, "score", "tiers", "term_hits", F.lit(0).cast("bigint").alias("negative_hits"), F.lit(False).alias("weak_field"), "rank")
 
 
 def people_visual_recall(queries: DataFrame, photos: DataFrame, analysis: DataFrame, k: int) -> DataFrame:
-    """Photos with at least the request's number of people, or one of its terms among tags and concepts."""
-    rows = live(photos).select("project_id", "photo_id").join(analysis, ["project_id", "photo_id"]).join(queries.select("project_id", "query_id", "people_min", "people_terms"), "project_id")
-    hits = F.size(F.array_intersect("people_terms", F.array_distinct(F.concat("scene_tags", "object_tags", "semantic_concepts"))))
-    enough = (F.col("people_count") >= F.col("people_min")).cast("int")
-    score = F.round(F.least(F.lit(1.0), 0.2 + 0.2 * (hits + enough)), 6)
-    return ranked(rows.where(hits + enough > 0).withColumn("score", score), k, F.desc("score"), "photo_id").select(*KEYS, "score", "rank")
+    """Photos with at least the request's number of people or a tag of group photos: 0.2, and 0.2 for each distinct hit, at most 1.
+
+    Hits are the request's terms among concepts, keywords and activities, its facets, and the number of people; photos without one
+    are left out. The tier is strong.
+    """
+    none = F.array().cast("array<string>")
+    asked = _asked(queries, "people_min", "people_terms", "facet_terms").select(*REQUEST, "people_min", F.coalesce(F.col("people_terms").cast("array<string>"), none).alias("terms"), F.coalesce(F.col("facet_terms").cast("array<string>"), none).alias("facets"))
+    facets = F.coalesce("semantic_facets", none) if "semantic_facets" in analysis.columns else none
+    own = analysis.select("project_id", "photo_id", "people_count", "search_keywords", "activity_tags", F.concat("semantic_concepts", "search_keywords", "activity_tags").alias("own"), facets.alias("own_facets"))
+    rows = live(photos).select("project_id", "photo_id").join(own, ["project_id", "photo_id"]).join(asked, "project_id")
+    enough = F.coalesce(F.col("people_count") >= F.col("people_min"), F.lit(False))
+    group = F.arrays_overlap("search_keywords", F.array(*map(F.lit, GROUP_KEYWORDS))) | F.arrays_overlap("activity_tags", F.array(*map(F.lit, GROUP_ACTIVITIES)))
+    hits = F.concat(F.array_intersect("terms", "own"), F.array_intersect("facets", "own_facets"), F.when(enough, F.array(F.concat(F.lit("people_count>="), F.col("people_min").cast("string")))).otherwise(none))
+    found = rows.where(enough | F.coalesce(group, F.lit(False))).select(*KEYS, F.array_distinct(hits).alias("hits")).where("size(hits) > 0")
+    scored = found.select(*KEYS, F.round(F.least(F.lit(1.0), 0.2 + 0.2 * F.size("hits")), 6).alias("score"), F.array(F.lit("strong")).alias("tiers"), F.sort_array(_tagged("strong", F.col("hits"))).alias("term_hits"))
+    return ranked(scored, k, F.desc("score"), "photo_id").select(*KEYS, "score", "tiers", "term_hits", F.lit(0).cast("bigint").alias("negative_hits"), F.lit(False).alias("weak_field"), "rank")
+
+
+def resolve_planned(queries: DataFrame, persons: DataFrame, terms: Column) -> DataFrame:
+    """(project_id, query_id, name, person_id): the named person whose search term equals each of the request's ``planned_names``, the
+    smallest id of several; null if nobody's does."""
+    known = persons.where("is_named").select("project_id", F.col("id").alias("p"), F.explode(terms).alias("key")).groupBy("project_id", "key").agg(F.min("p").alias("person_id"))
+    asked = queries.select(*REQUEST, F.explode(F.array_distinct("planned_names")).alias("name")).where("trim(name) <> ''")
+    return asked.withColumn("key", F.lower(F.trim("name"))).join(known, ["project_id", "key"], "left").select(*REQUEST, "name", "person_id")
+
+
+def people_modes(queries: DataFrame, resolved: DataFrame, soft_terms: list[str] | None = None) -> DataFrame:
+    """(project_id, query_id, mode): ``all`` for requests with several names or persons found, ``any`` for one, ``none`` without; a request
+    whose whole text is one of ``soft_terms`` (words for relatives) and one of its persons' terms only boosts them (``boost``)."""
+    planned = F.size("planned_names") if "planned_names" in queries.columns else F.lit(0)
+    text = F.lower(F.trim("text")) if "text" in queries.columns else F.lit("")
+    term = F.col("term") if "term" in resolved.columns else F.lower(F.trim("name"))
+    found = resolved.where("person_id IS NOT NULL").groupBy(*REQUEST).agg(F.count_distinct("person_id").alias("n"), F.collect_set(term).alias("found"))
+    rows = queries.select(*REQUEST, planned.alias("planned"), text.alias("text")).join(found, REQUEST, "left")
+    n = F.when(F.col("planned") > 0, F.col("planned")).otherwise(F.coalesce("n", F.lit(0)))
+    soft = F.col("text").isin(*(soft_terms or [""])) & F.array_contains("found", F.col("text")) & (F.col("text") != "")
+    return rows.select(*REQUEST, F.when(F.coalesce(soft, F.lit(False)), "boost").when(n > 1, "all").when(n == 1, "any").otherwise("none").alias("mode"))
 
 
 def resolve_people(queries: DataFrame, persons: DataFrame, terms: Column) -> DataFrame:
@@ -170,70 +281,166 @@ def people_recall(wanted: DataFrame, assignments: DataFrame, faces: DataFrame, m
     return found.select(*KEYS, F.round(F.col("s") + 0.2 * F.col("n") / F.col("asked"), 6).alias("score"))
 
 
-def multi_field_score(hits: DataFrame, k: int = 200, min_score: float = 0.3, weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
-    """Weighted similarity over fields of hits (…, field, similarity); absent and negative ones count 0."""
-    w = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
-    total = hits.groupBy(*KEYS).agg(F.sum(w[F.col("field")] * F.greatest("similarity", F.lit(0.0))).alias("s"))
-    scored = total.select(*KEYS, F.round("s", 8).alias("score")).where(F.col("score") >= min_score)
+def normalised_weights(weights: dict[str, float]) -> dict[str, float]:
+    """Weights without negative ones, with the sum 1."""
+    kept = {name: max(0.0, w) for name, w in weights.items()}
+    total = sum(kept.values())
+    return {name: w / total for name, w in kept.items()} if total else kept
+
+
+def vector_hits(hits: DataFrame, profiled: DataFrame) -> DataFrame:
+    """Hits (…, field, rank) cut to ``PROFILE_CAPS`` for the requests ``profiled`` (project_id, query_id, top_k): a share of top_k for each
+    field, within the field's least and most places."""
+    caps = F.lit(None).cast("double")
+    for field, (most, least) in PROFILE_CAPS.items():
+        share = F.col("top_k") * FIELD_WEIGHTS[field]
+        caps = F.when(F.col("field") == field, F.greatest(F.lit(float(least)), F.least(F.lit(float(most)), share))).otherwise(caps)
+    found = hits.join(profiled.select(*REQUEST, "top_k"), REQUEST, "left")
+    return found.where(F.col("top_k").isNull() | (F.col("rank") <= F.floor(caps))).drop("top_k")
+
+
+def searchable(embeddings: DataFrame, model: str, version: str, dimension: int) -> DataFrame:
+    """Ready rows of a model, version and dimension with a vector of that length."""
+    return embeddings.where((F.col("status") == "ready") & (F.col("model") == model) & (F.col("version") == version) & F.col("vector").isNotNull() & (F.size("vector") == dimension))
+
+
+def stale_counts(embeddings: DataFrame, model: str, version: str, dimension: int) -> DataFrame:
+    """(project_id, stale): embeddings of each project that ``searchable`` leaves out."""
+    good = (F.col("status") == "ready") & (F.col("model") == model) & (F.col("version") == version) & F.col("vector").isNotNull() & (F.size("vector") == dimension)
+    return embeddings.groupBy("project_id").agg(F.count_if(~F.coalesce(good, F.lit(False))).alias("stale"))
+
+
+def multi_field_score(hits: DataFrame, k: int = 200, min_score: float = 0.3, weights: dict[str, float] = FIELD_WEIGHTS, ocr: DataFrame | None = None) -> DataFrame:
+    """Weighted similarity over fields of hits (…, field, similarity); absent and negative ones count 0. Requests of ``ocr`` (project_id,
+    query_id) take ``OCR_FIELD_WEIGHTS``. Weights are normalised. The field scores come along."""
+    table = lambda chosen: F.create_map(*(F.lit(x) for pair in normalised_weights(chosen).items() for x in pair))
+    w = table(weights)[F.col("field")]
+    if ocr is not None:
+        hits = hits.join(ocr.select(*REQUEST, F.lit(True).alias("is_ocr")).distinct(), REQUEST, "left")
+        w = F.when(F.col("is_ocr"), table(OCR_FIELD_WEIGHTS)[F.col("field")]).otherwise(w)
+    floor = F.greatest("similarity", F.lit(0.0))
+    fields = [F.coalesce(F.max(F.when(F.col("field") == f, floor)), F.lit(0.0)).alias(f"{f}_score") for f in ("tag", "caption")]
+    total = hits.groupBy(*KEYS).agg(F.sum(w * floor).alias("s"), *fields)
+    scored = total.select(*KEYS, F.round("s", 8).alias("score"), "tag_score", "caption_score").where(F.col("score") >= min_score)
     return ranked(scored, k, F.desc("score"), "photo_id")
 
 
 def merge_lists(lists: dict[str, DataFrame]) -> DataFrame:
-    """One row for each photo found by any list: the best score and the sorted names of the lists."""
-    named = [rows.select(*KEYS, "score", F.lit(name).alias("source")) for name, rows in lists.items()]
-    every = named[0]
-    for rows in named[1:]:
-        every = every.union(rows)
-    return every.groupBy(*KEYS).agg(F.max("score").alias("score"), F.sort_array(F.collect_set("source")).alias("sources"))
+    """One row for each photo found by any list: the best score, the union of tiers and of term hits, the most negative hits, the
+    sorted names of the lists, and the rank by score."""
+    every = reduce(DataFrame.union, [rows.select(*KEYS, "score", "tiers", "term_hits", "negative_hits", "weak_field", F.lit(name).alias("source")) for name, rows in lists.items()])
+    union = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    merged = every.groupBy(*KEYS).agg(F.max("score").alias("score"), union("tiers"), union("term_hits"), F.max("negative_hits").alias("negative_hits"), F.bool_or("weak_field").alias("weak_field"), F.sort_array(F.collect_set("source")).alias("sources"))
+    return merged.withColumn("rank", F.row_number().over(Window.partitionBy(*REQUEST).orderBy(F.desc("score"), "photo_id")))
 
 
 def fuse(lists: dict[str, DataFrame], weights: dict[str, float], rrf_k: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of lists (…, score, rank): the sum of weight / (k + rank), with each list's score."""
-    every = None
+    """Reciprocal-rank fusion of lists (…, score, rank): the sum of weight / (k + rank), each list's score, and what the lists carry:
+    tiers, negative_hits, weak_field, tag_score and caption_score."""
+    kinds = {"tiers": "array<string>", "negative_hits": "bigint", "weak_field": "boolean", "tag_score": "double", "caption_score": "double"}
+    parts = []
     for name, rows in lists.items():
-        part = rows.select(*KEYS, F.lit(name).alias("list"), "score", (F.lit(weights[name]) / (rrf_k + F.col("rank"))).alias("r"))
-        every = part if every is None else every.union(part)
+        have = [F.col(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]
+        parts.append(rows.select(*KEYS, F.lit(name).alias("list"), "score", (F.lit(weights[name]) / (rrf_k + F.col("rank"))).alias("r"), *have))
     scores = [F.max(F.when(F.col("list") == name, F.col("score"))).alias(f"{name}_score") for name in lists]
-    return every.groupBy(*KEYS).agg(F.round(F.sum("r"), 9).alias("fused"), *scores)
-
-
-def evidence(fused: DataFrame) -> DataFrame:
-    """Evidence level of fused rows by keyword and vector scores: A exact, B strong, C and D support, E rest."""
-    word, vector = F.coalesce("keyword_score", F.lit(0.0)), F.coalesce("vector_score", F.lit(0.0))
-    level = F.when(word >= 0.2, "A").when(word >= 0.1, "B").when(vector >= 0.42, "C").when((word > 0) & (vector >= 0.32), "C").when(word > 0, "D").when(vector >= 0.25, "D").otherwise("E")
+    tiers = F.sort_array(F.array_distinct(F.flatten(F.collect_list("tiers")))).alias("tiers")
+    most = [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("negative_hits", "tag_score", "caption_score")]
+    return reduce(DataFrame.union, parts).groupBy(*KEYS).agg(F.round(F.sum("r"), 9).alias("fused"), *scores, tiers, *most, F.coalesce(F.bool_or("weak_field"), F.lit(False)).alias("weak_field"))
+
+
+def evidence(fused: DataFrame, weight: float = 0.02, penalty: float = 0.01) -> DataFrame:
+    """Evidence level of fused rows by the tiers of their hits and the vector score, and the final score: ``weight`` times the level's
+    score more, ``penalty`` less for each negative hit, at least 0."""
+    vector, has = F.coalesce("vector_score", F.lit(0.0)), lambda t: F.array_contains("tiers", t)
+    level = (
+        F.when(has("exact"), "A").when(has("strong"), "B").when(has("negative") & (vector < NORMAL), "F").when(vector >= STRICT, "C")
+        .when(has("support") & (vector >= NORMAL), "C").when(has("support") | has("weak"), "D").when(vector >= FAINT, "D").otherwise("E")
+    )
     scores = F.create_map(*(F.lit(x) for pair in LEVEL_SCORES.items() for x in pair))
-    final = F.greatest(F.lit(0.0), F.col("fused") + scores[F.col("level")] * 0.02)
+    fined = F.when(has("negative"), F.col("negative_hits") * F.lit(penalty)).otherwise(0.0)
+    final = F.greatest(F.lit(0.0), F.col("fused") + scores[F.col("level")] * F.lit(weight) - fined)
     return fused.withColumn("level", level).withColumn("final_score", F.round(final, 9))
 
 
-def display_filter(scored: DataFrame, worst: str = "C") -> DataFrame:
-    """Why a row is not shown (null: it is): its level is worse than ``worst``, or only weak vector similarity speaks for it."""
-    weak = F.col("keyword_score").isNull() & (F.coalesce("vector_score", F.lit(0.0)) < 0.42) & (F.col("level") == "C")
-    return scored.withColumn("reason", F.when(F.col("level") > worst, "below_level").when(weak, "vector_only"))
-
+def least_level(queries: DataFrame, animal: str = "B", usual: str = "C") -> Column:
+    """The worst level a request shows: its own (min_level: A or HIGH, B or MEDIUM, C or LOW), else that of animals, else the usual."""
+    own = F.upper(F.trim("min_level"))
+    return F.when(own.isin("A", "HIGH"), "A").when(own.isin("B", "MEDIUM"), "B").when(own.isin("C", "LOW"), "C").when(F.col("intent") == "animal_search", animal).otherwise(usual)
 
-def result_page(rows: DataFrame, photos: DataFrame, page: int, size: int) -> DataFrame:
-    """A page of each request, best first, with the request's total; photo columns are joined to the page only."""
-    own = Window.partitionBy("project_id", "query_id")
-    numbered = rows.withColumn("position", F.row_number().over(own.orderBy(F.desc("final_score"), "photo_id"))).withColumn("total", F.count("*").over(own))
-    cut = numbered.where((F.col("position") > (page - 1) * size) & (F.col("position") <= page * size))
-    return cut.join(photos.select("project_id", F.col("id").alias("photo_id"), "file_name"), ["project_id", "photo_id"])
 
+def display_filter(scored: DataFrame, queries: DataFrame) -> DataFrame:
+    """Why a row is not shown; null: it is. The gates, in order:
 
-def known_places(queries: DataFrame, photos: DataFrame) -> DataFrame:
-    """Whether a request's ``place`` is contained in a place name of its project; names are made distinct first."""
+    * vectors alone speak for a row of a request for one kind of thing (intent animal_search or profile entity_object, contract 1):
+      its score, and that of tags or caption, must be high;
+    * the request wants visual evidence (requires_visual_evidence, true unless given) and no weak matches (allow_weak_only): a row of
+      level C without a keyword goes, unless the request allows vectors alone or filters by date, camera or place, and the vector
+      score is high, which shows it at any level;
+    * the level is below the request's least one.
+    """
+    defaults = {"intent": "''", "profile": "''", "contract": "'1'", "min_level": "''", "requires_visual_evidence": "true", "allow_weak_only": "false", "allow_vector_only": "false", "metadata_active": "false"}
+    asked = _asked(queries, *defaults).select(*REQUEST, *(F.coalesce(F.col(c).cast("string" if v.startswith("'") else "boolean"), F.expr(v)).alias(c) for c, v in defaults.items()))
+    asked = asked.select(*REQUEST, "intent", "profile", "contract", "requires_visual_evidence", "allow_weak_only", "allow_vector_only", "metadata_active", least_level(asked).alias("least"))
+    rows = scored.join(asked, REQUEST)
+    word, vector = F.coalesce("keyword_score", F.lit(0.0)), F.coalesce("vector_score", F.lit(0.0))
+    alone = (word <= 0) & (vector > 0)
+    entity = (F.col("contract") != "2") & ((F.col("intent") == "animal_search") | (F.col("profile") == "entity_object"))
+    faint = F.col("requires_visual_evidence") & ~F.col("allow_weak_only") & (F.col("level") == "C") & (word <= 0)
+    trusted = (F.col("allow_vector_only") | F.col("metadata_active")) & (vector >= STRICT)
+    reason = (
+        F.when(entity & alone & (vector < ENTITY_LEAST), "vector_only_below_entity_total_min").when(entity & alone & (F.col("tag_score") < ENTITY_TAG) & (F.col("caption_score") < ENTITY_CAPTION), "vector_only_missing_tag_or_caption_evidence")
+        .when(faint & trusted, None).when(faint, "query_constraints:no_vector_only_weak_match").when(F.col("level") > F.col("least"), F.concat(F.lit("evidence_level:"), "level", F.lit(" below min:"), "least"))
+    )
+    return rows.select(*scored.columns, reason.alias("reason"))
+
+
+def reason_counts(judged: DataFrame) -> DataFrame:
+    """(project_id, query_id, reason, n): rows by the reason they are not shown for; ``shown`` for the others."""
+    return judged.groupBy(*REQUEST, F.coalesce("reason", F.lit("shown")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def result_page(rows: DataFrame, photos: DataFrame, page: int, size: int, sorts: list[tuple[str, str]] | None = None, analysis: DataFrame | None = None, faces: DataFrame | None = None) -> DataFrame:
+    """A page of each request with its total, best first, or by ``sorts``: (relevance, taken_at or created_at; asc or desc) from the first
+    on, photos without a time last either way, equal ones best first. Photo, analysis and number of faces are joined to the page only."""
+    chosen = [(f, d) for f, d in sorts or [] if f in ("relevance", "taken_at", "created_at") and d in ("asc", "desc")]
+    timed = [f for f, _ in chosen if f != "relevance"]
+    if timed:
+        rows = rows.join(live(photos).select("project_id", "photo_id", *timed), ["project_id", "photo_id"], "left")
+    by = {"asc": F.asc_nulls_last, "desc": F.desc_nulls_last}
+    order = [by[d]("final_score" if f == "relevance" else f) for f, d in chosen] + [F.desc("final_score"), F.asc("photo_id")]
+    totals = rows.groupBy(*REQUEST).agg(F.count("*").alias("total"))
+    cut = ranked(rows.drop("rank"), page * size, *order).where(F.col("rank") > (page - 1) * size).withColumnRenamed("rank", "position").drop(*timed)
+    found = cut.join(totals, REQUEST).join(live(photos).select("project_id", "photo_id", "file_name", "taken_at"), ["project_id", "photo_id"])
+    if analysis is not None:
+        found = found.join(analysis.select("project_id", "photo_id", "caption", "people_count"), ["project_id", "photo_id"], "left")
+    if faces is not None:
+        own = cut.select("project_id", "photo_id").distinct()
+        counts = faces.where("status <> 'failed'").join(own, ["project_id", "photo_id"], "left_semi").groupBy("project_id", "photo_id").agg(F.count("*").alias("face_count"))
+        found = found.join(counts, ["project_id", "photo_id"], "left").withColumn("face_count", F.coalesce("face_count", F.lit(0)))
+    return found
+
+
+def known_places(queries: DataFrame, photos: DataFrame, checked: bool = False) -> DataFrame:
+    """Whether a request's ``place`` is contained in a place name of its project (six columns); names are made distinct first. With
+    ``checked`` only texts of 2 to 12 characters without digits and white space can be one."""
     names = live(photos).select("project_id", F.explode(F.array_compact(F.array(*(F.lower(c) for c in PLACE_COLUMNS)))).alias("name")).distinct()
-    asked = queries.select("project_id", "query_id", "place")
-    hit = asked.join(names, "project_id").where(F.col("name").contains(F.lower("place"))).select("project_id", "query_id").distinct().withColumn("is_place", F.lit(True))
-    return asked.join(hit, ["project_id", "query_id"], "left").select("project_id", "query_id", F.coalesce("is_place", F.lit(False)).alias("is_place"))
+    asked = queries.select(*REQUEST, "place")
+    possible = F.length(F.trim("place")).between(2, 12) & ~F.trim("place").rlike(r"[\d\s]") if checked else F.lit(True)
+    hit = asked.where(possible).join(names, "project_id").where(F.col("name").contains(F.lower(F.trim("place")))).select(*REQUEST).distinct().withColumn("is_place", F.lit(True))
+    return asked.join(hit, REQUEST, "left").select(*REQUEST, F.coalesce("is_place", F.lit(False)).alias("is_place"))
 
 
 def evaluate(cases: DataFrame, pages: DataFrame) -> DataFrame:
     """Whether each case (project_id, query_id, expected array, min_total) has enough results and all expected photos on its page."""
-    got = pages.groupBy("project_id", "query_id").agg(F.collect_list("photo_id").alias("found"), F.max("total").alias("total"))
-    found = cases.join(got, ["project_id", "query_id"], "left")
+    got = pages.groupBy(*REQUEST).agg(F.collect_list("photo_id").alias("found"), F.max("total").alias("total"))
+    found = cases.join(got, REQUEST, "left")
     missing = F.sort_array(F.array_except("expected", F.coalesce("found", F.array().cast("array<bigint>"))))
-    return found.select("project_id", "query_id", F.array_join(missing, ",").alias("missing"), ((F.size(missing) == 0) & (F.coalesce("total", F.lit(0)) >= F.col("min_total"))).alias("passed"))
+    return found.select(*REQUEST, F.array_join(missing, ",").alias("missing"), ((F.size(missing) == 0) & (F.coalesce("total", F.lit(0)) >= F.col("min_total"))).alias("passed"))
+
+
+def evaluation_summary(results: DataFrame) -> DataFrame:
+    """(project_id, cases, passed, failed) of ``evaluate``."""
+    return results.groupBy("project_id").agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
 
 
 def tag_boost(rows: DataFrame, analysis: DataFrame, queries: DataFrame) -> DataFrame:
@@ -248,22 +455,56 @@ def tag_boost(rows: DataFrame, analysis: DataFrame, queries: DataFrame) -> DataF
     return found.select(*KEYS, F.round(F.col("final_score") + hundredths / 100, 9).alias("final_score"))
 
 
-def facet_filter(rows: DataFrame, analysis: DataFrame, queries: DataFrame, bypass: float = 0.55) -> DataFrame:
-    """Why a row fails its request's facet (facet, positive_terms, negative_terms; facet null: none asked), in this order: a negative
-    term in its texts, no positive term although its vector score is below ``bypass``."""
-    text = F.lower(F.concat_ws(" ", "caption", "ocr_text", F.array_join("scene_tags", " "), F.array_join("object_tags", " ")))
-    known = analysis.select("project_id", "photo_id", text.alias("text"))
-    found = rows.join(known, ["project_id", "photo_id"], "left").join(queries.select("project_id", "query_id", "facet", "positive_terms", "negative_terms"), ["project_id", "query_id"])
-    has = lambda c: F.exists(c, lambda t: F.coalesce(F.col("text"), F.lit("")).contains(F.lower(t)))
-    reason = F.when(F.col("facet").isNull(), None).when(has("negative_terms"), "negative_evidence").when(~has("positive_terms") & (F.coalesce("vector_score", F.lit(0.0)) < bypass), "no_evidence")
-    return found.select(*KEYS, reason.alias("reason"))
+def facet_filter(rows: DataFrame, analysis: DataFrame, queries: DataFrame, allow_vector_only: bool = True, require: bool = False) -> DataFrame:
+    """(project_id, query_id, photo_id, passes, reason): whether a row has evidence of its request's ``facet`` (night, indoor, animal; null
+    or another, and requests of contract 2: none asked).
+
+    ``positive_terms`` and ``negative_terms`` (animal: entities, and scenes that hint at animals only) are looked for in the facet's fields. A
+    high vector score decides first, then the texts; with both kinds of terms only rows of level A or B pass. ``require`` makes night
+    want positive evidence.
+    """
+    low = lambda *columns: F.lower(F.concat_ws(" ", *columns))
+    texts = analysis.select(
+        "project_id", "photo_id", low("caption", "ocr_text", "scene_tags", "object_tags", "activity_tags", "search_keywords", "location_clues").alias("night_text"),
+        low("caption", "scene_tags", "object_tags", "activity_tags").alias("indoor_rich"), low("search_keywords", "location_clues").alias("indoor_weak"), low("caption").alias("caption_text"), low("semantic_concepts").alias("concept_text"),
+        F.transform(F.concat("object_tags", "search_keywords"), F.lower).alias("entity_tags"), low("scene_tags", "location_clues").alias("scene_text"),
+    )
+    none = F.array().cast("array<string>")
+    lowered = lambda c: F.transform(F.coalesce(F.col(c).cast("array<string>"), none), F.lower).alias(c)
+    asked = _asked(queries, "facet", "positive_terms", "negative_terms", "contract").select(*REQUEST, F.when(F.coalesce(F.col("contract").cast("string"), F.lit("1")) != "2", F.col("facet")).alias("facet"), lowered("positive_terms"), lowered("negative_terms"))
+    found = rows.join(texts.withColumn("known", F.lit(True)), ["project_id", "photo_id"], "left").join(asked, REQUEST)
+    within = lambda terms, *columns: F.coalesce(F.exists(terms, lambda t: reduce(Column.__or__, (F.col(c).contains(t) for c in columns))), F.lit(False))
+    entity = F.arrays_overlap("positive_terms", "entity_tags") | F.exists("positive_terms", lambda t: (F.length(t) >= 2) & (F.col("caption_text").contains(t) | F.col("concept_text").contains(t)))
+    facet, unknown = F.col("facet"), F.col("known").isNull()
+    sure = F.lit(allow_vector_only) & (F.coalesce("vector_score", F.lit(0.0)) >= STRICT)
+    strong = F.col("level").isin("A", "B")
+    case = lambda passes, reason: F.struct(F.lit(passes).alias("passes"), F.lit(reason).alias("reason"))
+    entity, scene = F.coalesce(entity, F.lit(False)), within("negative_terms", "scene_text")
+    animal = F.when(unknown & sure, case(True, "animal_vector_only_high_confidence")).when(unknown, case(False, "animal_no_ai_analysis")).when(sure, case(True, "animal_vector_high_confidence")).when(entity, case(True, "animal_entity_evidence")).when(scene, case(False, "animal_scene_without_entity")).otherwise(case(False, "animal_no_entity_evidence"))
+    good, bad = within("positive_terms", "indoor_rich"), within("negative_terms", "indoor_rich", "indoor_weak")
+    indoor = (
+        F.when(unknown & sure, case(True, "indoor_vector_only_high_confidence")).when(unknown, case(False, "indoor_no_ai_analysis")).when(sure & bad & ~good, case(False, "indoor_negative_evidence")).when(sure, case(True, "indoor_vector_high_confidence"))
+        .when(good & ~bad, case(True, "indoor_positive_visual_evidence")).when(good & strong, case(True, "indoor_conflicting_but_strong_keyword")).when(good, case(False, "indoor_conflicting_evidence"))
+        .when(F.coalesce("weak_field", F.lit(False)), case(False, "indoor_weak_tag_only")).otherwise(case(False, "indoor_no_positive_visual_evidence"))
+    )
+    good, bad = within("positive_terms", "night_text"), within("negative_terms", "night_text")
+    termless = (F.size("positive_terms") == 0) & (F.size("negative_terms") == 0)
+    night = (
+        F.when(termless, case(True, "")).when(unknown & sure, case(True, "vector_only_high_confidence")).when(unknown, case(not require, "no_ai_analysis")).when(sure & bad & ~good, case(False, "night_negative_evidence")).when(sure, case(True, "vector_high_confidence"))
+        .when(good & ~bad, case(True, "night_positive_evidence")).when(good & strong, case(True, "night_conflicting_but_strong_keyword")).when(good, case(False, "night_conflicting_evidence"))
+        .when(F.lit(require), case(False, "night_no_positive_evidence")).when(strong, case(True, "night_no_evidence_but_strong_keyword")).otherwise(case(False, "night_no_core_facet_evidence"))
+    )
+    verdict = F.when(facet == "indoor", indoor).when(facet == "animal", animal).when(facet == "night", night).otherwise(case(True, ""))
+    return found.select(*KEYS, verdict.alias("v")).select(*KEYS, "v.passes", "v.reason")
 
 
 def routed(queries: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
-    """The result list of each request's mode: rows of ``lists[mode]`` for requests with that ``mode``."""
-    out = None
-    for mode, rows in lists.items():
-        own = queries.where(F.col("mode") == mode).select("project_id", "query_id")
-        part = rows.join(own, ["project_id", "query_id"], "left_semi").select(*KEYS, "score", F.lit(mode).alias("mode"))
-        out = part if out is None else out.union(part)
-    return out
+    """The result list of each request's mode: metadata, people, keyword, vector or hybrid; auto is keyword for requests that look for
+    written text (is_ocr), else hybrid. Where vectors failed (vector_failed) a hybrid request gets the keyword list and a vector
+    request nothing. Limits to folders and faces are applied in the recalls."""
+    asked = _asked(queries, "mode", "is_ocr", "vector_failed")
+    mode = F.when(F.col("mode") == "auto", F.when(F.coalesce(F.col("is_ocr").cast("boolean"), F.lit(False)), "keyword").otherwise("hybrid")).otherwise(F.col("mode"))
+    failed = F.coalesce(F.col("vector_failed").cast("boolean"), F.lit(False))
+    route = asked.select(*REQUEST, F.when(failed & (mode == "hybrid"), "keyword").when(failed & (mode == "vector"), "nothing").otherwise(mode).alias("mode"))
+    parts = [rows.join(route.where(F.col("mode") == name).select(*REQUEST), REQUEST, "left_semi").select(*KEYS, "score", F.lit(name).alias("mode")) for name, rows in lists.items()]
+    return reduce(DataFrame.union, parts)

@@ -35,13 +35,16 @@ SELECT o_orderkey AS id, o_custkey % 7 AS project_id, 'img_' || CAST(o_orderkey
   CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_custkey % 1800 AS DOUBLE) / 10 - 90 END AS gps_latitude,
   CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderkey % 3600 AS DOUBLE) / 10 - 180 END AS gps_longitude,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE n_name END AS country_name, r_name AS admin1, 'City ' || CAST(o_custkey % 40 AS STRING) AS city,
-  CASE WHEN o_orderkey % 9 = 0 THEN o_orderdate END AS location_resolved_at
+  CASE WHEN o_orderkey % 9 = 0 THEN o_orderdate END AS location_resolved_at,
+  'Area ' || CAST(o_custkey % 30 AS STRING) AS admin2, CASE WHEN o_orderkey % 8 <> 0 THEN 'District ' || CAST(o_orderkey % 50 AS STRING) END AS district,
+  'Street ' || CAST(o_orderkey % 12 AS STRING) || ', City ' || CAST(o_custkey % 40 AS STRING) AS formatted_address
 FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""",
     "analysis": """
 SELECT doc_id AS photo_id, o_custkey % 7 AS project_id, text AS caption, source || ' ' || lang AS ocr_text,
   {slice|w|1|2} AS scene_tags, {slice|w|3|5} AS object_tags, {slice|w|6|6} AS activity_tags, {array|lang} AS quality_tags,
   {array|source} AS location_clues, {slice|w|1|8} AS search_keywords, {slice|w|2|4} AS semantic_concepts,
-  CAST(n_chars % 5 AS INT) AS people_count, CAST(n_chars % 100 AS DOUBLE) / 100 AS confidence, o_orderdate AS created_at
+  CAST(n_chars % 5 AS INT) AS people_count, CAST(n_chars % 100 AS DOUBLE) / 100 AS confidence, o_orderdate AS created_at,
+  CASE WHEN n_chars % 5 >= 2 THEN {array|'people', 'group_photo'} WHEN n_chars % 5 = 1 THEN {array|'people'} END AS semantic_facets
 FROM (SELECT *, {split|lower(text)} AS w FROM documents) d JOIN orders ON o_orderkey = doc_id""",
     "face_embeddings": """
 SELECT vec_id AS face_id, vec_id % 2 AS project_id, vec_id % 97 AS photo_id, label, embedding, CAST(vec_id * 37 % 100 AS DOUBLE) / 100 AS quality,
@@ -68,7 +71,8 @@ SELECT d.doc_id AS id, d.doc_id AS photo_id, d.doc_id % 7 AS project_id, CASE d.
   d.n_chars % 6 = 0 AS is_video, o_orderdate AS created_at FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id JOIN orders ON o_orderkey = d.doc_id""",
     "searches": """
 SELECT item_id AS query_id, item_id % 7 AS project_id, {slice|w|1|2} AS exact_terms, {slice|w|3|5} AS expanded_terms, w[{zero}] AS concept_term, text,
-  CASE WHEN item_id % 3 = 0 THEN 1993 + CAST(item_id % 6 AS INT) END AS year, item_id % 4 = 0 AS needs_gps, CAST(item_id % 5 * 400 AS INT) AS iso_min
+  CASE WHEN item_id % 3 = 0 THEN 1993 + CAST(item_id % 6 AS INT) END AS year, item_id % 4 = 0 AS needs_gps, CAST(item_id % 5 * 400 AS INT) AS iso_min,
+  {slice|w|6|7} AS support_terms, {slice|w|8|9} AS broad_terms, {slice|w|10|10} AS negative_terms, CASE WHEN item_id % 4 = 1 THEN 'animal_search' ELSE 'photo_search' END AS intent
 FROM (SELECT *, {split|lower(text)} AS w FROM benchmark) b""",
 }
 
@@ -98,5 +102,5 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def oracle(select: str, *names: str) -> str:
     """DuckDB SQL: the derived tables ``names`` in front of ``select``, which may go on with its own tables (``, x AS (…) SELECT …``)."""
-    heads = ", ".join(f"{n} AS ({table_sql(n, 'duckdb')})" for n in names)
+    heads = ", ".join(f"{n} AS ({table_sql(n, 'duckdb')})" for n in names if n in _TABLES)
     return f"WITH {heads} {select}" if not select.lstrip().startswith(",") else f"WITH {heads}{select}"
