@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.operators.browse import HUMAN, person_counters
-from shoebox.operators.vectors import BLOCK, _unit, cosine, element_mean
+from shoebox.operators.vectors import BLOCK, _unit, element_mean
 
 ACCEPT, REVIEW, CLUSTER, MIN_QUALITY, MAX_SAMPLES, SAME_BOX = 0.62, 0.48, 0.50, 0.70, 200, 0.70
 
@@ -20,106 +20,197 @@ def is_human() -> Column:
     return F.col("assignment_status").isin(*HUMAN)
 
 
-def samples(assignments: DataFrame, faces: DataFrame, min_quality: float | None = MIN_QUALITY, limit: int = MAX_SAMPLES) -> DataFrame:
-    """The best ``limit`` positive human samples of each person: quality (null last), then the latest assignment."""
-    good = assignments.where(is_human() & F.col("is_positive")).join(faces.select("project_id", "face_id", "quality", F.col("embedding").alias("vector")), ["project_id", "face_id"])
+def model_space() -> Column:
+    """What vectors must share to be compared: model, version and dimension."""
+    return F.concat_ws("|", F.col("model"), F.col("version"), F.size("embedding").cast("string"))
+
+
+def newest_embeddings(faces: DataFrame) -> DataFrame:
+    """The newest usable row of each face: embedded, with a vector; by embedded_at, then embedding_id."""
+    usable = faces.where((F.col("status") == "embedded") & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+    return usable.groupBy("project_id", "face_id").agg(F.max_by(F.struct(*(c for c in faces.columns if c not in ("project_id", "face_id"))), F.struct(F.col("embedded_at").isNotNull(), "embedded_at", "embedding_id")).alias("r")).select("project_id", "face_id", "r.*")
+
+
+def samples(assignments: DataFrame, faces: DataFrame, min_quality: float | None = MIN_QUALITY, limit: int = MAX_SAMPLES, cut_first: bool = False) -> DataFrame:
+    """The best ``limit`` positive human samples of each person: quality (null last), then the latest assignment (updated_at if
+    there is such a column, then id). Faces without a vector are left out.
+
+    If faces have a model, only samples of the model, version and dimension of the person's newest one (embedded_at, null last, then
+    face_id) count; with ``cut_first`` the limit is applied before that.
+    """
+    modelled = "model" in faces.columns
+    more = [model_space().alias("space"), "embedded_at"] if modelled else []
+    good = assignments.where(is_human() & F.col("is_positive")).join(faces.where("embedding IS NOT NULL").select("project_id", "face_id", "quality", F.col("embedding").alias("vector"), *more), ["project_id", "face_id"])
     if min_quality is not None:
         good = good.where(F.col("quality").isNull() | (F.col("quality") >= min_quality))
-    rank = F.row_number().over(Window.partitionBy("project_id", "person_id").orderBy(F.desc(F.coalesce("quality", F.lit(-1.0))), F.desc("id")))
-    return good.withColumn("rank", rank).where(F.col("rank") <= limit)
+    latest = [F.desc_nulls_last("updated_at")] if "updated_at" in assignments.columns else []
+    rank = F.row_number().over(Window.partitionBy("project_id", "person_id").orderBy(F.desc(F.coalesce("quality", F.lit(-1.0))), *latest, F.desc("id")))
+    best = lambda rows: rows.withColumn("rank", rank).where(F.col("rank") <= limit)
+    if not modelled:
+        return best(good)
+    rows = best(good).drop("rank") if cut_first else good
+    newest = rows.groupBy("project_id", "person_id").agg(F.max_by("space", F.struct(F.col("embedded_at").isNotNull(), "embedded_at", "face_id")).alias("space"))
+    return best(rows.join(newest, ["project_id", "person_id", "space"]))
 
 
 def prototypes(assignments: DataFrame, faces: DataFrame, min_quality: float = MIN_QUALITY, limit: int = MAX_SAMPLES) -> DataFrame:
-    """(project_id, person_id, vector, sample_count): the element-wise mean of each person's samples."""
-    return element_mean(samples(assignments, faces, min_quality, limit), ["project_id", "person_id"])
+    """(project_id, person_id, vector, sample_count): the element-wise mean of each person's samples; and their space, if faces have a
+    model. A person without samples has no row, and so loses an older prototype."""
+    keys = ["project_id", "person_id", *(["space"] if "model" in faces.columns else [])]
+    return element_mean(samples(assignments, faces, min_quality, limit), keys)
 
 
-def search_profiles(assignments: DataFrame, faces: DataFrame, protos: DataFrame) -> DataFrame:
-    """A person's prototype, or without one the mean of confirmed samples of any quality; ``source`` says which."""
-    rest = element_mean(samples(assignments, faces, None), ["project_id", "person_id"]).join(protos, ["project_id", "person_id"], "left_anti")
-    return protos.select("project_id", "person_id", "vector", "sample_count", F.lit("prototype").alias("source")).union(rest.select("project_id", "person_id", "vector", "sample_count", F.lit("samples").alias("source")))
+def newest_prototypes(stored: DataFrame, dimension: int) -> DataFrame:
+    """The newest stored prototype (updated_at, then id) of each person whose vector has ``dimension`` places."""
+    rows = stored.where(F.size("vector") == dimension)
+    return rows.groupBy("project_id", "person_id").agg(F.max_by(F.struct("vector", "sample_count"), F.struct(F.col("updated_at").isNotNull(), "updated_at", "id")).alias("r")).select("project_id", "person_id", "r.*")
+
+
+def search_profiles(assignments: DataFrame, faces: DataFrame, protos: DataFrame, persons: DataFrame | None = None) -> DataFrame:
+    """A person's prototype, or without one the mean of confirmed samples of any quality; ``source`` says which. With ``persons`` only
+    named ones have a profile."""
+    rest = element_mean(samples(assignments, faces, None, cut_first=True), ["project_id", "person_id"]).join(protos, ["project_id", "person_id"], "left_anti")
+    found = protos.select("project_id", "person_id", "vector", "sample_count", F.lit("prototype").alias("source")).union(rest.select("project_id", "person_id", "vector", "sample_count", F.lit("samples").alias("source")))
+    return found if persons is None else found.join(_named(persons), ["project_id", "person_id"], "left_semi")
+
+
+def _named(persons: DataFrame) -> DataFrame:
+    return persons.where("is_named").select("project_id", F.col("id").alias("person_id"))
 
 
 def pairs_above(protos: DataFrame, faces: DataFrame, least: float) -> DataFrame:
     """(project_id, face_id, person_id, similarity): faces and prototypes of a project at least ``least`` similar, rounded to 6 places.
 
-    Prototypes pass in blocks that are broadcast, so faces are never shuffled and only similar pairs leave a task.
+    Only vectors of equal length meet, and of equal ``space`` if prototypes have one; null vectors are left out. If prototypes
+    have a face_id, a face does not meet its own, and the most similar one of a person counts. Prototypes pass in blocks that are
+    broadcast, so faces are never shuffled and only similar pairs leave a task.
     """
+    protos = protos.where("vector IS NOT NULL")
     blocks = max(1, -(-protos.count() // BLOCK))
     found = None
     for b in range(blocks):
         part = _similar(protos.where(F.pmod(F.xxhash64("project_id", "person_id"), F.lit(blocks)) == b), faces, least)
         found = part if found is None else found.union(part)
-    return found
+    return found.groupBy("project_id", "face_id", "person_id").agg(F.max("similarity").alias("similarity")) if "face_id" in protos.columns else found
 
 
 def _similar(protos: DataFrame, faces: DataFrame, least: float) -> DataFrame:
-    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    rows = protos.select("project_id", "person_id", "vector").orderBy("project_id", "person_id").collect()
-    for project in {r["project_id"] for r in rows}:
-        own = [r for r in rows if r["project_id"] == project]
-        known[project] = (np.array([r["person_id"] for r in own]), _unit(np.array([r["vector"] for r in own], float)))
+    spaced = "space" in protos.columns
+    own_face = F.col("face_id") if "face_id" in protos.columns else F.lit(None).cast("bigint")
+    space = F.col("space") if spaced else F.size("vector").cast("string")
+    rows = protos.select("project_id", space.alias("space"), "person_id", own_face.alias("own"), "vector").orderBy("project_id", "person_id", "own").collect()
+    groups: dict[tuple, list] = {}
+    for r in rows:
+        groups.setdefault((r["project_id"], r["space"]), []).append(r)
+    known = {key: (np.array([r["person_id"] for r in g]), np.array([-1 if r["own"] is None else r["own"] for r in g]), _unit(np.array([r["vector"] for r in g], float))) for key, g in groups.items()}
     sent = faces.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            project, face = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-            for own in np.unique(project):
-                if own in sent.value:
-                    at = np.flatnonzero(project == own)
-                    people, vectors = sent.value[own]
-                    scores = np.round(_unit(whole.column(2).take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1)) @ vectors.T, 6)
-                    i, j = np.nonzero(scores >= least)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), own)), pa.array(face[at[i]]), pa.array(people[j]), pa.array(scores[i, j])], ["project_id", "face_id", "person_id", "similarity"])
-
-    source = faces.select(F.col("project_id").cast("bigint"), F.col("face_id").cast("bigint"), F.col("embedding").cast("array<double>"))
+            project, face, spaces = whole.column(0).to_pylist(), whole.column(1).to_numpy(), whole.column(2).to_pylist()
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(project, spaces, strict=True)):
+                if key in sent.value:
+                    places.setdefault(key, []).append(i)
+            for key, at in places.items():
+                people, owners, vectors = sent.value[key]
+                scores = np.round(_unit(whole.column(3).take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1)) @ vectors.T, 6)
+                here = face[np.array(at)]
+                i, j = np.nonzero((scores >= least) & (here[:, None] != owners))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), key[0])), pa.array(here[i]), pa.array(people[j]), pa.array(scores[i, j])], ["project_id", "face_id", "person_id", "similarity"])
+
+    good = faces.where("embedding IS NOT NULL AND size(embedding) > 0")
+    face_space = model_space() if spaced else F.size("embedding").cast("string")
+    source = good.select(F.col("project_id").cast("bigint"), F.col("face_id").cast("bigint"), face_space.alias("space"), F.col("embedding").cast("array<double>"))
     return source.mapInArrow(run, "project_id bigint, face_id bigint, person_id bigint, similarity double")
 
 
-def match(protos: DataFrame, faces: DataFrame, assignments: DataFrame, barred: DataFrame, accept: float = ACCEPT, review: float = REVIEW) -> DataFrame:
+def match(protos: DataFrame, faces: DataFrame, assignments: DataFrame, barred: DataFrame, accept: float = ACCEPT, review: float = REVIEW, persons: DataFrame | None = None, auto: bool = True) -> DataFrame:
     """(project_id, face_id, person_id, similarity, decision): the best person of each face that no human has assigned, unless
-    barred (project_id, face_id, not_person_id); auto_assigned from ``accept`` on, review_pending from ``review`` on."""
+    barred (project_id, face_id, not_person_id); auto_assigned from ``accept`` on if ``auto``, review_pending from ``review`` on.
+
+    With ``persons`` only named ones are candidates. Faces with several embeddings are to be cut to the newest (``newest_embeddings``);
+    a prototype's space, if it has one, must be the face's.
+    """
+    if persons is not None:
+        protos = protos.join(_named(persons), ["project_id", "person_id"], "left_semi")
     locked = assignments.where(is_human()).select("project_id", "face_id").distinct()
     free = faces.where("status = 'embedded'").join(locked, ["project_id", "face_id"], "left_anti")
     pairs = pairs_above(protos, free, review)
     allowed = pairs.join(barred.select("project_id", "face_id", F.col("not_person_id").alias("person_id")), ["project_id", "face_id", "person_id"], "left_anti")
     best = allowed.groupBy("project_id", "face_id").agg(F.max(F.struct("similarity", (-F.col("person_id")).alias("p"))).alias("b"))
-    return best.select("project_id", "face_id", (-F.col("b.p")).alias("person_id"), "b.similarity", F.when(F.col("b.similarity") >= accept, "auto_assigned").otherwise("review_pending").alias("decision"))
+    return best.select("project_id", "face_id", (-F.col("b.p")).alias("person_id"), "b.similarity", F.when(F.lit(auto) & (F.col("b.similarity") >= accept), "auto_assigned").otherwise("review_pending").alias("decision"))
 
 
 def generalised_bars(protos: DataFrame, faces: DataFrame, excluded: DataFrame, accept: float = ACCEPT, review: float = REVIEW) -> DataFrame:
     """(project_id, face_id, not_person_id): pairs barred because a face excluded for the person (project_id, face_id, person_id)
     is at least ``accept`` similar to the face, and at least as similar as the person is.
 
-    Only pairs that could become a decision are looked at: a person below ``review`` is never chosen anyway.
+    Only pairs that could become a decision are looked at: a person below ``review`` is never chosen anyway. Excluded faces pass
+    like prototypes, so a face meets those of a person inside a task and only its most similar one leaves it.
+    """
+    space = [model_space().alias("space")] if "model" in faces.columns else []
+    good = faces.where((F.col("status") == "embedded") & (F.col("quality") >= MIN_QUALITY)).select("project_id", "face_id", F.col("embedding").cast("array<double>").alias("vector"), *space)
+    negatives = excluded.select("project_id", "face_id", "person_id").distinct().join(good, ["project_id", "face_id"])
+    alike = pairs_above(negatives, faces, accept).withColumnRenamed("similarity", "alike")
+    pairs = pairs_above(protos, faces, review).join(alike, ["project_id", "face_id", "person_id"])
+    return pairs.where("alike >= similarity").select("project_id", "face_id", F.col("person_id").alias("not_person_id")).distinct()
+
+
+def rematch_candidates(faces: DataFrame, assignments: DataFrame, limit: int | None = 1000, scope: str = "unknown", person_id: int | None = None, start=None, end=None) -> DataFrame:
+    """Embedded faces that no human has assigned, newest first (embedded_at and detected_at if there are such columns, then id), at most
+    ``limit`` for each project; without ``limit`` all of them, and no rank, which only a window over a whole project could number.
+
+    Scopes: ``unknown``, faces without an open assignment or with one that waits for review or comes from a cluster; ``project``, all;
+    ``person``, those without an open assignment to ``person_id``; ``time_range``, detected from ``start`` to ``end``.
     """
-    vectors = faces.select("project_id", "face_id", F.col("embedding").cast("array<double>").alias("v"))
-    good = faces.where(F.col("status") == "embedded").where(F.col("quality") >= MIN_QUALITY).select("project_id", "face_id")
-    negatives = excluded.join(good, ["project_id", "face_id"], "left_semi").join(vectors, ["project_id", "face_id"]).select("project_id", "person_id", F.col("face_id").alias("n_face"), F.col("v").alias("n"))
-    pairs = pairs_above(protos, faces, review).join(vectors, ["project_id", "face_id"]).join(negatives, ["project_id", "person_id"]).where("face_id <> n_face")
-    alike = F.round(cosine(F.col("v"), F.col("n")), 6)
-    return pairs.where((alike >= accept) & (alike >= F.col("similarity"))).select("project_id", "face_id", F.col("person_id").alias("not_person_id")).distinct()
-
-
-def rematch_candidates(faces: DataFrame, assignments: DataFrame, limit: int | None = 1000) -> DataFrame:
-    """Embedded faces without a human or automatic assignment, highest ids first, at most ``limit`` for each project; without
-    ``limit`` all of them, and no rank, which only a window over a whole project could number."""
-    taken = assignments.where(is_human() | (F.col("assignment_status") == "auto_assigned")).select("project_id", "face_id").distinct()
-    free = faces.where("status = 'embedded'").select("project_id", "face_id").join(taken, ["project_id", "face_id"], "left_anti")
+    key = ["project_id", "face_id"]
+    open_ = assignments.where("assignment_status <> 'rejected'")
+    free = faces.where("status = 'embedded'").join(assignments.where(is_human()).select(*key).distinct(), key, "left_anti")
+    if scope == "unknown":
+        source = F.col("assignment_source") == "unknown_cluster" if "assignment_source" in assignments.columns else F.lit(False)
+        loose = F.coalesce((F.col("assignment_status") == "review_pending") | source, F.lit(False))
+        held = open_.groupBy(*key).agg(F.bool_or(loose).alias("loose")).where("NOT loose")
+        free = free.join(held, key, "left_anti")
+    elif scope == "person":
+        free = free.join(open_.where(F.col("person_id") == person_id).select(*key).distinct(), key, "left_anti")
+    elif scope == "time_range":
+        free = free.where(F.col("detected_at").between(F.lit(start), F.lit(end)))
+    elif scope != "project":
+        raise ValueError(f"unknown scope {scope}")
     if limit is None:
-        return free
-    return free.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("face_id")))).where(F.col("rank") <= limit)
+        return free.select(*key)
+    newest = [F.desc_nulls_last(c) for c in ("embedded_at", "detected_at") if c in faces.columns]
+    return free.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy(*newest, F.desc("face_id")))).where(F.col("rank") <= limit).select(*key, "rank")
+
 
+def apply_rematch(assignments: DataFrame, decisions: DataFrame, for_person: bool = False) -> DataFrame:
+    """Assignments after decisions: a decided pair takes the decision's status, other open ones of the face are rejected (source
+    prototype_rematch), new pairs appear without an id; human ones stay.
 
-def apply_rematch(assignments: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Assignments after decisions: a decided pair takes the decision's status, other open ones of the face are rejected, new
-    pairs appear without an id; human ones stay."""
+    ``for_person``: a rematch for one person leaves other assignments and only puts pairs up for review.
+    """
     new = decisions.select("project_id", "face_id", F.col("person_id").alias("d_person"), "decision")
+    if for_person:
+        new = new.withColumn("decision", F.lit("review_pending"))
     old = assignments.join(new, ["project_id", "face_id"], "left")
-    status = F.when(is_human() | F.col("d_person").isNull(), F.col("assignment_status")).when(F.col("person_id") == F.col("d_person"), F.col("decision")).otherwise("rejected")
-    kept = old.select("project_id", "face_id", "person_id", "id", status.alias("assignment_status"))
-    added = decisions.join(assignments, ["project_id", "face_id", "person_id"], "left_anti").select("project_id", "face_id", "person_id", F.lit(None).cast("bigint").alias("id"), F.col("decision").alias("assignment_status"))
-    return kept.union(added)
+    own, others = F.col("person_id") == F.col("d_person"), F.lit(not for_person)
+    free = ~is_human() & F.col("d_person").isNotNull()
+    status = F.when(free & own, F.col("decision")).when(free & others, "rejected").otherwise(F.col("assignment_status"))
+    found = F.lit("targeted_person_rematch" if for_person else "similarity_match")
+    before = F.col("assignment_source") if "assignment_source" in assignments.columns else F.lit(None).cast("string")
+    source = F.when(free & own, found).when(free & others & (F.col("assignment_status") != "rejected"), "prototype_rematch").otherwise(before)
+    kept = old.select("project_id", "face_id", "person_id", "id", status.alias("assignment_status"), source.alias("assignment_source"))
+    added = new.withColumnRenamed("d_person", "person_id").join(assignments, ["project_id", "face_id", "person_id"], "left_anti")
+    return kept.union(added.select("project_id", "face_id", "person_id", F.lit(None).cast("bigint"), "decision", found))
+
+
+def rematch_summary(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(project_id, faces_considered, matched_faces, auto_assigned, review_pending) of a rematch of the candidates."""
+    key = ["project_id", "face_id"]
+    made = candidates.select(*key).join(decisions.select(*key, "decision"), key, "left")
+    count = lambda name: F.count_if(F.col("decision") == name).alias(name)
+    return made.groupBy("project_id").agg(F.count("*").alias("faces_considered"), F.count("decision").alias("matched_faces"), count("auto_assigned"), count("review_pending"))
 
 
 def cluster_unknown(faces: DataFrame, assignments: DataFrame, limit: int | None = None, threshold: float = CLUSTER) -> DataFrame:
@@ -163,8 +254,9 @@ def cluster_unknown(faces: DataFrame, assignments: DataFrame, limit: int | None
 
 def reconcile_boxes(old: DataFrame, new: DataFrame, threshold: float = SAME_BOX) -> DataFrame:
     """(project_id, photo_id, place, face_id, action) of new boxes (x, y, w, h, place: order of detection) against a photo's old
-    ones (face_id): the same box, else the best overlap from ``threshold`` on among those left; the rest is inserted or has
-    disappeared (place null). A photo's boxes are few; many photos share a task's group."""
+    ones (face_id): the same box, else the best overlap from ``threshold`` on among those left, box by box; the rest is inserted or
+    has disappeared (place null). Several old faces may have one box; each is matched once, smaller ids first. A photo's boxes are
+    few; many photos share a task's group."""
 
     columns = ["project_id", "photo_id", "x", "y", "w", "h"]
     bins = 8 * int(old.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -174,18 +266,20 @@ def reconcile_boxes(old: DataFrame, new: DataFrame, threshold: float = SAME_BOX)
         return rows.select(bin_, *(F.col(c).alias(f"{last}_{c}") for c in (*columns, last)))  # both sides may come from one table
 
     def greedy(before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
-        left: dict[tuple, dict[tuple, int]] = {}
-        for project, photo, *box, face in before.iloc[:, 1:].sort_values("face_id_face_id", ascending=False).itertuples(index=False, name=None):
-            left.setdefault((project, photo), {})[tuple(box)] = face
+        left: dict[tuple, dict[int, tuple]] = {}
+        for project, photo, *box, face in before.iloc[:, 1:].sort_values("face_id_face_id").itertuples(index=False, name=None):
+            left.setdefault((project, photo), {})[face] = tuple(box)
         rows = []
         for project, photo, *box, place in after.iloc[:, 1:].sort_values("place_place").itertuples(index=False, name=None):
             own, box = left.get((project, photo), {}), tuple(box)
-            best = box if box in own else max(own, key=lambda b: (_overlap(b, box), -own[b]), default=None)
-            if best is not None and _overlap(best, box) >= threshold:
-                rows.append((project, photo, place, own.pop(best), "keep" if best == box else "move"))
-            else:
+            same = next((face for face, b in own.items() if b == box), None)
+            best = same if same is not None else max(own, key=lambda face: (_overlap(own[face], box), -face), default=None)
+            if same is None and (best is None or _overlap(own[best], box) < threshold):
                 rows.append((project, photo, place, None, "insert"))
-        rows += [(*key, None, face, "disappeared") for key, own in left.items() for face in own.values()]
+            else:
+                del own[best]
+                rows.append((project, photo, place, best, "keep" if best == same else "move"))
+        rows += [(*key, None, face, "disappeared") for key, own in left.items() for face in own]
         return pd.DataFrame(rows, columns=["project_id", "photo_id", "place", "face_id", "action"]).astype({"place": "Int64", "face_id": "Int64"})
 
     pairs = dealt(old, "face_id").groupBy("face_id_bin").cogroup(dealt(new, "place").groupBy("place_bin"))
@@ -206,27 +300,53 @@ def face_quality(confidence: Column, box_area: Column, image_area: Column, digit
     return F.round(0.65 * F.coalesce(confidence, F.lit(0.5)) + 0.35 * share, digits)
 
 
+def _last_events(events: DataFrame) -> DataFrame:
+    """The last action of each (project_id, face_id, person_id): confirm, exclude, left or corrected; a move is the last two."""
+    key = ["project_id", "face_id", "person_id"]
+    if "target_id" in events.columns:
+        parts = F.when(F.col("action") == "move", F.array(F.struct("person_id", F.lit("left").alias("action")), F.struct(F.col("target_id").alias("person_id"), F.lit("corrected").alias("action")))).otherwise(F.array(F.struct("person_id", "action")))
+        events = events.select("project_id", "face_id", "seq", F.inline(parts))
+    return events.groupBy(*key).agg(F.max_by("action", "seq").alias("action"), F.max("seq").alias("seq"))
+
+
 def apply_feedback(assignments: DataFrame, events: DataFrame) -> DataFrame:
-    """Assignments after confirm and exclude events (project_id, face_id, person_id, action, seq); the last one of a pair counts.
+    """Assignments after confirm, exclude and move events (project_id, face_id, person_id, action, seq, and target_id of moves); the last
+    one of a pair counts.
 
     A confirmed pair is human_confirmed and positive, and other open assignments of its face are rejected; an excluded pair is
-    rejected. Confirmed pairs without an assignment appear without an id.
+    rejected. A move deletes the assignment to the person, and makes that to target_id human_corrected and positive. Confirmed
+    and corrected pairs without an assignment appear without an id.
     """
     key = ["project_id", "face_id", "person_id"]
-    last = events.groupBy(*key).agg(F.max_by("action", "seq").alias("action"), F.max("seq").alias("seq"))
+    last = _last_events(events)
     winner = last.where("action = 'confirm'").groupBy("project_id", "face_id").agg(F.max_by("person_id", "seq").alias("winner"))
-    old = assignments.join(last.drop("seq"), key, "left").join(winner, ["project_id", "face_id"], "left")
-    status = F.when(F.col("person_id") == F.col("winner"), "human_confirmed").when((F.col("action") == "exclude") | F.col("winner").isNotNull(), "rejected").otherwise(F.col("assignment_status"))
-    kept = old.select(*key, "id", status.alias("assignment_status"), (F.col("is_positive") | F.coalesce(F.col("person_id") == F.col("winner"), F.lit(False))) & (status != "rejected"))
-    added = winner.withColumnRenamed("winner", "person_id").join(assignments, key, "left_anti").select(*key, F.lit(None).cast("bigint"), F.lit("human_confirmed"), F.lit(True))
+    old = assignments.join(last.drop("seq"), key, "left").join(winner, ["project_id", "face_id"], "left").where("action IS NULL OR action <> 'left'")
+    own, moved = F.coalesce(F.col("person_id") == F.col("winner"), F.lit(False)), F.coalesce(F.col("action") == "corrected", F.lit(False))
+    status = F.when(own, "human_confirmed").when(moved, "human_corrected").when((F.col("action") == "exclude") | F.col("winner").isNotNull(), "rejected").otherwise(F.col("assignment_status"))
+    kept = old.select(*key, "id", status.alias("assignment_status"), (F.col("is_positive") | own | moved) & (status != "rejected"))
+    fresh = winner.select("project_id", "face_id", F.col("winner").alias("person_id"), F.lit("human_confirmed").alias("status"))
+    fresh = fresh.union(last.where("action = 'corrected'").join(winner, ["project_id", "face_id"], "left").where("winner IS NULL OR winner <> person_id").select(*key, F.lit("human_corrected")))
+    added = fresh.join(assignments, key, "left_anti").select(*key, F.lit(None).cast("bigint"), "status", F.lit(True))
     return kept.union(added).toDF(*key, "id", "assignment_status", "is_positive")
 
 
-def feedback_constraints(events: DataFrame) -> DataFrame:
-    """(project_id, face_id, not_person_id) after events: of excluded pairs only."""
+def feedback_constraints(events: DataFrame, assignments: DataFrame | None = None, before: DataFrame | None = None, enabled: bool = True) -> DataFrame:
+    """(project_id, face_id, not_person_id) after events: those of ``before``, excluded pairs, persons that a face was moved from and, with
+    ``assignments``, other persons with an open assignment to a confirmed face; without confirmed and corrected pairs. With
+    ``enabled`` false no new ones are made."""
     key = ["project_id", "face_id", "person_id"]
-    last = events.groupBy(*key).agg(F.max_by("action", "seq").alias("action"))
-    return last.where("action = 'exclude'").select("project_id", "face_id", F.col("person_id").alias("not_person_id"))
+    last = _last_events(events)
+    bars = last.where("action IN ('exclude', 'left')").select(*key)
+    if assignments is not None:
+        winner = last.where("action = 'confirm'").groupBy("project_id", "face_id").agg(F.max_by("person_id", "seq").alias("winner"))
+        lost = assignments.where("assignment_status <> 'rejected'").join(winner, ["project_id", "face_id"]).where("person_id <> winner")
+        bars = bars.union(lost.select(*key))
+    if not enabled:
+        bars = bars.where("false")
+    if before is not None:
+        bars = bars.union(before.select("project_id", "face_id", F.col("not_person_id").alias("person_id")))
+    kept = bars.distinct().join(last.where("action IN ('confirm', 'corrected')"), key, "left_anti")
+    return kept.select("project_id", "face_id", F.col("person_id").alias("not_person_id"))
 
 
 def merge_people(assignments: DataFrame, pairs: DataFrame, cannot_links: DataFrame) -> DataFrame:
@@ -242,6 +362,34 @@ def merge_people(assignments: DataFrame, pairs: DataFrame, cannot_links: DataFra
     return out.select("project_id", "source_id", "target_id", F.coalesce("linked", F.lit(False)).alias("blocked"), F.coalesce("moved", F.lit(0)).alias("moved"), F.coalesce("revived", F.lit(0)).alias("revived"))
 
 
+def merged_assignments(assignments: DataFrame, pairs: DataFrame, cannot_links: DataFrame) -> DataFrame:
+    """Assignments after merging pairs (source_id, target_id) that no cannot-link blocks; a person is in one pair at most.
+
+    An open face of the source goes to the target (source human_merge); if the target has it, its own row stays, taking the source's
+    status if it was rejected, and the source's goes. Rejected rows of the source stay.
+    """
+    links = cannot_links.select("project_id", F.col("person_a").alias("a"), F.col("person_b").alias("b"))
+    open_pairs = pairs.select("project_id", "source_id", "target_id", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).join(links, ["project_id", "a", "b"], "left_anti").select("project_id", "source_id", "target_id")
+    columns = ["project_id", "face_id", "person_id", "id", "assignment_status", "assignment_source"]
+    rows = assignments.withColumn("assignment_source", F.col("assignment_source") if "assignment_source" in assignments.columns else F.lit(None).cast("string")).select(*columns)
+    own = rows.where("assignment_status <> 'rejected'").select("project_id", "face_id", F.col("person_id").alias("source_id"), F.col("id").alias("s_id"), F.col("assignment_status").alias("s_status"))
+    open_ = own.join(open_pairs, ["project_id", "source_id"])
+    held = rows.join(open_.select("project_id", "face_id", F.col("target_id").alias("person_id"), "s_id", "s_status"), ["project_id", "face_id", "person_id"], "left")
+    revived = F.col("s_id").isNotNull() & (F.col("assignment_status") == "rejected")
+    held = held.select("project_id", "face_id", "person_id", "id", F.when(revived, F.col("s_status")).otherwise(F.col("assignment_status")).alias("assignment_status"), F.when(revived, "human_merge").otherwise(F.col("assignment_source")).alias("assignment_source"))
+    stay = held.join(open_.select("project_id", F.col("s_id").alias("id")), ["project_id", "id"], "left_anti").select(*columns)
+    moved = open_.select("project_id", "face_id", F.col("target_id").alias("person_id"), "s_id", "s_status").join(rows.select("project_id", "face_id", "person_id"), ["project_id", "face_id", "person_id"], "left_anti")
+    return stay.union(moved.select("project_id", "face_id", "person_id", "s_id", "s_status", F.lit("human_merge")))
+
+
+def merged_representatives(persons: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(project_id, id, representative) after merges: the target's own, else the source's, which has none any more."""
+    source = pairs.select("project_id", F.col("source_id").alias("id"), F.lit(True).alias("gone"))
+    given = pairs.join(persons.select("project_id", F.col("id").alias("source_id"), F.col("representative").alias("given")), ["project_id", "source_id"]).select("project_id", F.col("target_id").alias("id"), "given")
+    rows = persons.join(source, ["project_id", "id"], "left").join(given, ["project_id", "id"], "left")
+    return rows.select("project_id", "id", F.when(F.col("gone").isNull(), F.coalesce("representative", "given")).alias("representative"))
+
+
 def split_people(assignments: DataFrame, chosen: DataFrame) -> DataFrame:
     """(project_id, face_id, person_id, new_person_id, a, b): chosen open faces (project_id, face_id, person_id, new_person_id) as they
     go to the new person; (a, b) is the cannot-link that the split leaves."""
@@ -249,15 +397,79 @@ def split_people(assignments: DataFrame, chosen: DataFrame) -> DataFrame:
     return chosen.join(held, ["project_id", "face_id", "person_id"]).withColumn("a", F.least("person_id", "new_person_id")).withColumn("b", F.greatest("person_id", "new_person_id"))
 
 
+def split_tables(assignments: DataFrame, chosen: DataFrame) -> dict[str, DataFrame]:
+    """What a split leaves: ``assignments``, in which chosen faces are human_corrected, positive ones of the new person (source
+    human_split); ``persons``, the new named ones; ``constraints`` against the old person; ``cannot_links``."""
+    done = split_people(assignments, chosen)
+    to = done.select("project_id", "face_id", "person_id", "new_person_id")
+    rows = assignments.join(to, ["project_id", "face_id", "person_id"], "left")
+    split = F.col("new_person_id").isNotNull() & (F.col("assignment_status") != "rejected")
+    after = rows.select("project_id", "face_id", F.when(split, F.col("new_person_id")).otherwise(F.col("person_id")).alias("person_id"), "id", F.when(split, "human_corrected").otherwise(F.col("assignment_status")).alias("assignment_status"), (F.col("is_positive") | split).alias("is_positive"), F.when(split, "human_split").alias("assignment_source"))
+    return {
+        "assignments": after, "persons": done.select("project_id", F.col("new_person_id").alias("id"), F.lit(True).alias("is_named")).distinct(),
+        "constraints": done.select("project_id", "face_id", F.col("person_id").alias("not_person_id")).distinct(), "cannot_links": done.select("project_id", F.col("a").alias("person_a"), F.col("b").alias("person_b")).distinct(),
+    }
+
+
+def first_namings(persons: DataFrame, events: DataFrame) -> DataFrame:
+    """(project_id, person_id, display_name, first): the last not blank name of each renamed person; ``first`` if it had none before."""
+    names = events.where("trim(name) <> ''").groupBy("project_id", "person_id").agg(F.max_by(F.trim("name"), "seq").alias("display_name"))
+    return names.join(persons.select("project_id", F.col("id").alias("person_id"), (~F.col("is_named")).alias("first")), ["project_id", "person_id"])
+
+
+def promoted(assignments: DataFrame, named: DataFrame) -> DataFrame:
+    """Assignments after first namings: open ones of the person are human_confirmed, positive ones."""
+    rows = assignments.join(named.where("first").select("project_id", "person_id", F.lit(True).alias("now")), ["project_id", "person_id"], "left")
+    hit = F.col("now").isNotNull() & (F.col("assignment_status") != "rejected")
+    return rows.select("project_id", "face_id", "person_id", "id", F.when(hit, "human_confirmed").otherwise(F.col("assignment_status")).alias("assignment_status"), (F.col("is_positive") | hit).alias("is_positive"))
+
+
+def delete_people(requests: DataFrame, persons: DataFrame, assignments: DataFrame, constraints: DataFrame, cannot_links: DataFrame) -> dict[str, DataFrame]:
+    """``outcome`` of each requested deletion (project_id, person_id): deleted, refused (open assignments) or not_found; and the
+    ``constraints`` and ``cannot_links`` that are left."""
+    known = deletable_people(assignments, persons).select("project_id", "person_id", "deletable")
+    outcome = requests.select("project_id", "person_id").distinct().join(known, ["project_id", "person_id"], "left")
+    outcome = outcome.select("project_id", "person_id", F.when(F.col("deletable").isNull(), "not_found").when(F.col("deletable"), "deleted").otherwise("refused").alias("outcome"))
+    gone = outcome.where("outcome = 'deleted'").select("project_id", "person_id")
+    left = constraints.join(gone.withColumnRenamed("person_id", "not_person_id"), ["project_id", "not_person_id"], "left_anti")
+    links = cannot_links.join(gone.withColumnRenamed("person_id", "person_a"), ["project_id", "person_a"], "left_anti").join(gone.withColumnRenamed("person_id", "person_b"), ["project_id", "person_b"], "left_anti")
+    return {"outcome": outcome, "constraints": left, "cannot_links": links}
+
+
 def deletable_people(assignments: DataFrame, persons: DataFrame) -> DataFrame:
     """Whether each person may be deleted: only without an open assignment."""
     return person_counters(assignments, persons).select("project_id", "person_id", (F.col("face_count") == 0).alias("deletable"))
 
 
-def scan_plan(photos: DataFrame, faces: DataFrame, jobs: DataFrame, scope: str) -> DataFrame:
-    """Photos to scan for faces: ``missing`` (no face), ``failed`` (a failed face) or ``all``; those with an active job are skipped."""
+def stale_scans(photos: DataFrame, faces: DataFrame, settings: DataFrame, derivatives: DataFrame) -> DataFrame:
+    """(project_id, photo_id) of photos to scan again: their newest face (updated_at) is older than the project's settings, or their work
+    image (status, path_exists, source_exists, source_mtime, file_mtime) is not ready, gone, or of another source."""
+    key = ["project_id", "photo_id"]
+    newest = faces.groupBy(*key).agg(F.max("updated_at").alias("newest")).join(settings.select("project_id", F.col("updated_at").alias("changed")), "project_id")
+    other = F.col("source_exists") & F.col("source_mtime").isNotNull() & ~F.col("source_mtime").eqNullSafe(F.col("file_mtime"))
+    broken = derivatives.where((F.col("status") != "ready") | ~F.col("path_exists") | ~F.col("source_exists") | other).select(*key)
+    live = photos.where("deleted_at IS NULL").select("project_id", F.col("id").alias("photo_id"))
+    return newest.where("newest < changed").select(*key).union(broken.join(live, key, "left_semi")).distinct()
+
+
+def scan_plan(photos: DataFrame, faces: DataFrame, jobs: DataFrame, scope: str, job_type: str | None = None, stale: DataFrame | None = None, selected: DataFrame | None = None) -> DataFrame:
+    """Photos to scan for faces: ``missing`` (no face), ``failed`` (a failed face, or a failed job of ``job_type``), ``stale``
+    (``stale_scans``), ``selected`` or ``all``; those with an active job (of ``job_type``, if given) are skipped."""
     live = photos.where("deleted_at IS NULL").select("project_id", F.col("id").alias("photo_id"))
     key = ["project_id", "photo_id"]
-    wanted = {"all": live, "missing": live.join(faces, key, "left_anti"), "failed": live.join(faces.where("status = 'failed'"), key, "left_semi")}[scope]
-    busy = jobs.where(F.col("status").isin("queued", "running")).select(*key, F.lit(True).alias("busy")).distinct()
+    own = jobs if job_type is None else jobs.where(F.col("job_type") == job_type)
+    failed = faces.where("status = 'failed'").select(*key)
+    if job_type is not None:
+        failed = failed.union(own.where("status = 'failed'").select(*key))
+    limits = {"missing": (faces, "left_anti"), "failed": (failed, "left_semi"), "stale": (stale, "left_semi"), "selected": (selected, "left_semi")}
+    wanted = live if scope == "all" else live.join(limits[scope][0].select(*key), key, limits[scope][1])
+    busy = own.where(F.col("status").isin("queued", "running")).select(*key, F.lit(True).alias("busy")).distinct()
     return wanted.join(busy, key, "left").select(*key, F.when(F.col("busy"), "skipped").otherwise("created").alias("outcome"))
+
+
+def scan_counts(photos: DataFrame, plan: DataFrame) -> DataFrame:
+    """(project_id, total_photos, candidates, skipped_active, out_of_scope) of a plan."""
+    total = photos.where("deleted_at IS NULL").groupBy("project_id").agg(F.count("*").alias("total_photos"))
+    made = plan.groupBy("project_id").agg(F.count_if(F.col("outcome") == "created").alias("candidates"), F.count_if(F.col("outcome") == "skipped").alias("skipped_active"))
+    rows = total.join(made, "project_id", "left").na.fill(0)
+    return rows.withColumn("out_of_scope", F.col("total_photos") - F.col("candidates") - F.col("skipped_active"))

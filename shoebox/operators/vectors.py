@@ -22,10 +22,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int, key: str = "project_id") -> DataFrame:
     """(key, query_id, id, similarity, rank): the ``k`` rows (key, id, vector) most similar to each query (key, query_id,
-    vector) with the same key; ties to the smaller id. Similarities are rounded to 6 places before they are compared.
+    vector) with the same key and the same length; ties to the smaller id. Similarities are rounded to 6 places before they are
+    compared. Null and empty vectors, and vectors with a null component, take no part.
 
     Queries pass in blocks of ``BLOCK``; each task sends at most ``k`` rows for each query of a block to the window.
     """
+    whole = (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull())
+    queries, rows = queries.where(whole), rows.where(whole)
     blocks = max(1, -(-queries.count() // BLOCK))
     found = None
     for b in range(blocks):
@@ -37,18 +40,19 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, key: str = "project_id")
 
 def _scored(queries: DataFrame, rows: DataFrame, k: int, key: str) -> DataFrame:
     asked = queries.select(F.col(key).cast("bigint"), F.col("query_id").cast("bigint"), F.col("vector").cast("array<double>")).orderBy("query_id").collect()
-    by_key: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for own in {r[0] for r in asked}:
-        mine = [r for r in asked if r[0] == own]
-        by_key[own] = (np.array([r[1] for r in mine]), _unit(np.array([r[2] for r in mine])))
+    groups: dict[tuple[int, int], list] = {}
+    for r in asked:
+        groups.setdefault((r[0], len(r[2])), []).append(r)
+    by_key = {own: (np.array([r[1] for r in mine]), _unit(np.array([r[2] for r in mine]))) for own, mine in groups.items()}
     sent = rows.sparkSession.sparkContext.broadcast(by_key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {own: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for own in sent.value}
         for whole in batches:
             keys, ids = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-            for own in sorted(set(keys.tolist()) & sent.value.keys()):
-                at = np.flatnonzero(keys == own)
+            lengths = np.diff(whole.column(2).offsets.to_numpy())
+            for own in sorted(set(zip(keys.tolist(), lengths.tolist(), strict=True)) & sent.value.keys()):
+                at = np.flatnonzero((keys == own[0]) & (lengths == own[1]))
                 vectors = _unit(whole.column(2).take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1))
                 scores = np.round(sent.value[own][1] @ vectors.T, 6) + 0.0
                 # What is worse than the k-th of this batch cannot be among the k; ties stay and are ordered by id below.
@@ -58,7 +62,7 @@ def _scored(queries: DataFrame, rows: DataFrame, k: int, key: str) -> DataFrame:
                 best[own] = _first(np.concatenate([old[0], q]), np.concatenate([old[1], ids[at[row]]]), np.concatenate([old[2], scores[q, row]]), k)
         for own, (q, ids, scores) in best.items():
             if len(q):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), own)), pa.array(sent.value[own][0][q]), pa.array(ids), pa.array(scores)], [key, "query_id", "id", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), own[0])), pa.array(sent.value[own][0][q]), pa.array(ids), pa.array(scores)], [key, "query_id", "id", "similarity"])
 
     source = rows.select(F.col(key).cast("bigint"), F.col("id").cast("bigint"), F.col("vector").cast("array<double>"))
     return source.mapInArrow(run, f"{key} bigint, query_id bigint, id bigint, similarity double")

@@ -77,7 +77,8 @@ def ppl4_negative_generalisation(assignments: DataFrame, faces: DataFrame) -> Da
 
 @query(
     """SELECT project_id, face_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY face_id DESC) AS INT) AS rank FROM face_embeddings f WHERE status = 'embedded'
-  AND NOT EXISTS (FROM assignments a WHERE (assignment_status LIKE 'human%' OR assignment_status = 'auto_assigned') AND a.project_id = f.project_id AND a.face_id = f.face_id) QUALIFY rank <= 1000""",
+  AND NOT EXISTS (FROM assignments a WHERE assignment_status LIKE 'human%' AND a.project_id = f.project_id AND a.face_id = f.face_id)
+  AND (NOT EXISTS (FROM assignments a WHERE assignment_status <> 'rejected' AND a.project_id = f.project_id AND a.face_id = f.face_id) OR EXISTS (FROM assignments a WHERE assignment_status = 'review_pending' AND a.project_id = f.project_id AND a.face_id = f.face_id)) QUALIFY rank <= 1000""",
     "face_embeddings", "assignments",
 )
 def ppl5_rematch_candidates(faces: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -86,7 +87,8 @@ def ppl5_rematch_candidates(faces: DataFrame, assignments: DataFrame) -> DataFra
 
 @query(
     """SELECT project_id, face_id FROM face_embeddings f WHERE status = 'embedded'
-  AND NOT EXISTS (FROM assignments a WHERE (assignment_status LIKE 'human%' OR assignment_status = 'auto_assigned') AND a.project_id = f.project_id AND a.face_id = f.face_id)""",
+  AND NOT EXISTS (FROM assignments a WHERE assignment_status LIKE 'human%' AND a.project_id = f.project_id AND a.face_id = f.face_id)
+  AND (NOT EXISTS (FROM assignments a WHERE assignment_status <> 'rejected' AND a.project_id = f.project_id AND a.face_id = f.face_id) OR EXISTS (FROM assignments a WHERE assignment_status = 'review_pending' AND a.project_id = f.project_id AND a.face_id = f.face_id))""",
     "face_embeddings", "assignments",
 )
 def ppl5_rematch_candidates_whole(faces: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -94,9 +96,10 @@ def ppl5_rematch_candidates_whole(faces: DataFrame, assignments: DataFrame) -> D
 
 
 @query(
-    _MATCH + """ SELECT a.project_id, a.face_id, a.person_id, a.id, CASE WHEN assignment_status LIKE 'human%' OR be.person_id IS NULL THEN assignment_status WHEN be.person_id = a.person_id THEN decision ELSE 'rejected' END AS assignment_status
+    _MATCH + """ SELECT a.project_id, a.face_id, a.person_id, a.id, CASE WHEN assignment_status LIKE 'human%' OR be.person_id IS NULL THEN assignment_status WHEN be.person_id = a.person_id THEN decision ELSE 'rejected' END AS assignment_status,
+  CASE WHEN assignment_status LIKE 'human%' OR be.person_id IS NULL THEN NULL WHEN be.person_id = a.person_id THEN 'similarity_match' WHEN assignment_status <> 'rejected' THEN 'prototype_rematch' END AS assignment_source
 FROM assignments a LEFT JOIN be ON be.project_id = a.project_id AND be.face_id = a.face_id UNION ALL
-SELECT project_id, face_id, person_id, NULL, decision FROM be WHERE NOT EXISTS (FROM assignments a WHERE a.project_id = be.project_id AND a.face_id = be.face_id AND a.person_id = be.person_id)""",
+SELECT project_id, face_id, person_id, NULL, decision, 'similarity_match' FROM be WHERE NOT EXISTS (FROM assignments a WHERE a.project_id = be.project_id AND a.face_id = be.face_id AND a.person_id = be.person_id)""",
     "assignments", "face_embeddings",
 )
 def ppl6_rematch_apply(assignments: DataFrame, faces: DataFrame) -> DataFrame:
@@ -185,3 +188,240 @@ FROM photos p WHERE deleted_at IS NULL AND NOT EXISTS (FROM face_embeddings f WH
 )
 def ppl15_face_scan_plan(photos: DataFrame, faces: DataFrame, jobs: DataFrame) -> DataFrame:
     return people.scan_plan(photos, faces, jobs, "missing")
+
+
+# Faces with a model, the time of their embedding and of their detection, as numbers that order them.
+_MODELLED = """, fm AS (SELECT project_id, face_id, photo_id, quality, status, CAST(embedding AS DOUBLE[]) AS e, CASE WHEN face_id % 4 = 0 THEN 'b' ELSE 'a' END AS model, CASE WHEN face_id % 9 <> 0 THEN face_id * 7 % 1000 END AS embedded_at, face_id * 11 % 500 AS detected_at FROM face_embeddings)"""
+_MODEL_SAMPLES = _MODELLED + """, s0 AS (SELECT a.project_id, a.person_id, a.id, a.face_id, e, quality, model, embedded_at FROM assignments a JOIN fm ON fm.project_id = a.project_id AND fm.face_id = a.face_id WHERE assignment_status LIKE 'human%' AND is_positive AND quality >= 0.7),
+s1 AS (SELECT *, first_value(model) OVER (PARTITION BY project_id, person_id ORDER BY embedded_at DESC NULLS LAST, face_id DESC) AS newest FROM s0), s AS (SELECT * FROM s1 WHERE model = newest QUALIFY row_number() OVER (PARTITION BY project_id, person_id ORDER BY quality DESC, id DESC) <= 200)"""
+_MODEL_MEAN = _MODEL_SAMPLES + _MEAN.replace("pr AS", "p0 AS") + ", pr AS (SELECT DISTINCT p0.*, newest FROM p0 JOIN s ON s.project_id = p0.project_id AND s.person_id = p0.person_id)"
+
+
+def _modelled(faces: DataFrame) -> DataFrame:
+    n = F.col("face_id")
+    return faces.withColumns({"model": F.when(n % 4 == 0, "b").otherwise("a"), "version": F.lit("1"), "embedded_at": F.when(n % 9 != 0, n * 7 % 1000), "detected_at": n * 11 % 500})
+
+
+@query(_MODEL_MEAN + f" SELECT project_id, person_id, newest || '|1|64' AS space, sample_count, round({_HEAD}, 5) AS element_sum FROM pr", "assignments", "face_embeddings")
+def ppl1_newest_model(assignments: DataFrame, faces: DataFrame) -> DataFrame:
+    return people.prototypes(assignments, _modelled(faces)).select("project_id", "person_id", "space", "sample_count", _digest())
+
+
+_STORED = """, st AS (SELECT project_id, person_id, id, list_slice(e, 1, CASE WHEN id % 3 = 0 THEN 32 ELSE 64 END) AS v, id * 13 % 101 AS updated_at FROM (SELECT a.project_id, a.person_id, a.id, CAST(embedding AS DOUBLE[]) AS e FROM assignments a JOIN face_embeddings f ON f.project_id = a.project_id AND f.face_id = a.face_id WHERE a.person_id % 3 <> 0)),
+nw AS (SELECT project_id, person_id, v FROM st WHERE len(v) = 64 QUALIFY row_number() OVER (PARTITION BY project_id, person_id ORDER BY updated_at DESC, id DESC) = 1)"""
+
+
+@query(
+    _SAMPLES.replace("{where}", "").replace("{limit}", "200") + _MEAN + _STORED + f""", al AS (SELECT project_id, person_id, v, 'prototype' AS source FROM nw UNION ALL SELECT project_id, person_id, v, 'samples' FROM pr WHERE NOT EXISTS (FROM nw WHERE nw.project_id = pr.project_id AND nw.person_id = pr.person_id))
+SELECT al.project_id, al.person_id, source, round(list_sum(v), 3) AS element_sum FROM al JOIN persons p ON p.project_id = al.project_id AND p.id = al.person_id WHERE is_named""",
+    "assignments", "face_embeddings", "persons",
+)
+def ppl2_named_profiles(assignments: DataFrame, faces: DataFrame, persons: DataFrame) -> DataFrame:
+    vector = F.slice(F.col("embedding").cast("array<double>"), 1, F.when(F.col("id") % 3 == 0, 32).otherwise(64))
+    stored = assignments.where("person_id % 3 <> 0").join(faces.select("project_id", "face_id", "embedding"), ["project_id", "face_id"]).select("project_id", "person_id", "id", vector.alias("vector"), F.lit(1).alias("sample_count"), (F.col("id") * 13 % 101).alias("updated_at"))
+    found = people.search_profiles(assignments, faces, people.newest_prototypes(stored, 64), persons)
+    return found.select("project_id", "person_id", "source", F.round(F.aggregate("vector", F.lit(0.0), lambda a, b: a + b), 3).alias("element_sum"))
+
+
+@query(
+    _MODEL_MEAN + """, fr AS (SELECT * FROM fm WHERE status = 'embedded' AND NOT EXISTS (FROM assignments a WHERE assignment_status LIKE 'human%' AND a.project_id = fm.project_id AND a.face_id = fm.face_id)),
+pa AS (SELECT fr.project_id, fr.face_id, pr.person_id, round(list_cosine_similarity(e, v), 6) AS similarity FROM fr JOIN pr ON pr.project_id = fr.project_id AND newest = model JOIN persons p ON p.project_id = pr.project_id AND p.id = pr.person_id AND is_named)
+SELECT *, 'review_pending' AS decision FROM pa WHERE similarity >= 0.1 AND NOT EXISTS (FROM assignments b WHERE assignment_status = 'rejected' AND b.project_id = pa.project_id AND b.face_id = pa.face_id AND b.person_id = pa.person_id) QUALIFY row_number() OVER (PARTITION BY project_id, face_id ORDER BY similarity DESC, person_id) = 1""",
+    "assignments", "face_embeddings", "persons",
+)
+def ppl3_same_model_match(assignments: DataFrame, faces: DataFrame, persons: DataFrame) -> DataFrame:
+    modelled = _modelled(faces)
+    older = modelled.withColumns({"embedding": F.reverse("embedding"), "embedded_at": F.lit(-1).cast("bigint"), "embedding_id": F.lit(0)}).where("face_id % 9 <> 0")
+    newest = people.newest_embeddings(modelled.withColumn("embedding_id", F.lit(1)).unionByName(older))
+    return people.match(people.prototypes(assignments, modelled), newest, assignments, _barred(assignments), 0.3, 0.1, persons, auto=False)
+
+
+_FREE = "status = 'embedded' AND NOT EXISTS (FROM assignments a WHERE assignment_status LIKE 'human%' AND a.project_id = fm.project_id AND a.face_id = fm.face_id)"
+
+
+@query(
+    _MODELLED + f""", f0 AS (SELECT 'project' AS scope, project_id, face_id, embedded_at, detected_at FROM fm WHERE {_FREE} UNION ALL SELECT 'time_range', project_id, face_id, embedded_at, detected_at FROM fm WHERE {_FREE} AND detected_at BETWEEN 100 AND 300
+  UNION ALL SELECT 'person', project_id, face_id, embedded_at, detected_at FROM fm WHERE {_FREE} AND NOT EXISTS (FROM assignments a WHERE assignment_status <> 'rejected' AND person_id = 3 AND a.project_id = fm.project_id AND a.face_id = fm.face_id))
+SELECT scope, project_id, face_id, CAST(row_number() OVER (PARTITION BY scope, project_id ORDER BY embedded_at DESC NULLS LAST, detected_at DESC, face_id DESC) AS INT) AS rank FROM f0 QUALIFY rank <= 5000""",
+    "face_embeddings", "assignments",
+)
+def ppl5_rematch_scopes(faces: DataFrame, assignments: DataFrame) -> DataFrame:
+    own = {"project": {}, "time_range": {"start": 100, "end": 300}, "person": {"person_id": 3}}
+    parts = [people.rematch_candidates(_modelled(faces), assignments, 5000, scope, **more).select(F.lit(scope).alias("scope"), "project_id", "face_id", "rank") for scope, more in own.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(
+    _MATCH + """, fc AS (SELECT project_id, face_id FROM face_embeddings f WHERE status = 'embedded' AND NOT EXISTS (FROM assignments a WHERE assignment_status LIKE 'human%' AND a.project_id = f.project_id AND a.face_id = f.face_id))
+SELECT fc.project_id, count(*) AS faces_considered, count(decision) AS matched_faces, count(*) FILTER (decision = 'auto_assigned') AS auto_assigned, count(*) FILTER (decision = 'review_pending') AS review_pending FROM fc LEFT JOIN be ON be.project_id = fc.project_id AND be.face_id = fc.face_id GROUP BY ALL""",
+    "assignments", "face_embeddings",
+)
+def ppl6_rematch_summary(assignments: DataFrame, faces: DataFrame) -> DataFrame:
+    return people.rematch_summary(people.rematch_candidates(faces, assignments, None, "project"), _decisions(assignments, faces))
+
+
+@query(
+    _MATCH + """, pe AS (SELECT * FROM be WHERE person_id IN (1, 101)) SELECT a.project_id, a.face_id, a.person_id, a.id, CASE WHEN assignment_status LIKE 'human%' OR pe.person_id IS NULL OR pe.person_id <> a.person_id THEN assignment_status ELSE 'review_pending' END AS assignment_status,
+  CASE WHEN assignment_status NOT LIKE 'human%' AND pe.person_id = a.person_id THEN 'targeted_person_rematch' END AS assignment_source FROM assignments a LEFT JOIN pe ON pe.project_id = a.project_id AND pe.face_id = a.face_id UNION ALL
+SELECT project_id, face_id, person_id, NULL, 'review_pending', 'targeted_person_rematch' FROM pe WHERE NOT EXISTS (FROM assignments a WHERE a.project_id = pe.project_id AND a.face_id = pe.face_id AND a.person_id = pe.person_id)""",
+    "assignments", "face_embeddings",
+)
+def ppl6_person_rematch(assignments: DataFrame, faces: DataFrame) -> DataFrame:
+    return people.apply_rematch(assignments, _decisions(assignments, faces).where("person_id IN (1, 101)"), for_person=True)
+
+
+_MOVES = """, e0 AS (SELECT project_id, face_id, person_id, CASE id % 5 WHEN 0 THEN 'move' WHEN 1 THEN 'exclude' ELSE 'confirm' END AS action, person_id + id % 3 + 1 AS target_id, id AS seq FROM assignments WHERE id % 4 <> 3),
+e1 AS (SELECT project_id, face_id, person_id, CASE action WHEN 'move' THEN 'left' ELSE action END AS action, seq FROM e0 UNION ALL SELECT project_id, face_id, target_id, 'corrected', seq FROM e0 WHERE action = 'move'),
+la AS (SELECT project_id, face_id, person_id, max_by(action, seq) AS action, max(seq) AS seq FROM e1 GROUP BY ALL), wi AS (SELECT project_id, face_id, max_by(person_id, seq) AS w FROM la WHERE action = 'confirm' GROUP BY ALL)"""
+
+
+def _moves(assignments: DataFrame) -> DataFrame:
+    n = F.col("id")
+    action = F.when(n % 5 == 0, "move").when(n % 5 == 1, "exclude").otherwise("confirm")
+    return assignments.where("id % 4 <> 3").select("project_id", "face_id", "person_id", action.alias("action"), (F.col("person_id") + n % 3 + 1).alias("target_id"), n.alias("seq"))
+
+
+@query(
+    _MOVES + """ SELECT project_id, face_id, person_id, id, assignment_status, (p OR own OR mv) AND assignment_status <> 'rejected' AS is_positive FROM (SELECT a.project_id, a.face_id, a.person_id, a.id, a.is_positive AS p, coalesce(a.person_id = w, false) AS own, coalesce(action = 'corrected', false) AS mv,
+  CASE WHEN a.person_id = w THEN 'human_confirmed' WHEN action = 'corrected' THEN 'human_corrected' WHEN action = 'exclude' OR w IS NOT NULL THEN 'rejected' ELSE a.assignment_status END AS assignment_status
+  FROM assignments a LEFT JOIN la ON la.project_id = a.project_id AND la.face_id = a.face_id AND la.person_id = a.person_id LEFT JOIN wi ON wi.project_id = a.project_id AND wi.face_id = a.face_id WHERE action IS NULL OR action <> 'left')
+UNION ALL SELECT x.*, NULL, s, true FROM (SELECT project_id, face_id, w AS person_id FROM wi) x CROSS JOIN (SELECT 'human_confirmed' AS s) WHERE NOT EXISTS (FROM assignments a WHERE a.project_id = x.project_id AND a.face_id = x.face_id AND a.person_id = x.person_id)
+UNION ALL SELECT la.project_id, la.face_id, la.person_id, NULL, 'human_corrected', true FROM la LEFT JOIN wi ON wi.project_id = la.project_id AND wi.face_id = la.face_id WHERE action = 'corrected' AND (w IS NULL OR w <> la.person_id) AND NOT EXISTS (FROM assignments a WHERE a.project_id = la.project_id AND a.face_id = la.face_id AND a.person_id = la.person_id)""",
+    "assignments",
+)
+def ppl11_moves(assignments: DataFrame) -> DataFrame:
+    return people.apply_feedback(assignments, _moves(assignments))
+
+
+@query(
+    _MOVES + """, bf AS (SELECT project_id, face_id, person_id FROM assignments WHERE assignment_status = 'rejected'), al AS (SELECT project_id, face_id, person_id FROM la WHERE action IN ('exclude', 'left') UNION SELECT project_id, face_id, person_id FROM bf
+  UNION SELECT a.project_id, a.face_id, a.person_id FROM assignments a JOIN wi ON wi.project_id = a.project_id AND wi.face_id = a.face_id WHERE a.assignment_status <> 'rejected' AND a.person_id <> w)
+SELECT project_id, face_id, person_id AS not_person_id FROM al WHERE NOT EXISTS (FROM la WHERE action IN ('confirm', 'corrected') AND la.project_id = al.project_id AND la.face_id = al.face_id AND la.person_id = al.person_id)""",
+    "assignments",
+)
+def ppl11_constraints(assignments: DataFrame) -> DataFrame:
+    return people.feedback_constraints(_moves(assignments), assignments, _barred(assignments))
+
+
+_PAIRED = """, pa AS (SELECT DISTINCT project_id, person_id AS source_id, person_id + 1 AS target_id FROM assignments WHERE person_id % 2 = 0 AND person_id % 3 <> 0),
+op AS (SELECT a.*, target_id FROM assignments a JOIN pa ON pa.project_id = a.project_id AND pa.source_id = a.person_id WHERE assignment_status <> 'rejected')"""
+
+
+def _pairs(assignments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    pairs = assignments.where("person_id % 2 = 0").select("project_id", F.col("person_id").alias("source_id"), (F.col("person_id") + 1).alias("target_id")).distinct()
+    return pairs, pairs.where("source_id % 3 = 0").select("project_id", F.col("source_id").alias("person_a"), F.col("target_id").alias("person_b"))
+
+
+@query(
+    _PAIRED + """ SELECT a.project_id, a.face_id, a.person_id, a.id, CASE WHEN op.id IS NOT NULL AND a.assignment_status = 'rejected' THEN op.assignment_status ELSE a.assignment_status END AS assignment_status, CASE WHEN op.id IS NOT NULL AND a.assignment_status = 'rejected' THEN 'human_merge' END AS assignment_source
+FROM assignments a LEFT JOIN op ON op.project_id = a.project_id AND op.face_id = a.face_id AND op.target_id = a.person_id WHERE NOT EXISTS (FROM op o WHERE o.project_id = a.project_id AND o.id = a.id)
+UNION ALL SELECT project_id, face_id, target_id, id, assignment_status, 'human_merge' FROM op WHERE NOT EXISTS (FROM assignments a WHERE a.project_id = op.project_id AND a.face_id = op.face_id AND a.person_id = op.target_id)""",
+    "assignments",
+)
+def ppl12_merged_tables(assignments: DataFrame) -> DataFrame:
+    return people.merged_assignments(assignments, *_pairs(assignments))
+
+
+@query(
+    """, pa AS (SELECT DISTINCT project_id, person_id AS source_id, person_id + 1 AS target_id FROM assignments WHERE person_id % 2 = 0), r AS (SELECT project_id, id, CASE WHEN id % 4 <> 1 THEN id * 10 END AS rep FROM persons)
+SELECT r.project_id, r.id, CASE WHEN EXISTS (FROM pa WHERE pa.project_id = r.project_id AND pa.source_id = r.id) THEN NULL ELSE coalesce(r.rep, g.rep) END AS representative FROM r LEFT JOIN pa ON pa.project_id = r.project_id AND pa.target_id = r.id LEFT JOIN r g ON g.project_id = pa.project_id AND g.id = pa.source_id""",
+    "persons", "assignments",
+)
+def ppl12_representatives(persons: DataFrame, assignments: DataFrame) -> DataFrame:
+    shown = persons.select("project_id", "id", F.when(F.col("id") % 4 != 1, F.col("id") * 10).alias("representative"))
+    return people.merged_representatives(shown, _pairs(assignments)[0])
+
+
+_CHOSEN = """, ch AS (SELECT DISTINCT project_id, face_id, person_id, 500 + person_id AS np FROM assignments WHERE face_id % 3 = 0), dn AS (SELECT ch.* FROM ch WHERE EXISTS (FROM assignments a WHERE assignment_status <> 'rejected' AND a.project_id = ch.project_id AND a.face_id = ch.face_id AND a.person_id = ch.person_id))"""
+
+
+def _split(assignments: DataFrame) -> dict[str, DataFrame]:
+    chosen = assignments.where("face_id % 3 = 0").select("project_id", "face_id", "person_id", (F.col("person_id") + 500).alias("new_person_id")).distinct()
+    return people.split_tables(assignments, chosen)
+
+
+@query(
+    _CHOSEN + """ SELECT a.project_id, a.face_id, CASE WHEN np IS NOT NULL AND assignment_status <> 'rejected' THEN np ELSE a.person_id END AS person_id, a.id, CASE WHEN np IS NOT NULL AND assignment_status <> 'rejected' THEN 'human_corrected' ELSE assignment_status END AS assignment_status,
+  is_positive OR np IS NOT NULL AND assignment_status <> 'rejected' AS is_positive, CASE WHEN np IS NOT NULL AND assignment_status <> 'rejected' THEN 'human_split' END AS assignment_source FROM assignments a LEFT JOIN dn ON dn.project_id = a.project_id AND dn.face_id = a.face_id AND dn.person_id = a.person_id""",
+    "assignments",
+)
+def ppl13_split_assignments(assignments: DataFrame) -> DataFrame:
+    return _split(assignments)["assignments"]
+
+
+@query(
+    _CHOSEN + " SELECT DISTINCT 'constraint' AS kind, project_id, face_id AS a, person_id AS b FROM dn UNION ALL SELECT DISTINCT 'link', project_id, least(person_id, np), greatest(person_id, np) FROM dn UNION ALL SELECT DISTINCT 'person', project_id, np, 1 FROM dn",
+    "assignments",
+)
+def ppl13_split_edges(assignments: DataFrame) -> DataFrame:
+    made = _split(assignments)
+    rows = made["constraints"].select(F.lit("constraint").alias("kind"), "project_id", F.col("face_id").alias("a"), F.col("not_person_id").alias("b"))
+    rows = rows.union(made["cannot_links"].select(F.lit("link"), "project_id", "person_a", "person_b"))
+    return rows.union(made["persons"].select(F.lit("person"), "project_id", "id", F.col("is_named").cast("bigint")))
+
+
+@query(
+    """, ev AS (SELECT project_id, person_id, max_by(trim(n), id) AS display_name FROM (SELECT project_id, person_id, id, CASE WHEN id % 3 = 0 THEN '  ' ELSE ' Name ' || CAST(id % 7 AS STRING) || ' ' END AS n FROM assignments WHERE id % 5 = 0) WHERE trim(n) <> '' GROUP BY ALL),
+nm AS (SELECT ev.*, NOT is_named AS first FROM ev JOIN persons p ON p.project_id = ev.project_id AND p.id = ev.person_id)
+SELECT a.project_id, a.face_id, a.person_id, a.id, CASE WHEN nm.person_id IS NOT NULL AND assignment_status <> 'rejected' THEN 'human_confirmed' ELSE assignment_status END AS assignment_status, is_positive OR nm.person_id IS NOT NULL AND assignment_status <> 'rejected' AS is_positive
+FROM assignments a LEFT JOIN nm ON first AND nm.project_id = a.project_id AND nm.person_id = a.person_id""",
+    "persons", "assignments",
+)
+def ppl14_first_naming(persons: DataFrame, assignments: DataFrame) -> DataFrame:
+    n = F.col("id")
+    events = assignments.where("id % 5 = 0").select("project_id", "person_id", F.when(n % 3 == 0, "  ").otherwise(F.concat(F.lit(" Name "), (n % 7).cast("string"), F.lit(" "))).alias("name"), n.alias("seq"))
+    return people.promoted(assignments, people.first_namings(persons, events))
+
+
+@query(
+    """, ex AS (SELECT project_id, id FROM persons UNION ALL SELECT project_id, id + 1000 FROM persons), rq AS (SELECT project_id, id AS person_id FROM persons UNION ALL SELECT project_id, id + 1000 FROM persons UNION ALL SELECT project_id, id + 2000 FROM persons),
+oc AS (SELECT rq.*, CASE WHEN ex.id IS NULL THEN 'not_found' WHEN EXISTS (FROM assignments a WHERE assignment_status <> 'rejected' AND a.project_id = rq.project_id AND a.person_id = rq.person_id) THEN 'refused' ELSE 'deleted' END AS outcome FROM rq LEFT JOIN ex ON ex.project_id = rq.project_id AND ex.id = rq.person_id),
+gn AS (SELECT project_id, person_id FROM oc WHERE outcome = 'deleted'), lk AS (SELECT project_id, id AS a, id + 1000 AS b FROM persons UNION ALL SELECT project_id, id, id + 1 FROM persons), ct AS (SELECT project_id, face_id, CASE WHEN id % 2 = 0 THEN person_id + 1000 ELSE person_id END AS p FROM assignments WHERE assignment_status = 'rejected')
+SELECT 'outcome' AS kind, project_id, person_id AS a, NULL AS b, outcome FROM oc UNION ALL SELECT 'link', project_id, a, b, NULL FROM lk WHERE NOT EXISTS (FROM gn WHERE gn.project_id = lk.project_id AND gn.person_id IN (a, b)) UNION ALL SELECT 'constraint', project_id, face_id, p, NULL FROM ct WHERE NOT EXISTS (FROM gn WHERE gn.project_id = ct.project_id AND gn.person_id = p)""",
+    "persons", "assignments",
+)
+def ppl14_delete_cascade(persons: DataFrame, assignments: DataFrame) -> DataFrame:
+    known = persons.select("project_id", "id")
+    plus = lambda n: known.select("project_id", (F.col("id") + n).alias("id"))
+    requests = known.union(plus(1000)).union(plus(2000)).select("project_id", F.col("id").alias("person_id"))
+    links = known.select("project_id", F.col("id").alias("person_a"), (F.col("id") + 1000).alias("person_b")).union(known.select("project_id", "id", F.col("id") + 1))
+    barred = assignments.where("assignment_status = 'rejected'").select("project_id", "face_id", F.when(F.col("id") % 2 == 0, F.col("person_id") + 1000).otherwise(F.col("person_id")).alias("not_person_id"))
+    made = people.delete_people(requests, known.union(plus(1000)), assignments, barred, links)
+    none = F.lit(None)
+    rows = made["outcome"].select(F.lit("outcome").alias("kind"), "project_id", F.col("person_id").alias("a"), none.cast("bigint").alias("b"), "outcome")
+    rows = rows.union(made["cannot_links"].select(F.lit("link"), "project_id", "person_a", "person_b", none.cast("string")))
+    return rows.union(made["constraints"].select(F.lit("constraint"), "project_id", "face_id", "not_person_id", none.cast("string")))
+
+
+_SCANS = """, lv AS (SELECT project_id, id AS photo_id FROM photos WHERE deleted_at IS NULL), nf AS (SELECT project_id, photo_id, max(face_id % 50) AS newest FROM face_embeddings GROUP BY ALL), dv AS (SELECT project_id, photo_id FROM lv WHERE photo_id % 6 IN (1, 2, 3) AND CASE photo_id % 6 WHEN 1 THEN true WHEN 2 THEN photo_id % 5 = 0 ELSE photo_id % 7 <> 0 END),
+sl AS (SELECT project_id, photo_id FROM nf WHERE newest < 45 + project_id UNION SELECT project_id, photo_id FROM dv), fl AS (SELECT project_id, photo_id FROM face_embeddings WHERE status = 'failed' UNION SELECT project_id, photo_id FROM jobs WHERE job_type = 'analyze' AND status = 'failed'), sd AS (SELECT project_id, photo_id FROM jobs WHERE id % 3 = 1),
+bz AS (SELECT DISTINCT project_id, photo_id FROM jobs WHERE job_type = 'analyze' AND status IN ('queued', 'running')),
+pl AS (SELECT 'stale' AS scope, lv.* FROM lv WHERE EXISTS (FROM sl WHERE sl.project_id = lv.project_id AND sl.photo_id = lv.photo_id) UNION ALL SELECT 'failed', lv.* FROM lv WHERE EXISTS (FROM fl WHERE fl.project_id = lv.project_id AND fl.photo_id = lv.photo_id) UNION ALL SELECT 'selected', lv.* FROM lv WHERE EXISTS (FROM sd WHERE sd.project_id = lv.project_id AND sd.photo_id = lv.photo_id)),
+sp AS (SELECT pl.*, CASE WHEN bz.photo_id IS NOT NULL THEN 'skipped' ELSE 'created' END AS outcome FROM pl LEFT JOIN bz ON bz.project_id = pl.project_id AND bz.photo_id = pl.photo_id)"""
+
+
+def _scans(photos: DataFrame, faces: DataFrame, jobs: DataFrame) -> dict[str, DataFrame]:
+    n = F.col("photo_id")
+    dated = faces.withColumn("updated_at", F.col("face_id") % 50)
+    settings = faces.select("project_id").distinct().withColumn("updated_at", 45 + F.col("project_id"))
+    images = photos.select("project_id", F.col("id").alias("photo_id")).where("photo_id % 6 IN (1, 2, 3, 4)").select(
+        "project_id", "photo_id", F.when(n % 6 == 1, "failed").otherwise("ready").alias("status"), ((n % 6 != 2) | (n % 5 != 0)).alias("path_exists"), F.lit(True).alias("source_exists"), F.when(n % 6 == 3, n % 7).alias("source_mtime"), F.lit(0).cast("bigint").alias("file_mtime"),
+    )
+    stale = people.stale_scans(photos, dated, settings, images)
+    plan = lambda scope, **more: people.scan_plan(photos, faces, jobs, scope, "analyze", **more)
+    return {"stale": plan("stale", stale=stale), "failed": plan("failed"), "selected": plan("selected", selected=jobs.where("id % 3 = 1"))}
+
+
+@query(_SCANS + " SELECT scope, project_id, photo_id, outcome FROM sp", "photos", "face_embeddings", "jobs")
+def ppl15_scan_scopes(photos: DataFrame, faces: DataFrame, jobs: DataFrame) -> DataFrame:
+    parts = [rows.select(F.lit(scope).alias("scope"), "project_id", "photo_id", "outcome") for scope, rows in _scans(photos, faces, jobs).items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(
+    _SCANS + """, tt AS (SELECT project_id, count(*) AS total_photos FROM lv GROUP BY ALL), cn AS (SELECT project_id, count(*) FILTER (outcome = 'created') AS c, count(*) FILTER (outcome = 'skipped') AS k FROM sp WHERE scope = 'failed' GROUP BY ALL)
+SELECT project_id, total_photos, coalesce(c, 0) AS candidates, coalesce(k, 0) AS skipped_active, total_photos - coalesce(c, 0) - coalesce(k, 0) AS out_of_scope FROM tt LEFT JOIN cn USING (project_id)""",
+    "photos", "face_embeddings", "jobs",
+)
+def ppl15_scan_counts(photos: DataFrame, faces: DataFrame, jobs: DataFrame) -> DataFrame:
+    return people.scan_counts(photos, _scans(photos, faces, jobs)["failed"])
