@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +93,15 @@ def with_tag(analysis: DataFrame, photos: DataFrame, field: str, values: list[st
     return found.join(live, ["project_id", "photo_id"]).withColumn("score", F.lit(1.0))
 
 
+def tag_page(analysis: DataFrame, photos: DataFrame, field: str, values: list[str], page: int, size: int) -> DataFrame:
+    """A page of each project's ``with_tag`` photos, newest first, with the project's total."""
+    found = with_tag(analysis, photos, field, values)
+    totals = found.groupBy("project_id").agg(F.count("*").alias("total"))
+    order = Window.partitionBy("project_id").orderBy(F.desc_nulls_last("taken_at"), F.desc("photo_id"))
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= page * size)
+    return ranked.where(F.col("rank") > (page - 1) * size).join(totals, "project_id")
+
+
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
@@ -110,39 +117,84 @@ def person_counters(assignments: DataFrame, persons: DataFrame) -> DataFrame:
     return persons.withColumnRenamed("id", "person_id").join(counts, ["project_id", "person_id"], "left").na.fill(0)
 
 
-def people_list(assignments: DataFrame, persons: DataFrame, limit: int, min_faces: int = 0, named: bool | None = None) -> DataFrame:
-    """Persons of a project, named ones first, then by positive samples and faces; the first ``limit`` with the total."""
-    found = person_counters(assignments, persons).where(F.col("face_count") >= min_faces)
+def people_list(assignments: DataFrame, persons: DataFrame, limit: int, min_faces: int = 0, named: bool | None = None, pending: bool | None = None, name: str | None = None, min_positive: int = 0) -> DataFrame:
+    """Persons of a project: named ones first, then by positive samples, faces, updated_at (if there is such a column) and id, all
+    descending; the first ``limit`` with the total. Filters: least numbers of faces and positive samples, named or not, with or
+    without pending faces, a part of the name in any case."""
+    found = person_counters(assignments, persons).where((F.col("face_count") >= min_faces) & (F.col("positive_count") >= min_positive))
     if named is not None:
         found = found.where(F.col("is_named") == named)
-    own = Window.partitionBy("project_id")
-    rank = F.row_number().over(own.orderBy(F.desc("is_named"), F.desc("positive_count"), F.desc("face_count"), F.desc("person_id")))
-    return found.withColumn("rank", rank).withColumn("total", F.count("*").over(own)).where(F.col("rank") <= limit)
+    if pending is not None:
+        found = found.where((F.col("pending_count") > 0) == pending)
+    if name is not None:
+        found = found.where(F.lower("display_name").contains(name.lower()))
+    newest = [F.desc_nulls_last("updated_at")] if "updated_at" in persons.columns else []
+    rank = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("is_named"), F.desc("positive_count"), F.desc("face_count"), *newest, F.desc("person_id")))
+    totals = found.groupBy("project_id").agg(F.count("*").alias("total"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit).join(totals, "project_id")
 
 
 def review_list(assignments: DataFrame, faces: DataFrame, constraints: DataFrame) -> DataFrame:
     """Pending assignments with their face's photo and the persons it is known not to be."""
-    pending = assignments.where("assignment_status = 'review_pending'").select("project_id", "id", "face_id", "person_id")
+    pending = assignments.where("assignment_status = 'review_pending'")
     barred = constraints.groupBy("project_id", "face_id").agg(F.sort_array(F.collect_set("not_person_id")).alias("barred"))
-    found = pending.join(faces.select("project_id", "face_id", "photo_id"), ["project_id", "face_id"]).join(barred, ["project_id", "face_id"], "left")
-    return found.withColumn("n_barred", F.coalesce(F.size("barred"), F.lit(0))).drop("barred")
+    found = pending.select("project_id", "id", "face_id", "person_id").join(faces.select("project_id", "face_id", "photo_id"), ["project_id", "face_id"]).join(barred, ["project_id", "face_id"], "left")
+    return found.withColumns({"n_barred": F.coalesce(F.size("barred"), F.lit(0)), "barred": F.coalesce("barred", F.array().cast("array<bigint>"))})
+
+
+def review_page(assignments: DataFrame, faces: DataFrame, constraints: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows of each project's review list, newest assignments (updated_at, then id) first."""
+    order = Window.partitionBy("project_id").orderBy(F.desc_nulls_last("updated_at"), F.desc("id"))
+    pending = assignments.where("assignment_status = 'review_pending'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return review_list(pending, faces, constraints).join(pending.select("project_id", "id", "rank"), ["project_id", "id"])
 
 
 def person_detail(assignments: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` assignments of each person, positive ones first, then newest ids, with the person's total."""
-    person = Window.partitionBy("project_id", "person_id")
-    rank = F.row_number().over(person.orderBy(F.desc("is_positive"), F.desc("id")))
-    return assignments.select("project_id", "person_id", "id", rank.alias("rank"), F.count("*").over(person).alias("total")).where(F.col("rank") <= limit)
+    """The first ``limit`` assignments of each person, positive ones first, then newest (updated_at if there is such a column, and id),
+    with the person's total."""
+    newest = [F.desc_nulls_last("updated_at")] if "updated_at" in assignments.columns else []
+    rank = F.row_number().over(Window.partitionBy("project_id", "person_id").orderBy(F.desc("is_positive"), *newest, F.desc("id")))
+    totals = assignments.groupBy("project_id", "person_id").agg(F.count("*").alias("total"))
+    first = assignments.select("project_id", "person_id", "id", rank.alias("rank")).where(F.col("rank") <= limit)
+    return first.join(totals, ["project_id", "person_id"]).select("project_id", "person_id", "id", "rank", "total")
+
+
+def pending_faces(assignments: DataFrame, limit: int = 500) -> DataFrame:
+    """(project_id, person_id, face_ids): the first ``limit`` faces of each person that wait for review, by id."""
+    rank = F.row_number().over(Window.partitionBy("project_id", "person_id").orderBy("face_id"))
+    first = assignments.where("assignment_status = 'review_pending'").select("project_id", "person_id", "face_id", rank.alias("n")).where(F.col("n") <= limit)
+    return first.groupBy("project_id", "person_id").agg(F.sort_array(F.collect_list("face_id")).alias("face_ids"))
+
+
+def face_list(faces: DataFrame, page: int, size: int, status: str | None = None, photo_id: int | None = None) -> DataFrame:
+    """A page of each project's faces, last detected first (detected_at if there is such a column, null last), then highest ids."""
+    found = _faces(faces, status, photo_id)
+    newest = [F.desc_nulls_last("detected_at")] if "detected_at" in faces.columns else []
+    rank = F.row_number().over(Window.partitionBy("project_id").orderBy(*newest, F.desc("face_id")))
+    return found.select("project_id", "face_id", "photo_id", "status", rank.alias("rank")).where((F.col("rank") > (page - 1) * size) & (F.col("rank") <= page * size))
 
 
-def face_list(faces: DataFrame, page: int, size: int, status: str | None = None) -> DataFrame:
-    """A page of each project's faces, highest ids first."""
+def _faces(faces: DataFrame, status: str | None, photo_id: int | None) -> DataFrame:
     found = faces if status is None else faces.where(F.col("status") == status)
-    rank = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("face_id")))
-    return found.select("project_id", "face_id", "photo_id", "status", rank.alias("rank")).where((F.col("rank") > (page - 1) * size) & (F.col("rank") <= page * size))
+    return found if photo_id is None else found.where(F.col("photo_id") == photo_id)
+
+
+def face_page(faces: DataFrame, page: int, size: int, status: str | None = None, photo_id: int | None = None) -> DataFrame:
+    """``face_list`` with each project's total."""
+    totals = _faces(faces, status, photo_id).groupBy("project_id").agg(F.count("*").alias("total"))
+    return face_list(faces, page, size, status, photo_id).join(totals, "project_id")
 
 
 def best_assignment(assignments: DataFrame) -> DataFrame:
-    """One assignment that isn't rejected for each face: human before automatic before pending, then the highest id."""
-    order = reduce(lambda c, s: c.when(F.col("assignment_status") == s[0], s[1]), [(HUMAN[0], 0), (HUMAN[1], 0), ("auto_assigned", 1)], F).otherwise(2)
-    return latest(assignments.where("assignment_status <> 'rejected'"), ["project_id", "face_id"], order, F.desc("id")).select("project_id", "face_id", "person_id", "assignment_status")
+    """One assignment that isn't rejected for each face: human before automatic before pending, then the latest updated_at (if there is
+    such a column), then the highest id. A grouped maximum, combined before the shuffle."""
+    worth = F.when(F.col("assignment_status").isin(*HUMAN), 2).when(F.col("assignment_status") == "auto_assigned", 1).otherwise(0)
+    newest = [F.col("updated_at").isNotNull(), F.col("updated_at")] if "updated_at" in assignments.columns else []
+    best = assignments.where("assignment_status <> 'rejected'").groupBy("project_id", "face_id").agg(F.max_by(F.struct("person_id", "assignment_status"), F.struct(worth, *newest, "id")).alias("b"))
+    return best.select("project_id", "face_id", "b.person_id", "b.assignment_status")
+
+
+def best_people(assignments: DataFrame, persons: DataFrame) -> DataFrame:
+    """``best_assignment`` with the person's name."""
+    names = persons.select("project_id", F.col("id").alias("person_id"), "display_name", "is_named")
+    return best_assignment(assignments).join(names, ["project_id", "person_id"])

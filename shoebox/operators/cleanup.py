@@ -37,12 +37,85 @@ def decide(items: DataFrame, duplicates: DataFrame) -> DataFrame:
     return found.select("project_id", "photo_id", decided.alias("decision"), reason.alias("reason"))
 
 
+# Classes that may be moved without a human, and flags of sensitive content that make a rating ADULT.
+AUTO_CLASSES = ("accidental_capture", "severe_blur", "obscured_lens", "blank_image", "meaningless_test_image")
+ADULT_FLAGS = ("explicit_sexual_content", "nudity", "graphic_violence", "gore", "other_adult_content")
+#: What a model says of a photo in one pass.
+PASS = "decision string, classification string, confidence double, reason string, preservation_flags array<string>, has_record_value boolean, content_rating string, sensitive_content_flags array<string>"
+
+
+def read_pass(raw: Column) -> Column:
+    """A struct of ``PASS`` from a model's raw text, which may stand in a code fence or among words; null if it is not a decision.
+
+    Decisions are KEEP, REVIEW or QUARANTINE in any case; a missing class is uncertain, a missing confidence 0 and a missing record value
+    true; confidences are cut to 0 to 1; flags make the rating ADULT, or SENSITIVE if it was SAFE.
+    """
+    inner = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
+    got = F.from_json(inner, PASS)
+    none = F.array().cast("array<string>")
+    flags = F.coalesce(F.array_distinct(F.transform(got["sensitive_content_flags"], lambda f: F.trim(f))), none)
+    rating = F.upper(F.trim(F.coalesce(got["content_rating"], F.lit("SAFE"))))
+    rating = F.when(F.arrays_overlap(flags, F.array(*map(F.lit, ADULT_FLAGS))), "ADULT").when((F.size(flags) > 0) & (rating == "SAFE"), "SENSITIVE").otherwise(rating)
+    decision = F.upper(F.trim(got["decision"]))
+    found = F.struct(
+        decision.alias("decision"), F.lower(F.trim(F.coalesce(got["classification"], F.lit("uncertain")))).alias("classification"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(got["confidence"], F.lit(0.0)))).alias("confidence"),
+        F.substring(F.trim(F.coalesce(got["reason"], F.lit(""))), 1, 1000).alias("reason"), F.coalesce(got["preservation_flags"], none).alias("preservation_flags"), F.coalesce(got["has_record_value"], F.lit(True)).alias("has_record_value"),
+        rating.alias("content_rating"), flags.alias("sensitive_content_flags"),
+    )
+    return F.when(decision.isin("KEEP", "REVIEW", "QUARANTINE"), found)
+
+
+def is_auto_candidate(found: Column) -> Column:
+    """Whether a pass alone would move a photo without a human."""
+    sure = (found["decision"] == "QUARANTINE") & found["classification"].isin(*AUTO_CLASSES) & (found["confidence"] >= AUTO_CONFIDENCE)
+    return F.coalesce(sure & (F.size(found["preservation_flags"]) == 0) & ~found["has_record_value"], F.lit(False))
+
+
+def is_verified(first: Column, second: Column) -> Column:
+    """Whether both passes would, for the same class."""
+    return is_auto_candidate(first) & is_auto_candidate(second) & F.coalesce(first["classification"] == second["classification"], F.lit(False))
+
+
+def decide_passes(photos: DataFrame, answers: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """(project_id, photo_id, status, decision, classification, confidence, content_rating) of photos by their answers (project_id,
+    photo_id, first, second: raw texts).
+
+    Duplicates go to review and videos stay, whatever the answers; an unreadable first answer is analysis_failed; sensitive content
+    goes to review; a first pass that would move the photo needs a second one that agrees, else it goes to review; otherwise the
+    first decision counts. Only KEEP is kept.
+    """
+    key = ["project_id", "photo_id"]
+    rows = photos.select("project_id", F.col("id").alias("photo_id"), F.lower("mime_type").startswith("video/").alias("is_video"))
+    rows = rows.join(duplicates.select("project_id", F.col("id").alias("photo_id"), F.lit(True).alias("is_duplicate")), key, "left").join(answers, key)
+    rows = rows.select(*key, F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"), F.coalesce("is_video", F.lit(False)).alias("is_video"), read_pass(F.col("first")).alias("a"), read_pass(F.col("second")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    judged = F.when(F.size(a["sensitive_content_flags"]) > 0, "REVIEW").when(is_auto_candidate(a) & ~is_verified(a, b), "REVIEW").otherwise(a["decision"])
+    bad = a.isNull()
+    pick = lambda duplicate, video, failed, judged: F.when(F.col("is_duplicate"), duplicate).when(F.col("is_video"), video).when(bad, failed).otherwise(judged)
+    decision = pick(F.lit("REVIEW"), F.lit("KEEP"), F.lit("REVIEW"), judged)
+    status = pick(F.lit("review"), F.lit("kept"), F.lit("analysis_failed"), F.when(judged == "KEEP", "kept").otherwise("review"))
+    return rows.select(
+        *key, status.alias("status"), decision.alias("decision"), pick(F.lit("suspected_duplicate"), F.lit("video_out_of_scope"), F.lit("uncertain"), a["classification"]).alias("classification"),
+        pick(F.lit(1.0), F.lit(1.0), F.lit(0.0), a["confidence"]).alias("confidence"), pick(F.lit("SAFE"), F.lit("SAFE"), F.lit("SAFE"), a["content_rating"]).alias("content_rating"),
+    )
+
+
 def review_candidates(photos: DataFrame, items: DataFrame) -> DataFrame:
     """Active photos without an item, in order of their ids within the project."""
     left = photos.where(active()).select("project_id", "id").join(items.select("project_id", F.col("photo_id").alias("id")), ["project_id", "id"], "left_anti")
     return left.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy("id")))
 
 
+def next_candidates(photos: DataFrame, items: DataFrame, model: str, prompt: str, limit: int) -> DataFrame:
+    """The next ``limit`` active photos of each project to judge: without an item, or with one of another model or prompt version
+    (model_name, prompt_version); those queued again first, then by id."""
+    known = items.select("project_id", F.col("photo_id").alias("id"), F.col("status").alias("item_status"), "model_name", "prompt_version")
+    rows = photos.where(active()).select("project_id", "id").join(known, ["project_id", "id"], "left")
+    old = F.col("item_status").isNull() | (F.col("model_name") != model) | (F.col("prompt_version") != prompt)
+    order = Window.partitionBy("project_id").orderBy(F.when(F.col("item_status") == "analysis_retry_queued", 0).otherwise(1), "id")
+    return rows.where(old).select("project_id", "id", F.row_number().over(order).alias("place")).where(F.col("place") <= limit)
+
+
 def current_class() -> Column:
     name = F.col("classification")
     for old, new in ALIASES.items():
@@ -61,21 +134,21 @@ def class_counts(items: DataFrame, statuses: list[str], labelled: bool | None =
 def item_page(items: DataFrame, classes: list[str], page: int, size: int) -> DataFrame:
     """A page of each project's items of some classes (aliases count both ways), newest first, with the total."""
     names = {ALIASES.get(c, c) for c in classes}
-    own = Window.partitionBy("project_id")
     found = items.where(current_class().isin(sorted(names)))
-    ranked = found.select("project_id", "id", F.row_number().over(own.orderBy(F.desc("created_at"), F.desc("id"))).alias("rank"), F.count("*").over(own).alias("total"))
-    return ranked.where((F.col("rank") > (page - 1) * size) & (F.col("rank") <= page * size))
+    totals = found.groupBy("project_id").agg(F.count("*").alias("total"))
+    ranked = found.select("project_id", "id", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("id"))).alias("rank")).where(F.col("rank") <= page * size)
+    return ranked.where(F.col("rank") > (page - 1) * size).join(totals, "project_id")
 
 
 def calibration(items: DataFrame) -> DataFrame:
     """Predicted against human labels for each project and for each of its classes (class null: the whole project).
 
-    Precision, recall and false-positive rate are null where nothing is to be divided; a project is ready with 300 labelled
-    items, 100 of each label and no false positive.
+    Predicted trash is what both passes (structs of ``PASS``: first, second; second null: none) would move without a human, for the
+    same class. Precision, recall and false-positive rate are null where nothing is to be divided; a project is ready with 300
+    labelled items, 100 of each label and no false positive.
     """
-    trash = (F.col("decision") == "QUARANTINE") & (F.col("confidence") >= F.lit(0.5))
     human = F.col("human_label") == "TRASH"
-    labelled = items.where("human_label IS NOT NULL").select("project_id", current_class().alias("classification"), trash.alias("p"), human.alias("h"))
+    labelled = items.where("human_label IS NOT NULL").select("project_id", "classification", is_verified(F.col("first"), F.col("second")).alias("p"), human.alias("h"))
     sums = labelled.groupingSets([["project_id"], ["project_id", "classification"]], "project_id", "classification").agg(
         F.count_if(F.col("p") & F.col("h")).alias("tp"), F.count_if(F.col("p") & ~F.col("h")).alias("fp"), F.count_if(~F.col("p") & ~F.col("h")).alias("tn"), F.count_if(~F.col("p") & F.col("h")).alias("fn")
     )
@@ -108,6 +181,36 @@ def review_actions(items: DataFrame, actions: DataFrame) -> DataFrame:
     return found.select("project_id", "photo_id", "action", outcome.alias("outcome"), F.coalesce(state, "status").alias("status"))
 
 
+#: States from which deletion can be asked for; items that wait for it or are moved stay as they are.
+DELETABLE = ("review", "moving", "move_failed", "queue_failed", "analysis_failed", "kept", "restored")
+
+
+def apply_labels(items: DataFrame, actions: DataFrame, photos: DataFrame) -> dict[str, DataFrame]:
+    """Items and photos after label and delete actions (project_id, photo_id, action, label, file_hash, seq); the last of a photo counts.
+
+    ``label`` sets human_label. ``delete`` of an item in ``DELETABLE`` whose file still has the item's content makes it delete_queued and
+    its photo quarantined, and labels it TRASH; a changed file (hash) is a conflict, as is any other state but delete_queued and
+    quarantined. ``outcome``: done, unchanged, conflict or not_found for each photo.
+    """
+    key = ["project_id", "photo_id"]
+    last = actions.groupBy(*key).agg(F.max_by(F.struct("action", "label", "file_hash"), "seq").alias("x")).select(*key, "x.action", "x.label", F.col("x.file_hash").alias("now_hash"))
+    rows = items.select(*key, "status", "human_label", "content_hash").join(last, key, "full")
+    changed = F.col("content_hash").isNotNull() & ~F.col("content_hash").eqNullSafe(F.col("now_hash"))
+    delete = F.col("action") == "delete"
+    outcome = (
+        F.when(F.col("action").isNull(), None).when(F.col("status").isNull(), "not_found").when(F.col("action") == "label", "done").when(F.col("status").isin("delete_queued", "quarantined"), "unchanged")
+        .when(~F.col("status").isin(*DELETABLE) | changed, "conflict").otherwise("done")
+    )
+    rows = rows.withColumn("outcome", outcome)
+    queued = F.coalesce(delete & (F.col("outcome") == "done"), F.lit(False))
+    trash = F.coalesce(delete & F.col("outcome").isin("done", "unchanged"), F.lit(False))
+    label = F.when(F.col("action") == "label", F.col("label")).when(trash, "TRASH").otherwise(F.col("human_label"))
+    after = rows.where("status IS NOT NULL").select(*key, F.when(queued, "delete_queued").otherwise(F.col("status")).alias("status"), label.alias("human_label"))
+    gone = rows.where(queued).select("project_id", F.col("photo_id").alias("id"), F.lit(True).alias("gone"))
+    photos = photos.select("project_id", "id", "status").join(gone, ["project_id", "id"], "left").select("project_id", "id", F.when(F.col("gone"), "quarantined").otherwise(F.col("status")).alias("status"))
+    return {"items": after, "photos": photos, "outcome": rows.where("outcome IS NOT NULL").select(*key, "action", "outcome")}
+
+
 def batch_delete(requests: DataFrame, photos: DataFrame) -> DataFrame:
     """Distinct requested photos and whether they can be deleted (known and not deleted yet)."""
     live = photos.where("deleted_at IS NULL").select("project_id", "id", F.lit(True).alias("found"))
@@ -123,6 +226,15 @@ def job_rollup(jobs: DataFrame, photos: DataFrame, analysis: DataFrame) -> DataF
     return total.join(by, "project_id", "left").join(done, "project_id", "left").na.fill(0)
 
 
+def embedding_rollup(states: DataFrame, analysis: DataFrame) -> DataFrame:
+    """One row for each project with analyses: ready, failed and stale embeddings by (project_id, photo_id, state), and missing ones: the
+    photos analysed without those three."""
+    counts = states.groupBy("project_id").agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("ready", "failed", "stale")))
+    done = analysis.select("project_id", "photo_id").distinct().groupBy("project_id").agg(F.count("*").alias("analysed"))
+    rows = done.join(counts, "project_id", "left").na.fill(0)
+    return rows.withColumn("missing", F.greatest(F.lit(0), F.col("analysed") - F.col("ready") - F.col("failed") - F.col("stale")))
+
+
 def analysis_candidates(photos: DataFrame, jobs: DataFrame, analysis: DataFrame) -> DataFrame:
     """Active photos with neither an active job nor an analysis."""
     busy = jobs.where(F.col("status").isin(*ACTIVE_JOBS)).select("project_id", F.col("photo_id").alias("id"))
@@ -130,6 +242,16 @@ def analysis_candidates(photos: DataFrame, jobs: DataFrame, analysis: DataFrame)
     return photos.where(active()).select("project_id", "id").join(busy, ["project_id", "id"], "left_anti").join(done, ["project_id", "id"], "left_anti")
 
 
+def reanalysis_candidates(photos: DataFrame, jobs: DataFrame, analysis: DataFrame, scope: str, selected: DataFrame | None = None) -> DataFrame:
+    """Active photos without an active job to analyse again: ``completed`` (analysed), ``failed`` (a failed job), ``selected`` (project_id, id)
+    or ``all``."""
+    key = ["project_id", "id"]
+    as_photo = lambda rows: rows.select("project_id", F.col("photo_id").alias("id"))
+    free = photos.where(active()).select(*key).join(as_photo(jobs.where(F.col("status").isin(*ACTIVE_JOBS))), key, "left_anti")
+    limits = {"completed": lambda: as_photo(analysis), "failed": lambda: as_photo(jobs.where("status = 'failed'")), "selected": lambda: selected.select(*key)}
+    return free if scope == "all" else free.join(limits[scope](), key, "left_semi")
+
+
 def enqueue(requests: DataFrame, jobs: DataFrame, job_type: str) -> DataFrame:
     """Distinct requested photos: created, or skipped if an active job of that type has them."""
     busy = jobs.where(F.col("status").isin(*ACTIVE_JOBS) & (F.col("job_type") == job_type)).select("project_id", "photo_id", F.lit(True).alias("busy")).distinct()
@@ -143,8 +265,47 @@ def failures(jobs: DataFrame) -> DataFrame:
     return failed.groupBy("project_id", "job_type", "error_message").agg(F.count("*").alias("n"), F.max("created_at").alias("last_at"))
 
 
-def job_page(jobs: DataFrame, photos: DataFrame, statuses: list[str], page: int, size: int) -> DataFrame:
-    """A page of each project's jobs, newest first; file names are joined to the page only."""
+#: What a task's payloads say of its files and errors, oldest first.
+PAYLOAD = "recent_files array<struct<path: string, status: string, message: string, timestamp: string>>, recent_errors array<string>"
+
+
+def task_failures(tasks: DataFrame) -> DataFrame:
+    """(project_id, task_id, place, source, message, path, status, timestamp): the failures of each task (project_id, id, error_message,
+    finished_at, result_payload, progress_payload: JSON), in order and each once.
+
+    First the task's own error; then, of the result's payload and then of the progress', the files, newest first, that failed or have
+    a message, and the errors, newest first. Blank messages do not count. Equal source, message, path, status and time are one.
+    """
+    none = F.array().cast("array<struct<source:string,message:string,path:string,status:string,timestamp:string>>")
+    row = lambda source, message, path, status, timestamp: F.struct(F.lit(source).alias("source"), message.alias("message"), path.alias("path"), status.alias("status"), timestamp.cast("string").alias("timestamp"))
+    null = F.lit(None).cast("string")
+
+    def of_file(entry: Column) -> Column:
+        status, message = F.lower(F.trim(F.coalesce(entry["status"], F.lit("")))), F.trim(F.coalesce(entry["message"], F.lit("")))
+        return F.when(status.isin("failed", "error") | (message != ""), row("file_progress", F.when(message != "", message).otherwise(status), F.nullif(entry["path"], F.lit("")), F.nullif(status, F.lit("")), entry["timestamp"]))
+
+    parts = [F.when(F.trim("error_message") != "", F.array(row("task_error", F.trim("error_message"), null, F.lit("failed"), F.col("finished_at")))).otherwise(none)]
+    for name in ("result_payload", "progress_payload"):
+        got = F.from_json(name, PAYLOAD)
+        parts.append(F.coalesce(F.array_compact(F.transform(F.reverse(got["recent_files"]), of_file)), none))
+        errors = F.filter(F.transform(F.reverse(got["recent_errors"]), lambda e: F.trim(e)), lambda e: e != "")
+        parts.append(F.coalesce(F.transform(errors, lambda e: row("recent_error", e, null, F.lit("failed"), null)), none))
+    every = F.array_distinct(F.concat(*parts))
+    return tasks.select("project_id", F.col("id").alias("task_id"), F.posexplode(every).alias("place", "f")).select("project_id", "task_id", "place", "f.*")
+
+
+def failure_summary(found: DataFrame) -> DataFrame:
+    """(project_id, task_id, failures, latest): how many failures a task has, and the first message that is not its own error, else that."""
+    order = F.struct((F.col("source") == "task_error").cast("int"), "place")
+    return found.groupBy("project_id", "task_id").agg(F.count("*").alias("failures"), F.min_by("message", order).alias("latest"))
+
+
+def job_page(jobs: DataFrame, photos: DataFrame, statuses: list[str], page: int, size: int, types: list[str] | None = None) -> DataFrame:
+    """A page of each project's jobs of some statuses (and types), newest first, with the total; file names are joined to the page only."""
+    found = jobs.where(F.col("status").isin(statuses))
+    if types is not None:
+        found = found.where(F.col("job_type").isin(types))
     rank = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("id")))
-    cut = jobs.where(F.col("status").isin(statuses)).select("project_id", "id", "photo_id", "status", rank.alias("rank")).where((F.col("rank") > (page - 1) * size) & (F.col("rank") <= page * size))
-    return cut.join(photos.select(F.col("id").alias("photo_id"), "file_name"), "photo_id", "left")
+    cut = found.select("project_id", "id", "photo_id", "status", rank.alias("rank")).where((F.col("rank") > (page - 1) * size) & (F.col("rank") <= page * size))
+    totals = found.groupBy("project_id").agg(F.count("*").alias("total"))
+    return cut.join(totals, "project_id").join(photos.select("project_id", F.col("id").alias("photo_id"), "file_name"), ["project_id", "photo_id"], "left")

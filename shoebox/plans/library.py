@@ -129,7 +129,7 @@ LEFT JOIN b ON b.project_id = a.project_id AND b.face_id = a.face_id WHERE a.ass
 )
 def brw10_review_list(assignments: DataFrame, faces: DataFrame) -> DataFrame:
     barred = assignments.where("assignment_status = 'rejected'").select("project_id", "face_id", F.col("person_id").alias("not_person_id"))
-    return browse.review_list(assignments, faces, barred)
+    return browse.review_list(assignments, faces, barred).drop("barred")
 
 
 @query(
@@ -201,15 +201,93 @@ def cln5_item_list(items: DataFrame) -> DataFrame:
     return cleanup.item_page(items, ["meaningless_test"], 1, 50)
 
 
+# Both passes of a model, written as it answers: some in a code fence, some with words around, some not readable.
+_CLASSES = "CASE photo_id % 4 WHEN 0 THEN 'severe_blur' WHEN 1 THEN 'Blank_Image' WHEN 2 THEN 'landscape' ELSE 'meaningless_test_image' END"
+_PASSES = f""", ps AS (SELECT project_id, photo_id, classification, human_label, CASE WHEN photo_id % 3 = 0 THEN 'KEEP' ELSE 'QUARANTINE' END AS decision, lower({_CLASSES}) AS c1, CASE WHEN photo_id % 5 = 0 THEN 'severe_blur' ELSE lower({_CLASSES}) END AS c2, photo_id % 7 = 3 AS flagged,
+  photo_id % 11 = 5 AS valuable, CASE WHEN photo_id % 6 = 1 THEN 0.9 ELSE 0.99 END AS confidence, photo_id % 9 = 2 AS sensitive, photo_id % 13 = 0 AS broken, photo_id % 8 = 7 AS single FROM items),
+a1 AS (SELECT *, decision = 'QUARANTINE' AND c1 <> 'landscape' AND confidence >= 0.98 AND NOT flagged AND NOT valuable AS auto FROM ps),
+vf AS (SELECT *, auto AND NOT single AND c2 = c1 AS verified FROM a1)"""
+
+
+def _passes(items: DataFrame) -> DataFrame:
+    n = F.col("photo_id")
+    klass = F.when(n % 4 == 0, "severe_blur").when(n % 4 == 1, "Blank_Image").when(n % 4 == 2, "landscape").otherwise("meaningless_test_image")
+    flags = lambda on, name: F.when(on, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+
+    def answer(classification):
+        return F.to_json(F.struct(
+            F.when(n % 3 == 0, "keep").otherwise("QUARANTINE").alias("decision"), classification.alias("classification"), F.when(n % 6 == 1, 0.9).otherwise(0.99).alias("confidence"), F.lit("as seen").alias("reason"), flags(n % 7 == 3, "people").alias("preservation_flags"),
+            (n % 11 == 5).alias("has_record_value"), flags(n % 9 == 2, "nudity").alias("sensitive_content_flags"),
+        ))
+
+    first = F.when(n % 13 == 0, "I can't say").when(n % 2 == 0, F.concat(F.lit("```json\n"), answer(klass), F.lit("\n```"))).otherwise(F.concat(F.lit("Here: "), answer(klass)))
+    second = F.when((n % 13 != 0) & (n % 8 != 7), answer(F.when(n % 5 == 0, "severe_blur").otherwise(klass)))
+    return items.select("project_id", "photo_id", "classification", "human_label", first.alias("first"), second.alias("second"))
+
+
 @query(
-    f""", l AS (SELECT project_id, {_CLASS} AS classification, decision = 'QUARANTINE' AND confidence >= 0.5 AS p, human_label = 'TRASH' AS h FROM items WHERE human_label IS NOT NULL),
+    _PASSES + """, l AS (SELECT project_id, classification, verified AND NOT broken AS p, human_label = 'TRASH' AS h FROM vf WHERE human_label IS NOT NULL),
 s AS (SELECT project_id, classification, count(*) FILTER (p AND h) AS tp, count(*) FILTER (p AND NOT h) AS fp, count(*) FILTER (NOT p AND NOT h) AS tn, count(*) FILTER (NOT p AND h) AS fn
   FROM l GROUP BY GROUPING SETS ((project_id), (project_id, classification)))
 SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, fp / nullif(fp + tn, 0) AS fpr, tp + fp + tn + fn >= 300 AND tp + fn >= 100 AND tn + fp >= 100 AND fp = 0 AS ready FROM s""",
     "items",
 )
 def cln6_calibration(items: DataFrame) -> DataFrame:
-    return cleanup.calibration(items)
+    rows = _passes(items)
+    return cleanup.calibration(rows.withColumns({"first": cleanup.read_pass(F.col("first")), "second": cleanup.read_pass(F.col("second"))}))
+
+
+@query(
+    _DUPLICATES.replace(", d AS", _PASSES + ", d AS", 1) + """, r AS (SELECT p.project_id, p.id AS photo_id, starts_with(p.mime_type, 'video/') AS is_video, d.id IS NOT NULL AS is_duplicate, vf.* EXCLUDE (project_id, photo_id) FROM photos p JOIN vf ON vf.project_id = p.project_id AND vf.photo_id = p.id LEFT JOIN d ON d.project_id = p.project_id AND d.id = p.id AND d.id <> source_id),
+j AS (SELECT *, CASE WHEN sensitive OR auto AND NOT verified THEN 'REVIEW' ELSE decision END AS judged FROM r)
+SELECT project_id, photo_id, CASE WHEN is_duplicate THEN 'review' WHEN is_video THEN 'kept' WHEN broken THEN 'analysis_failed' WHEN judged = 'KEEP' THEN 'kept' ELSE 'review' END AS status, CASE WHEN is_duplicate THEN 'REVIEW' WHEN is_video THEN 'KEEP' WHEN broken THEN 'REVIEW' ELSE judged END AS decision,
+  CASE WHEN is_duplicate THEN 'suspected_duplicate' WHEN is_video THEN 'video_out_of_scope' WHEN broken THEN 'uncertain' ELSE c1 END AS classification, CAST(CASE WHEN is_duplicate OR is_video THEN 1 WHEN broken THEN 0 ELSE confidence END AS DOUBLE) AS confidence, CASE WHEN is_duplicate OR is_video OR broken OR NOT sensitive THEN 'SAFE' ELSE 'ADULT' END AS content_rating FROM j""",
+    "photos", "items",
+)
+def cln2_two_passes(photos: DataFrame, items: DataFrame) -> DataFrame:
+    return cleanup.decide_passes(photos, _passes(items).select("project_id", "photo_id", "first", "second"), cleanup.exact_duplicates(photos))
+
+
+_VERSIONED = """, it AS (SELECT *, CASE WHEN photo_id % 3 = 0 THEN 'old' ELSE 'm' END AS model_name, CASE WHEN photo_id % 5 = 0 THEN '1' ELSE '2' END AS prompt_version, CASE WHEN photo_id % 15 = 0 THEN 'analysis_retry_queued' ELSE status END AS state FROM items)"""
+
+
+@query(
+    _VERSIONED + f""" SELECT p.project_id, p.id, CAST(row_number() OVER (PARTITION BY p.project_id ORDER BY CASE WHEN state = 'analysis_retry_queued' THEN 0 ELSE 1 END, p.id) AS INT) AS place FROM (SELECT project_id, id FROM photos WHERE {ACTIVE}) p LEFT JOIN it ON it.project_id = p.project_id AND it.photo_id = p.id
+WHERE it.id IS NULL OR model_name <> 'm' OR prompt_version <> '2' QUALIFY place <= 40""",
+    "photos", "items",
+)
+def cln3_next_candidates(photos: DataFrame, items: DataFrame) -> DataFrame:
+    n = F.col("photo_id")
+    known = items.withColumns({"model_name": F.when(n % 3 == 0, "old").otherwise("m"), "prompt_version": F.when(n % 5 == 0, "1").otherwise("2"), "status": F.when(n % 15 == 0, "analysis_retry_queued").otherwise(F.col("status"))})
+    return cleanup.next_candidates(photos, known, "m", "2", 40)
+
+
+_ACTIONS = """, ac AS (SELECT project_id, photo_id, max_by(CASE WHEN id % 2 = 0 THEN 'delete' ELSE 'label' END, id) AS action, max_by(CASE WHEN id % 3 = 0 THEN 'KEEP' ELSE 'TRASH' END, id) AS label, max_by(CASE WHEN id % 5 = 0 THEN 'x' ELSE md5(CAST(photo_id AS STRING)) END, id) AS now_hash FROM jobs GROUP BY ALL),
+o0 AS (SELECT coalesce(i.project_id, ac.project_id) AS project_id, coalesce(i.photo_id, ac.photo_id) AS photo_id, CASE WHEN i.photo_id % 6 = 0 THEN 'restored' ELSE i.status END AS status, human_label, action, label, CASE WHEN i.photo_id IS NOT NULL AND i.photo_id % 4 <> 0 THEN md5(CAST(i.photo_id AS STRING)) END AS h, now_hash FROM items i FULL JOIN ac ON ac.project_id = i.project_id AND ac.photo_id = i.photo_id),
+o1 AS (SELECT *, CASE WHEN action IS NULL THEN NULL WHEN status IS NULL THEN 'not_found' WHEN action = 'label' THEN 'done' WHEN status IN ('delete_queued', 'quarantined') THEN 'unchanged' WHEN status NOT IN ('review', 'kept', 'restored') OR h IS NOT NULL AND h <> now_hash THEN 'conflict' ELSE 'done' END AS outcome FROM o0)"""
+
+
+def _labelled(jobs: DataFrame, items: DataFrame, photos: DataFrame) -> dict[str, DataFrame]:
+    n = F.col("id")
+    actions = jobs.select("project_id", "photo_id", F.when(n % 2 == 0, "delete").otherwise("label").alias("action"), F.when(n % 3 == 0, "KEEP").otherwise("TRASH").alias("label"), F.when(n % 5 == 0, "x").otherwise(F.md5(F.col("photo_id").cast("string"))).alias("file_hash"), n.alias("seq"))
+    p = F.col("photo_id")
+    known = items.withColumns({"status": F.when(p % 6 == 0, "restored").otherwise(F.col("status")), "content_hash": F.when(p % 4 != 0, F.md5(p.cast("string")))})
+    return cleanup.apply_labels(known, actions, photos)
+
+
+@query(_ACTIONS + " SELECT project_id, photo_id, action, outcome FROM o1 WHERE outcome IS NOT NULL", "jobs", "items", "photos")
+def cln8_label_outcomes(jobs: DataFrame, items: DataFrame, photos: DataFrame) -> DataFrame:
+    return _labelled(jobs, items, photos)["outcome"]
+
+
+@query(
+    _ACTIONS + """ SELECT 'item' AS kind, project_id, photo_id, CASE WHEN action = 'delete' AND outcome = 'done' THEN 'delete_queued' ELSE status END AS status, CASE WHEN action = 'label' THEN label WHEN action = 'delete' AND outcome IN ('done', 'unchanged') THEN 'TRASH' ELSE human_label END AS human_label FROM o1 WHERE status IS NOT NULL
+UNION ALL SELECT 'photo', p.project_id, p.id, CASE WHEN o1.photo_id IS NOT NULL THEN 'quarantined' ELSE p.status END, NULL FROM photos p LEFT JOIN o1 ON o1.project_id = p.project_id AND o1.photo_id = p.id AND action = 'delete' AND outcome = 'done'""",
+    "jobs", "items", "photos",
+)
+def cln8_label_tables(jobs: DataFrame, items: DataFrame, photos: DataFrame) -> DataFrame:
+    made = _labelled(jobs, items, photos)
+    return made["items"].select(F.lit("item").alias("kind"), "project_id", "photo_id", "status", "human_label").union(made["photos"].select(F.lit("photo"), "project_id", "id", "status", F.lit(None).cast("string")))
 
 
 @query(
@@ -278,8 +356,130 @@ def job4_task_failures(jobs: DataFrame) -> DataFrame:
 
 @query(
     """, r AS (SELECT project_id, id, photo_id, status, CAST(row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS INT) AS rank FROM jobs WHERE status IN ('failed', 'paused') QUALIFY rank BETWEEN 41 AND 80)
-SELECT r.*, p.file_name FROM r LEFT JOIN photos p ON p.id = r.photo_id""",
+SELECT r.*, p.file_name FROM r LEFT JOIN photos p ON p.project_id = r.project_id AND p.id = r.photo_id""",
     "jobs", "photos",
 )
 def job5_job_list(jobs: DataFrame, photos: DataFrame) -> DataFrame:
-    return cleanup.job_page(jobs, photos, ["failed", "paused"], 2, 40)
+    return cleanup.job_page(jobs, photos, ["failed", "paused"], 2, 40).drop("total")
+
+
+@query(
+    """, f AS (SELECT * FROM jobs WHERE status IN ('failed', 'paused') AND job_type = 'embed'), r AS (SELECT project_id, id, photo_id, status, CAST(row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS INT) AS rank, count(*) OVER (PARTITION BY project_id) AS total FROM f QUALIFY rank <= 20)
+SELECT r.*, p.file_name FROM r LEFT JOIN photos p ON p.project_id = r.project_id AND p.id = r.photo_id""",
+    "jobs", "photos",
+)
+def job5_typed_page(jobs: DataFrame, photos: DataFrame) -> DataFrame:
+    return cleanup.job_page(jobs, photos, ["failed", "paused"], 1, 20, ["embed"])
+
+
+@query(
+    """, st AS (SELECT project_id, photo_id, CASE photo_id % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'failed' WHEN 2 THEN 'stale' ELSE 'missing' END AS state FROM analysis), c AS (SELECT project_id, count(DISTINCT photo_id) AS analysed FROM analysis GROUP BY ALL),
+s AS (SELECT project_id, count(*) FILTER (state = 'ready') AS ready, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'stale') AS stale FROM st GROUP BY ALL)
+SELECT project_id, analysed, ready, failed, stale, greatest(0, analysed - ready - failed - stale) AS missing FROM c JOIN s USING (project_id)""",
+    "analysis",
+)
+def job1_embedding_counts(analysis: DataFrame) -> DataFrame:
+    n = F.col("photo_id") % 4
+    states = analysis.select("project_id", "photo_id", F.when(n == 0, "ready").when(n == 1, "failed").when(n == 2, "stale").otherwise("missing").alias("state"))
+    return cleanup.embedding_rollup(states, analysis)
+
+
+@query(
+    f""", fr AS (SELECT project_id, id FROM photos p WHERE {ACTIVE} AND NOT EXISTS (FROM jobs j WHERE j.{_BUSY} AND j.project_id = p.project_id AND j.photo_id = p.id))
+SELECT 'completed' AS scope, fr.* FROM fr WHERE EXISTS (FROM analysis a WHERE a.project_id = fr.project_id AND a.photo_id = fr.id) UNION ALL SELECT 'failed', fr.* FROM fr WHERE EXISTS (FROM jobs j WHERE j.status = 'failed' AND j.project_id = fr.project_id AND j.photo_id = fr.id)
+UNION ALL SELECT 'selected', fr.* FROM fr WHERE EXISTS (FROM items i WHERE i.project_id = fr.project_id AND i.photo_id = fr.id) UNION ALL SELECT 'all', fr.* FROM fr""",
+    "photos", "jobs", "analysis", "items",
+)
+def job2_reanalysis_scopes(photos: DataFrame, jobs: DataFrame, analysis: DataFrame, items: DataFrame) -> DataFrame:
+    selected = items.select("project_id", F.col("photo_id").alias("id"))
+    parts = [cleanup.reanalysis_candidates(photos, jobs, analysis, scope, selected).select(F.lit(scope).alias("scope"), "project_id", "id") for scope in ("completed", "failed", "selected", "all")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+_TASKS = """, tk AS (SELECT project_id, id, CASE WHEN id % 4 = 0 THEN ' ' WHEN id % 4 = 1 THEN 'broke ' ELSE NULL END AS e, 't' || CAST(id % 3 AS STRING) AS f FROM jobs),
+fl AS (SELECT project_id, id, 0 AS o, 'task_error' AS source, trim(e) AS message, NULL AS path, 'failed' AS status, f AS timestamp FROM tk WHERE trim(e) <> ''
+  UNION ALL SELECT project_id, id, 1, 'file_progress', CASE WHEN id % 2 = 0 THEN 'error' ELSE 'late' END, 'b', 'error', '2' FROM tk UNION ALL SELECT project_id, id, 2, 'file_progress', 'slow', 'a', NULL, '1' FROM tk WHERE id % 5 = 0
+  UNION ALL SELECT project_id, id, 3, 'recent_error', 'second', NULL, 'failed', NULL FROM tk UNION ALL SELECT project_id, id, 4, 'recent_error', 'first', NULL, 'failed', NULL FROM tk UNION ALL SELECT project_id, id, 5, 'file_progress', 'p', 'c', 'failed', '3' FROM tk WHERE id % 3 = 0)"""
+
+
+def _tasks(jobs: DataFrame) -> DataFrame:
+    n = F.col("id")
+    entry = lambda path, status, message, time: F.struct(F.lit(path).alias("path"), status.alias("status"), message.alias("message"), F.lit(time).alias("timestamp"))
+    old = entry("a", F.lit(""), F.when(n % 5 == 0, " slow "), "1")
+    new = entry("b", F.lit("Error"), F.when(n % 2 == 1, "late"), "2")
+    result = F.to_json(F.struct(F.array(old, new).alias("recent_files"), F.array(F.lit("first"), F.lit(" "), F.lit("second")).alias("recent_errors")))
+    progress = F.when(n % 3 == 0, F.to_json(F.struct(F.array(entry("c", F.lit("failed"), F.lit("p"), "3")).alias("recent_files"), F.array(F.lit("second")).alias("recent_errors"))))
+    error = F.when(n % 4 == 0, " ").when(n % 4 == 1, "broke ")
+    return jobs.select("project_id", "id", error.alias("error_message"), F.concat(F.lit("t"), (n % 3).cast("string")).alias("finished_at"), result.alias("result_payload"), progress.alias("progress_payload"))
+
+
+@query(_TASKS + " SELECT project_id, id AS task_id, CAST(row_number() OVER (PARTITION BY project_id, id ORDER BY o) - 1 AS INT) AS place, source, message, path, status, timestamp FROM fl", "jobs")
+def job4_payload_failures(jobs: DataFrame) -> DataFrame:
+    return cleanup.task_failures(_tasks(jobs))
+
+
+@query(_TASKS + " SELECT project_id, id AS task_id, count(*) AS failures, arg_min(message, CASE WHEN o = 0 THEN 99 ELSE o END) AS latest FROM fl GROUP BY ALL", "jobs")
+def job4_failure_summary(jobs: DataFrame) -> DataFrame:
+    return cleanup.failure_summary(cleanup.task_failures(_tasks(jobs)))
+
+
+@query(
+    """, w AS (SELECT a.project_id, a.photo_id, p.taken_at, CAST(1 AS DOUBLE) AS score FROM analysis a JOIN photos p ON p.project_id = a.project_id AND p.id = a.photo_id WHERE p.deleted_at IS NULL AND list_has_any(object_tags, ['the', 'la', 'der']))
+SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY taken_at DESC NULLS LAST, photo_id DESC) AS INT) AS rank, count(*) OVER (PARTITION BY project_id) AS total FROM w QUALIFY rank BETWEEN 4 AND 6""",
+    "analysis", "photos",
+)
+def brw7_tag_page(analysis: DataFrame, photos: DataFrame) -> DataFrame:
+    return browse.tag_page(analysis, photos, "object_tags", ["the", "la", "der"], 2, 3)
+
+
+@query(
+    _COUNTERS + """SELECT project_id, person_id, pending_count, CAST(row_number() OVER (PARTITION BY project_id ORDER BY is_named DESC, positive_count DESC, face_count DESC, person_id * 7 % 10 DESC, person_id DESC) AS INT) AS rank,
+  count(*) OVER (PARTITION BY project_id) AS total FROM x WHERE pending_count > 0 AND contains('person ' || CAST(person_id % 100 AS STRING) || ' #p' , 'on 1') OR pending_count > 0 AND person_id % 100 = 1 QUALIFY rank <= 4""",
+    "assignments", "persons",
+)
+def brw9_filtered_people(assignments: DataFrame, persons: DataFrame) -> DataFrame:
+    dated = persons.withColumn("updated_at", F.col("id") * 7 % 10)
+    return browse.people_list(assignments, dated, 4, pending=True, name="ON 1").select("project_id", "person_id", "pending_count", "rank", "total")
+
+
+@query(
+    """, b AS (SELECT project_id, face_id, array_to_string(list_sort(list_distinct(list(person_id))), ',') AS barred FROM assignments WHERE assignment_status = 'rejected' GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY id * 13 % 101 DESC, id DESC) AS INT) AS rank FROM assignments WHERE assignment_status = 'review_pending' QUALIFY rank <= 25)
+SELECT r.project_id, r.id, r.face_id, r.person_id, f.photo_id, coalesce(barred, '') AS barred, rank FROM r JOIN face_embeddings f ON f.project_id = r.project_id AND f.face_id = r.face_id LEFT JOIN b ON b.project_id = r.project_id AND b.face_id = r.face_id""",
+    "assignments", "face_embeddings",
+)
+def brw10_review_page(assignments: DataFrame, faces: DataFrame) -> DataFrame:
+    barred = assignments.where("assignment_status = 'rejected'").select("project_id", "face_id", F.col("person_id").alias("not_person_id"))
+    page = browse.review_page(assignments.withColumn("updated_at", F.col("id") * 13 % 101), faces, barred, 25)
+    return page.select("project_id", "id", "face_id", "person_id", "photo_id", F.array_join("barred", ",").alias("barred"), "rank")
+
+
+@query(
+    """, d AS (SELECT project_id, person_id, id, CAST(row_number() OVER (PARTITION BY project_id, person_id ORDER BY is_positive DESC, id * 13 % 101 DESC, id DESC) AS INT) AS rank FROM assignments QUALIFY rank <= 5),
+p AS (SELECT project_id, person_id, face_id FROM assignments WHERE assignment_status = 'review_pending' QUALIFY row_number() OVER (PARTITION BY project_id, person_id ORDER BY face_id) <= 500), l AS (SELECT project_id, person_id, string_agg(CAST(face_id AS STRING), ',' ORDER BY face_id) AS pending FROM p GROUP BY ALL)
+SELECT d.*, coalesce(pending, '') AS pending FROM d LEFT JOIN l USING (project_id, person_id)""",
+    "assignments",
+)
+def brw11_detail_with_pending(assignments: DataFrame) -> DataFrame:
+    detail = browse.person_detail(assignments.withColumn("updated_at", F.col("id") * 13 % 101), 5).drop("total")
+    waiting = browse.pending_faces(assignments).select("project_id", "person_id", F.array_join("face_ids", ",").alias("p"))
+    return detail.join(waiting, ["project_id", "person_id"], "left").withColumn("pending", F.coalesce("p", F.lit(""))).drop("p")
+
+
+@query(
+    """, f AS (SELECT *, CASE WHEN face_id % 6 <> 0 THEN face_id * 11 % 500 END AS detected_at FROM face_embeddings WHERE status = 'embedded')
+SELECT project_id, face_id, photo_id, status, CAST(row_number() OVER (PARTITION BY project_id ORDER BY detected_at DESC NULLS LAST, face_id DESC) AS INT) AS rank, count(*) OVER (PARTITION BY project_id) AS total FROM f QUALIFY rank BETWEEN 31 AND 60""",
+    "face_embeddings",
+)
+def brw12_face_page(faces: DataFrame) -> DataFrame:
+    return browse.face_page(faces.withColumn("detected_at", F.when(F.col("face_id") % 6 != 0, F.col("face_id") * 11 % 500)), 2, 30, "embedded")
+
+
+@query(
+    """, b AS (SELECT project_id, face_id, person_id, assignment_status FROM assignments WHERE assignment_status <> 'rejected' QUALIFY row_number() OVER (PARTITION BY project_id, face_id
+  ORDER BY CASE WHEN assignment_status LIKE 'human%' THEN 0 WHEN assignment_status = 'auto_assigned' THEN 1 ELSE 2 END, id * 13 % 5 DESC, id DESC) = 1)
+SELECT b.*, display_name, is_named FROM b JOIN persons p ON p.project_id = b.project_id AND p.id = b.person_id""",
+    "assignments", "persons",
+)
+def brw13_best_people(assignments: DataFrame, persons: DataFrame) -> DataFrame:
+    return browse.best_people(assignments.withColumn("updated_at", F.col("id") * 13 % 5), persons)
