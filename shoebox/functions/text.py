@@ -20,6 +20,15 @@ def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def nfkc_all(texts: Column) -> Column:
+    """Compatibility composition of each text of an array; nulls stay."""
+    return F.pandas_udf(_all_composed, "array<string>")(texts)
+
+
+def _all_composed(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda x: [None if t is None else unicodedata.normalize("NFKC", t) for t in x], na_action="ignore")
+
+
 #: Columns that a model's answer is read into.
 ANSWER = "caption string, ocr_text string, scene_tags array<string>, object_tags array<string>, people_count int, confidence double"
 _NAMES = {"description": "caption", "text": "ocr_text", "scenes": "scene_tags", "objects": "object_tags", "people": "people_count", "score": "confidence"}
@@ -78,7 +87,14 @@ def _lenient_rows(texts: pd.Series) -> pd.DataFrame:
     return frame.astype({"people_count": "Int32", "confidence": "Float64"})
 
 
-def model_answer(text: Column) -> Column:
-    """A struct of ``ANSWER`` from a model's raw text: strict JSON by Spark itself, the helper only for what that cannot read."""
+def model_answer(text: Column, strategy: str = "auto_extract") -> Column:
+    """A struct of ``ANSWER`` from a model's raw text: strict JSON by Spark itself, the helper only for what that cannot read.
+
+    ``strict_json`` reads a text that is one JSON object, with or without a caption, and ``strip_markdown`` one in a code fence too;
+    else the answer is null.
+    """
+    if strategy != "auto_extract":
+        bare = F.trim(text if strategy == "strict_json" else F.replace(F.regexp_replace(text, r"```(?:json)?\s*", ""), F.lit("```")))
+        return F.when(F.json_object_keys(bare).isNotNull(), F.from_json(bare, f"struct<{_ddl()}>"))
     strict = _strict(text)
     return F.coalesce(strict, F.pandas_udf(_lenient_rows, f"struct<{_ddl()}>")(F.when(strict.isNull(), text)))

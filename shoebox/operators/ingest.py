@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoebox.functions.text import nfkc_all
 from shoebox.operators.browse import active
 
 MEDIA = ("jpg", "jpeg", "png", "webp", "heic", "heif", "mp4", "mov", "m4v", "avi", "mkv", "webm")
 EXIF_TIMES = ("EXIF DateTimeOriginal", "Image DateTime", "EXIF DateTimeDigitized")
-PLACES = ("city", "admin1", "country_name")
+PLACES = ("city", "district", "admin2", "admin1", "country_name")
 
 
 # Metadata
@@ -38,6 +39,7 @@ def exif_columns(tags: str) -> list[Column]:
     return [
         taken.alias("taken_at"), degrees(tag("GPS GPSLatitude"), tag("GPS GPSLatitudeRef"), "S").alias("gps_latitude"), degrees(tag("GPS GPSLongitude"), tag("GPS GPSLongitudeRef"), "W").alias("gps_longitude"),
         height.alias("gps_altitude"), F.trim(tag("EXIF ISOSpeedRatings")).try_cast("int").alias("iso"), F.trim(tag("Image Make")).alias("camera_make"),
+        F.trim(tag("Image Model")).alias("camera_model"), F.trim(tag("EXIF LensModel")).alias("lens"), F.trim(tag("Image Orientation")).try_cast("int").alias("orientation"),
     ]
 
 
@@ -73,6 +75,18 @@ def reconcile(inventory: DataFrame, photos: DataFrame) -> DataFrame:
     return found.select("project_id", "file_path", "id", action.alias("action"))
 
 
+def merged_photos(inventory: DataFrame, photos: DataFrame, columns: list[str]) -> DataFrame:
+    """The photos of ``reconcile``: all known ones and inserted ones (id null, status pending), with the inventory's ``columns`` where the
+    file is new or has other content; with the folder of the path where it is the same (refresh). Skipped ones stay as they are."""
+    key = ["project_id", "file_path"]
+    acts = reconcile(inventory, photos).select(*key, "action")
+    fresh = inventory.select(*key, F.col("file_hash").alias("new_file_hash"), F.col("folder_path").alias("new_folder_path"), *(F.col(c).alias(f"new_{c}") for c in columns)).join(acts, key)
+    rows = photos.select(*key, "id", "status", "file_hash", "folder_path", *columns).join(fresh, key, "full")
+    taken, moved = F.col("action").isin("insert", "update"), F.col("action").isin("insert", "update", "refresh")
+    pick = lambda c, when: F.when(F.coalesce(when, F.lit(False)), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
+    return rows.select(*key, "id", F.when(F.col("action") == "insert", "pending").otherwise(F.col("status")).alias("status"), pick("file_hash", taken), pick("folder_path", moved), *(pick(c, taken) for c in columns), F.coalesce("action", F.lit("keep")).alias("action"))
+
+
 def missing_files(photos: DataFrame, inventory: DataFrame, projects: DataFrame) -> DataFrame:
     """Active photos without a file, but none of a project whose root cannot be reached."""
     away = projects.where(~F.col("available")).select(F.col("id").alias("project_id"))
@@ -124,6 +138,15 @@ def breadcrumbs(folder_table: DataFrame) -> DataFrame:
     return lists.select("project_id", "relative_path", F.array_join(F.transform("c", lambda x: F.when(x["name"] == "", "/").otherwise(x["name"])), " > ").alias("crumbs"))
 
 
+def breadcrumb_rows(folder_table: DataFrame) -> DataFrame:
+    """(project_id, relative_path, crumbs array<struct<depth, id, name, relative_path>>): each folder of a table with ids and the folders
+    above it, from the root down."""
+    above = folder_table.select("project_id", "relative_path", F.explode(ancestors(F.col("relative_path"))).alias("a"))
+    names = folder_table.select("project_id", F.col("relative_path").alias("a"), "id", "name", "depth")
+    crumb = F.struct("depth", "id", "name", F.col("a").alias("relative_path"))
+    return above.join(names, ["project_id", "a"]).groupBy("project_id", "relative_path").agg(F.sort_array(F.collect_list(crumb)).alias("crumbs"))
+
+
 # Places
 
 
@@ -146,63 +169,114 @@ def upsert_cache(cache: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def merge_place_tokens(analysis: DataFrame, photos: DataFrame) -> DataFrame:
-    """Place names of photos with coordinates, behind the location clues they aren't among, and all clues behind the keywords."""
+    """Place names of photos with a latitude (city, district, admin2, admin1, country_name, in this order), behind the location clues they
+    aren't among, and all clues behind the keywords; names are trimmed, and clues compared without white space around. ``added`` are the
+    new clues and ``added_keywords`` the new keywords."""
     names = F.array_distinct(F.filter(F.array(*(F.trim(c) for c in PLACES)), lambda x: x.isNotNull() & (x != "")))
     here = photos.where("gps_latitude IS NOT NULL").select("project_id", F.col("id").alias("photo_id"), names.alias("names"))
-    added = analysis.join(here, ["project_id", "photo_id"]).withColumn("added", F.array_except("names", "location_clues"))
+    none = F.array().cast("array<string>")
+    trimmed = lambda c: F.filter(F.transform(c, lambda t: F.trim(t)), lambda t: t != "")
+    rows = analysis.withColumns({"location_clues": F.coalesce("location_clues", none), "search_keywords": F.coalesce("search_keywords", none)}).join(here, ["project_id", "photo_id"])
+    added = rows.withColumn("added", F.array_except("names", trimmed(F.col("location_clues"))))
     clues = F.concat("location_clues", "added")
-    return added.select("project_id", "photo_id", clues.alias("location_clues"), F.concat("search_keywords", F.array_except(clues, "search_keywords")).alias("search_keywords"), "added")
+    words = F.array_except(trimmed(clues), trimmed(F.col("search_keywords")))
+    return added.select("project_id", "photo_id", clues.alias("location_clues"), F.concat("search_keywords", words).alias("search_keywords"), "added", words.alias("added_keywords"))
 
 
 # Tags and texts
 
 
+TAG_FIELDS = ("scene_tags", "object_tags", "activity_tags", "quality_tags", "location_clues")
+
+
+def clean_tag(tag: Column) -> Column:
+    """A tag with separators and white space folded."""
+    return F.regexp_replace(F.trim(F.regexp_replace(tag, r"[_-]+", " ")), r"\s+", " ")
+
+
 def canonical_tag(tag: Column, aliases: dict[str, str]) -> Column:
     """A tag with separators and white space folded, as the canonical tag that its lower-cased form is an alias of."""
-    clean = F.regexp_replace(F.trim(F.regexp_replace(tag, r"[_-]+", " ")), r"\s+", " ")
     table = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair)) if aliases else F.create_map().cast("map<string,string>")
+    clean = clean_tag(tag)
     return F.coalesce(F.try_element_at(table, F.lower(clean)), clean)
 
 
 def canonical_tags(tags: Column, aliases: dict[str, str]) -> Column:
-    """Canonical tags in order, without empty and repeated ones."""
-    return F.array_distinct(F.filter(F.transform(tags, lambda t: canonical_tag(t, aliases)), lambda t: t.isNotNull() & (t != "")))
+    """Canonical tags in order, without empty and repeated ones; characters are composed by NFKC first."""
+    return F.array_distinct(F.filter(F.transform(nfkc_all(tags), lambda t: canonical_tag(t, aliases)), lambda t: t.isNotNull() & (t != "")))
+
+
+def canonical_analysis(analysis: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """Analyses with canonical tags in every tag field; keywords are followed by the scenes, objects, activities, qualities and clues that
+    they lack. Null lists are empty."""
+    none = F.array().cast("array<string>")
+    fields = [*TAG_FIELDS, "search_keywords", *(["semantic_concepts"] if "semantic_concepts" in analysis.columns else [])]
+    rows = analysis.withColumns({c: canonical_tags(F.coalesce(c, none), aliases) for c in fields})
+    return rows.withColumn("search_keywords", F.array_distinct(F.concat("search_keywords", *TAG_FIELDS)))
 
 
 def expand_terms(terms: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(term, expanded): the term, its canonical tag and, sorted, all aliases of that tag (alias, canonical)."""
+    """(term, expanded): the term with separators and white space folded, its canonical tag and, sorted, all aliases of that tag (alias,
+    canonical); aliases are found in any case."""
     groups = aliases.groupBy("canonical").agg(F.sort_array(F.collect_set("alias")).alias("all"))
-    found = terms.distinct().join(aliases.withColumnRenamed("alias", "term"), "term", "left").join(groups, "canonical", "left")
-    return found.select("term", F.array_distinct(F.array_compact(F.concat(F.array("term", "canonical"), F.coalesce("all", F.array().cast("array<string>"))))).alias("expanded"))
+    known = aliases.groupBy(F.lower("alias").alias("key")).agg(F.min("canonical").alias("canonical"))
+    found = terms.select("term").distinct().withColumn("clean", clean_tag(F.col("term"))).withColumn("key", F.lower("clean")).join(known, "key", "left").join(groups, "canonical", "left")
+    return found.select("term", F.array_distinct(F.array_compact(F.concat(F.array("clean", "canonical"), F.coalesce("all", F.array().cast("array<string>"))))).alias("expanded"))
 
 
-def embedding_texts(analysis: DataFrame, photos: DataFrame, prefix: str = "") -> DataFrame:
-    """The labelled text that is embedded for each photo and its fields' SHA-256, null for empty fields."""
+def embedding_texts(analysis: DataFrame, photos: DataFrame, prefix: str = "", with_texts: bool = False) -> DataFrame:
+    """SHA-256 of the caption, the tags, the OCR text and the labelled text of all that is embedded for each photo, null for empty ones;
+    ``with_texts`` adds the four texts."""
     joined = analysis.join(photos.select("project_id", F.col("id").alias("photo_id"), "taken_at", "city", "camera_model"), ["project_id", "photo_id"])
     tags = F.array_join(F.array_distinct(F.concat("scene_tags", "object_tags", "activity_tags")), ";")
     section = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), c))
     content = F.concat_ws("\n\n", F.lit(prefix or None).cast("string"), section("Caption", F.col("caption")), section("Tags", tags), section("Text", F.col("ocr_text")), section("Date", F.date_format("taken_at", "yyyy-MM-dd")), section("Place", F.col("city")), section("Camera", F.col("camera_model")))
     digest = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.sha2(c, 256))
-    return joined.select("project_id", "photo_id", digest(F.col("caption")).alias("caption_hash"), digest(tags).alias("tag_hash"), digest(F.col("ocr_text")).alias("ocr_hash"), digest(content).alias("content_hash"))
+    parts = {"caption": F.col("caption"), "tag": tags, "ocr": F.col("ocr_text"), "content": content}
+    shown = [F.coalesce(c, F.lit("")).alias(f"{name}_text") for name, c in parts.items()] if with_texts else []
+    return joined.select("project_id", "photo_id", *(digest(c).alias(f"{name}_hash") for name, c in parts.items()), *shown)
 
 
-def embedding_state(texts: DataFrame, embeddings: DataFrame, model: str, version: str) -> DataFrame:
-    """missing, failed, stale or ready for each photo with a text."""
+def embedding_state(texts: DataFrame, embeddings: DataFrame, model: str, version: str, dimension: int | None = None) -> DataFrame:
+    """missing, failed, stale or ready for each photo with a text. Stale: not ready, of another model, version, dimension (if one is
+    asked for) or text."""
     hashes = [c for c in texts.columns if c.endswith("_hash")]
-    old = embeddings.select("project_id", "photo_id", "status", "model", "version", *(F.col(c).alias(f"old_{c}") for c in hashes))
+    sizes = ["dimension"] if dimension is not None else []
+    old = embeddings.select("project_id", "photo_id", "status", "model", "version", *sizes, *(F.col(c).alias(f"old_{c}") for c in hashes))
     same = (F.col("status") == "ready") & (F.col("model") == model) & (F.col("version") == version)
+    if dimension is not None:
+        same = same & F.coalesce(F.col("dimension") == dimension, F.lit(False))
     for c in hashes:
         same = same & F.col(c).eqNullSafe(F.col(f"old_{c}"))
     state = F.when(F.col("status").isNull(), "missing").when(F.col("status") == "failed", "failed").when(same, "ready").otherwise("stale")
     return texts.join(old, ["project_id", "photo_id"], "left").select("project_id", "photo_id", state.alias("state"))
 
 
-def rebuild_list(state: DataFrame, jobs: DataFrame, scope: str = "stale") -> DataFrame:
-    """Photos to embed again by scope (a state, ``all`` for what isn't ready, or ``force``), and which are skipped as already queued."""
-    wanted = {"all": F.col("state") != "ready", "force": F.lit(True)}.get(scope, F.col("state") == scope)
+def embedding_counts(state: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row for each project: photos with a text, by state, and queued and running embedding jobs."""
+    counts = state.groupBy("project_id").agg(F.count("*").alias("total"), *(F.count_if(F.col("state") == s).alias(s) for s in ("ready", "missing", "stale", "failed")))
+    waiting = jobs.where(F.col("job_type") == "embed").groupBy("project_id").agg(*(F.count_if(F.col("status") == s).alias(f"{s}_jobs") for s in ("queued", "running")))
+    return counts.join(waiting, "project_id", "left").na.fill(0)
+
+
+def rebuild_list(state: DataFrame, jobs: DataFrame, scope: str = "stale", selected: DataFrame | None = None) -> DataFrame:
+    """Photos to embed again by scope (a state, ``selected``, ``all`` for what isn't ready, or ``force``), and which are skipped: those with an
+    active job, and selected ones that are ready (up_to_date)."""
+    wanted = {"all": F.col("state") != "ready", "force": F.lit(True), "selected": F.lit(True)}.get(scope, F.col("state") == scope)
     busy = jobs.where(F.col("status").isin("queued", "running") & (F.col("job_type") == "embed")).select("project_id", "photo_id", F.lit(True).alias("busy")).distinct()
-    found = state.where(wanted).join(busy, ["project_id", "photo_id"], "left")
-    return found.select("project_id", "photo_id", F.when(F.col("busy"), "skipped_existing").otherwise("created").alias("outcome"))
+    chosen = state.where(wanted)
+    if scope == "selected":
+        chosen = chosen.join(selected.select("project_id", "photo_id"), ["project_id", "photo_id"], "left_semi")
+    found = chosen.join(busy, ["project_id", "photo_id"], "left")
+    fresh = F.lit(scope == "selected") & (F.col("state") == "ready")
+    return found.select("project_id", "photo_id", F.when(fresh, "up_to_date").when(F.col("busy"), "skipped_existing").otherwise("created").alias("outcome"))
+
+
+def rebuild_summary(state: DataFrame, listed: DataFrame) -> DataFrame:
+    """(project_id, created, skipped_existing, up_to_date): of ``rebuild_list``; up to date are all ready photos that it does not create."""
+    count = lambda name: F.count_if(F.col("outcome") == name).alias(name)
+    rows = state.join(listed, ["project_id", "photo_id"], "left")
+    return rows.groupBy("project_id").agg(count("created"), count("skipped_existing"), F.count_if((F.col("state") == "ready") & ~F.coalesce(F.col("outcome") == "created", F.lit(False))).alias("up_to_date"))
 
 
 def name_terms(name: Column) -> dict[str, Column]:
@@ -220,6 +294,13 @@ def rewrite_roots(projects: DataFrame, old: str, new: str) -> DataFrame:
     return projects.withColumn("root", F.when(under, F.concat(F.lit(new), F.substring(F.col("root"), F.lit(len(old) + 1), F.length("root")))).otherwise(F.col("root")))
 
 
+def rewrite_library_paths(paths: DataFrame, old: str, new: str) -> DataFrame:
+    """Child rows (project_id, path, position) below ``old``, moved to ``new``; of paths that become equal, the first position stays."""
+    under = (F.col("path") == old) | F.col("path").startswith(f"{old}/")
+    moved = F.when(under, F.concat(F.lit(new), F.substring(F.col("path"), F.lit(len(old) + 1), F.length("path")))).otherwise(F.col("path"))
+    return paths.withColumn("path", moved).groupBy("project_id", "path").agg(F.min("position").alias("position"))
+
+
 def backfill_scope(rows: DataFrame, photos: DataFrame, default_project: int) -> DataFrame:
     """Rows (id, photo_id, project_id) without a project get that of their photo, else the default."""
     of = photos.select(F.col("id").alias("photo_id"), F.col("project_id").alias("p"))
@@ -229,7 +310,7 @@ def backfill_scope(rows: DataFrame, photos: DataFrame, default_project: int) ->
 # Trash manifests
 
 
-MANIFEST = "version int, action string, project_id bigint, photo_id bigint, file_name string, relative_path string, file_hash string, file_size bigint"
+MANIFEST = "version int, action string, project_id bigint, project_name string, photo_id bigint, file_name string, relative_path string, file_hash string, file_size bigint"
 
 
 def read_manifest(lines: DataFrame, action: str, project_id: int | None = None) -> DataFrame:
@@ -252,6 +333,17 @@ def read_manifest(lines: DataFrame, action: str, project_id: int | None = None)
     return found if project_id is None else found.drop("manifest_project")
 
 
+def manifest_verdicts(lines: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(manifest_project, lines, errors, valid) of each manifest of ``read_manifest``: any bad line fails it. With ``names`` (project_id,
+    name) a line whose project_name is another's is bad too."""
+    bad = F.col("error").isNotNull()
+    if names is not None:
+        lines = lines.join(names.select(F.col("project_id").alias("manifest_project"), F.col("name").alias("own_name")), "manifest_project", "left")
+        bad = bad | ~F.col("project_name").eqNullSafe(F.col("own_name"))
+    counts = lines.groupBy("manifest_project").agg(F.count("*").alias("lines"), F.count_if(bad).alias("errors"))
+    return counts.withColumn("valid", F.col("errors") == 0)
+
+
 def new_manifest_lines(deleted: DataFrame, manifest: DataFrame, action: str) -> DataFrame:
     """Entries (project_id, photo_id, …) that the manifest does not have for this action, each once."""
     key = ["action", "project_id", "photo_id"]
@@ -290,3 +382,59 @@ def concepts(analysis: DataFrame, aliases: DataFrame, related: DataFrame, tags:
     none = F.array().cast("array<string>")
     joined = analysis.select("project_id", "photo_id", "people_count").join(entities, ["project_id", "photo_id"], "left").join(wider, ["project_id", "photo_id"], "left")
     return joined.select("project_id", "photo_id", F.coalesce("entities", none).alias("entities"), F.sort_array(F.array_distinct(F.concat(F.coalesce("wider", none), people))).alias("concepts"))
+
+
+# Scenes that do not make an animal, and words for groups of people in captions.
+WEAK_SCENES = ("动物园", "宠物店", "野外")
+GROUP_WORDS = ("多人", "合照", "合影", "集体照", "全家福", "多人合照", "多人合影", "group photo")
+SOURCES = ("object_tags", "search_keywords", "caption", "scene_tags", "activity_tags", "location_clues")
+WEAK_SOURCES = ("scene_tags", "location_clues", "activity_tags")
+PEOPLE = ("人物", "单人照", "人像", "多人", "合照", "合影", "集体照", "自拍", "全家福")
+GROUPS = ("多人", "合照", "合影", "集体照", "全家福")
+ANIMALS = ("动物", "宠物", "小动物", "野生动物", "水生动物", "昆虫")
+
+
+def _placed(source: int):
+    return lambda term, place: F.struct(F.lit(source).alias("s"), place.alias("i"), F.lower(F.trim(term)).alias("term"))
+
+
+def ordered_concepts(analysis: DataFrame, aliases: DataFrame, related: DataFrame, concept_aliases: DataFrame, people_aliases: DataFrame) -> DataFrame:
+    """(project_id, photo_id, entities, concepts, facets): as ``concepts``, in the order in which they are met.
+
+    First what people_count implies; then, source by source and term by term, for each term: entities (alias, entity; a part of the
+    term), each with its concepts (entity, concept, place), then the concept whose alias the whole term is (alias, concept), then
+    concepts of people whose alias is a part of it; last, a group word in the caption. Weak scenes in weak sources do not count, and
+    weak sources do not give the concept of animals as such. Facets: object and animal, people, group_photo.
+
+    Distinct terms other than captions are tested once; only what is found is gathered for a photo.
+    """
+    key = ["project_id", "photo_id"]
+    fields = [F.transform(F.array("caption") if c == "caption" else F.coalesce(c, F.array().cast("array<string>")), _placed(SOURCES.index(c))) for c in SOURCES]
+    terms = analysis.select(*key, F.inline(F.concat(*fields))).where("term <> ''")
+    weak = F.col("s").isin(*(SOURCES.index(c) for c in WEAK_SOURCES))
+    terms = terms.where(~(weak & F.col("term").isin(*WEAK_SCENES)))
+    numbered = lambda rows, n: rows.withColumn("k", F.lit(n))
+    known = numbered(aliases.select(F.lower("alias").alias("alias"), F.col("entity").alias("name")), 0).union(numbered(people_aliases.select(F.lower("alias"), "concept"), 2)).distinct()
+    whole = concept_aliases.select(F.lower("alias").alias("term"), F.col("concept").alias("name"), F.lit(1).alias("k"))
+    short = terms.where(F.col("s") != SOURCES.index("caption")).select("term").distinct()
+    tested = short.join(known, F.col("term").contains(F.col("alias"))).select("term", "name", "k").distinct()
+    captions = terms.where(F.col("s") == SOURCES.index("caption"))
+    columns = [*key, "s", "i", "name", "k"]
+    hits = terms.where(F.col("s") != SOURCES.index("caption")).join(tested, "term").select(*columns).union(captions.join(known, F.col("term").contains(F.col("alias"))).select(*columns)).union(terms.join(whole, "term").where(~((F.col("name") == "动物") & weak)).select(*columns))
+    order = F.struct("s", "i", "k", "name").alias("o")
+    entities = hits.where("k = 0").groupBy(*key, F.col("name").alias("entity")).agg(F.min(order).alias("o"))
+    own = hits.where("k > 0").select(*key, F.col("name").alias("concept"), F.col("s").alias("a"), F.col("i").alias("b"), F.col("k").alias("c"), F.lit(0).alias("d"), "name")
+    wider = hits.where("k = 0").withColumnRenamed("name", "entity").join(related, "entity").select(*key, "concept", "s", "i", "k", "place", "entity")
+    n = F.col("people_count")
+    implied = F.array_compact(F.array(F.when(n >= 1, "人物"), F.when(n == 1, "单人照"), F.when(n == 1, "人像"), F.when(n >= 2, "多人"), F.when(n >= 2, "合照"), F.when(n >= 2, "合影"), F.when(n >= 3, "集体照")))
+    grouped = F.when(F.coalesce(F.lower("caption").rlike("|".join(GROUP_WORDS)), F.lit(False)), F.array(*(F.lit(x) for x in ("多人", "合照", "合影")))).otherwise(F.array().cast("array<string>"))
+    counted = analysis.select(*key, F.posexplode(implied).alias("b", "concept")).select(*key, "concept", F.lit(-1), "b", F.lit(0), F.lit(0), F.lit(""))
+    last = analysis.select(*key, F.posexplode(grouped).alias("b", "concept")).select(*key, "concept", F.lit(len(SOURCES)), "b", F.lit(0), F.lit(0), F.lit(""))
+    concepts_ = own.union(wider).union(counted).union(last).groupBy(*key, "concept").agg(F.min(F.struct("a", "b", "c", "name", "d")).alias("o"))
+    listed = lambda rows, name: rows.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", name))), lambda x: x[name]).alias(f"{name}_list"))
+    none = F.array().cast("array<string>")
+    rows = analysis.select(*key).join(listed(entities, "entity"), key, "left").join(listed(concepts_, "concept"), key, "left").select(*key, F.coalesce("entity_list", none).alias("entities"), F.coalesce("concept_list", none).alias("concepts"))
+    some = lambda names: F.arrays_overlap("concepts", F.array(*map(F.lit, names)))
+    animal = (F.size("entities") > 0) | some(ANIMALS)
+    facets = F.array_compact(F.array(F.when(animal, "object"), F.when(animal, "animal"), F.when(some(PEOPLE), "people"), F.when(some(GROUPS), "group_photo")))
+    return rows.withColumn("facets", facets)

@@ -109,7 +109,7 @@ def ing10_location_enrich(photos: DataFrame) -> DataFrame:
 
 
 @query(
-    """, n AS (SELECT project_id, id, list_filter([city, admin1, country_name], lambda x: x IS NOT NULL) AS names FROM photos WHERE gps_latitude IS NOT NULL)
+    """, n AS (SELECT project_id, id, list_filter([city, district, admin2, admin1, country_name], lambda x: x IS NOT NULL) AS names FROM photos WHERE gps_latitude IS NOT NULL)
 SELECT a.project_id, a.photo_id, location_clues || list_filter(names, lambda x: NOT list_contains(location_clues, x)) AS location_clues, list_filter(names, lambda x: NOT list_contains(location_clues, x)) AS added
 FROM analysis a JOIN n ON n.project_id = a.project_id AND n.id = a.photo_id""",
     "analysis", "photos",
@@ -132,7 +132,7 @@ def ing12_tag_canonicalise(analysis: DataFrame) -> DataFrame:
 
 @query(
     """, k AS (SELECT DISTINCT unnest(object_tags) AS term FROM analysis), l AS (SELECT alias, canonical FROM (VALUES ('the', 'Article'), ('la', 'Article'), ('le', 'Article'), ('der', 'Artikel')) v(alias, canonical))
-SELECT term, CASE WHEN canonical IS NULL THEN term WHEN canonical = 'Article' THEN term || '|Article|' || array_to_string(list_filter(['la', 'le', 'the'], lambda x: x <> term), '|') ELSE 'der|Artikel' END AS expanded FROM k LEFT JOIN l ON alias = term""",
+SELECT term, CASE WHEN canonical IS NULL THEN regexp_replace(term, '\\s+', ' ', 'g') WHEN canonical = 'Article' THEN term || '|Article|' || array_to_string(list_filter(['la', 'le', 'the'], lambda x: x <> term), '|') ELSE 'der|Artikel' END AS expanded FROM k LEFT JOIN l ON alias = term""",
     "analysis",
 )
 def ing13_alias_expand(analysis: DataFrame) -> DataFrame:
@@ -284,6 +284,200 @@ def src1_library_inventory(photos: DataFrame, projects: DataFrame) -> DataFrame:
     return ingest.media_files(listed.where(F.col("file_path").startswith(F.concat("root", F.lit("/"))))).distinct()
 
 
-@query("SELECT id, project_id, photo_id, status, decision, classification, confidence, human_label, created_at FROM items WHERE human_label IS NOT NULL", "items")
+@query(
+    "SELECT project_id, id AS item_id, photo_id, classification, decision AS model_decision, confidence, human_label, CASE WHEN id % 2 = 0 THEN 'note' END AS human_label_note, 'u' || CAST(id % 3 AS STRING) AS human_labeled_by, created_at AS human_labeled_at, 'm' AS model_name, CAST(NULL AS STRING) AS prompt_version FROM items WHERE human_label IS NOT NULL",
+    "items",
+)
 def snk3_calibration_export(items: DataFrame) -> DataFrame:
-    return files.calibration_rows(items)
+    n = F.col("id")
+    return files.calibration_rows(items.withColumns({"human_label_note": F.when(n % 2 == 0, "note"), "human_labeled_by": F.concat(F.lit("u"), (n % 3).cast("string")), "human_labeled_at": F.col("created_at"), "model_name": F.lit("m")}))
+
+
+@query("SELECT project_id, id, file_name, file_size, taken_at FROM photos WHERE project_id IN (1, 3)", "photos")
+def src3_table_round_trip(photos: DataFrame) -> DataFrame:
+    spark, folder = photos.sparkSession, f"{files.scratch(photos.sparkSession)}/photos"
+    files.write_table(photos, folder)
+    return files.read_table(spark, folder).where("project_id IN (1, 3)").select(F.col("project_id").cast("bigint").alias("project_id"), "id", "file_name", "file_size", "taken_at")
+
+
+@query(
+    """, l AS (SELECT project_id, id, CASE WHEN project_id = 3 THEN id WHEN id % 11 = 0 THEN -1 ELSE id % 5000 + 1 END AS photo_id, CASE WHEN project_id <> 3 AND id % 7 = 0 THEN '../x' ELSE 'a/' || file_name END AS relative_path, CASE WHEN project_id <> 3 AND id % 13 = 0 THEN 'short' ELSE sha256(CAST(id AS STRING)) END AS h, id % 19 = 0 AND project_id <> 3 AS misnamed FROM photos WHERE id % 17 <> 0),
+e AS (SELECT project_id, photo_id <= 0 OR relative_path = '../x' OR h = 'short' OR count(*) OVER (PARTITION BY project_id, photo_id) > 1 OR misnamed AS bad FROM l)
+SELECT project_id, count(*) AS lines, count(*) FILTER (bad) AS errors, count(*) FILTER (bad) = 0 AS valid FROM e GROUP BY ALL""",
+    "photos", "projects",
+)
+def src2_batch_verdicts(photos: DataFrame, projects: DataFrame) -> DataFrame:
+    n, clean = F.col("id"), F.col("project_id") == 3
+    photo, name = F.when(clean, n).when(n % 11 == 0, -1).otherwise(n % 5000 + 1), F.col("file_name")
+    unsafe = ~clean & (n % 7 == 0)
+    entry = F.struct(
+        F.lit(1).alias("version"), F.lit("trash").alias("action"), "project_id", F.when(~clean & (n % 19 == 0), "other").otherwise(F.concat(F.lit("Project "), F.col("project_id").cast("string"))).alias("project_name"), photo.alias("photo_id"), F.when(unsafe, "x").otherwise(name).alias("file_name"),
+        F.when(unsafe, "../x").otherwise(F.concat(F.lit("a/"), name)).alias("relative_path"), F.when(~clean & (n % 13 == 0), "short").otherwise(F.sha2(n.cast("string"), 256)).alias("file_hash"), "file_size",
+    )
+    lines = photos.select(F.col("project_id").alias("manifest_project"), n.alias("n"), F.when(n % 17 == 0, " ").otherwise(F.to_json(entry)).alias("value"))
+    found = ingest.manifest_verdicts(ingest.read_manifest(lines, "trash"), projects.select(F.col("id").alias("project_id"), "name"))
+    return found.select(F.col("manifest_project").alias("project_id"), "lines", "errors", "valid")
+
+
+@query("SELECT project_id, id, 'Model ' || CAST(id % 9 AS STRING) AS camera_model, CASE WHEN id % 2 = 0 THEN 'Lens' END AS lens, CASE WHEN id % 3 <> 0 THEN CAST(id % 8 + 1 AS INT) END AS orientation, CASE WHEN id % 4 = 0 THEN 0 ELSE CAST(id % 700 AS DOUBLE) / 7 * CASE WHEN id % 5 = 0 THEN -1 ELSE 1 END END AS altitude FROM photos", "photos")
+def ing1_camera_tags(photos: DataFrame) -> DataFrame:
+    n = F.col("id")
+    pairs = {
+        "Image Model": F.concat(F.lit(" Model "), (n % 9).cast("string"), F.lit(" ")), "EXIF LensModel": F.when(n % 2 == 0, "Lens "), "Image Orientation": F.when(n % 3 == 0, "Rotated").otherwise((n % 8 + 1).cast("string")),
+        "GPS GPSAltitude": F.concat((n % 700).cast("string"), F.when(n % 4 == 0, "/0").otherwise("/7")), "GPS GPSAltitudeRef": F.when(n % 5 == 0, "1").otherwise("0"),
+    }
+    tagged = photos.select("project_id", "id", F.map_from_arrays(F.array(*map(F.lit, pairs)), F.array(*pairs.values())).alias("tags"))
+    return tagged.select("project_id", "id", *ingest.exif_columns("tags")).select("project_id", "id", "camera_model", "lens", "orientation", F.col("gps_altitude").alias("altitude"))
+
+
+@query(
+    _FILES.replace("AS file_hash FROM photos", "AS file_hash, 'new/' || folder_path AS folder_path, iso + 1 AS iso FROM photos") + """, a AS (SELECT f.*, p.id, CASE WHEN p.id IS NULL THEN 'insert' WHEN p.deleted_at IS NOT NULL OR p.status = 'quarantined' THEN 'skip' WHEN f.file_hash IS NOT DISTINCT FROM p.file_hash THEN 'refresh' ELSE 'update' END AS action FROM f LEFT JOIN photos p ON p.project_id = f.project_id AND p.file_path = f.file_path)
+SELECT coalesce(p.project_id, a.project_id) AS project_id, coalesce(p.file_path, a.file_path) AS file_path, p.id, CASE WHEN action = 'insert' THEN 'pending' ELSE p.status END AS status, CASE WHEN action IN ('insert', 'update') THEN a.file_hash ELSE p.file_hash END AS file_hash,
+  CASE WHEN action IN ('insert', 'update', 'refresh') THEN a.folder_path ELSE p.folder_path END AS folder_path, CASE WHEN action IN ('insert', 'update') THEN a.iso ELSE p.iso END AS iso, coalesce(action, 'keep') AS action FROM photos p FULL JOIN a ON a.project_id = p.project_id AND a.file_path = p.file_path""",
+    "photos",
+)
+def ing3_merged_photos(photos: DataFrame) -> DataFrame:
+    path = F.when(F.col("id") % 8 == 0, F.concat("file_path", F.lit(".new.jpg"))).otherwise(F.col("file_path"))
+    digest = F.when(F.col("id") % 3 == 0, F.md5(F.col("id").cast("string"))).otherwise(F.col("file_hash"))
+    found = photos.where("id % 5 <> 0").select("project_id", path.alias("file_path"), digest.alias("file_hash"), F.concat(F.lit("new/"), "folder_path").alias("folder_path"), (F.col("iso") + 1).alias("iso"))
+    return ingest.merged_photos(found, photos, ["iso"])
+
+
+@query(
+    _ANCESTORS + """, i AS (SELECT *, length(relative_path) * 10 + project_id AS id FROM t), c AS (SELECT DISTINCT project_id, x.path AS relative_path, unnest(range(0, x.n + 1)) AS m FROM a x),
+p AS (SELECT c.project_id, c.relative_path, m, CASE WHEN m = 0 THEN '' ELSE array_to_string(string_split(c.relative_path, '/')[1 : m], '/') END AS up FROM c)
+SELECT p.project_id, p.relative_path, string_agg(CAST(i.id AS STRING) || ':' || i.name || ':' || i.relative_path, '|' ORDER BY m) AS crumbs FROM p JOIN i ON i.project_id = p.project_id AND i.relative_path = up GROUP BY ALL""",
+    "photos",
+)
+def ing8_breadcrumb_rows(photos: DataFrame) -> DataFrame:
+    table = ingest.folders(photos).withColumn("id", F.length("relative_path") * 10 + F.col("project_id"))
+    text = F.transform("crumbs", lambda c: F.concat_ws(":", c["id"].cast("string"), c["name"], c["relative_path"]))
+    return ingest.breadcrumb_rows(table).select("project_id", "relative_path", F.array_join(text, "|").alias("crumbs"))
+
+
+@query(
+    """, n AS (SELECT project_id, id, list_filter([city, district, admin2, admin1, country_name], lambda x: x IS NOT NULL) AS names FROM photos WHERE gps_latitude IS NOT NULL),
+m AS (SELECT a.project_id, a.photo_id, search_keywords AS k, location_clues || list_filter(names, lambda x: NOT list_contains(location_clues, x)) AS c FROM analysis a JOIN n ON n.project_id = a.project_id AND n.id = a.photo_id),
+w AS (SELECT *, list_filter(c, lambda x: NOT list_contains(k, x)) AS new FROM m) SELECT project_id, photo_id, array_to_string(k || new, '|') AS search_keywords, array_to_string(new, '|') AS added_keywords FROM w""",
+    "analysis", "photos",
+)
+def ing11_keyword_merge(analysis: DataFrame, photos: DataFrame) -> DataFrame:
+    return ingest.merge_place_tokens(analysis, photos).select("project_id", "photo_id", F.array_join("search_keywords", "|").alias("search_keywords"), F.array_join("added_keywords", "|").alias("added_keywords"))
+
+
+@query(
+    """, o AS (SELECT project_id, photo_id, unnest(search_keywords || scene_tags || object_tags || activity_tags || quality_tags || location_clues) AS x, generate_subscripts(search_keywords || scene_tags || object_tags || activity_tags || quality_tags || location_clues, 1) AS i FROM analysis),
+t AS (SELECT project_id, photo_id, i, CASE lower(x) WHEN 'the' THEN 'Article' WHEN 'la' THEN 'Article' WHEN 'der' THEN 'Artikel' ELSE x END AS x FROM (SELECT project_id, photo_id, i, regexp_replace(trim(regexp_replace(x, '[_-]+', ' ', 'g')), '\s+', ' ', 'g') AS x FROM o) WHERE x <> ''),
+f AS (SELECT project_id, photo_id, x, min(i) AS i FROM t GROUP BY ALL) SELECT project_id, photo_id, string_agg(x, '|' ORDER BY i) AS keywords FROM f GROUP BY ALL""",
+    "analysis",
+)
+def ing12_extended_keywords(analysis: DataFrame) -> DataFrame:
+    rows = ingest.canonical_analysis(analysis, {"the": "Article", "la": "Article", "der": "Artikel"})
+    return rows.select("project_id", "photo_id", F.array_join("search_keywords", "|").alias("keywords"))
+
+
+@query(
+    """, k AS (SELECT DISTINCT '_' || unnest(object_tags) || '--X' AS term FROM analysis), c AS (SELECT term, regexp_replace(trim(regexp_replace(term, '[_-]+', ' ', 'g')), '\\s+', ' ', 'g') AS clean FROM k), l AS (SELECT alias, canonical FROM (VALUES ('the x', 'Article'), ('la x', 'Article'), ('der x', 'Artikel')) v(alias, canonical))
+SELECT term, CASE WHEN canonical IS NULL THEN clean WHEN canonical = 'Article' THEN clean || '|Article|la x|the x' ELSE clean || '|Artikel|der x' END AS expanded FROM c LEFT JOIN l ON alias = lower(clean)""",
+    "analysis",
+)
+def ing13_normalised_terms(analysis: DataFrame) -> DataFrame:
+    pairs = F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(c).alias("canonical")) for a, c in [("the x", "Article"), ("la x", "Article"), ("der x", "Artikel")]))
+    aliases = analysis.sparkSession.range(1).select(F.inline(pairs))
+    terms = analysis.select(F.explode("object_tags").alias("t")).select(F.concat(F.lit("_"), "t", F.lit("--X")).alias("term"))
+    return ingest.expand_terms(terms, aliases).select("term", F.array_join("expanded", "|").alias("expanded"))
+
+
+@query(
+    """SELECT project_id, photo_id, CASE WHEN photo_id % 3 = 0 THEN ocr_text END AS strict_caption, CASE WHEN photo_id % 3 = 0 OR photo_id % 3 = 1 THEN people_count END AS fenced_count FROM analysis""",
+    "analysis",
+)
+def ing14_strict_strategies(analysis: DataFrame) -> DataFrame:
+    kind = F.col("photo_id") % 3
+    whole, bare = F.to_json(F.struct(F.col("ocr_text").alias("caption"), "people_count")), F.to_json(F.struct("people_count"))
+    raw = F.when(kind == 0, whole).when(kind == 1, F.concat(F.lit("```json\n"), bare, F.lit("\n```"))).otherwise(F.concat(F.lit("So: "), whole))
+    found = analysis.select("project_id", "photo_id", model_answer(raw, "strict_json").alias("s"), model_answer(raw, "strip_markdown").alias("f"))
+    return found.select("project_id", "photo_id", F.col("s.caption").alias("strict_caption"), F.col("f.people_count").alias("fenced_count"))
+
+
+_TABLES15 = {"entities": [("the", "猫"), ("th", "马"), ("ein", "鸟")], "related": [("猫", "动物", 0), ("猫", "宠物", 1), ("马", "动物", 0), ("鸟", "小动物", 0)], "concepts": [("la", "动物"), ("der", "宠物"), ("le", "野生动物")], "people": [("and", "人物"), ("un", "自拍")]}
+_VALUES15 = {name: ", ".join(map(str, rows)) for name, rows in _TABLES15.items()}
+
+
+@query(
+    f""", ea(alias, name) AS (VALUES {_VALUES15["entities"]}), re(entity, concept, place) AS (VALUES {_VALUES15["related"]}), ca(alias, name) AS (VALUES {_VALUES15["concepts"]}), pa(alias, name) AS (VALUES {_VALUES15["people"]}),
+s0 AS (SELECT project_id, photo_id, 0 AS s, unnest(object_tags) AS x, generate_subscripts(object_tags, 1) AS i FROM analysis UNION ALL SELECT project_id, photo_id, 1, unnest(search_keywords), generate_subscripts(search_keywords, 1) FROM analysis UNION ALL SELECT project_id, photo_id, 2, caption, 1 FROM analysis
+  UNION ALL SELECT project_id, photo_id, 3, unnest(scene_tags), generate_subscripts(scene_tags, 1) FROM analysis UNION ALL SELECT project_id, photo_id, 4, unnest(activity_tags), generate_subscripts(activity_tags, 1) FROM analysis UNION ALL SELECT project_id, photo_id, 5, unnest(location_clues), generate_subscripts(location_clues, 1) FROM analysis),
+s1 AS (SELECT project_id, photo_id, s, i, lower(trim(x)) AS x FROM s0 WHERE trim(x) <> ''), he AS (SELECT s1.*, name FROM s1 JOIN ea ON contains(x, alias)), hp AS (SELECT s1.*, name FROM s1 JOIN pa ON contains(x, alias)), hc AS (SELECT s1.*, name FROM s1 JOIN ca ON x = alias WHERE NOT (name = '动物' AND s IN (3, 4, 5))),
+en AS (SELECT project_id, photo_id, name, min({{'s': s, 'i': i, 'n': name}}) AS o FROM he GROUP BY ALL), le AS (SELECT project_id, photo_id, string_agg(name, '|' ORDER BY o) AS entities FROM en GROUP BY ALL),
+c0 AS (SELECT project_id, photo_id, name AS concept, s, i, 2 AS k, name AS n, 0 AS d FROM hp UNION ALL SELECT project_id, photo_id, name, s, i, 1, name, 0 FROM hc UNION ALL SELECT project_id, photo_id, concept, s, i, 0, entity, place FROM he JOIN re ON entity = name
+  UNION ALL SELECT project_id, photo_id, v.c, -1, v.o, 0, '', 0 FROM analysis JOIN (VALUES (1, 99, '人物', 0), (1, 1, '单人照', 1), (1, 1, '人像', 2), (2, 99, '多人', 3), (2, 99, '合照', 4), (2, 99, '合影', 5), (3, 99, '集体照', 6)) v(a, b, c, o) ON people_count BETWEEN v.a AND v.b),
+c1 AS (SELECT project_id, photo_id, concept, min({{'s': s, 'i': i, 'k': k, 'n': n, 'd': d}}) AS o FROM c0 GROUP BY ALL), lc AS (SELECT project_id, photo_id, string_agg(concept, '|' ORDER BY o) AS concepts FROM c1 GROUP BY ALL),
+f0 AS (SELECT a.project_id, a.photo_id, coalesce(entities, '') AS entities, coalesce(concepts, '') AS concepts, '|' || coalesce(concepts, '') || '|' AS q FROM analysis a LEFT JOIN le ON le.project_id = a.project_id AND le.photo_id = a.photo_id LEFT JOIN lc ON lc.project_id = a.project_id AND lc.photo_id = a.photo_id),
+f1 AS (SELECT *, entities <> '' OR regexp_matches(q, '\|(动物|宠物|小动物|野生动物|水生动物|昆虫)\|') AS an, regexp_matches(q, '\|(人物|单人照|人像|多人|合照|合影|集体照|自拍|全家福)\|') AS pe, regexp_matches(q, '\|(多人|合照|合影|集体照|全家福)\|') AS gr FROM f0)
+SELECT project_id, photo_id, entities, concepts, array_to_string(list_filter([CASE WHEN an THEN 'object' END, CASE WHEN an THEN 'animal' END, CASE WHEN pe THEN 'people' END, CASE WHEN gr THEN 'group_photo' END], lambda x: x IS NOT NULL), '|') AS facets FROM f1""",
+    "analysis",
+)
+def ing15_ordered_concepts(analysis: DataFrame) -> DataFrame:
+    table = lambda name, *names: analysis.sparkSession.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(r, names, strict=True))) for r in _TABLES15[name]))))
+    found = ingest.ordered_concepts(analysis, table("entities", "alias", "entity"), table("related", "entity", "concept", "place"), table("concepts", "alias", "concept"), table("people", "alias", "concept"))
+    return found.select("project_id", "photo_id", *(F.array_join(c, "|").alias(c) for c in ("entities", "concepts", "facets")))
+
+
+@query(
+    """, g AS (SELECT project_id, photo_id, string_agg(t, ';' ORDER BY i) AS tag_text FROM (SELECT project_id, photo_id, t, min(i) AS i FROM (SELECT project_id, photo_id, unnest(scene_tags || object_tags || activity_tags) AS t, generate_subscripts(scene_tags || object_tags || activity_tags, 1) AS i FROM analysis) GROUP BY ALL) GROUP BY ALL)
+SELECT a.project_id, a.photo_id, caption AS caption_text, tag_text, ocr_text, 'Photo' || chr(10) || chr(10) || 'Caption: ' || caption || chr(10) || chr(10) || 'Tags: ' || tag_text || chr(10) || chr(10) || 'Text: ' || ocr_text || coalesce(chr(10) || chr(10) || 'Date: ' || strftime(taken_at, '%Y-%m-%d'), '') || coalesce(chr(10) || chr(10) || 'Place: ' || city, '') || coalesce(chr(10) || chr(10) || 'Camera: ' || camera_model, '') AS content_text
+FROM analysis a JOIN photos p ON p.project_id = a.project_id AND p.id = a.photo_id JOIN g ON g.project_id = a.project_id AND g.photo_id = a.photo_id""",
+    "analysis", "photos",
+)
+def ing16_embedding_texts(analysis: DataFrame, photos: DataFrame) -> DataFrame:
+    return ingest.embedding_texts(analysis, photos, "Photo", True).select("project_id", "photo_id", "caption_text", "tag_text", "ocr_text", "content_text")
+
+
+_SIZED = _TEXTS + """, s AS (SELECT project_id, photo_id, CASE WHEN photo_id % 5 = 0 THEN 'missing' WHEN photo_id % 5 = 1 THEN 'failed' WHEN photo_id % 5 = 2 OR photo_id % 7 = 0 OR photo_id % 3 = 0 THEN 'stale' ELSE 'ready' END AS state FROM e) """
+
+
+def _sized_states(analysis: DataFrame, photos: DataFrame) -> DataFrame:
+    n = F.col("photo_id")
+    texts = ingest.embedding_texts(analysis, photos, "Photo").drop("tag_hash")
+    old = texts.where("photo_id % 5 <> 0").select(
+        "project_id", "photo_id", F.when(n % 5 == 1, "failed").otherwise("ready").alias("status"), F.lit("m").alias("model"), F.when(n % 5 == 2, "0").otherwise("1").alias("version"), F.when(n % 6 == 0, 32).when(n % 3 != 0, 64).alias("dimension"),
+        "caption_hash", "ocr_hash", F.when(n % 7 == 0, "other").otherwise(F.col("content_hash")).alias("content_hash"),
+    )
+    return ingest.embedding_state(texts, old, "m", "1", 64)
+
+
+@query(
+    _SIZED + """, j AS (SELECT project_id, count(*) FILTER (status = 'queued') AS queued_jobs, count(*) FILTER (status = 'running') AS running_jobs FROM jobs WHERE job_type = 'embed' GROUP BY ALL), c AS (SELECT project_id, count(*) AS total, count(*) FILTER (state = 'ready') AS ready, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'stale') AS stale, count(*) FILTER (state = 'failed') AS failed FROM s GROUP BY ALL)
+SELECT c.*, coalesce(queued_jobs, 0) AS queued_jobs, coalesce(running_jobs, 0) AS running_jobs FROM c LEFT JOIN j USING (project_id)""",
+    "analysis", "photos", "jobs",
+)
+def ing17_embedding_counts(analysis: DataFrame, photos: DataFrame, jobs: DataFrame) -> DataFrame:
+    return ingest.embedding_counts(_sized_states(analysis, photos), jobs)
+
+
+_CHOSEN_ROWS = """, ls AS (SELECT s.*, CASE WHEN state = 'ready' THEN 'up_to_date' WHEN EXISTS (FROM jobs j WHERE j.status IN ('queued', 'running') AND job_type = 'embed' AND j.project_id = s.project_id AND j.photo_id = s.photo_id) THEN 'skipped_existing' ELSE 'created' END AS outcome FROM s WHERE photo_id % 2 = 0)"""
+
+
+@query(_SIZED + _CHOSEN_ROWS + " SELECT project_id, photo_id, outcome FROM ls", "analysis", "photos", "jobs")
+def ing18_selected_rebuild(analysis: DataFrame, photos: DataFrame, jobs: DataFrame) -> DataFrame:
+    return ingest.rebuild_list(_sized_states(analysis, photos), jobs, "selected", analysis.where("photo_id % 2 = 0"))
+
+
+@query(
+    _SIZED + _CHOSEN_ROWS + " SELECT s.project_id, count(*) FILTER (outcome = 'created') AS created, count(*) FILTER (outcome = 'skipped_existing') AS skipped_existing, count(*) FILTER (s.state = 'ready' AND coalesce(outcome <> 'created', true)) AS up_to_date FROM s LEFT JOIN ls ON ls.project_id = s.project_id AND ls.photo_id = s.photo_id GROUP BY ALL",
+    "analysis", "photos", "jobs",
+)
+def ing18_rebuild_summary(analysis: DataFrame, photos: DataFrame, jobs: DataFrame) -> DataFrame:
+    states = _sized_states(analysis, photos)
+    return ingest.rebuild_summary(states, ingest.rebuild_list(states, jobs, "selected", analysis.where("photo_id % 2 = 0")))
+
+
+@query(
+    "SELECT project_id, '/volume/' || CAST(id % 40 AS STRING) AS path, min(id) AS position FROM photos GROUP BY ALL UNION ALL SELECT project_id, '/library' || CAST(project_id AS STRING), min(id) FROM photos GROUP BY ALL",
+    "photos",
+)
+def ing20_library_paths(photos: DataFrame) -> DataFrame:
+    n = F.col("id")
+    paths = photos.select("project_id", F.concat(F.when(n % 2 == 0, "/lib/").otherwise("/volume/"), (n % 40).cast("string")).alias("path"), n.alias("position"))
+    return ingest.rewrite_library_paths(paths.union(photos.select("project_id", F.concat(F.lit("/library"), F.col("project_id").cast("string")), "id")), "/lib", "/volume")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,17 +27,43 @@ def write_manifest(lines: DataFrame, path: str) -> None:
     lines.select(*sorted(lines.columns)).write.mode("append").json(path)
 
 
+#: Columns of the export, and those of the items they come from.
+EXPORT = {"item_id": "id", "photo_id": "photo_id", "classification": "classification", "model_decision": "decision", "confidence": "confidence", "human_label": "human_label", "human_label_note": "human_label_note", "human_labeled_by": "human_labeled_by", "human_labeled_at": "human_labeled_at", "model_name": "model_name", "prompt_version": "prompt_version"}
+
+
 def calibration_rows(items: DataFrame) -> DataFrame:
-    """Items that a human has labelled, with the columns of the export."""
-    wanted = ("id", "project_id", "photo_id", "status", "decision", "classification", "confidence", "human_label", "created_at")
-    return items.where("human_label IS NOT NULL").select(*(c for c in wanted if c in items.columns))
+    """The eleven columns of the export, and project_id, of items that a human has labelled; those that items lack are null."""
+    columns = [F.col(old).alias(new) if old in items.columns else F.lit(None).cast("string").alias(new) for new, old in EXPORT.items()]
+    return items.where("human_label IS NOT NULL").select("project_id", *columns)
 
 
 def export_calibration(items: DataFrame, path: str) -> None:
-    """Labelled items as CSV with a header, newest label first."""
-    calibration_rows(items).orderBy(F.desc("created_at"), F.desc("id")).write.option("header", True).csv(path)
+    """Labelled items as CSV with a header, newest label first, then the highest id."""
+    calibration_rows(items).orderBy(F.desc_nulls_last("human_labeled_at"), F.desc("item_id")).drop("project_id").write.option("header", True).csv(path)
 
 
 def write_table(rows: DataFrame, path: str) -> None:
     """A library table, one folder for each project."""
     rows.write.partitionBy("project_id").parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """A library table as ``write_table`` left it; Spark reads only the folders of the projects that are asked for."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
+
+
+def read_database(spark: SparkSession, url: str, table: str, lowest: int, highest: int, partitions: int, **options: str) -> DataFrame:
+    """A table of a relational database, read in ``partitions`` ranges of its id; ``options`` as of Spark's jdbc source (driver, user, …)."""
+    bounds = {"partitionColumn": "id", "lowerBound": lowest, "upperBound": highest, "numPartitions": partitions}
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **bounds, **options).load()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; with a local master that names none, a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="shoebox-")
+    return f"{base.rstrip('/')}/shoebox-{uuid.uuid4().hex}"
