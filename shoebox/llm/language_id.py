@@ -9,16 +9,19 @@ logarithm of the number of words for each free proportion) does not fall.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.llm.common import carried, with_row
-from shoebox.llm.textkit import byte_table, chunks, flat
+from shoebox.llm.textkit import CHUNK_BYTES
 
 #: Labelled documents that each language's distribution is fitted on, at most (a hash of the id chooses them).
 SAMPLE_DOCS = 2000
@@ -28,7 +31,7 @@ BUCKETS = 1 << 16
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 
-_LETTER = byte_table(lambda b: b != 0x20)
+_LETTER, _MARK = 2, 1
 
 
 @dataclass(frozen=True)
@@ -40,30 +43,46 @@ class LanguageModel:
     noise: float
 
 
-def spelled(text: Column) -> Column:
-    """The words of a text: runs of letters and their marks, lower-cased, with a space between; nothing if it has no letter."""
-    return F.when(text.rlike(r"\p{L}"), F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "))
+@cache
+def letter_table() -> np.ndarray:
+    """For every code point: ``_LETTER``, ``_MARK`` (a combining mark) or 0."""
+    kinds = {"L": _LETTER, "M": _MARK}
+    return np.array([kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8)
 
 
-def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spelled(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, code points, offsets) of consecutive lower-cased texts with about a megabyte together; nulls are empty."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK_BYTES, "right")))
+        texts = [(t or "").lower() for t in column.slice(lo, hi - lo).to_pylist()]
+        yield lo, hi, np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+        lo = hi
+
+
+def trigrams(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of each letter's trigram, first trigram of each word, row of each word).
 
-    Texts are ``spelled``; the trigram of a byte of a word is it with the two before, with spaces in front of the word.
+    Words are runs of letters and their marks, in texts that have a letter; the trigram of a letter is it with the two before,
+    with spaces in front of the word.
     """
-    letter = _LETTER[raw]
-    edge = np.zeros(len(raw) + 1, bool)
+    kind = letter_table()[points]
+    lettered = np.concatenate([[0], np.cumsum(kind == _LETTER)])
+    inside = (kind > 0) & np.repeat(lettered[offsets[1:]] > lettered[offsets[:-1]], np.diff(offsets))
+    edge = np.zeros(len(points) + 1, bool)
     edge[offsets] = True
-    at = np.flatnonzero(letter)
-    begins = letter.copy()
-    begins[1:] &= ~letter[:-1] | edge[1:-1]
-    value = raw.astype(np.uint64)
+    at = np.flatnonzero(inside)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:-1]
     first = begins[at]
     second = np.zeros(len(at), bool)
     second[1:] = first[:-1] & ~first[1:]
+    value = points.astype(np.uint64)
     one, two = value[at - 1], value[at - 2]
     one[first] = 0
     two[first | second] = 0
-    code = value[at] | (one << np.uint64(8)) | (two << np.uint64(16))
+    code = value[at] | (one << np.uint64(21)) | (two << np.uint64(42))
     bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
     starts = np.flatnonzero(first)
     return bucket, starts, np.searchsorted(offsets, at[starts], "right") - 1
@@ -86,14 +105,13 @@ def fit(
     share = F.lit(0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(steps, int(steps * sample_docs / n)))).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(steps)) < share).select("lang", spelled(F.col("text")).alias("text"))
+    sample = labelled.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(steps)) < share).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for whole in batches:
             langs = np.array(whole.column(0).to_pylist(), object)
-            raw, offsets = flat(whole.column(1))
-            for lo, hi, part, local in chunks(raw, offsets):
+            for lo, hi, part, local in spelled(whole.column(1)):
                 bucket, starts, row = trigrams(part, local)
                 of = np.repeat(row, np.diff(np.append(starts, len(bucket)))) + lo
                 for lang in set(langs[lo:hi]):
@@ -123,11 +141,11 @@ def _em(likelihood: np.ndarray, bounds: np.ndarray, row: np.ndarray, share: np.n
     return share, np.add.reduceat(total, bounds)
 
 
-def mixtures(model: LanguageModel, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def mixtures(model: LanguageModel, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Proportions of the chosen languages and, last, noise, for every text; all zero for texts without letters."""
     k, n = len(model.languages), len(offsets) - 1
     out = np.zeros((n, k + 1))
-    bucket, starts, row = trigrams(raw, offsets)
+    bucket, starts, row = trigrams(points, offsets)
     if not len(starts) or not k:
         return out
     score = np.add.reduceat(model.log_prob[bucket], starts, axis=0, dtype=np.float64)
@@ -168,7 +186,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     the input row follows as the struct ``row``; else other columns are not carried. Only the text is read for a prediction.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(id_col).alias("id"), spelled(F.col(text_col)).alias("text"), *carried(docs, carry))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried(docs, carry))
     names = ["id", "lang_pred", "score", "noise", "languages", "shares", *["row"] * carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +194,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         languages = np.array([*fitted.languages, UNDETERMINED], object)
         k = len(fitted.languages)
         for whole in batches:
-            raw, offsets = flat(whole.column(1))
-            for lo, hi, part, local in chunks(raw, offsets):
+            for lo, hi, part, local in spelled(whole.column(1)):
                 share = mixtures(fitted, part, local)
                 total = share.sum(axis=1)
                 spoken = share[:, :k]

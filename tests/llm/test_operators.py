@@ -67,10 +67,10 @@ def plain_mixture(model, text):
     k = len(model.languages)
     rows = []
     for word in words:
-        data = b"\0\0" + word.encode()
+        data = [0, 0, *map(ord, word)]
         score = [0.0] * k + [model.noise * (len(data) - 2)]
         for i in range(2, len(data)):
-            bucket = (((data[i] | data[i - 1] << 8 | data[i - 2] << 16) * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> 48
+            bucket = (((data[i] | data[i - 1] << 21 | data[i - 2] << 42) * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> 48
             for j in range(k):
                 score[j] += float(model.log_prob[bucket, j])
         top = max(score)
