@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoebox.operators.order import running_counts
+
 TAG_CATEGORIES = ("scene_tags", "object_tags", "activity_tags", "quality_tags", "location_clues", "search_keywords")
 HUMAN = ("human_confirmed", "human_corrected")
 
@@ -48,12 +50,11 @@ def _before() -> Column:
 
 def locate(photos: DataFrame, size: int) -> DataFrame:
     """Of every photo that isn't deleted: its position among the active photos of its folder, page, total and whether it can be browsed."""
-    folder = Window.partitionBy("project_id", "folder_path")
-    on = (F.col("status") != "quarantined").cast("int")
-    counted = photos.where("deleted_at IS NULL").select(
-        "project_id", "id", (on == 1).alias("is_browsable"), F.sum(on).over(folder).alias("total"),
-        (1 + F.coalesce(F.sum(on).over(folder.orderBy(*newest_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("position"),
-    )
+    key = ["project_id", "folder_path"]
+    rows = photos.where("deleted_at IS NULL").select(*key, "id", "taken_at", "created_at", (F.col("status") != "quarantined").alias("is_browsable"))
+    totals = rows.groupBy(*key).agg(F.count_if("is_browsable").alias("total"))
+    counted = running_counts(rows, key, newest_first(), F.col("is_browsable")).join(totals, key)
+    counted = counted.select("project_id", "id", "is_browsable", "total", (1 + F.col("before")).alias("position"))
     last = F.greatest(F.lit(1), F.ceil(F.col("total") / size))
     return counted.withColumn("page", F.least(F.ceil(F.col("position") / size), last))
 

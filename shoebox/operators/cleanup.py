@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.operators.browse import active
+from shoebox.operators.order import running_counts
 
 ACTIVE_JOBS = ("queued", "running", "paused")
 #: Older names of item classes.
@@ -103,7 +104,7 @@ def decide_passes(photos: DataFrame, answers: DataFrame, duplicates: DataFrame)
 def review_candidates(photos: DataFrame, items: DataFrame) -> DataFrame:
     """Active photos without an item, in order of their ids within the project."""
     left = photos.where(active()).select("project_id", "id").join(items.select("project_id", F.col("photo_id").alias("id")), ["project_id", "id"], "left_anti")
-    return left.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy("id")))
+    return running_counts(left, ["project_id"], [F.col("id")], F.lit(True)).select("project_id", "id", (F.col("before") + 1).cast("int").alias("place"))
 
 
 def next_candidates(photos: DataFrame, items: DataFrame, model: str, prompt: str, limit: int) -> DataFrame:

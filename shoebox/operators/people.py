@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.operators.browse import HUMAN, person_counters
+from shoebox.operators.order import running_counts
 from shoebox.operators.vectors import BLOCK, _unit, element_mean
+from shoebox.sources.files import scratch
 
 ACCEPT, REVIEW, CLUSTER, MIN_QUALITY, MAX_SAMPLES, SAME_BOX = 0.62, 0.48, 0.50, 0.70, 200, 0.70
 
@@ -252,6 +254,69 @@ def cluster_unknown(faces: DataFrame, assignments: DataFrame, limit: int | None
     return run.mapInArrow(leaders, "project_id bigint, face_id bigint, cluster bigint")
 
 
+def cluster_rounds(faces: DataFrame, assignments: DataFrame, size: int = 500, threshold: float = CLUSTER) -> DataFrame:
+    """(project_id, face_id, cluster): faces without an open assignment in rounds of ``size`` by id, each round clustered by itself as
+    ``cluster_unknown`` does; ``cluster`` is the smallest face_id in it.
+
+    Clusters of different rounds whose means are similar then become one: the means, weighted by their faces, are clustered in the
+    same way, in rounds of ``size`` in the order of their clusters, and theirs again, until a pass joins none. A task never gets more
+    than ``size`` vectors of a project. Faces of null vectors are left out.
+    """
+    taken = assignments.where("assignment_status <> 'rejected'").select("project_id", "face_id").distinct()
+    free = faces.where("status = 'embedded' AND embedding IS NOT NULL AND size(embedding) > 0").join(taken, ["project_id", "face_id"], "left_anti")
+    points = free.select(F.col("project_id").cast("bigint"), F.col("face_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(1).cast("bigint").alias("weight"))
+    members = None
+    while True:
+        found = _stored(_round(points, size, threshold))
+        step = found.select("project_id", F.col("id").alias("cluster"), F.col("leader").alias("next"))
+        members = found.select("project_id", F.col("id").alias("face_id"), F.col("leader").alias("cluster")) if members is None else members.join(step, ["project_id", "cluster"]).select("project_id", "face_id", F.col("next").alias("cluster"))
+        members = _stored(members)
+        if found.where("id <> leader").isEmpty():
+            return members
+        points = found.where("id = leader").select("project_id", "id", F.col("mean").alias("vector"), F.col("total").alias("weight"))
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    path = f"{scratch(rows.sparkSession)}/clusters"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _round(points: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(project_id, id, leader, mean, total): points (project_id, id, vector, weight) clustered in runs of ``size``; a leader's row has the
+    mean and weight of its cluster."""
+    placed = running_counts(points, ["project_id"], [F.col("id")], F.lit(True)).withColumn("round", F.floor(F.col("before") / size))
+
+    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        vectors, weights, ids = np.stack(rows["vector"].to_list()), rows["weight"].to_numpy(), rows["id"].to_numpy()
+        sums, means, counts, leaders, of = np.zeros_like(vectors), np.zeros_like(vectors), np.zeros(len(ids)), [], np.zeros(len(ids), int)
+        for i, vector in enumerate(vectors):
+            n = len(leaders)
+            scores = means[:n] @ _unit(vector[None])[0]
+            best = int(scores.argmax()) if n else -1
+            if best < 0 or scores[best] < threshold:
+                best = n
+                leaders.append(i)
+            sums[best] += vector * weights[i]
+            counts[best] += weights[i]
+            means[best] = _unit((sums[best] / counts[best])[None])[0]
+            of[i] = best
+        mean = sums[: len(leaders)] / counts[: len(leaders), None]
+        first = np.array(leaders)
+        return pd.DataFrame({"project_id": rows["project_id"].to_numpy(), "id": ids, "leader": ids[first[of]], "mean": [m.tolist() for m in mean[of]], "total": counts[of].astype("int64")})
+
+    return placed.select("project_id", "round", "id", "vector", "weight").groupBy("project_id", "round").applyInPandas(greedy, "project_id bigint, id bigint, leader bigint, mean array<double>, total bigint")
+
+
+def cluster_tables(clusters: DataFrame) -> dict[str, DataFrame]:
+    """What clusters become: ``persons`` (project_id, cluster, is_named, face_count, representative: the smallest face), none of them named,
+    and ``assignments`` of their faces that wait for review (source unknown_cluster)."""
+    persons = clusters.groupBy("project_id", "cluster").agg(F.count("*").alias("face_count"), F.min("face_id").alias("representative"))
+    rows = clusters.select("project_id", "face_id", "cluster", F.lit("review_pending").alias("assignment_status"), F.lit("unknown_cluster").alias("assignment_source"), F.lit(False).alias("is_positive"))
+    return {"persons": persons.select("project_id", "cluster", F.lit(False).alias("is_named"), "face_count", "representative"), "assignments": rows}
+
+
 def reconcile_boxes(old: DataFrame, new: DataFrame, threshold: float = SAME_BOX) -> DataFrame:
     """(project_id, photo_id, place, face_id, action) of new boxes (x, y, w, h, place: order of detection) against a photo's old
     ones (face_id): the same box, else the best overlap from ``threshold`` on among those left, box by box; the rest is inserted or

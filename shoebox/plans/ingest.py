@@ -367,7 +367,7 @@ def ing11_keyword_merge(analysis: DataFrame, photos: DataFrame) -> DataFrame:
 
 @query(
     """, o AS (SELECT project_id, photo_id, unnest(search_keywords || scene_tags || object_tags || activity_tags || quality_tags || location_clues) AS x, generate_subscripts(search_keywords || scene_tags || object_tags || activity_tags || quality_tags || location_clues, 1) AS i FROM analysis),
-t AS (SELECT project_id, photo_id, i, CASE lower(x) WHEN 'the' THEN 'Article' WHEN 'la' THEN 'Article' WHEN 'der' THEN 'Artikel' ELSE x END AS x FROM (SELECT project_id, photo_id, i, regexp_replace(trim(regexp_replace(x, '[_-]+', ' ', 'g')), '\s+', ' ', 'g') AS x FROM o) WHERE x <> ''),
+t AS (SELECT project_id, photo_id, i, CASE lower(x) WHEN 'the' THEN 'Article' WHEN 'la' THEN 'Article' WHEN 'der' THEN 'Artikel' ELSE x END AS x FROM (SELECT project_id, photo_id, i, regexp_replace(trim(regexp_replace(x, '[_-]+', ' ', 'g')), '\\s+', ' ', 'g') AS x FROM o) WHERE x <> ''),
 f AS (SELECT project_id, photo_id, x, min(i) AS i FROM t GROUP BY ALL) SELECT project_id, photo_id, string_agg(x, '|' ORDER BY i) AS keywords FROM f GROUP BY ALL""",
     "analysis",
 )
@@ -414,7 +414,7 @@ c0 AS (SELECT project_id, photo_id, name AS concept, s, i, 2 AS k, name AS n, 0
   UNION ALL SELECT project_id, photo_id, v.c, -1, v.o, 0, '', 0 FROM analysis JOIN (VALUES (1, 99, '人物', 0), (1, 1, '单人照', 1), (1, 1, '人像', 2), (2, 99, '多人', 3), (2, 99, '合照', 4), (2, 99, '合影', 5), (3, 99, '集体照', 6)) v(a, b, c, o) ON people_count BETWEEN v.a AND v.b),
 c1 AS (SELECT project_id, photo_id, concept, min({{'s': s, 'i': i, 'k': k, 'n': n, 'd': d}}) AS o FROM c0 GROUP BY ALL), lc AS (SELECT project_id, photo_id, string_agg(concept, '|' ORDER BY o) AS concepts FROM c1 GROUP BY ALL),
 f0 AS (SELECT a.project_id, a.photo_id, coalesce(entities, '') AS entities, coalesce(concepts, '') AS concepts, '|' || coalesce(concepts, '') || '|' AS q FROM analysis a LEFT JOIN le ON le.project_id = a.project_id AND le.photo_id = a.photo_id LEFT JOIN lc ON lc.project_id = a.project_id AND lc.photo_id = a.photo_id),
-f1 AS (SELECT *, entities <> '' OR regexp_matches(q, '\|(动物|宠物|小动物|野生动物|水生动物|昆虫)\|') AS an, regexp_matches(q, '\|(人物|单人照|人像|多人|合照|合影|集体照|自拍|全家福)\|') AS pe, regexp_matches(q, '\|(多人|合照|合影|集体照|全家福)\|') AS gr FROM f0)
+f1 AS (SELECT *, entities <> '' OR regexp_matches(q, '\\|(动物|宠物|小动物|野生动物|水生动物|昆虫)\\|') AS an, regexp_matches(q, '\\|(人物|单人照|人像|多人|合照|合影|集体照|自拍|全家福)\\|') AS pe, regexp_matches(q, '\\|(多人|合照|合影|集体照|全家福)\\|') AS gr FROM f0)
 SELECT project_id, photo_id, entities, concepts, array_to_string(list_filter([CASE WHEN an THEN 'object' END, CASE WHEN an THEN 'animal' END, CASE WHEN pe THEN 'people' END, CASE WHEN gr THEN 'group_photo' END], lambda x: x IS NOT NULL), '|') AS facets FROM f1""",
     "analysis",
 )

@@ -111,6 +111,12 @@ def ppl7_unknown_face_clustering(faces: DataFrame, assignments: DataFrame) -> Da
     return people.cluster_unknown(faces, assignments)
 
 
+@query(None, "face_embeddings", "assignments")
+def ppl7_clusters_in_rounds(faces: DataFrame, assignments: DataFrame) -> DataFrame:
+    made = people.cluster_tables(people.cluster_rounds(faces, assignments))
+    return made["assignments"].join(made["persons"], ["project_id", "cluster"])
+
+
 @query(None, "lineitem")
 def ppl9_detection_reconcile(lines: DataFrame) -> DataFrame:
     box = [(F.col("l_partkey") % 400).alias("x"), (F.col("l_suppkey") % 300).alias("y"), (F.col("l_quantity") + 20).cast("bigint").alias("w"), (F.col("l_quantity") + 30).cast("bigint").alias("h")]

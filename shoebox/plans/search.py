@@ -428,7 +428,7 @@ def sch22_place_existence(photos: DataFrame, searches: DataFrame) -> DataFrame:
 
 @query(
     f""", {_PLACE_NAMES}, q AS (SELECT project_id, query_id, CASE query_id % 4 WHEN 0 THEN ' Stree ' WHEN 1 THEN 'ci ty' WHEN 2 THEN 'x' ELSE 'street 1' END AS place FROM searches)
-SELECT project_id, query_id, length(trim(place)) BETWEEN 2 AND 12 AND NOT regexp_matches(trim(place), '[0-9\s]') AND EXISTS (FROM n WHERE n.project_id = q.project_id AND contains(name, lower(trim(place)))) AS is_place FROM q""",
+SELECT project_id, query_id, length(trim(place)) BETWEEN 2 AND 12 AND NOT regexp_matches(trim(place), '[0-9\\s]') AND EXISTS (FROM n WHERE n.project_id = q.project_id AND contains(name, lower(trim(place)))) AS is_place FROM q""",
     "photos", "searches",
 )
 def sch22_checked_places(photos: DataFrame, searches: DataFrame) -> DataFrame:

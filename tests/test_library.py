@@ -47,10 +47,24 @@ def test_duplicates_point_to_the_first(spark):
     assert got == [(5, 2), (6, 3), (7, 4)]
 
 
-def test_calibration_of_one_false_positive(spark):
-    items = spark.createDataFrame([(1, "junk", "QUARANTINE", 0.99, "KEEP")], "project_id bigint, classification string, decision string, confidence double, human_label string")
+def test_calibration_of_verified_candidates(spark):
+    good = '{{"decision": "quarantine", "classification": "{}", "confidence": {}, "preservation_flags": [], "has_record_value": false}}'
+    rows = [
+        ("a", good.format("severe_blur", 0.99), good.format("severe_blur", 0.98), "KEEP"), ("a", good.format("severe_blur", 0.99), good.format("blank_image", 0.99), "TRASH"), ("b", good.format("severe_blur", 0.97), good.format("severe_blur", 0.99), "TRASH"),
+        ("b", good.format("severe_blur", 0.99), None, "KEEP"), ("b", good.format("landscape", 0.99), good.format("landscape", 0.99), "KEEP"),
+    ]
+    items = spark.createDataFrame([(1, *r) for r in rows], "project_id bigint, classification string, first string, second string, human_label string")
+    items = items.withColumns({c: cleanup.read_pass(F.col(c)) for c in ("first", "second")})
     row = cleanup.calibration(items).where("classification IS NULL").first()
-    assert (row["fp"], row["precision"], row["recall"], row["fpr"], row["ready"]) == (1, 0.0, None, 1.0, False)
+    assert (row["tp"], row["fp"], row["tn"], row["fn"], row["precision"], row["recall"], row["ready"]) == (0, 1, 2, 2, 0.0, 0.0, False)
+    assert cleanup.calibration(items).where("classification = 'a'").first()["fp"] == 1
+
+
+def test_answers_of_a_pass(spark):
+    texts = ["```json\n{\"decision\": \"keep\", \"confidence\": 3}\n```", "{\"decision\": \"maybe\"}", "no json", None, "x {\"decision\": \"REVIEW\", \"sensitive_content_flags\": [\" gore \", \"gore\"]} y", "{\"decision\": \"REVIEW\", \"sensitive_content_flags\": [\"weapon\"]}"]
+    got = [r["p"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(cleanup.read_pass(F.col("t")).alias("p")).collect()]
+    assert (got[0]["decision"], got[0]["confidence"], got[0]["classification"], got[0]["has_record_value"], got[0]["content_rating"]) == ("KEEP", 1.0, "uncertain", True, "SAFE")
+    assert got[1:4] == [None] * 3 and (got[4]["content_rating"], got[4]["sensitive_content_flags"]) == ("ADULT", ["gore"]) and got[5]["content_rating"] == "SENSITIVE"
 
 
 FACE = "project_id bigint, face_id bigint, embedding array<float>, quality double, status string"
@@ -92,6 +106,25 @@ def test_boxes(spark):
     assert got == {(1, 0, 5, "move"), (1, 1, 6, "keep"), (1, 2, None, "insert"), (2, None, 7, "disappeared"), (3, 0, None, "insert")}
 
 
+def test_old_faces_with_one_box_are_matched_one_by_one(spark):
+    box = "project_id bigint, photo_id bigint, x bigint, y bigint, w bigint, h bigint, {} bigint"
+    old = spark.createDataFrame([(1, 1, 0, 0, 10, 10, 5), (1, 1, 0, 0, 10, 10, 6), (1, 1, 1, 0, 10, 10, 7)], box.format("face_id"))
+    new = lambda n: spark.createDataFrame([(1, 1, 0, 0, 10, 10, i) for i in range(n)], box.format("place"))
+    acts = lambda n: sorted((r["face_id"], r["place"], r["action"]) for r in people.reconcile_boxes(old, new(n)).collect() if r["face_id"])
+    assert acts(1) == [(5, 0, "keep"), (6, None, "disappeared"), (7, None, "disappeared")]
+    assert acts(3) == [(5, 0, "keep"), (6, 1, "keep"), (7, 2, "move")]
+
+
+def test_odd_vectors_take_no_part(spark):
+    rows = [(1, 1, [1.0, 0.0]), (1, 2, None), (1, 3, [1.0]), (1, 4, []), (1, 5, [0.0, 1.0]), (1, 6, [None, 1.0])]
+    table = spark.createDataFrame(rows, "project_id bigint, id bigint, vector array<double>")
+    got = [(r["query_id"], r["id"]) for r in vectors.top_k(table.withColumnRenamed("id", "query_id"), table, 5).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1), (1, 5), (3, 3), (5, 5), (5, 1)]
+    faces = spark.createDataFrame([(1, 1, [1.0, 0.0], 0.9, "embedded"), (1, 2, None, 0.9, "embedded"), (1, 3, [1.0], 0.9, "embedded")], FACE)
+    protos = spark.createDataFrame([(1, 9, [1.0, 0.0]), (1, 8, None)], "project_id bigint, person_id bigint, vector array<double>")
+    assert [(r["face_id"], r["person_id"]) for r in people.pairs_above(protos, faces, 0.5).collect()] == [(1, 9)]
+
+
 def test_top_k_matches_the_sql_form(spark):
     rng = random.Random(2)
     rows = [(i % 2, i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(60)] + [(0, 60, [0.0] * 5)]
@@ -108,6 +141,81 @@ def test_rank_fusion(spark):
     assert got == {1: round(0.4 / 61, 9), 2: round(0.4 / 62 + 0.6 / 61, 9), 3: round(0.6 / 62, 9)}
 
 
+LEVELS = [
+    (1, ["exact", "negative"], 0.1, "A"), (2, ["strong"], 0.9, "B"), (3, ["negative", "support"], 0.31, "F"), (4, ["negative", "support"], 0.32, "C"), (5, ["support"], 0.1, "D"), (6, ["weak"], 0.3, "D"), (7, [], 0.42, "C"), (8, [], 0.25, "D"), (9, [], 0.2, "E"), (10, [], None, "E"),
+]
+
+
+def scored(spark, rows):
+    names = "project_id bigint, query_id bigint, photo_id bigint, fused double, keyword_score double, vector_score double, tiers array<string>, negative_hits bigint, tag_score double, caption_score double, weak_field boolean"
+    return search.evidence(spark.createDataFrame(rows, names))
+
+
+def test_evidence_follows_the_tiers_of_hits(spark):
+    got = {r["photo_id"]: (r["level"], r["final_score"]) for r in scored(spark, [(1, 1, p, 0.05, 0.1, v, t, 2, 0.0, 0.0, False) for p, t, v, _ in LEVELS]).collect()}
+    assert {p: g[0] for p, g in got.items()} == {p: level for p, _, _, level in LEVELS}
+    assert got[1][1] == 0.05 and got[2][1] == round(0.05 + 0.014, 9) and got[3][1] == round(0.05 - 0.02 - 0.02, 9) and got[9][1] == round(0.05 - 0.01, 9)
+
+
+def test_display_gates_in_order(spark):
+    rows = [
+        (1, 1, 1, 0.1, None, 0.5, [], 0, 0.9, 0.0, False), (1, 1, 2, 0.1, None, 0.7, [], 0, 0.1, 0.1, False), (1, 1, 3, 0.1, 0.4, 0.1, ["strong"], 0, 0.0, 0.0, False),
+        (1, 2, 1, 0.1, None, 0.5, [], 0, 0.0, 0.0, False), (1, 3, 1, 0.1, None, 0.5, [], 0, 0.0, 0.0, False), (1, 3, 2, 0.1, 0.2, 0.3, ["weak"], 0, 0.0, 0.0, False), (1, 4, 1, 0.1, 0.2, 0.5, ["support"], 0, 0.0, 0.0, False), (1, 5, 1, 0.1, None, 0.5, [], 0, 0.0, 0.0, False),
+    ]
+    asked = [(1, 1, "animal_search", None, False, False, None), (1, 2, None, None, False, False, None), (1, 3, None, "A", True, False, None), (1, 4, None, "medium", False, False, None), (1, 5, "animal_search", "LOW", False, True, "2")]
+    queries = spark.createDataFrame(asked, "project_id bigint, query_id bigint, intent string, min_level string, metadata_active boolean, allow_weak_only boolean, contract string")
+    got = {(r["query_id"], r["photo_id"]): r["reason"] for r in search.display_filter(scored(spark, rows), queries).collect()}
+    assert got == {
+        (1, 1): "vector_only_below_entity_total_min", (1, 2): "vector_only_missing_tag_or_caption_evidence", (1, 3): None, (2, 1): "query_constraints:no_vector_only_weak_match", (3, 1): None,
+        (3, 2): "evidence_level:D below min:A", (4, 1): "evidence_level:C below min:B", (5, 1): None,
+    }
+    counts = {(r["query_id"], r["reason"]): r["n"] for r in search.reason_counts(search.display_filter(scored(spark, rows), queries)).collect()}
+    assert counts[1, "shown"] == 1 and counts[3, "shown"] == 1
+
+
+def media(spark, texts):
+    tags = ("scene_tags", "object_tags", "activity_tags", "search_keywords", "quality_tags", "location_clues")
+    rows = [(1, i, caption, None, *(t.get(c, []) for c in tags), None) for i, (caption, t) in enumerate(texts)]
+    analysis = spark.createDataFrame(rows, f"project_id bigint, photo_id bigint, caption string, ocr_text string, {', '.join(f'{c} array<string>' for c in tags)}, created_at timestamp")
+    return photos(spark, [(i, i + 1, "", "indexed") for i in range(len(texts))]), analysis
+
+
+def test_terms_count_by_tier_and_alias(spark):
+    table, analysis = media(spark, [("A kitten here", {"object_tags": ["Cat", "cat toy"]}), ("dog", {"search_keywords": ["zoo", None]}), ("nothing", {"quality_tags": ["big", "cat food"]}), ("horse riding", {"object_tags": ["horse"]})])
+    columns = "project_id bigint, query_id bigint, intent string, exact_terms array<string>, expanded_terms array<string>, support_terms array<string>, broad_terms array<string>, negative_terms array<string>"
+    asked = spark.createDataFrame([(1, 1, "animal_search", ["pet"], ["CAT"], ["toy"], ["zoo"], ["here"]), (1, 2, "animal_search", ["\u9a91\u9a6c"], ["horse"], None, None, None), (1, 3, None, ["g cat f"], [], [], [], []), (1, 4, None, [], [], ["dog"], [], [])], columns)
+    aliases = spark.createDataFrame([("pet", "kitten"), ("pet", "puppy"), ("cat", "kitten")], "term string, alias string")
+    got = {(r["query_id"], r["photo_id"]): r for r in search.keyword_recall(asked, table, analysis, aliases=aliases).collect()}
+    first = got[1, 0]
+    assert first["tiers"] == ["exact", "negative", "strong", "support"] and first["term_hits"] == ["exact:pet", "negative:here", "strong:cat", "support:toy"] and first["negative_hits"] == 1
+    raw = 3 + (3 + 4 + 4) * 0.7 + 4 * 0.5
+    assert first["score"] == max(0.65, round(raw / (4 * 29), 4))
+    assert (1, 1) not in got and got[1, 2]["score"] == round(2 * 0.7 / (4 * 29), 4) and got[1, 2]["tiers"] == ["strong"]
+    assert got[2, 3]["score"] == round((3 + 4) * 0.7 / (2 * 29), 4)
+    assert not [k for k in got if k[0] in (3, 4)]
+
+
+def test_facets_alone_and_pale_concepts(spark):
+    table, analysis = media(spark, [("a", {"object_tags": ["cat"]}), ("b", {})])
+    analysis = analysis.withColumns({"semantic_concepts": F.array(F.lit("animal")), "semantic_facets": F.when(F.col("photo_id") == 1, F.array(F.lit("group_photo")))})
+    asked = spark.createDataFrame([(1, 1, ["animal"], ["cat"], None, "animal_search"), (1, 2, None, None, ["group_photo"], None)], "project_id bigint, query_id bigint, concept_terms array<string>, entity_terms array<string>, facet_terms array<string>, intent string")
+    got = {(r["query_id"], r["photo_id"]): (r["score"], r["tiers"]) for r in search.concept_recall(asked, table, analysis, 10).collect()}
+    assert got == {(1, 0): (1.0, ["strong"]), (1, 1): (0.15, ["weak"]), (2, 1): (0.0, ["strong"])}
+
+
+def test_people_modes(spark):
+    asked = spark.createDataFrame([(1, 1, "mum"), (1, 2, "mum and bob"), (1, 3, "nobody"), (1, 4, "bob")], "project_id bigint, query_id bigint, text string")
+    found = spark.createDataFrame([(1, 1, 7, "mum"), (1, 2, 7, "mum"), (1, 2, 8, "bob"), (1, 4, 8, "bob")], "project_id bigint, query_id bigint, person_id bigint, term string")
+    assert {r["query_id"]: r["mode"] for r in search.people_modes(asked, found, ["mum", "dad"]).collect()} == {1: "boost", 2: "all", 3: "none", 4: "any"}
+
+
+def test_ocr_weights(spark):
+    hits = spark.createDataFrame([(1, q, 5, f, s) for q in (1, 2) for f, s in (("content", 0.5), ("ocr", 1.0), ("tag", -1.0))], "project_id bigint, query_id bigint, photo_id bigint, field string, similarity double")
+    got = {r["query_id"]: r["score"] for r in search.multi_field_score(hits, ocr=spark.createDataFrame([(1, 2)], "project_id bigint, query_id bigint")).collect()}
+    assert got == {1: 0.3, 2: 0.575}
+    assert search.normalised_weights({"content": 2.0, "tag": -1.0, "ocr": 2.0}) == {"content": 0.5, "tag": 0.0, "ocr": 0.5}
+
+
 def test_exif_reading(spark):
     tags = spark.createDataFrame([({"EXIF DateTimeOriginal": "bad", "Image DateTime": " 2024:03:01 10:20:30 ", "GPS GPSLatitude": "[30, 16, 267/10]", "GPS GPSLatitudeRef": "s", "GPS GPSLongitude": "[1, 2]", "GPS GPSAltitude": "100/0", "EXIF ISOSpeedRatings": "auto"},)], "tags map<string,string>")
     row = tags.select(*ingest.exif_columns("tags")).first()
@@ -146,9 +254,9 @@ def test_files_and_exports(spark, tmp_path):
     files.write_manifest(lines, f"{tmp_path}/m")
     files.write_manifest(lines, f"{tmp_path}/m")
     assert spark.read.json(f"{tmp_path}/m").count() == 4
-    items = spark.createDataFrame([(1, 7, "KEEP", datetime(2026, 1, 1)), (2, 7, "TRASH", datetime(2026, 1, 2)), (3, 7, None, None)], "id bigint, project_id bigint, human_label string, created_at timestamp")
+    items = spark.createDataFrame([(1, 7, "KEEP", datetime(2026, 1, 1)), (2, 7, "TRASH", datetime(2026, 1, 2)), (3, 7, None, None)], "id bigint, project_id bigint, human_label string, human_labeled_at timestamp")
     files.export_calibration(items, f"{tmp_path}/c")
-    assert [r["id"] for r in spark.read.option("header", True).csv(f"{tmp_path}/c").collect()] == ["2", "1"]
+    assert [r["item_id"] for r in spark.read.option("header", True).csv(f"{tmp_path}/c").collect()] == ["2", "1"]
     files.write_table(items, f"{tmp_path}/t")
     assert spark.read.parquet(f"{tmp_path}/t").where("project_id = 7").count() == 3
 
@@ -226,6 +334,23 @@ def test_every_unknown_face_has_a_cluster(spark):
     assert len(got) == 1400
 
 
+def test_rounds_of_clusters(spark):
+    rng = np.random.default_rng(6)
+    kinds = np.eye(8)[rng.integers(0, 8, 700)] + 0.05 * rng.standard_normal((700, 8))
+    rows = [(i % 2, i, kinds[i].tolist(), 0.9, "embedded") for i in range(700)] + [(0, 9999, None, 0.9, "embedded")]
+    faces, none = spark.createDataFrame(rows, FACE), spark.createDataFrame([], ASSIGNED)
+    label = lambda got: {r["face_id"]: r["cluster"] for r in got.collect()}
+    one, many = label(people.cluster_rounds(faces, none)), label(people.cluster_rounds(faces, none, 40))
+    assert len(one) == 700 and one == many
+    for project in (0, 1):
+        plain = one_by_one([(i, np.asarray(v, np.float32)) for p, i, v, *_ in rows if p == project and v])
+        first = {c: min(i for i in plain if plain[i] == c) for c in plain.values()}
+        assert {i: one[i] for i in plain} == {i: first[c] for i, c in plain.items()}
+    made = people.cluster_tables(people.cluster_rounds(faces, none, 40))
+    assert made["persons"].agg(F.sum("face_count")).first()[0] == 700 and made["persons"].count() == 16
+    assert people.cluster_rounds(faces.where("false"), none).count() == 0
+
+
 def test_clustered_faces_are_those_without_an_open_assignment(spark):
     from shoebox.sources.tables import load
 
