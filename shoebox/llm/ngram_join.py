@@ -2,9 +2,11 @@
 
 A set's shingles are XOR-hashed into the parts of a sketch. One differing shingle changes one part, so the Hamming
 distance of two sketches, counted in parts, is at most the symmetric difference of the sets. For two sets of a size band
-that the threshold can link, the difference is bounded by ``d``, so of ``d + 1`` parts at least one agrees: sketches meet
-by an equi-join on (band, part, value). Candidates are tested on bit sketches (one parity bit for a shingle, XORed), whose
-Hamming distance is a lower bound of the difference too, and what passes is verified on the exact sets.
+that the threshold can link, the difference is bounded by ``d``, so of ``2 d + 1`` parts at least ``d + 1`` agree. By the
+pigeonhole principle two sketches that agree in so many share one of the ``d + 1`` parts that come first in any order: sketches
+meet by an equi-join on (band, part, value) of the rarest parts, and parts that very many texts share come last. Candidates are tested
+on bit sketches (one parity bit for a shingle, XORed), whose Hamming distance is a lower bound of the difference too, and what
+passes is verified on the exact sets.
 
 Equal sets are one node from the start. Of up to ``PAIRED`` nodes that share a part all pairs are candidates. More than that
 are joined into hot families by one edge for each, and a family's bit sketches, a few bytes for a shingle, are compared block by
@@ -29,6 +31,9 @@ from shoebox.llm.textkit import NOT_SPACE, Words, chunks, flat, shingle_sets, sp
 PAIRED = 16
 #: Bit sketches, and exact sets, of a family that one task compares with each other.
 SKETCH_BLOCK, BLOCK = 2048, 512
+#: Logarithms of the number of counters of parts, and of the rows that these are added up in. Parts that share a counter only rank
+#: less well.
+COUNTERS, SEGMENTS = 20, 6
 _U = np.uint64
 
 
@@ -48,24 +53,16 @@ def most_different(total, percent: int):
     return total * (100 - percent) // (100 + percent)
 
 
-def band_plan(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(parts, spare) of each band: ``spare`` parts more than the pigeonhole needs, about as many as stay empty."""
-    last = _STARTS[1:] - 1
-    need = most_different(2 * last, percent) + 1
-    least = np.maximum(1, -(-percent * _STARTS[:-1] // 100))
-    spare = 1 + (2 * need * np.exp(-least / need)).astype(np.int64)
-    spare[need == 1] = 0
-    return need + spare, spare
+def band_differences(percent: int) -> np.ndarray:
+    """Largest symmetric difference of two similar sets that meet in a band."""
+    return most_different(2 * (_STARTS[1:] - 1), percent)
 
 
-def part_keys(hashes: np.ndarray, edges: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, key) of the sketch parts of every set, for its own band and each higher one that could hold a partner.
-
-    An empty part agrees between unrelated sets. Two similar sets agree in more parts than a band's spare number, so a set
-    with no more empty parts than that leaves them out, and one with more gives only as many as a shared choice needs.
-    """
+def sketch_parts(hashes: np.ndarray, edges: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, key, needed) of all sketch parts of every set, for its own band and each higher one that could hold a partner; ``needed``
+    of the parts of a row, whichever come first in an order of keys, are enough to meet its partners there."""
     sizes = np.diff(edges)
-    parts, spare = band_plan(percent)
+    differences = band_differences(percent)
     own = np.searchsorted(_STARTS, sizes, "right") - 1
     of = np.repeat(np.arange(len(sizes)), sizes)
     ahead = 0
@@ -74,7 +71,8 @@ def part_keys(hashes: np.ndarray, edges: np.ndarray, percent: int) -> Iterator[t
         on = (sizes > 0) & ((ahead == 0) | (100 * sizes >= percent * _STARTS[np.minimum(band, len(_STARTS) - 1)]))
         if not on.any():
             return
-        m = np.where(on, parts[np.minimum(band, len(parts) - 1)], 0)
+        d = differences[np.minimum(band, len(differences) - 1)]
+        m = np.where(on, 2 * d + 1, 0)
         base = np.cumsum(m) - m
         chosen = on[of]
         doc, h = of[chosen], hashes[chosen]
@@ -82,19 +80,23 @@ def part_keys(hashes: np.ndarray, edges: np.ndarray, percent: int) -> Iterator[t
         slot = base[doc] + (((mixed >> _U(32)) * m[doc].astype(np.uint64)) >> _U(32)).astype(np.int64)
         value = np.zeros(int(m.sum()), np.uint64)
         np.bitwise_xor.at(value, slot, splitmix(mixed))
-        empty = np.bincount(slot, minlength=len(value)) == 0
         row = np.repeat(np.arange(len(sizes)), m)
         place = np.arange(len(value)) - base[row]
-        none = np.add.reduceat(empty, base[on]) if on.any() else np.zeros(0, int)
-        allowed = np.zeros(len(sizes), np.int64)
-        allowed[on] = np.maximum(0, none - spare[np.minimum(band[on], len(spare) - 1)])
-        seen = np.cumsum(empty) - empty
-        keep = ~empty | (seen - seen[base[row]] < allowed[row])
-        tag = (band[row].astype(np.uint64) << _U(48)) ^ place.astype(np.uint64) ^ (empty.astype(np.uint64) << _U(47))
-        yield row[keep], splitmix(value + splitmix(tag + _U(1)))[keep]
+        tag = (band[row].astype(np.uint64) << _U(48)) ^ place.astype(np.uint64)
+        yield row, splitmix(value + splitmix(tag + _U(1))), d[row] + 1
         ahead += 1
 
 
+def part_keys(hashes: np.ndarray, edges: np.ndarray, percent: int, counts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, key) of the parts of every set that are rarest by the counters ``counts`` (none: all equal), as many as it needs."""
+    for row, key, needed in sketch_parts(hashes, edges, percent):
+        often = counts[key >> _U(64 - COUNTERS)] if counts is not None else np.zeros(len(key), np.uint32)
+        order = np.lexsort((key, often, row))
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        first = order[rank < needed]
+        yield row[first], key[first]
+
+
 def _sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle_sets(Words(raw, offsets, NOT_SPACE), k, len(offsets) - 1)
 
@@ -164,12 +166,47 @@ def rename_clashes(nodes: DataFrame) -> tuple[DataFrame, Renamed]:
     return nodes.select("id", node.alias("node"), "n", "bits"), renamed
 
 
+def part_counts(docs: DataFrame, k: int, percent: int) -> np.ndarray:
+    """How many sets have a sketch part, added up in ``2 ** COUNTERS`` counters over all documents; copies within a batch count once.
+
+    A task adds up its own counters and sends them in ``2 ** SEGMENTS`` rows; the driver gets one sum of each row, 4 MB in all.
+    """
+    width = 1 << (COUNTERS - SEGMENTS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for whole in batches:
+            raw, offsets = flat(whole.column(1))
+            for _, _, part, local in chunks(raw, offsets):
+                hashes, edges = _sets(part, local, k)
+                _, first = np.unique([xxhash.xxh3_64_intdigest(hashes[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)], return_index=True)
+                once = np.zeros(len(edges) - 1, bool)
+                once[first] = True
+                for row, key, _ in sketch_parts(hashes, edges, percent):
+                    total += np.bincount((key[once[row]] >> _U(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
+        rows = np.minimum(total, 65535).astype(np.uint16).reshape(-1, width)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array([r.tobytes() for r in rows], pa.binary())], ["segment", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.uint64)
+        for x in rows["counts"]:
+            total += np.frombuffer(x.as_buffer(), np.uint16)
+        return pa.table({"segment": rows["segment"][:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+
+    sums = docs.mapInArrow(count, "segment bigint, counts binary").groupBy("segment").applyInArrow(add, "segment bigint, counts binary")
+    found = np.zeros((1 << SEGMENTS, width), np.uint32)
+    for segment, counts in sums.collect():
+        found[segment] = np.frombuffer(bytes(counts), np.uint32)
+    return found.ravel()
+
+
 def candidates(docs: DataFrame, k: int, percent: int, renamed: Renamed, bins: int) -> DataFrame:
     """Distinct (u, v, hot) of nodes that share a sketch part, from (id, text).
 
     hot = false: a candidate pair. hot = true: u and v belong to one hot family. A batch sends a part's nodes once; if it has
     more than ``PAIRED`` of them it joins them itself and sends one, so a part that very many texts share stays small.
     """
+    often = docs.sparkSession.sparkContext.broadcast(part_counts(docs, k, percent))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -178,7 +215,7 @@ def candidates(docs: DataFrame, k: int, percent: int, renamed: Renamed, bins: in
             for _, _, part, local in chunks(raw, offsets):
                 hashes, edges = _sets(part, local, k)
                 nodes = np.array([_node(hashes[a:b], renamed) if b > a else 0 for a, b in zip(edges[:-1], edges[1:], strict=True)], np.int64)
-                found += [(nodes[row], key) for row, key in part_keys(hashes, edges, percent)]
+                found += [(nodes[row], key) for row, key in part_keys(hashes, edges, percent, often.value)]
             if not found:
                 continue
             node, key = np.concatenate([d for d, _ in found]), np.concatenate([x for _, x in found])
