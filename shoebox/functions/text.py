@@ -98,3 +98,36 @@ def model_answer(text: Column, strategy: str = "auto_extract") -> Column:
         return F.when(F.json_object_keys(bare).isNotNull(), F.from_json(bare, f"struct<{_ddl()}>"))
     strict = _strict(text)
     return F.coalesce(strict, F.pandas_udf(_lenient_rows, f"struct<{_ddl()}>")(F.when(strict.isNull(), text)))
+
+
+# Words of a model's prose, the field they are a tag of, and the tag.
+PROSE_WORDS = [
+    ("夜", "scene_tags", "夜晚"), ("夜晚", "scene_tags", "夜晚"), ("建筑", "scene_tags", "建筑"), ("塔", "object_tags", "塔"), ("楼", "object_tags", "楼"), ("传统", "quality_tags", "传统"), ("清晰", "quality_tags", "清晰"), ("高清", "quality_tags", "高清"),
+    ("划船", "activity_tags", "划船"), ("泛舟", "activity_tags", "划船"), ("游船", "activity_tags", "划船"), ("皮划艇", "activity_tags", "皮划艇"), ("night", "scene_tags", "夜晚"), ("architecture", "scene_tags", "建筑"), ("tower", "object_tags", "塔"), ("building", "object_tags", "楼"),
+    ("traditional", "quality_tags", "传统"), ("high quality", "quality_tags", "高清"), ("clear", "quality_tags", "清晰"), ("boating", "activity_tags", "划船"), ("rowing", "activity_tags", "划船"), ("sailing", "activity_tags", "开船"), ("kayaking", "activity_tags", "皮划艇"),
+    ("canoeing", "activity_tags", "独木舟"), ("boat", "object_tags", "船"), ("城市", "location_clues", "城市"), ("city", "location_clues", "城市"),
+]
+
+
+def prose_answer(text: Column, words: list[tuple[str, str, str]] = PROSE_WORDS) -> Column:
+    """A struct (caption, scene_tags, object_tags, activity_tags, quality_tags, location_clues, search_keywords, people_count, confidence)
+    from a model's prose, for answers without any JSON; null for a null or blank text.
+
+    The caption is the first line that is neither blank, a brace nor a list item; tags are those whose word the text contains in any
+    case; the number of people and the confidence (a number or a percentage, 0 to 1) are read behind their names, else 0, and 0.75,
+    0.35 or 0.5 as the text calls it high, low or neither.
+    """
+    low = F.lower(text)
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda t: F.trim(t)), lambda t: (t != "") & ~t.isin("{", "}") & ~t.startswith("- "))
+    fields = ("scene_tags", "object_tags", "activity_tags", "quality_tags", "location_clues")
+    found = {f: F.array_distinct(F.array_compact(F.array(*(F.when(low.contains(word), tag) for word, field, tag in words if field == f)))) if any(w[1] == f for w in words) else F.array().cast("array<string>") for f in fields}
+    count = F.coalesce(F.regexp_extract(low, r"people_count\s*[:：]\s*(\d+)", 1).try_cast("int"), F.regexp_extract(text, r"(?:人数|人们数量)\s*[:：]?\s*(\d+)", 1).try_cast("int"), F.lit(0))
+    nobody = text.contains("无人") | text.contains("没有人") | low.contains("no people")
+    said = F.concat(F.regexp_extract(low, r"confidence\s*[:：]\s*([0-9]+(?:\.[0-9]+)?%?)", 1))
+    said = F.when(said != "", said).otherwise(F.regexp_extract(text, r"置信度\s*[:：]?\s*([0-9]+(?:\.[0-9]+)?%?)", 1))
+    number = F.replace(said, F.lit("%"), F.lit("")).try_cast("double") / F.when(said.endswith("%"), 100.0).otherwise(1.0)
+    tone = F.when(text.contains("高"), 0.75).when(text.contains("低"), 0.35).otherwise(0.5)
+    confidence = F.when(said != "", F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))).otherwise(tone)
+    keywords = F.array_distinct(F.concat(found["scene_tags"], found["object_tags"], found["location_clues"]))
+    answer = F.struct(F.coalesce(F.get(lines, F.lit(0)), F.lit("")).alias("caption"), *(c.alias(f) for f, c in found.items()), keywords.alias("search_keywords"), F.when(nobody, 0).otherwise(count).alias("people_count"), confidence.alias("confidence"))
+    return F.when(F.trim(text) != "", answer)

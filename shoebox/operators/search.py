@@ -200,13 +200,18 @@ def concept_recall(queries: DataFrame, photos: DataFrame, analysis: DataFrame, k
     strong. With ``scan`` only the newest so many candidates are scored.
     """
     none = F.array().cast("array<string>")
-    asked = _asked(queries, "concept_terms", "entity_terms", "facet_terms", "intent").select(*REQUEST, "intent", *(F.array_distinct(F.filter(F.coalesce(F.col(c).cast("array<string>"), none), lambda t: F.trim(t) != "")).alias(c) for c in ("concept_terms", "entity_terms", "facet_terms")))
+    kinds = {"c": "concept_terms", "e": "entity_terms", "f": "facet_terms"}
+    asked = _asked(queries, *kinds.values(), "intent").select(*REQUEST, "intent", *(F.array_distinct(F.filter(F.coalesce(F.col(c).cast("array<string>"), none), lambda t: F.trim(t) != "")).alias(c) for c in kinds.values()))
     facets = F.coalesce("semantic_facets", none) if "semantic_facets" in analysis.columns else none
-    own = analysis.select("project_id", "photo_id", "created_at", F.col("semantic_concepts").alias("own_concepts"), F.concat("object_tags", "search_keywords").alias("own_entities"), facets.alias("own_facets"))
-    rows = live(photos).select("project_id", "photo_id").join(own, ["project_id", "photo_id"]).join(asked, "project_id")
-    rows = rows.select("*", F.array_intersect("concept_terms", "own_concepts").alias("c"), F.array_intersect("entity_terms", "own_entities").alias("e"), F.array_intersect("facet_terms", "own_facets").alias("f"))
+    entry = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term"))
+    own = F.array_distinct(F.concat(*(F.transform(F.coalesce(c, none), entry(k)) for k, c in (("c", "semantic_concepts"), ("e", F.concat("object_tags", "search_keywords")), ("f", facets)))))
+    # Elements meet the terms of requests by equality; only photos with a hit go on.
+    wanted = asked.select(*REQUEST, F.inline(F.concat(*(F.transform(c, entry(k)) for k, c in kinds.items()))))
+    hits = analysis.select("project_id", "photo_id", F.inline(own)).join(wanted, ["project_id", "kind", "term"])
+    sets = hits.groupBy(*KEYS).agg(*(F.collect_set(F.when(F.col("kind") == k, F.col("term"))).alias(k) for k in kinds))
+    rows = sets.join(live(photos).select("project_id", "photo_id", "created_at"), ["project_id", "photo_id"]).join(asked, REQUEST)
     bare = (F.size("concept_terms") == 0) & (F.size("entity_terms") == 0)
-    rows = rows.where((F.size("c") > 0) | (F.size("e") > 0) | bare & (F.size("f") > 0))
+    rows = rows.where((F.size("c") > 0) | (F.size("e") > 0) | bare)
     if scan is not None:
         rows = ranked(rows, scan, F.desc("created_at"), F.desc("photo_id")).drop("rank")
     cover = lambda hit, want: F.when(F.size(want) > 0, F.size(hit) / F.size(want))

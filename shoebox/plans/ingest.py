@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.functions.text import model_answer
+from shoebox.functions.text import model_answer, prose_answer
 from shoebox.operators import ingest
 from shoebox.plans.library import ACTIVE, query
 from shoebox.sources import files
@@ -400,6 +400,21 @@ def ing14_strict_strategies(analysis: DataFrame) -> DataFrame:
     return found.select("project_id", "photo_id", F.col("s.caption").alias("strict_caption"), F.col("f.people_count").alias("fenced_count"))
 
 
+@query(
+    """SELECT project_id, photo_id, CASE photo_id % 4 WHEN 0 THEN NULL ELSE 'A ' || ocr_text END AS caption, CASE photo_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'scene:夜晚' WHEN 2 THEN 'object:塔,船' ELSE 'activity:划船' END AS tags,
+  CASE photo_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN people_count ELSE 0 END AS people_count, CASE photo_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0.75 WHEN 2 THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence FROM analysis""",
+    "analysis",
+)
+def ing14_prose(analysis: DataFrame) -> DataFrame:
+    kind = F.col("photo_id") % 4
+    head = F.concat(F.lit("\n{\n- x\n  A "), "ocr_text", F.lit("\n"))
+    tail = F.when(kind == 1, "By NIGHT, no people, people_count: 3, 较高").when(kind == 2, F.concat(F.lit("A tower, a Boat.\nPeople_Count: "), F.col("people_count").cast("string"), F.lit("\nConfidence: 80%"))).otherwise("rowing")
+    raw = F.when(kind == 0, "  ").otherwise(F.concat(head, tail))
+    a = analysis.select("project_id", "photo_id", prose_answer(raw).alias("a"))
+    named = F.array_compact(F.array(*(F.when(F.size(f"a.{f}_tags") > 0, F.concat(F.lit(f"{f}:"), F.array_join(f"a.{f}_tags", ","))) for f in ("scene", "object", "activity"))))
+    return a.select("project_id", "photo_id", "a.caption", F.when(F.col("a").isNotNull(), F.array_join(named, ";")).alias("tags"), "a.people_count", "a.confidence")
+
+
 _TABLES15 = {"entities": [("the", "猫"), ("th", "马"), ("ein", "鸟")], "related": [("猫", "动物", 0), ("猫", "宠物", 1), ("马", "动物", 0), ("鸟", "小动物", 0)], "concepts": [("la", "动物"), ("der", "宠物"), ("le", "野生动物")], "people": [("and", "人物"), ("un", "自拍")]}
 _VALUES15 = {name: ", ".join(map(str, rows)) for name, rows in _TABLES15.items()}
 

@@ -335,6 +335,37 @@ def sch12_profiled_vectors(analysis: DataFrame, searches: DataFrame, embeddings:
     return _vector_list(analysis, searches, embeddings)
 
 
+_SEARCHABLE = """, e AS (SELECT vec_id % 3 AS project_id, vec_id AS id, vec_id % 7 <> 0 AND vec_id % 5 <> 0 AND vec_id % 11 <> 0 AND vec_id % 13 <> 0 AND vec_id % 17 <> 0 AS good FROM embeddings)"""
+
+
+def _versions(embeddings: DataFrame) -> DataFrame:
+    n, v = F.col("vec_id"), F.col("embedding")
+    return embeddings.select(
+        (n % 3).alias("project_id"), n.alias("id"), F.when(n % 7 == 0, "stale").otherwise("ready").alias("status"), F.when(n % 5 == 0, "old").otherwise("m").alias("model"), F.when(n % 11 == 0, "0").otherwise("1").alias("version"),
+        F.when(n % 13 != 0, F.when(n % 17 == 0, F.slice(v, 1, 32)).otherwise(v)).alias("vector"),
+    )
+
+
+@query(_SEARCHABLE[1:].replace(" e AS", "WITH e AS", 1) + " SELECT project_id, id FROM e WHERE good")
+def sch11_searchable(embeddings: DataFrame) -> DataFrame:
+    return search.searchable(_versions(embeddings), "m", "1", 64).select("project_id", "id")
+
+
+@query(_SEARCHABLE[1:].replace(" e AS", "WITH e AS", 1) + " SELECT project_id, count(*) FILTER (NOT good) AS stale FROM e GROUP BY ALL")
+def sch11_stale_counts(embeddings: DataFrame) -> DataFrame:
+    return search.stale_counts(_versions(embeddings), "m", "1", 64)
+
+
+@query(
+    _ALL_FIELDS + """, g AS (SELECT CASE field WHEN 'tag' THEN 'ocr' ELSE field END AS field, project_id, query_id, photo_id, similarity FROM f), m AS (SELECT project_id, query_id, photo_id, round(sum(CASE WHEN query_id % 40 = 0 THEN CASE field WHEN 'content' THEN 0.35 ELSE 0.4 END ELSE CASE field WHEN 'content' THEN 0.5 ELSE 0.05 END END::DOUBLE * greatest(similarity, 0)), 8) AS score FROM g GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY project_id, query_id ORDER BY score DESC, photo_id) AS INT) AS rank FROM m WHERE score >= 0.1 QUALIFY rank <= 200"""
+)
+def sch12_ocr_weights(embeddings: DataFrame) -> DataFrame:
+    hits = _all_field_hits(embeddings).withColumn("field", F.when(F.col("field") == "tag", "ocr").otherwise(F.col("field")))
+    ocr = embeddings.where("vec_id % 40 = 0").select((F.floor(F.col("vec_id") / 20) % 2).alias("project_id"), F.col("vec_id").alias("query_id"))
+    return search.multi_field_score(hits, 200, 0.1, ocr=ocr).drop("tag_score", "caption_score")
+
+
 # Requests of the first two projects look for one person each.
 _WANTED = """, pk AS (SELECT a.project_id, a.person_id, f.photo_id, CASE WHEN assignment_status = 'auto_assigned' THEN 0.82 ELSE 1.0 END::DOUBLE * greatest(0.7::DOUBLE * confidence + 0.3::DOUBLE * similarity, 0.2::DOUBLE) AS v
   FROM assignments a JOIN face_embeddings f ON f.project_id = a.project_id AND f.face_id = a.face_id WHERE assignment_status IN ('auto_assigned', 'human_confirmed', 'human_corrected')),
