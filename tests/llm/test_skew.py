@@ -87,3 +87,16 @@ def test_equal_keys_are_dealt_to_shards_that_fit(spark):
     rows = [(1, "same " * 20)] * 300 + [(1, f"other {i} " * 10) for i in range(300)] + [(i, "x" * 50) for i in range(2, 200)]
     got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id bigint, text string"), limit=2000)
     assert got.count() == 798 and got.groupBy("shard").agg(F.sum("n_bytes").alias("b")).agg(F.max("b")).first()[0] <= 2000
+
+
+def test_texts_above_a_chunk(spark):
+    long = " ".join(f"w{i}" for i in range(180_000))
+    assert len(long) > 1_100_000
+    docs = spark.createDataFrame([(1, f"{long} {MIT}"), (2, long), (3, f"a b c d e f g h i j {long} a b c d e f g h i j")], "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["licenses"], r["n_windows"]) for r in license_scan.scan(docs, license_scan.template_table(spark)).collect()}
+    assert found[1][0] == ["MIT"] and found[2] == found[3] == ([], 0)
+    items = spark.createDataFrame([(1, "A b c d e f g h i j")], "item_id bigint, text string")
+    hits = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontam.contamination(docs, items).collect()}
+    assert hits == {1: (180_005, 0), 2: (180_000, 0), 3: (180_020, 20)}
+    shards = {r["doc_id"]: r["n_bytes"] for r in sharding.assign_shards(docs, limit=1 << 20).collect()}
+    assert shards == {1: len(long) + 1 + len(MIT), 2: len(long), 3: len(long) + 40}
