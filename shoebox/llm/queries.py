@@ -7,8 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import ann, decontam, language_id, license_scan, ngram_join, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
-from shoebox.llm.common import table
+from shoebox.llm import ann, clustering, decontam, language_id, license_scan, ngram_join, periodic_runs, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
+from shoebox.llm.common import let, table
 
 #: The file of the SentencePiece model; a parameter of the environment, else that of the installed public tokenizers.
 PIECE_MODEL = os.environ.get("SHOEBOX_PIECE_MODEL", "piece_bpe_32k.model")
@@ -214,5 +214,74 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_url_filter": op2_url_filter, "op3_warc": op3_warc, "op4_extendible_hashing": op4_extendible_hashing, "op5_license_scan": op5_license_scan, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_decontamination": op9_decontamination, "op10_sentencepiece": op10_sentencepiece}
-ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL, "op4_extendible_hashing": OP4_SQL, "op5_license_scan": OP5_SQL, "op6_nearest_neighbours": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster(table(spark, sf_dir, "embeddings"), dims=64, k=40, rounds=5, scale=256, seed=2)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def _op11_sql(rounds: int = 5, k: int = 40) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.rid, m.c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM v JOIN m{r} m ON m.i = v.i GROUP BY v.rid, m.c)
+  GROUP BY rid)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{r} JOIN v USING (rid) GROUP BY c, i),
+m{r + 1} AS MATERIALIZED (
+  SELECT c, i, CASE WHEN s IS NULL THEN x ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS x FROM m{r} LEFT JOIN s{r} USING (c, i))""")
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (
+  SELECT rid, unnest(range(64)) AS i, CAST(unnest(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))) AS BIGINT) AS x FROM k),
+o AS (
+  SELECT rid, row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), CAST(embedding AS DOUBLE[])) - 1 AS c FROM k WHERE vec_id IS NOT NULL),
+m0 AS MATERIALIZED (SELECT c, i, x FROM o JOIN v USING (rid) WHERE c < {k}),{",".join(steps)},
+z AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM m{rounds} GROUP BY c)
+SELECT k.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, z.h AS centroid_sha256
+FROM a{rounds} a JOIN k USING (rid) JOIN z ON z.c = a.c
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def repeating_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): texts whose h = crc32(doc_id) ends in 0 repeat their words i >= a = g % n with period 1 + floor((n - a) / (3 + g % 8)),
+    g = floor(h / 10); other texts, and those of a null id, stay."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def tail(w: Column) -> Column:
+        n, g = F.size(w).cast("bigint"), F.floor(h / 10)
+
+        def repeated(a: Column) -> Column:
+            return let(1 + F.floor((n - a) / (3 + g % 8)), lambda p: F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.element_at(w, (a + (i - a) % p + 1).cast("int")))))
+
+        return F.array_join(F.when(n > 0, let(g % F.greatest(n, F.lit(1)), repeated)).otherwise(w), " ")
+
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, tail)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(repeating_tails(table(spark, sf_dir, "documents")))
+
+    def longer(a: Column, b: Column) -> Column:
+        more = a["length"] * b["period"] - b["length"] * a["period"]
+        return F.when(more > 0, -1).when(more < 0, 1).when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(F.signum(a["period"] - b["period"]).cast("int"))
+
+    best = F.get(F.array_sort("runs", longer), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("CAST(1000 * best.length DIV best.period AS BIGINT)").alias("exponent_milli")
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli, "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_url_filter": op2_url_filter, "op3_warc": op3_warc, "op4_extendible_hashing": op4_extendible_hashing, "op5_license_scan": op5_license_scan, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_decontamination": op9_decontamination, "op10_sentencepiece": op10_sentencepiece, "op11_centroid_clustering": op11_centroid_clustering, "op13_periodic_runs": op13_periodic_runs}
+ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL, "op4_extendible_hashing": OP4_SQL, "op5_license_scan": OP5_SQL, "op6_nearest_neighbours": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_centroid_clustering": OP11_SQL}

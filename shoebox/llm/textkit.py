@@ -105,9 +105,9 @@ _LOWER[0x41:0x5B] += 32
 
 class Words:
     """Words of a chunk: ``start``/``end`` byte spans, ``row`` of each, ``first`` word of each row (with the total at the
-    end) and a 64-bit ``hash`` of each ASCII-lower-cased word."""
+    end) and a 64-bit ``hash`` of each word, ASCII-lower-cased unless ``fold`` is off."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, accept: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, accept: np.ndarray, fold: bool = True):
         inside = accept[raw]
         edge = np.zeros(len(raw) + 1, bool)
         edge[offsets] = True
@@ -117,7 +117,7 @@ class Words:
         self.start, self.end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.row = np.searchsorted(offsets, self.start, "right") - 1
         self.first = np.searchsorted(self.start, offsets)
-        lower = _LOWER[raw]
+        lower = _LOWER[raw] if fold else raw
         self.hash = span_hash(*prefix_hash(lower), self.start, self.end)
         for i in np.flatnonzero(self.end - self.start > LONG_WORD):
             self.hash[i] = xxhash.xxh3_64_intdigest(lower[self.start[i] : self.end[i]].tobytes())
