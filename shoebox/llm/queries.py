@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import ann, clustering, decontam, language_id, license_scan, ngram_join, periodic_runs, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
+from shoebox.llm import ann, clustering, decontam, imatch, language_id, license_scan, ngram_join, periodic_runs, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
 from shoebox.llm.common import let, table
 
 #: The file of the SentencePiece model; a parameter of the environment, else that of the installed public tokenizers.
@@ -252,6 +252,50 @@ FROM a{rounds} a JOIN k USING (rid) JOIN z ON z.c = a.c
 OP11_SQL = _op11_sql()
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imatch.edits(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+#: Lexicon frequencies are counted and its filter is built in SQL too. All three texts of a row (own, edited, next) are fingerprinted.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS total, doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+    coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS u
+  FROM documents),
+e AS (SELECT *, left(t, n - n // 4) || left(u, n // 4) AS v FROM d),
+x AS (SELECT r, 0 AS kind, t AS text FROM e UNION ALL SELECT r, 1, v FROM e),
+w AS (
+  SELECT DISTINCT r, kind, md5(unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS m FROM x),
+k AS (SELECT *, CAST('0x' || substring(m, 1, 15) AS BIGINT) AS key FROM w),
+f AS (SELECT key FROM k, (SELECT max(total) AS total FROM d) WHERE kind = 0 GROUP BY key, total HAVING count(*) * 32 <= total AND count(*) * 8192 >= total),
+g AS (SELECT least(26, greatest(16, CAST(ceil(log2(greatest(count(*), 1) * 32)) AS BIGINT))) AS log FROM f),
+s AS (SELECT key >> CAST(60 - log AS INTEGER) AS slot FROM f, g UNION SELECT key & ((1::BIGINT << CAST(log AS INTEGER)) - 1) FROM f, g),
+i AS (
+  SELECT r, kind, m, key >> CAST(60 - log AS INTEGER) IN (SELECT slot FROM s) AND key & ((1::BIGINT << CAST(log AS INTEGER)) - 1) IN (SELECT slot FROM s) AS held FROM k, g),
+h AS (SELECT r, kind, m FROM i WHERE held UNION ALL SELECT r, kind, m FROM i WHERE (r, kind) NOT IN (SELECT (r, kind) FROM i WHERE held)),
+c AS (SELECT r, kind, least(14, CAST(floor(log2(count(*))) AS BIGINT) + 1) AS level FROM h GROUP BY r, kind),
+y AS (
+  SELECT r, kind, j, q, substring(md5(string_agg(m, '' ORDER BY m)), 1, 6) AS p
+  FROM h JOIN c USING (r, kind) CROSS JOIN (SELECT unnest(range(16)) AS j) CROSS JOIN (SELECT unnest(range(3)) AS q)
+  WHERE substring(m || substring(m, 1, 2), 2 * j + 1, 4) < printf('%04x', 1::BIGINT << CAST(16 - q - level AS INTEGER)) GROUP BY r, kind, j, q),
+z AS (
+  SELECT r, kind, level, j, q, level + q AS depth, coalesce(p, '......') AS p
+  FROM c CROSS JOIN (SELECT unnest(range(16)) AS j) CROSS JOIN (SELECT unnest(range(3)) AS q) LEFT JOIN y USING (r, kind, j, q)),
+o AS (
+  SELECT x.r, x.kind, coalesce(lpad(CAST(level AS VARCHAR), 2, '0') || ':' || string_agg(p, '' ORDER BY j, q), '--:' || md5(any_value(x.text))) AS print
+  FROM x LEFT JOIN z ON z.r = x.r AND z.kind = x.kind GROUP BY x.r, x.kind, level),
+l AS (
+  SELECT a.r, b.kind AS edited, CAST(count(*) FILTER (a.p = b.p) AS DOUBLE) / greatest(1, count(*)) AS near
+  FROM z a JOIN z b ON a.kind = 0 AND ((b.kind = 1 AND b.r = a.r) OR (b.kind = 0 AND b.r = a.r % (SELECT max(total) FROM d) + 1)) AND a.j = b.j AND a.depth = b.depth
+  WHERE a.p <> '......' OR b.p <> '......' GROUP BY a.r, b.kind)
+SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.v) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint,
+  CASE WHEN a.print = b.print THEN 1.0 ELSE coalesce(m.near, 0.0) END::DOUBLE AS near_edited, CASE WHEN a.print = n.print THEN 1.0 ELSE coalesce(o2.near, 0.0) END::DOUBLE AS near_next
+FROM e JOIN o a ON a.r = e.r AND a.kind = 0 JOIN o b ON b.r = e.r AND b.kind = 1 JOIN o n ON n.r = e.r % e.total + 1 AND n.kind = 0
+LEFT JOIN l m ON m.r = e.r AND m.edited = 1 LEFT JOIN l o2 ON o2.r = e.r AND o2.edited = 0
+"""
+
+
 def repeating_tails(docs: DataFrame) -> DataFrame:
     """(doc_id, text): texts whose h = crc32(doc_id) ends in 0 repeat their words i >= a = g % n with period 1 + floor((n - a) / (3 + g % 8)),
     g = floor(h / 10); other texts, and those of a null id, stay."""
@@ -283,5 +327,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli, "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_url_filter": op2_url_filter, "op3_warc": op3_warc, "op4_extendible_hashing": op4_extendible_hashing, "op5_license_scan": op5_license_scan, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_decontamination": op9_decontamination, "op10_sentencepiece": op10_sentencepiece, "op11_centroid_clustering": op11_centroid_clustering, "op13_periodic_runs": op13_periodic_runs}
-ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL, "op4_extendible_hashing": OP4_SQL, "op5_license_scan": OP5_SQL, "op6_nearest_neighbours": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_centroid_clustering": OP11_SQL}
+QUERIES = {"op1_language_id": op1_language_id, "op2_url_filter": op2_url_filter, "op3_warc": op3_warc, "op4_extendible_hashing": op4_extendible_hashing, "op5_license_scan": op5_license_scan, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_decontamination": op9_decontamination, "op10_sentencepiece": op10_sentencepiece, "op11_centroid_clustering": op11_centroid_clustering, "op12_document_fingerprints": op12_document_fingerprints, "op13_periodic_runs": op13_periodic_runs}
+ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL, "op4_extendible_hashing": OP4_SQL, "op5_license_scan": OP5_SQL, "op6_nearest_neighbours": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_centroid_clustering": OP11_SQL, "op12_document_fingerprints": OP12_SQL}
