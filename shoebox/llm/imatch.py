@@ -151,21 +151,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.length(F.coalesce(text_col, F.lit(""))).cast("bigint").alias("n_chars"), fingerprint(F.col(text_col), held).alias("fingerprint"))
 
 
-def _followed(docs: DataFrame) -> DataFrame:
-    """(id, digest, copies, n_chars, before struct<id, digest, n_chars>) of every distinct (id, digest) of ``docs``, in the order of id and
-    digest; before the first stands the last. Written. Rows are sorted in ranges, and each range needs the last row before it only."""
-    spark = docs.sparkSession
-    rows = docs.groupBy("id", "digest").agg(F.count("*").alias("copies"), F.max(F.length("text")).cast("bigint").alias("n_chars"))
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(rows.repartitionByRange(ranges, "id", "digest").withColumn("range", F.spark_partition_id()), "ranges")
-    own = F.struct("id", "digest", "n_chars")
-    inside = Window.partitionBy("range").orderBy("id", "digest")
-    ends = placed.groupBy("range").agg(F.max(own).alias("end"))
-    # One row for each range.
+def _linked(rows: DataFrame) -> DataFrame:
+    """(id, digest, n_chars, fingerprint, copies, before) of every distinct (id, digest), in their order; ``before`` has the same four
+    columns of the row before, and of the last row before the first. Written. Rows are sorted in ranges, and each range needs the last row
+    of the ones before it only."""
+    names = ["id", "digest", "n_chars", "fingerprint"]
+    distinct = rows.groupBy(*names).agg(F.count("*").alias("copies"))
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(distinct.repartitionByRange(ranges, "id", "digest").withColumn("range", F.spark_partition_id()), "ranges")
+    own = F.struct(*names)
+    ends = placed.groupBy("range").agg(F.max(own).alias("end"))  # a row for each range
     last = ends.groupBy().agg(F.max("end").alias("end")).scalar()
     earlier = ends.select("range", F.lag("end").over(Window.orderBy("range")).alias("end"))
+    inside = Window.partitionBy("range").orderBy("id", "digest")
     linked = placed.withColumn("before", F.lag(own).over(inside)).join(F.broadcast(earlier), "range")
-    return materialize(linked.select("id", "digest", "copies", "n_chars", F.coalesce("before", "end", last).alias("before")), "followed")
+    return materialize(linked.select(*names, "copies", F.coalesce("before", "end", last).alias("before")), "linked")
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **band) -> DataFrame:
@@ -176,30 +176,26 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ban
 
     Null texts count as empty. Null ids come first. Rows with equal ids follow in the order of their texts' MD5, and those with equal
     texts too are one document, whose row is given as often. One document alone is its own next. An empty table gives an empty one.
+
+    Texts are shuffled once: they meet, by id and digest, first the row before, for which they give the beginning it needs, and then the
+    beginning that the row after them gave.
     """
     held = lexicon(docs, text_col, **band)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
-    order = _followed(rows)
-    repeated = not order.where("copies > 1").isEmpty()
+    known = rows.select("id", "digest", F.length("text").cast("bigint").alias("n_chars"), fingerprint(F.col("text"), held).alias("fingerprint"))
+    linked = _linked(materialize(known, "fingerprints"))
 
-    same = rows["id"].eqNullSafe(order["id"]) & (rows["digest"] == order["digest"])
-    met = rows.join(order.drop("copies", "n_chars"), same).select(F.col("before.id").alias("at_id"), F.col("before.digest").alias("at_digest"), F.floor(F.col("before.n_chars") / 4).cast("int").alias("most"), "text")
-    heads = met.select("at_id", "at_digest", F.substring("text", F.lit(1), F.col("most")).alias("head"))
-    if repeated:
+    met = rows.join(linked.drop("n_chars"), rows["id"].eqNullSafe(linked["id"]) & (rows["digest"] == linked["digest"]))
+    head = F.substring("text", F.lit(1), F.floor(F.col("before.n_chars") / 4).cast("int"))
+    heads = met.select(F.col("before.id").alias("at_id"), F.col("before.digest").alias("at_digest"), head.alias("head"), F.col("before.fingerprint").alias("fingerprint"), F.col("fingerprint").alias("next_fingerprint"))
+    if not linked.where("copies > 1").isEmpty():
         heads = heads.dropDuplicates(["at_id", "at_digest"])
     joined = rows.join(heads, rows["id"].eqNullSafe(heads["at_id"]) & (rows["digest"] == heads["at_digest"]))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("head"))
-    told = joined.select("id", "digest", n.cast("bigint").alias("n_chars"), fingerprint(F.col("text"), held).alias("fingerprint"), edited.alias("edited"))
-    told = materialize(told.withColumn("edited_fingerprint", fingerprint(F.col("edited"), held)), "fingerprints")
-
-    after = order.select(F.col("id").alias("next_id"), F.col("digest").alias("next_digest"), F.col("before.id").alias("at_id"), F.col("before.digest").alias("at_digest"))
-    known = told.select(F.col("id").alias("next_id"), F.col("digest").alias("next_digest"), F.col("fingerprint").alias("next_fingerprint"))
-    if repeated:
-        known = known.dropDuplicates(["next_id", "next_digest"])
-    following = known.join(after, known["next_id"].eqNullSafe(after["next_id"]) & (known["next_digest"] == after["next_digest"])).select("at_id", "at_digest", "next_fingerprint")
-    out = told.join(following, told["id"].eqNullSafe(following["at_id"]) & (told["digest"] == following["at_digest"]))
-    return out.select(
+    told = joined.select("id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
+    told = told.withColumn("edited_fingerprint", fingerprint(F.col("edited"), held))
+    return told.select(
         F.col("id").alias(id_col), "n_chars", "edited", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
