@@ -73,7 +73,7 @@ def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     ship(spark)
     cut = suffix_dedup.remove_repeats(docs, carry=True)
     changed = F.size("spans") > 0
-    left = cut.where(~changed | (F.trim("kept_text") != ""))
+    left = cut.where(~changed | F.col("kept_text").rlike(r"(?U)\S"))
     return _rows(left, docs, text=F.when(changed, F.col("kept_text")).otherwise(F.col("row.text")), n_chars=F.when(changed, F.length("kept_text").cast("bigint")).otherwise(F.col("row.n_chars")))
 
 
@@ -87,8 +87,10 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = _fresh(docs, "text_digest")
     keyed = docs.withColumn(key, F.when(F.length("text") > 0, F.sha2("text", 256)))
     found = decontam.contamination(keyed.select(F.col(key).alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key")
-    bad = found.where("contaminated").groupBy(F.col("key").alias(key)).agg(F.count("*").alias(n := _fresh(docs, "n")), F.lit(True).alias(hit := _fresh(docs, "is_hit")))
-    return join_back(keyed, bad, key, n).where(F.col(hit).isNull()).select(*(f"`{c}`" for c in docs.columns))
+    hit, n = _fresh(docs, "is_hit"), _fresh(docs, "n")
+    bad = materialize(found.where("contaminated").select(F.col("key").alias(key)).distinct().withColumn(hit, F.lit(True)), "bad")
+    counts = keyed.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n))
+    return join_back(keyed, bad, key, n, counts=counts).where(F.col(hit).isNull()).select(*(f"`{c}`" for c in docs.columns))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

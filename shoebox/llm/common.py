@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,22 +67,35 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0
 
 
-def join_back(left: DataFrame, right: DataFrame, key: str, rows: str = "n", total: int | None = None) -> DataFrame:
+def join_back(left: DataFrame, right: DataFrame, key: str, rows: str = "n", total: int | None = None, counts: DataFrame | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``left`` with the columns of ``right`` by the equal column ``key``, a left join in which no key makes a task large.
 
-    ``key`` is unique and not null in ``right``; its column ``rows`` tells how many rows of ``left`` have the key and is dropped.
-    Rows of ``left`` with a null key are not shuffled. Nor are those with a key that more than a ``HOT_SHARE``-th of the counted rows
-    have: there are fewer than ``HOT_SHARE`` such keys whatever the size of the tables, so these rows of ``right`` are broadcast.
-    ``total`` is the sum of ``rows`` or more, if it is known; else ``right`` is written and summed.
+    ``key`` is unique and not null in ``right``. Rows of ``left`` with a null key are not shuffled. Nor are those with a key that more
+    than a ``HOT_SHARE``-th of the rows have, whether ``right`` has it or not: there are fewer than ``HOT_SHARE`` such keys whatever the
+    size of the tables, so these keys and their rows of ``right`` are broadcast.
+
+    ``counts`` (``key``, ``rows``) tells how many rows of ``left`` have each key. Without it, ``right`` has the column ``rows`` (which is
+    dropped) and must have all frequent keys. ``total`` is the number of rows of ``left``, if it is known. ``prepare`` is applied to the
+    two parts of ``left`` before they are joined, so that what it computes is computed once for each row.
     """
-    if total is None:
-        right = materialize(right, "right")
-        total = right.agg(F.sum(rows)).first()[0] or 0
-    is_hot = F.col(rows) * HOT_SHARE > total
-    hot = F.broadcast(right.where(is_hot).drop(rows).withColumn("is_hot", F.lit(True)))
-    near = left.join(hot, key, "left").where(F.col(key).isNull() | F.col("is_hot")).drop("is_hot")
-    far = left.where(F.col(key).isNotNull()).join(F.broadcast(right.where(is_hot).select(key)), key, "left_anti")
-    return near.unionByName(far.join(right.where(~is_hot).drop(rows), key, "left"))
+    prepare = prepare or (lambda part: part)
+    if counts is None:
+        if total is None:
+            right = materialize(right, "right")
+            total = right.agg(F.sum(rows)).first()[0] or 0
+        is_hot = F.col(rows) * HOT_SHARE > total
+        held, right = right.where(is_hot).drop(rows), right.where(~is_hot).drop(rows)
+        hot = held.select(key)
+    else:
+        total = left.count() if total is None else total
+        hot = materialize(counts.where(F.col(rows) * HOT_SHARE > total).select(key), "hot")
+        held = hot.join(right, key)
+    flag = "hot"
+    while flag in left.columns:
+        flag += "_"
+    near = left.join(F.broadcast(hot.withColumn(flag, F.lit(True))), key, "left").where(F.col(key).isNull() | F.col(flag)).drop(flag)
+    far = left.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti")
+    return prepare(near).join(F.broadcast(held), key, "left").unionByName(prepare(far).join(right, key, "left"))
 
 
 def ordered_ids(rows: DataFrame, by: list[str]) -> DataFrame:

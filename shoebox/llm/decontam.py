@@ -128,10 +128,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     prefix = places.groupBy("size", "n_words", "tokens").agg(F.min_by(F.struct("token", "place"), F.struct("df", "place")).alias("rare"), F.count("*").alias("present"))
     prefix = prefix.where(F.col("present") == F.size("tokens")).select("size", F.col("n_words").alias("w_words"), F.col("tokens").alias("w_tokens"), "rare.*")
 
-    at = met.select("text_key", "size", "start", F.col("tokens").alias("run"), F.posexplode("tokens").alias("pos", "token"))
+    # Each position takes along only the shingles that a window around it can have, so a long run stays linear.
+    reach = window - shingle
+    low = lambda pos: F.greatest(pos - reach, F.lit(0))
+    around = F.transform("tokens", lambda t, i: F.struct(t.alias("token"), i.alias("pos"), F.slice("tokens", low(i) + 1, 2 * reach + 1).alias("near")))
+    at = met.select("text_key", "size", "start", F.inline(around))
     near = at.join(prefix, ["size", "token"]).withColumn("offset", F.col("pos") - F.col("place"))
-    near = near.where((F.col("offset") >= 0) & (F.col("offset") + F.size("w_tokens") <= F.size("run")))
-    exact = near.where(F.slice("run", F.col("offset") + 1, F.size("w_tokens")) == F.col("w_tokens"))
+    from_low = F.col("offset") - low(F.col("pos"))
+    near = near.where((F.col("offset") >= 0) & (from_low + F.size("w_tokens") <= F.size("near")))
+    exact = near.where(F.slice("near", from_low + 1, F.size("w_tokens")) == F.col("w_tokens"))
     exact = exact.select("text_key", (F.col("start") + F.col("offset")).alias("a"), (F.col("start") + F.col("offset") + F.col("w_words")).alias("b"), "size", "w_words", "w_tokens")
 
     # Words covered: each window adds what lies behind the furthest end so far.
@@ -141,8 +146,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     # Items by window: a window that many items share is joined, not carried along as a list.
     own = windows.select("size", F.col("n_words").alias("w_words"), F.col("tokens").alias("w_tokens"), F.col("item_id").cast("string").alias("item")).where("item IS NOT NULL").distinct()
     named = exact.select("text_key", "size", "w_words", "w_tokens").distinct().join(own, ["size", "w_words", "w_tokens"]).groupBy("text_key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    hits = covered.join(named, "text_key", "left").join(texts.select("text_key", "copies"), "text_key")
-    out = join_back(runs.select("id", "n_words", "text_key"), hits, "text_key", "copies")
+    hits = covered.join(named, "text_key", "left")
+    out = join_back(runs.select("id", "n_words", "text_key"), materialize(hits, "hits"), "text_key", "copies", counts=texts.select("text_key", "copies"))
     return out.select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),

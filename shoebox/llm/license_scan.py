@@ -96,14 +96,14 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     listed = [r[0] for r in marks.limit(LISTED + 1).collect()]
     if len(listed) <= LISTED:
         texts = texts.where(F.arrays_overlap("shingles", F.array(*map(F.lit, listed)).cast("array<bigint>")))
-    texts = texts.groupBy(F.sha2("text", 256).alias("text_key")).agg(F.first("shingles").alias("shingles"), F.count("*").alias("copies"))
+    texts = texts.groupBy(F.sha2("text", 256).alias("text_key")).agg(F.first("shingles").alias("shingles"))
 
     def windows_of(c: int) -> Column:
         last = F.greatest(F.lit(0), F.ceil((F.size("shingles") - 2 * 2**c) / 2**c)).cast("int")
         return F.transform(F.sequence(F.lit(0), last), lambda w: F.struct(F.lit(c).alias("class"), w.alias("window"), F.array_distinct(F.slice("shingles", w * 2**c + 1, 2 * 2**c)).alias("w_shingles")))
 
     none = F.array().cast("array<struct<class:int,window:int,w_shingles:array<bigint>>>")
-    windows = texts.select("text_key", "copies", F.inline(F.concat(*map(windows_of, classes)) if classes else none))
+    windows = texts.select("text_key", F.inline(F.concat(*map(windows_of, classes)) if classes else none))
     if len(listed) <= LISTED:
         windows = windows.where(F.arrays_overlap("w_shingles", F.array(*map(F.lit, listed)).cast("array<bigint>")))
     met = windows.select("*", F.posexplode(_minima(F.col("w_shingles"), bands)).alias("band", "value"))
@@ -112,6 +112,7 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     pairs = met.join(table, ["class", "band", "value"]).dropDuplicates(["text_key", "class", "window", "license", "t_shingles"])
     contained = 100 * F.size(F.array_intersect("w_shingles", "t_shingles")) >= percent * F.size("t_shingles")
     matches = pairs.where(contained)
-    found = matches.groupBy("text_key").agg(F.sort_array(F.collect_set("license")).alias("licenses"), F.count("*").alias("n_windows"), F.first("copies").alias("copies"))
-    out = join_back(keyed.select("id", F.sha2("text", 256).alias("text_key")), found, "text_key", "copies")
+    found = matches.groupBy("text_key").agg(F.sort_array(F.collect_set("license")).alias("licenses"), F.count("*").alias("n_windows"))
+    rows = keyed.select("id", F.sha2("text", 256).alias("text_key"))
+    out = join_back(rows, materialize(found, "found"), "text_key", counts=rows.where("text_key IS NOT NULL").groupBy("text_key").agg(F.count("*").alias("n")))
     return out.select(F.col("id").alias(id_col), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("n_windows", F.lit(0)).alias("n_windows"))

@@ -447,8 +447,11 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 row = [whole.column(2).slice(lo, hi - lo)] if carry else []
                 yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), pa.array(np.diff(_sets(part, local, shingle)[1])), *row], ["id", "n_shingles", *["row"] * carry])
 
-    counted = source.mapInArrow(count, with_row("id bigint, n_shingles bigint", source))
-    out = counted.join(labels, counted["id"] == labels["l_id"], "left")
+    def sized(part: DataFrame) -> DataFrame:
+        return part.mapInArrow(count, with_row("id bigint, n_shingles bigint", source))
+
+    counts = docs.select(F.col(id_col).cast("bigint").alias("id")).where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n"))
+    out = join_back(source, labels, "id", counts=counts, prepare=sized)
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("label", "id").alias("component_id"), *["row"] * carry)
 
 
@@ -460,8 +463,8 @@ def _with_shared_ids(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _labels(nodes: DataFrame, linked: DataFrame) -> DataFrame:
-    """(l_id, label): the smallest id of the component of every id that is not the smallest itself."""
+    """(id, label): the smallest id of the component of every id that is not the smallest itself."""
     copies = nodes.groupBy("node").agg(F.count("*").alias("n"))
     placed = join_back(nodes.select("id", "node"), linked.join(copies, "node"), "node").select("id", F.coalesce("component", "node").alias("c"))
     least = placed.groupBy("c").agg(F.min("id").alias("label"), F.max("id").alias("most"), F.count("*").alias("n")).where("label <> most")
-    return join_back(placed, least, "c").where("id <> label").select(F.col("id").alias("l_id"), "label").distinct()
+    return join_back(placed, least, "c").where("id <> label").select("id", "label").distinct()

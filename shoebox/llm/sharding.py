@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import materialize
+from shoebox.llm.common import join_back, materialize
 
 #: Bits of one address word; a bucket that needs more is split on the next words.
 WORD_BITS = 32
@@ -86,7 +86,9 @@ def assign_shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
     depth = first_depth(source.agg(F.sum("bytes")).first()[0] or 0, limit, width)
     while True:
         made = buckets(pending.select("bits", "bytes"), limit, low, depth)
-        placed = pending.withColumn("address", F.substring("bits", 1, depth)).join(_directory(made, depth), "address")
+        addressed = pending.withColumn("address", F.substring("bits", 1, depth))
+        counts = addressed.groupBy("address").agg(F.count("*").alias("n"))
+        placed = join_back(addressed, materialize(_directory(made, depth), "directory"), "address", counts=counts)
         done.append(placed.where("NOT over").select("key", F.col("prefix").alias("shard"), "bytes"))
         if made.where("over").isEmpty():
             break

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import bins_for, carried, materialize, ordered_ids, packed, text_bytes, unpacked, with_row
+from shoebox.llm.common import bins_for, carried, join_back, materialize, ordered_ids, packed, text_bytes, unpacked, with_row
 from shoebox.llm.textkit import chunks, flat, prefix_hash, span_hash, splitmix, window_reduce
 
 LENGTH = 100
@@ -232,9 +232,11 @@ def _known(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if whole and docs.groupBy("id").count().where("count > 1").isEmpty():
         known = docs.select(F.col("id").cast("bigint").alias("row_id"), "*")
         return known, known.select(F.col("row_id").alias("id"), "text")
-    keyed = docs.withColumn("digest", F.sha2("text", 256))
-    known = keyed.join(ordered_ids(keyed, ["id", "digest"]), ["id", "digest"])
-    return known, known.dropDuplicates(["row_id"]).select(F.col("row_id").alias("id"), "text")
+    keyed = docs.withColumn("own", F.struct("id", F.sha2("text", 256).alias("digest")))
+    counts = keyed.groupBy("own").agg(F.count("*").alias("n"))
+    numbers = ordered_ids(keyed.select("own.*"), ["id", "digest"]).select(F.struct("id", "digest").alias("own"), "row_id")
+    known = join_back(keyed, numbers, "own", counts=counts).drop("own")
+    return known, known.groupBy("row_id").agg(F.first("text").alias("text")).select(F.col("row_id").alias("id"), "text")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: bool = False) -> DataFrame:
@@ -251,8 +253,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried(docs, carry))
     known, distinct = _known(source.where("id IS NOT NULL"))
     more = ["row"] * carry
-    spans = repeated_spans(distinct, length).withColumnRenamed("id", "span_id")
-    rows = known.join(spans, known["row_id"] == spans["span_id"], "left").select("id", "text", "starts", "ends", *more)
+    spans = materialize(repeated_spans(distinct, length).withColumnRenamed("id", "row_id"), "spans")
+    counts = known.groupBy("row_id").agg(F.count("*").alias("n"))
+    rows = join_back(known, spans, "row_id", counts=counts).select("id", "text", "starts", "ends", *more)
     rows = rows.union(source.where("id IS NULL").select("id", "text", F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<bigint>"), *more))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import join_back, lower_ascii
+from shoebox.llm.common import join_back, lower_ascii, materialize
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Hex digits of the digest that are compared first, as a number.
@@ -60,7 +60,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     judged = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     judged = judged.withColumn("place", F.when(F.length("host") > 0, F.concat("host", "path")))
     urls = judged.where("place IS NOT NULL").groupBy("host", "path", "place").agg(F.count("*").alias("n"))
-    joined = join_back(judged, _matches(urls, rules, shapes), "place")
+    joined = join_back(judged, materialize(_matches(urls, rules, shapes), "matches").drop("n"), "place", counts=urls.select("place", "n"))
     return joined.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shoebox.llm import common, decontam, license_scan, queries, sharding, url_filter, warc
+import corpus_pipeline
+from shoebox.llm import common, decontam, license_scan, ngram_join, queries, sharding, suffix_dedup, url_filter, warc
 
 MIT = "Released under the MIT License."
 
@@ -24,12 +25,96 @@ def most_in_a_task(found):
     return max(rows), sum(rows)
 
 
-def rows_of(spark, few, many, name):
-    """4 rows of ``few`` and 396 of ``many`` in 4 even partitions."""
-    rows = [(i, few if i % 100 == 0 else many) for i in range(400)]
+def largest_share(spark, run, least=2000):
+    """Share of the rows of a stage that one of its tasks read from a shuffle, at most, among stages that read ``least`` rows or more."""
+    context = spark.sparkContext._jsc.sc()
+    store = context.statusStore()
+
+    def stages():
+        context.listenerBus().waitUntilEmpty(30_000)
+        none = spark._jvm.java.util.ArrayList()
+        return store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+
+    listed = stages()
+    before = {listed.apply(i).stageId() for i in range(listed.size())}
+    run()
+    most, listed = 0.0, stages()
+    for i in range(listed.size()):
+        stage = listed.apply(i)
+        if stage.stageId() in before:
+            continue
+        tasks = store.taskList(stage.stageId(), stage.attemptId(), 1000)
+        metrics = [tasks.apply(j).taskMetrics() for j in range(tasks.size())]
+        rows = [m.get().shuffleReadMetrics().recordsRead() for m in metrics if m.isDefined()]
+        if sum(rows) >= least:
+            most = max(most, max(rows) / sum(rows))
+    return most
+
+
+def rows_of(spark, few, many, name, n=400):
+    """1 row in a hundred of ``few`` and the rest of ``many``, in 4 even partitions."""
+    rows = [(i, few if i % 100 == 0 else many) for i in range(n)]
     return spark.createDataFrame(rows, f"doc_id bigint, {name} string").repartition(4)
 
 
+@pytest.mark.parametrize("many", [None, "http://clean.example/x/1"])
+def test_frequent_urls_without_a_rule(unbroadcast, many):
+    pages = rows_of(unbroadcast, "http://b.org/es/9", many, "url", 4000).withColumnRenamed("doc_id", "page_id")
+    assert largest_share(unbroadcast, lambda: url_filter.judge_urls(pages, url_filter.rule_table(unbroadcast, queries.URL_RULES)).collect()) < 0.5
+
+
+@pytest.mark.parametrize("many", [None, "no license in this text at all"])
+def test_frequent_texts_without_a_license(unbroadcast, many):
+    docs = rows_of(unbroadcast, f"some {MIT} text", many, "text", 4000)
+    assert largest_share(unbroadcast, lambda: license_scan.scan(docs, license_scan.template_table(unbroadcast)).collect()) < 0.5
+
+
+def test_frequent_texts_that_meet_no_window(unbroadcast):
+    items = unbroadcast.createDataFrame([(1, "a b c d e f g h i j k l")], "item_id bigint, text string")
+    docs = rows_of(unbroadcast, "x a b c d e f g h i j", "a b c d e f and other words", "text", 4000)
+    assert largest_share(unbroadcast, lambda: decontam.contamination(docs, items).collect()) < 0.5
+
+
+def test_frequent_texts_in_the_benchmark_stage(unbroadcast, tmp_path):
+    unbroadcast.createDataFrame([(1, "a b c d e f g h i j k l")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = rows_of(unbroadcast, "x a b c d e f g h i j", "clean words only here", "text", 4000).withColumns({"is_hot": F.lit(1), "hot": F.lit(2), "is_hit": F.lit(3), "n": F.lit(4)})
+    kept = corpus_pipeline.benchmark_stage(unbroadcast, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert largest_share(unbroadcast, lambda: kept.collect()) < 0.5 and kept.count() == 3960
+
+
+@pytest.mark.parametrize("shared", [None, 7])
+def test_rows_of_one_id_in_the_join_of_sets(unbroadcast, shared):
+    docs = unbroadcast.createDataFrame([(i if i < 40 else shared, f"text number {i % 50} of a few words") for i in range(4000)], "doc_id bigint, text string").repartition(4)
+    found = ngram_join.join_components(docs, shingle=3, percent=90)
+    most, total = most_in_a_task(found)
+    assert total == 4000 and most < 2000
+
+
+def test_copies_of_a_row_in_suffix_dedup(unbroadcast):
+    line = "a passage of some words that every copy of this one row has in full, and that is long enough to be found " * 2
+    docs = unbroadcast.createDataFrame([(i, f"{i} {line}") if i < 40 else (900, line) for i in range(4000)], "doc_id bigint, text string").repartition(4)
+    found = suffix_dedup.remove_repeats(docs)
+    most, total = most_in_a_task(found)
+    assert total == 4000 and most < 2000
+    assert {r["n"] for r in found.where("doc_id = 900").select(F.size("spans").alias("n")).distinct().collect()} == {1}
+
+
+def test_rows_of_one_key_in_extendible_hashing(unbroadcast):
+    rows = [(1 if i % 100 else i, f"text {i}") for i in range(4000)]
+    docs = unbroadcast.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    run = lambda: sharding.assign_shards(docs, limit=2000).collect()
+    assert largest_share(unbroadcast, run) < 0.5 and len(run()) == 4000
+
+
+def test_long_items_and_documents_stay_linear(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    items = spark.createDataFrame([(1, long), (2, "w7 w8 w9"), (3, "w5 w6 w7 w8 w9 w10 w11 w12 w13 other")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"before {long} after"), (2, "w1 w2 w3"), (3, "w100 w101 w102 w103 w104 w105 w106 w107 w108 w109 end")], "doc_id bigint, text string")
+    hits = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontam.contamination(docs, items).collect()}
+    assert hits == {1: (200_002, 200_000, ["1", "2"]), 2: (3, 0, []), 3: (11, 10, ["1"])}
+
+
 @pytest.mark.parametrize("many", [None, "http://a.com/en/1"])
 def test_urls_stay_spread(unbroadcast, many):
     pages = rows_of(unbroadcast, "http://b.org/es/9", many, "url").withColumnRenamed("doc_id", "page_id")
