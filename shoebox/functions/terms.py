@@ -1,14 +1,20 @@
-"""Words of many requests looked for in the texts and tags of photos, one pass over each photo."""
+"""An inverted index of photos' texts and tags, and the terms of many requests looked up in it.
+
+Texts are cut at white space. ``postings`` has a row for each different word of each text and tag, ``words`` each different word once.
+A term without white space occurs in a text if a word contains it: its rarest character trigram (of all words) meets the words' trigrams,
+and the few words met are compared. Of a term with white space the longest part is looked up so, and the texts found are compared.
+"""
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable
+from typing import NamedTuple
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoebox.sources.files import written
+
 #: Weight of a term found in a field; tag fields count for every matching tag.
 TEXT_WEIGHTS = {"caption": 3, "ocr_text": 5, "file_name": 1}
 TAG_WEIGHTS = {"scene_tags": 4, "object_tags": 4, "activity_tags": 4, "search_keywords": 4, "quality_tags": 2, "location_clues": 2}
@@ -16,92 +22,93 @@ TAG_WEIGHTS = {"scene_tags": 4, "object_tags": 4, "activity_tags": 4, "search_ke
 ENTITY_FIELDS = {"caption", "object_tags", "search_keywords"}
 NEGATIVE_FIELDS = {"caption", "ocr_text", "scene_tags", "object_tags", "activity_tags", "search_keywords", "location_clues"}
 WEAK_FIELDS = {"search_keywords", "location_clues"}
-#: Aliases that one pass over the photos looks for; they are sent to the tasks.
-TERM_BLOCK = 100_000
+#: Characters of a gram.
+GRAM = 3
+_SPACE = "\t\n\x0b\x0c\r"
+#: The slot of all tags of a field in one text, with spaces between.
+JOINED = -1
+
+
+class TextIndex(NamedTuple):
+    """``texts`` (project_id, photo_id, field, slot, text), ``postings`` (project_id, photo_id, field, slot, word) and ``words`` (word),
+    lower-cased; ``slot`` is a tag's place."""
+
+    texts: DataFrame
+    postings: DataFrame
+    words: DataFrame
+
+
+def _spaced(text: Column) -> Column:
+    return F.translate(text, _SPACE, " " * len(_SPACE))
+
+
+def _of(one: Callable, field: str) -> Callable:
+    return lambda text, slot: one(field, slot, text)
+
+
+def _slots(rows: DataFrame, joined: bool = False) -> DataFrame:
+    """(project_id, photo_id, field, slot, text) of each text and tag that is not null, or of the tags of each field in one text."""
+    one = lambda field, slot, text: F.struct(F.lit(field).alias("field"), slot.cast("int").alias("slot"), F.lower(text).alias("text"))
+    tags = {c: F.coalesce(c, F.array().cast("array<string>")) for c in TAG_WEIGHTS}
+    if joined:
+        parts = [F.array(*(one(c, F.lit(JOINED), F.array_join(t, " ")) for c, t in tags.items()))]
+    else:
+        parts = [F.array(*(one(c, F.lit(0), F.col(c)) for c in TEXT_WEIGHTS)), *(F.transform(t, _of(one, c)) for c, t in tags.items())]
+    return rows.select(F.col("project_id").cast("bigint"), F.col("photo_id").cast("bigint"), F.inline(F.flatten(F.array(*parts)))).where("text <> ''")
+
+
+def text_index(rows: DataFrame) -> TextIndex:
+    """The index of rows (project_id, photo_id, the fields of ``TEXT_WEIGHTS`` and ``TAG_WEIGHTS``); postings and words are written.
+
+    It is built once and answers any number of batches of requests: a batch reads the words, and of the postings their column of words and
+    the rows met. Null texts and tags are skipped; a table without texts gives an empty index.
+    """
+    slots = _slots(rows)
+    words = F.explode(F.array_distinct(F.split(_spaced(F.col("text")), " ")))
+    postings = written(slots.select("project_id", "photo_id", "field", "slot", words.alias("word")).where("word <> ''"))
+    return TextIndex(slots.union(_slots(rows, joined=True)), postings, written(postings.select("word").distinct()))
+
+
+def _grams(text: Column) -> Column:
+    """Grams of up to ``GRAM`` characters that can meet a part of that length or, if it is longer, its own grams."""
+    at = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*(at(n) for n in range(1, GRAM + 1)))))
+
 
-_HITS = "project_id bigint, photo_id bigint, term string, raw double, anywhere boolean, in_entity boolean, in_negative boolean, in_weak boolean"
-_FIELDS = (*TEXT_WEIGHTS, *TAG_WEIGHTS)
+def _meeting(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """(part, word) of all words that contain a part; ``parts`` (part) are distinct and written."""
+    own = F.when(F.length("part") < GRAM, F.array("part")).otherwise(F.transform(F.sequence(F.lit(1), F.length("part") - (GRAM - 1)), lambda i: F.substring("part", i, F.lit(GRAM))))
+    grams = parts.select("part", F.explode(F.array_distinct(own)).alias("gram"))
+    met = written(words.select("word", F.explode(_grams(F.col("word"))).alias("gram")).join(grams.select("gram").distinct(), "gram", "left_semi"))
+    common = met.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = grams.join(common, "gram").groupBy("part").agg(F.count("*").alias("present"), F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    # A part with a gram that no word has is in no word.
+    whole = grams.groupBy("part").agg(F.count("*").alias("all")).join(rarest, "part").where("all = present")
+    return met.join(whole.select("part", "gram"), "gram").where(F.contains("word", "part")).select("part", "word").distinct()
 
 
-def term_hits(rows: DataFrame, terms: DataFrame) -> DataFrame:
+def term_hits(index: TextIndex, terms: DataFrame) -> DataFrame:
     """(project_id, photo_id, term, raw, anywhere, in_entity, in_negative, in_weak): terms that occur in a photo's texts or tags, in any case.
 
     ``terms`` are (project_id, term, alias), lower-cased; a term occurs where one of its aliases does. ``raw`` is the sum of the
-    weights of the texts and tags that contain it; ``anywhere`` also counts aliases that run over several tags. Each photo is read
-    once for a block of ``TERM_BLOCK`` aliases, in time that does not depend on their number, and tags are looked up in a table of those
-    seen before. Null texts and tags are skipped.
+    weights of the texts and tags that contain it; ``anywhere`` also counts aliases that run over several tags. An alias of nothing but
+    white space is compared with every text of its project.
     """
-    blocks = max(1, -(-terms.count() // TERM_BLOCK))
-    texts = [F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in TEXT_WEIGHTS] + [F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower).alias(c) for c in TAG_WEIGHTS]
-    source = rows.select(F.col("project_id").cast("bigint"), F.col("photo_id").cast("bigint"), *texts)
-    found = None
-    for b in range(blocks):
-        part = _pass(source, terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b))
-        found = part if found is None else found.union(part)
-    return found
-
-
-def _pass(source: DataFrame, terms: DataFrame) -> DataFrame:
-    known: dict[int, dict[str, set[str]]] = defaultdict(lambda: defaultdict(set))
-    for project, term, alias in terms.select("project_id", "term", "alias").collect():
-        known[project][alias].add(term)
-    sent = source.sparkSession.sparkContext.broadcast({p: {a: tuple(sorted(t)) for a, t in own.items()} for p, own in known.items()})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders = {project: _Finder(own) for project, own in sent.value.items()}
-        for whole in batches:
-            out: list[tuple] = []
-            for project, photo, *fields in zip(*(c.to_pylist() for c in whole.columns), strict=True):
-                if project in finders:
-                    out += [(project, photo, *hit) for hit in finders[project].hits(fields)]
-            yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, x, strict=True)) for x in out], schema=_SCHEMA)
-
-    return source.mapInArrow(run, _HITS)
-
-
-_NAMES = [x.split()[0] for x in _HITS.split(", ")]
-_KINDS = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
-_SCHEMA = pa.schema([(n, _KINDS[x.split()[1]]) for n, x in zip(_NAMES, _HITS.split(", "), strict=True)])
-
-
-class _Finder:
-    """The terms of one project, and the tags looked at so far."""
-
-    def __init__(self, aliases: dict[str, tuple[str, ...]]):
-        import ahocorasick
-
-        self.automaton = ahocorasick.Automaton()
-        for alias, terms in aliases.items():
-            self.automaton.add_word(alias, terms)
-        self.automaton.make_automaton()
-        self.tags: dict[str, frozenset[str]] = {}
-
-    def inside(self, text: str) -> set[str]:
-        return {t for _, terms in self.automaton.iter(text) for t in terms}
-
-    def tag(self, text: str) -> frozenset[str]:
-        if text not in self.tags:
-            if len(self.tags) > 100_000:
-                self.tags.clear()
-            self.tags[text] = frozenset(self.inside(text))
-        return self.tags[text]
-
-    def hits(self, fields: list) -> Iterator[tuple]:
-        raw: dict[str, float] = defaultdict(float)
-        where: dict[str, set[str]] = defaultdict(set)
-        for name, value in zip(_FIELDS, fields, strict=True):
-            if name in TEXT_WEIGHTS:
-                for term in self.inside(value):
-                    raw[term] += TEXT_WEIGHTS[name]
-                    where[term].add(name)
-                continue
-            tags = [t for t in value if t is not None]
-            for tag in tags:
-                for term in self.tag(tag):
-                    raw[term] += TAG_WEIGHTS[name]
-                    where[term].add(name)
-            for term in self.inside(" ".join(tags)) if len(tags) > 1 else ():
-                raw[term] += 0.0
-        for term, weight in raw.items():
-            own = where[term]
-            yield term, weight, True, bool(own & ENTITY_FIELDS), bool(own & NEGATIVE_FIELDS), bool(own & WEAK_FIELDS)
+    part = F.array_max(F.transform(F.split(_spaced(F.col("alias")), " "), lambda x: F.struct(F.length(x).alias("n"), x.alias("part"))))["part"]
+    asked = written(terms.select("project_id", "term", "alias", part.alias("part"), F.contains(_spaced(F.col("alias")), F.lit(" ")).alias("several")).distinct())
+    parts = written(asked.where("part <> ''").select("part").distinct())
+    words = written(_meeting(index.words, parts).join(asked.where("part <> ''"), "part").select("project_id", "word", "term", "alias", "several").distinct())
+    places = index.postings.join(words, ["project_id", "word"])
+    found = places.where("NOT several").select("project_id", "photo_id", "term", "field", "slot")
+    if not asked.where("several").isEmpty():
+        near = places.where("several").select("project_id", "photo_id", "term", "alias").distinct()
+        blank = index.texts.select("project_id", "photo_id").distinct().join(asked.where("part = ''").select("project_id", "term", "alias"), "project_id")
+        compared = index.texts.join(near.union(blank.select(*near.columns)), ["project_id", "photo_id"]).where(F.contains("text", "alias"))
+        found = found.union(compared.select(*found.columns))
+    weights = F.create_map(*(F.lit(x) for pair in (TEXT_WEIGHTS | TAG_WEIGHTS).items() for x in pair))
+    inside = lambda fields: F.bool_or((F.col("slot") != JOINED) & F.col("field").isin(*fields))
+    # Dealt by photo and term once, for both groupings.
+    keys = ["project_id", "photo_id", "term"]
+    once = found.repartition(*keys).groupBy(*keys, "field", "slot").agg(F.lit(True).alias("hit"))
+    raw = F.sum(F.when(F.col("slot") != JOINED, weights[F.col("field")]).otherwise(0).cast("double"))
+    return once.groupBy(*keys).agg(raw.alias("raw"), F.lit(True).alias("anywhere"), inside(ENTITY_FIELDS).alias("in_entity"), inside(NEGATIVE_FIELDS).alias("in_negative"), inside(WEAK_FIELDS).alias("in_weak"))

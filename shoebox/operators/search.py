@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.functions.terms import TAG_WEIGHTS, TEXT_WEIGHTS, term_hits
+from shoebox.functions.terms import TAG_WEIGHTS, TEXT_WEIGHTS, TextIndex, term_hits, text_index
 
 KEYS = ["project_id", "query_id", "photo_id"]
 REQUEST = ["project_id", "query_id"]
@@ -148,7 +148,13 @@ def request_terms(queries: DataFrame, aliases: DataFrame | None = None) -> DataF
     return own.union(rows.join(known, "term").select(*own.columns)).distinct()
 
 
-def keyword_recall(queries: DataFrame, photos: DataFrame, analysis: DataFrame, k: int = 2000, scan: int | None = None, aliases: DataFrame | None = None, constrained: DataFrame | None = None) -> DataFrame:
+def searched_texts(photos: DataFrame, analysis: DataFrame) -> DataFrame:
+    """The texts and tags of all live photos, as ``text_index`` takes them."""
+    own = [c for c in (*TEXT_WEIGHTS, *TAG_WEIGHTS) if c != "file_name"]
+    return live(photos).select("project_id", "photo_id", "file_name").join(analysis.select("project_id", "photo_id", *own), ["project_id", "photo_id"])
+
+
+def keyword_recall(queries: DataFrame, photos: DataFrame, analysis: DataFrame, k: int = 2000, scan: int | None = None, aliases: DataFrame | None = None, constrained: DataFrame | None = None, index: TextIndex | None = None) -> DataFrame:
     """(project_id, query_id, photo_id, score, tiers, term_hits, negative_hits, rank): photos with a term of a request, scored.
 
     Candidates contain an exact or expanded term (or an alias of it) anywhere; with ``scan``, only the newest
@@ -156,11 +162,11 @@ def keyword_recall(queries: DataFrame, photos: DataFrame, analysis: DataFrame, k
     and each tag that contains it; the sum is divided by the number of distinct terms and the sum of weights, cut at 1 and rounded to 4
     places. A request of intent animal_search whose expanded term was hit, with a hit in caption, objects or keywords, gets
     ``ANIMAL_FLOOR`` at least, unless an exact term is an activity. ``tiers`` are those with a hit, and negative; ``term_hits``
-    are "tier:term"; ``constrained`` (project_id, query_id, photo_id) limits the candidates.
+    are "tier:term"; ``constrained`` (project_id, query_id, photo_id) limits the candidates. ``index`` is that of ``searched_texts``, built
+    here if it is not given.
     """
     terms = request_terms(queries, aliases)
-    rows = live(photos).select("project_id", "photo_id", "file_name", "taken_at", "created_at").join(analysis.select("project_id", "photo_id", *(c for c in (*TEXT_WEIGHTS, *TAG_WEIGHTS) if c != "file_name")), ["project_id", "photo_id"])
-    hits = term_hits(rows, terms.select("project_id", "term", "alias").distinct())
+    hits = term_hits(index or text_index(searched_texts(photos, analysis)), terms.select("project_id", "term", "alias").distinct())
     found = hits.join(terms.select(*REQUEST, "tier", "term").distinct(), ["project_id", "term"])
     if constrained is not None:
         found = found.join(constrained.select(*KEYS).distinct(), KEYS, "left_semi")
@@ -273,17 +279,20 @@ def resolve_people(queries: DataFrame, persons: DataFrame, terms: Column) -> Dat
 def people_recall(wanted: DataFrame, assignments: DataFrame, faces: DataFrame, mode: str = "all") -> DataFrame:
     """Photos of the wanted persons (project_id, query_id, person_id) by human or automatic assignments.
 
-    Each face counts max(0.7 confidence + 0.3 similarity, 0.2), times 0.82 if automatic; the share of wanted persons adds up to
-    0.2. With ``all`` every wanted person must be in the photo.
+    Each face counts max(0.7 confidence + 0.3 similarity, 0.2) with 0 for a null, times 0.82 if automatic; the share of wanted persons adds up to
+    0.2. With ``all`` every wanted person must be in the photo. ``rank`` is by score, equal ones by photo.
     """
     weight = F.when(F.col("assignment_status").isin("human_confirmed", "human_corrected"), 1.0).when(F.col("assignment_status") == "auto_assigned", 0.82)
     kept = assignments.where(weight.isNotNull()).join(faces.select("project_id", "face_id", "photo_id"), ["project_id", "face_id"])
-    worth = weight * F.greatest(0.7 * F.col("confidence") + 0.3 * F.col("similarity"), F.lit(0.2))
+    none = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    worth = weight * F.greatest(0.7 * none("confidence") + 0.3 * none("similarity"), F.lit(0.2))
     sizes = wanted.groupBy("project_id", "query_id").agg(F.count_distinct("person_id").alias("asked"))
     hits = kept.join(wanted.select("project_id", "query_id", "person_id").distinct(), ["project_id", "person_id"])
     sums = hits.groupBy(*KEYS).agg(F.sum(worth).alias("s"), F.count_distinct("person_id").alias("n")).join(sizes, ["project_id", "query_id"])
     found = sums.where("n = asked") if mode == "all" else sums
-    return found.select(*KEYS, F.round(F.col("s") + 0.2 * F.col("n") / F.col("asked"), 6).alias("score"))
+    scored = found.select(*KEYS, F.round(F.col("s") + 0.2 * F.col("n") / F.col("asked"), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("project_id", "query_id").orderBy(F.desc("score"), "photo_id"))
+    return scored.withColumn("rank", rank)
 
 
 def normalised_weights(weights: dict[str, float]) -> dict[str, float]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.operators import ingest, search, vectors
+from shoebox.sources.files import written
 from shoebox.plans.library import query
 
 _NEW = "taken_at DESC NULLS LAST, created_at DESC, photo_id DESC"
@@ -126,7 +127,7 @@ _COUNTS = ", ".join(f"len(list_filter({t}, lambda t: {_WORTH} > 0)) AS n_{t}" fo
 _EVERY = " || ".join(_TIERS)
 _KEYWORD = f""", {_LIVE}, t AS (SELECT project_id, query_id, intent, {", ".join(f"list_distinct(list_filter({c}, lambda x: x <> '')) AS {n}" for n, c in (("exact", "exact_terms"), ("strong", "expanded_terms"), ("support", "support_terms"), ("weak", "broad_terms"), ("unwanted", "negative_terms")))} FROM searches),
 k0 AS (SELECT l.project_id, t.query_id, l.photo_id, l.taken_at, l.created_at, file_name, caption, ocr_text, {", ".join(_TAGS)}, intent, {", ".join(_TIERS)}, unwanted FROM l JOIN analysis a ON a.project_id = l.project_id AND a.photo_id = l.photo_id JOIN t ON t.project_id = l.project_id),
-k1 AS (SELECT * FROM k0 WHERE list_bool_or(list_transform(exact || strong, lambda t: {_HIT})) QUALIFY row_number() OVER (PARTITION BY project_id, query_id ORDER BY {_NEW}) <= 10000),
+k1 AS (SELECT * FROM k0 WHERE list_bool_or(list_transform(exact || strong, lambda t: {_HIT}))),
 k2 AS (SELECT project_id, query_id, photo_id, taken_at, created_at, intent, round(least(1.0, CAST({_RAW} AS DOUBLE) / (len(list_distinct({_EVERY})) * 290)), 4) AS base, {_COUNTS}, len(list_filter(unwanted, lambda t: {_UNWANTED})) AS n_negative,
   coalesce(list_bool_or(list_transform({_EVERY}, lambda t: {_ENTITY})), false) AS entity, coalesce(list_bool_or(list_transform({_EVERY}, lambda t: {_HINT})), false) AS weak_field FROM k1),
 k3 AS (SELECT *, CASE WHEN intent = 'animal_search' AND n_strong > 0 AND entity THEN greatest(base, 0.65) ELSE base END AS score FROM k2),
@@ -140,14 +141,6 @@ def _keyword_columns(rows: DataFrame) -> DataFrame:
 
 @query(_KEYWORD + f" SELECT project_id, query_id, photo_id, score, rank, {_TIER_LIST}, n_negative, n_hits FROM kw", "photos", "analysis", "searches")
 def sch6_keyword_recall(photos: DataFrame, analysis: DataFrame, searches: DataFrame) -> DataFrame:
-    return _keyword_columns(search.keyword_recall(searches, photos, analysis, scan=10_000))
-
-
-_KEYWORD = _KEYWORD.replace(f" QUALIFY row_number() OVER (PARTITION BY project_id, query_id ORDER BY {_NEW}) <= 10000", "")
-
-
-@query(_KEYWORD + f" SELECT project_id, query_id, photo_id, score, rank, {_TIER_LIST}, n_negative, n_hits FROM kw", "photos", "analysis", "searches")
-def sch6_keyword_recall_whole(photos: DataFrame, analysis: DataFrame, searches: DataFrame) -> DataFrame:
     return _keyword_columns(search.keyword_recall(searches, photos, analysis))
 
 
@@ -230,50 +223,29 @@ def sch9_people_modes(persons: DataFrame, searches: DataFrame) -> DataFrame:
 
 
 @query(
-    _NAMES + """, k AS (SELECT a.project_id, a.person_id, f.photo_id, CASE WHEN assignment_status = 'auto_assigned' THEN 0.82 ELSE 1.0 END::DOUBLE * greatest(0.7::DOUBLE * confidence + 0.3::DOUBLE * similarity, 0.2::DOUBLE) AS v
+    _NAMES + """, k AS (SELECT a.project_id, a.person_id, f.photo_id, CASE WHEN assignment_status = 'auto_assigned' THEN 0.82 ELSE 1.0 END::DOUBLE * greatest(0.7::DOUBLE * CASE WHEN a.id % 3 <> 0 THEN confidence ELSE 0 END + 0.3::DOUBLE * CASE WHEN a.id % 4 <> 0 THEN similarity ELSE 0 END, 0.2::DOUBLE) AS v
   FROM assignments a JOIN face_embeddings f ON f.project_id = a.project_id AND f.face_id = a.face_id WHERE assignment_status IN ('auto_assigned', 'human_confirmed', 'human_corrected')),
 n AS (SELECT project_id, query_id, count(DISTINCT person_id) AS asked FROM w GROUP BY ALL)
-SELECT w.project_id, w.query_id, photo_id, round(sum(v) + 0.2 * count(DISTINCT w.person_id) / any_value(asked), 6) AS score FROM k JOIN w ON w.project_id = k.project_id AND w.person_id = k.person_id
+SELECT w.project_id, w.query_id, photo_id, round(sum(v) + 0.2 * count(DISTINCT w.person_id) / any_value(asked), 6) AS score, CAST(row_number() OVER (PARTITION BY w.project_id, w.query_id ORDER BY round(sum(v) + 0.2 * count(DISTINCT w.person_id) / any_value(asked), 6) DESC, photo_id) AS INT) AS rank FROM k JOIN w ON w.project_id = k.project_id AND w.person_id = k.person_id
 JOIN n ON n.project_id = w.project_id AND n.query_id = w.query_id GROUP BY w.project_id, w.query_id, photo_id HAVING count(DISTINCT w.person_id) = any_value(asked)""",
     "persons", "searches", "assignments", "face_embeddings",
 )
 def sch10_people_recall(persons: DataFrame, searches: DataFrame, assignments: DataFrame, faces: DataFrame) -> DataFrame:
-    return search.people_recall(_wanted(persons, searches), assignments, faces)
-
-
-_FIELDS = """, v AS (SELECT vec_id % 2 AS project_id, vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v WHERE id % 50 IN (0, 1)),
-d AS (SELECT 'content' AS field, * FROM v UNION ALL SELECT 'tag', * FROM v WHERE id % 3 = 0),
-f AS (SELECT field, d.project_id, q.id AS query_id, d.id AS photo_id, round(list_cosine_similarity(q.e, d.e), 6) AS similarity, CAST(row_number() OVER (PARTITION BY field, q.id ORDER BY round(list_cosine_similarity(q.e, d.e), 6) DESC, d.id) AS INT) AS rank
-  FROM d JOIN q USING (project_id) QUALIFY rank <= 40)"""
-
-
-def _field_hits(embeddings: DataFrame) -> DataFrame:
-    rows = embeddings.select((F.col("vec_id") % 2).alias("project_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    asked = rows.where("id % 50 IN (0, 1)").withColumnRenamed("id", "query_id")
-    parts = [vectors.top_k(asked, d, 40).withColumn("field", F.lit(name)) for name, d in (("content", rows), ("tag", rows.where("id % 3 = 0")))]
-    return parts[0].union(parts[1]).withColumnRenamed("id", "photo_id")
+    return search.people_recall(_wanted(persons, searches), _with_nulls(assignments), faces)
 
 
-@query(_FIELDS[1:].replace(" v AS", "WITH v AS", 1) + " SELECT * FROM f")
-def sch11_vector_top_k(embeddings: DataFrame) -> DataFrame:
-    return _field_hits(embeddings)
-
+def _with_nulls(assignments: DataFrame) -> DataFrame:
+    """Without some confidences and similarities, which count as 0."""
+    return assignments.withColumns({"confidence": F.when(F.col("id") % 3 != 0, F.col("confidence")), "similarity": F.when(F.col("id") % 4 != 0, F.col("similarity"))})
 
-@query(
-    _FIELDS[1:].replace(" v AS", "WITH v AS", 1) + """, m AS (SELECT project_id, query_id, photo_id, round(sum(CASE field WHEN 'content' THEN 0.5 ELSE 0.25 END::DOUBLE * greatest(similarity, 0)), 8) AS score FROM f GROUP BY ALL)
-SELECT *, CAST(row_number() OVER (PARTITION BY project_id, query_id ORDER BY score DESC, photo_id) AS INT) AS rank FROM m WHERE score >= 0.1 QUALIFY rank <= 30"""
-)
-def sch12_multi_field_score(embeddings: DataFrame) -> DataFrame:
-    return search.multi_field_score(_field_hits(embeddings), 30, 0.1).drop("tag_score", "caption_score")
 
-
-_ALL_FIELDS = """WITH v AS (SELECT floor(vec_id / 20)::BIGINT % 2 AS project_id, vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v WHERE id % 20 = 0),
+_FIELDS = """WITH v AS (SELECT floor(vec_id / 20)::BIGINT % 2 AS project_id, vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v WHERE id % 20 = 0),
 d AS (SELECT 'content' AS field, * FROM v UNION ALL SELECT 'tag', * FROM v),
 f AS (SELECT field, d.project_id, q.id AS query_id, d.id AS photo_id, round(list_cosine_similarity(q.e, d.e), 6) AS similarity, CAST(row_number() OVER (PARTITION BY field, q.id ORDER BY round(list_cosine_similarity(q.e, d.e), 6) DESC, d.id) AS INT) AS rank
   FROM d JOIN q USING (project_id) QUALIFY rank <= 200)"""
 
 
-def _all_field_hits(embeddings: DataFrame) -> DataFrame:
+def _field_hits(embeddings: DataFrame) -> DataFrame:
     """Every 20th id asks both fields of its project, which is a run of 20 ids in turn, so that both projects have queries."""
     rows = embeddings.select((F.floor(F.col("vec_id") / 20) % 2).alias("project_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")
@@ -281,17 +253,17 @@ def _all_field_hits(embeddings: DataFrame) -> DataFrame:
     return content.union(tag).withColumnRenamed("id", "photo_id")
 
 
-@query(_ALL_FIELDS + " SELECT * FROM f")
-def sch11_vector_top_k_whole(embeddings: DataFrame) -> DataFrame:
-    return _all_field_hits(embeddings)
+@query(_FIELDS + " SELECT * FROM f")
+def sch11_vector_top_k(embeddings: DataFrame) -> DataFrame:
+    return _field_hits(embeddings)
 
 
 @query(
-    _ALL_FIELDS + """, m AS (SELECT project_id, query_id, photo_id, round(sum(CASE field WHEN 'content' THEN 0.5 ELSE 0.25 END::DOUBLE * greatest(similarity, 0)), 8) AS score FROM f GROUP BY ALL)
+    _FIELDS + """, m AS (SELECT project_id, query_id, photo_id, round(sum(CASE field WHEN 'content' THEN 0.5 ELSE 0.25 END::DOUBLE * greatest(similarity, 0)), 8) AS score FROM f GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY project_id, query_id ORDER BY score DESC, photo_id) AS INT) AS rank FROM m WHERE score >= 0.1 QUALIFY rank <= 200"""
 )
-def sch12_multi_field_score_whole(embeddings: DataFrame) -> DataFrame:
-    return search.multi_field_score(_all_field_hits(embeddings), 200, 0.1).drop("tag_score", "caption_score")
+def sch12_multi_field_score(embeddings: DataFrame) -> DataFrame:
+    return search.multi_field_score(_field_hits(embeddings), 200, 0.1).drop("tag_score", "caption_score")
 
 
 _MERGED = _KEYWORD + _CONCEPT + _PEOPLE + f""", u AS (SELECT 'keyword' AS source, project_id, query_id, photo_id, score, exact, strong, support, weak, n_negative, weak_field FROM kw UNION ALL SELECT 'concept', project_id, query_id, photo_id, score, false, NOT pale, false, pale, 0, false FROM cl UNION ALL SELECT 'people', project_id, query_id, photo_id, score, false, true, false, false, 0, false FROM pl),
@@ -357,11 +329,11 @@ def sch11_stale_counts(embeddings: DataFrame) -> DataFrame:
 
 
 @query(
-    _ALL_FIELDS + """, g AS (SELECT CASE field WHEN 'tag' THEN 'ocr' ELSE field END AS field, project_id, query_id, photo_id, similarity FROM f), m AS (SELECT project_id, query_id, photo_id, round(sum(CASE WHEN query_id % 40 = 0 THEN CASE field WHEN 'content' THEN 0.35 ELSE 0.4 END ELSE CASE field WHEN 'content' THEN 0.5 ELSE 0.05 END END::DOUBLE * greatest(similarity, 0)), 8) AS score FROM g GROUP BY ALL)
+    _FIELDS + """, g AS (SELECT CASE field WHEN 'tag' THEN 'ocr' ELSE field END AS field, project_id, query_id, photo_id, similarity FROM f), m AS (SELECT project_id, query_id, photo_id, round(sum(CASE WHEN query_id % 40 = 0 THEN CASE field WHEN 'content' THEN 0.35 ELSE 0.4 END ELSE CASE field WHEN 'content' THEN 0.5 ELSE 0.05 END END::DOUBLE * greatest(similarity, 0)), 8) AS score FROM g GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY project_id, query_id ORDER BY score DESC, photo_id) AS INT) AS rank FROM m WHERE score >= 0.1 QUALIFY rank <= 200"""
 )
 def sch12_ocr_weights(embeddings: DataFrame) -> DataFrame:
-    hits = _all_field_hits(embeddings).withColumn("field", F.when(F.col("field") == "tag", "ocr").otherwise(F.col("field")))
+    hits = _field_hits(embeddings).withColumn("field", F.when(F.col("field") == "tag", "ocr").otherwise(F.col("field")))
     ocr = embeddings.where("vec_id % 40 = 0").select((F.floor(F.col("vec_id") / 20) % 2).alias("project_id"), F.col("vec_id").alias("query_id"))
     return search.multi_field_score(hits, 200, 0.1, ocr=ocr).drop("tag_score", "caption_score")
 
@@ -394,9 +366,9 @@ def _requests(searches: DataFrame) -> DataFrame:
 
 def _fused(photos: DataFrame, analysis: DataFrame, searches: DataFrame, embeddings: DataFrame, assignments: DataFrame, faces: DataFrame) -> DataFrame:
     wanted = searches.where("project_id < 2").select("project_id", "query_id", (F.col("project_id") * 100 + F.col("query_id") % 10).alias("person_id"))
-    people = search.people_recall(wanted, assignments, faces).withColumn("rank", F.row_number().over(Window.partitionBy("project_id", "query_id").orderBy(F.desc("score"), "photo_id")))
-    lists = {"keyword": _merged(photos, analysis, searches), "vector": _vector_list(analysis, searches, embeddings), "people": people}
-    return search.fuse(lists, {"keyword": 0.4, "vector": 0.6, "people": 1.2})
+    lists = {"keyword": _merged(photos, analysis, searches), "vector": _vector_list(analysis, searches, embeddings), "people": search.people_recall(wanted, assignments, faces)}
+    # Lists and their fusion are read more than once by what follows.
+    return written(search.fuse({name: written(rows) for name, rows in lists.items()}, {"keyword": 0.4, "vector": 0.6, "people": 1.2}))
 
 
 @query(_FUSED + f" SELECT project_id, query_id, photo_id, fused, keyword_score, vector_score, people_score, {_TIER_LIST} FROM fu", *_CHAIN)

@@ -68,3 +68,10 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="shoebox-")
     return f"{base.rstrip('/')}/shoebox-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` as a new Parquet table in the shared scratch folder, which cuts their lineage; with ``by`` in a folder for each value."""
+    path = f"{scratch(rows.sparkSession)}/table"
+    rows.write.partitionBy(*by).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -285,9 +285,9 @@ def test_people_queries_read_all_assignments(spark):
     from shoebox.sources.tables import load
 
     held = {(r["project_id"], r["person_id"]) for r in load(spark, SMALLEST, "assignments").where("assignment_status <> 'rejected'").select("project_id", "person_id").distinct().collect()}
-    got = {(r["project_id"], r["person_id"]): r["deletable"] for r in rows_of(spark, "ppl14_delete_rules_whole")}
+    got = {(r["project_id"], r["person_id"]): r["deletable"] for r in rows_of(spark, "ppl14_delete_rules")}
     assert got == {key: key not in held for key in got} and set(got.values()) == {True, False}
-    counts = {(r["project_id"], r["person_id"]): r["sample_count"] for r in rows_of(spark, "ppl1_centroid_prototype_whole", LARGER)}
+    counts = {(r["project_id"], r["person_id"]): r["sample_count"] for r in rows_of(spark, "ppl1_centroid_prototype", LARGER)}
     good = people.samples(load(spark, LARGER, "assignments"), load(spark, LARGER, "face_embeddings"), limit=10**9).groupBy("project_id", "person_id").count()
     assert counts == {(r["project_id"], r["person_id"]): min(r["count"], 200) for r in good.collect()} and max(counts.values()) > 5
 
@@ -300,7 +300,7 @@ def test_more_samples_than_the_limit(spark):
 
 
 def test_every_project_has_a_manifest(spark):
-    assert {r["project_id"] for r in rows_of(spark, "src2_manifest_validate_whole")} == set(range(7))
+    assert {r["project_id"] for r in rows_of(spark, "src2_manifest_validate")} == set(range(7))
     text = '{{"version": 1, "action": "trash", "project_id": {}, "photo_id": {}, "file_name": "x", "relative_path": "{}/x", "file_hash": "' + "a" * 64 + '", "file_size": 1}}'
     lines = [(1, 1, text.format(1, 5, "a")), (2, 2, text.format(2, 5, "a")), (2, 3, text.format(2, 5, "b")), (2, 4, text.format(1, 6, "c")), (2, 5, " ")]
     found = ingest.read_manifest(spark.createDataFrame(lines, "manifest_project bigint, n bigint, value string"), "trash").collect()
@@ -374,7 +374,7 @@ def test_old_matches_are_scored_too(spark):
 
 
 def test_every_20th_vector_asks_both_fields(spark):
-    found = rows_of(spark, "sch11_vector_top_k_whole")
+    found = rows_of(spark, "sch11_vector_top_k")
     assert {r["query_id"] for r in found} == set(range(0, 500, 20)) and {r["project_id"] for r in found} == {0, 1}
     assert {f: max(r["rank"] for r in found if r["field"] == f) for f in ("content", "tag")} == {"content": 200, "tag": 200}
 
