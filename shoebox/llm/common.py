@@ -78,7 +78,6 @@ def join_back(left: DataFrame, right: DataFrame, key: str, rows: str = "n", tota
     dropped) and must have all frequent keys. ``total`` is the number of rows of ``left``, if it is known. ``prepare`` is applied to the
     two parts of ``left`` before they are joined, so that what it computes is computed once for each row.
     """
-    prepare = prepare or (lambda part: part)
     if counts is None:
         if total is None:
             right = materialize(right, "right")
@@ -89,13 +88,16 @@ def join_back(left: DataFrame, right: DataFrame, key: str, rows: str = "n", tota
     else:
         total = left.count() if total is None else total
         hot = materialize(counts.where(F.col(rows) * HOT_SHARE > total).select(key), "hot")
-        held = hot.join(right, key)
+        held = hot.join(right, key, "left")
     flag = "hot"
-    while flag in left.columns:
+    while flag in left.columns or flag in right.columns:
         flag += "_"
+    cold = left.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti")
+    if prepare is None:
+        near = left.join(F.broadcast(held.withColumn(flag, F.lit(True))), key, "left").where(F.col(key).isNull() | F.col(flag)).drop(flag)
+        return near.unionByName(cold.join(right, key, "left"))
     near = left.join(F.broadcast(hot.withColumn(flag, F.lit(True))), key, "left").where(F.col(key).isNull() | F.col(flag)).drop(flag)
-    far = left.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti")
-    return prepare(near).join(F.broadcast(held), key, "left").unionByName(prepare(far).join(right, key, "left"))
+    return prepare(near).join(F.broadcast(held), key, "left").unionByName(prepare(cold).join(right, key, "left"))
 
 
 def ordered_ids(rows: DataFrame, by: list[str]) -> DataFrame:
