@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 from shoebox.operators.browse import HUMAN, person_counters
 from shoebox.operators.order import running_counts
 from shoebox.operators.vectors import BLOCK, _unit, element_mean
-from shoebox.sources.files import scratch
+from shoebox.sources.files import written
 
 ACCEPT, REVIEW, CLUSTER, MIN_QUALITY, MAX_SAMPLES, SAME_BOX = 0.62, 0.48, 0.50, 0.70, 200, 0.70
+#: Vectors of a block of which all pairs with another block are compared in one task.
+PAIR_BLOCK = 512
 
 
 def is_human() -> Column:
@@ -254,38 +257,110 @@ def cluster_unknown(faces: DataFrame, assignments: DataFrame, limit: int | None
     return run.mapInArrow(leaders, "project_id bigint, face_id bigint, cluster bigint")
 
 
-def cluster_rounds(faces: DataFrame, assignments: DataFrame, size: int = 500, threshold: float = CLUSTER) -> DataFrame:
-    """(project_id, face_id, cluster): faces without an open assignment in rounds of ``size`` by id, each round clustered by itself as
+def cluster_rounds(faces: DataFrame, assignments: DataFrame, size: int = 500, threshold: float = CLUSTER, by: tuple[str, ...] = ("project_id",)) -> DataFrame:
+    """(``by``…, face_id, cluster): faces without an open assignment in rounds of ``size`` by id, each round clustered by itself as
     ``cluster_unknown`` does; ``cluster`` is the smallest face_id in it.
 
-    Clusters of different rounds whose means are similar then become one: the means, weighted by their faces, are clustered in the
-    same way, in rounds of ``size`` in the order of their clusters, and theirs again, until a pass joins none. A task never gets more
-    than ``size`` vectors of a project. Faces of null vectors are left out.
+    The means of all rounds, weighted by their faces, then go through further rounds in the same way while these still join enough of
+    them. At last every mean is compared with every other of its project: in one more round if they are ``PAIR_BLOCK`` or fewer, else block by
+    block: in the order of ids, a mean joins the most similar of the leaders before it (``_leaders``). This is repeated with the new means until none joins, so in the end
+    no two clusters of a project are similar, wherever their faces stand in the order. A task holds ``size`` vectors, or two blocks of
+    ``PAIR_BLOCK``. With ``by`` = project_id and photo_id each photo is clustered by itself, as after its scan. Faces of null vectors are
+    left out.
     """
     taken = assignments.where("assignment_status <> 'rejected'").select("project_id", "face_id").distinct()
     free = faces.where("status = 'embedded' AND embedding IS NOT NULL AND size(embedding) > 0").join(taken, ["project_id", "face_id"], "left_anti")
-    points = free.select(F.col("project_id").cast("bigint"), F.col("face_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(1).cast("bigint").alias("weight"))
+    keys = list(by)
+    points = free.select(*(F.col(c).cast("bigint") for c in keys), F.col("face_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(1).cast("bigint").alias("weight"))
     members = None
+    exact = False
     while True:
-        found = _stored(_round(points, size, threshold))
-        step = found.select("project_id", F.col("id").alias("cluster"), F.col("leader").alias("next"))
-        members = found.select("project_id", F.col("id").alias("face_id"), F.col("leader").alias("cluster")) if members is None else members.join(step, ["project_id", "cluster"]).select("project_id", "face_id", F.col("next").alias("cluster"))
-        members = _stored(members)
-        if found.where("id <> leader").isEmpty():
+        if exact:
+            most = points.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+            # What fits in a block is one round.
+            found = written(_leaders(points, keys, threshold) if most > PAIR_BLOCK else _round(points, keys, PAIR_BLOCK, threshold))
+        else:
+            found = written(_round(points, keys, size, threshold))
+        step = found.select(*keys, F.col("id").alias("cluster"), F.col("leader").alias("next"))
+        members = found.select(*keys, F.col("id").alias("face_id"), F.col("leader").alias("cluster")) if members is None else members.join(step, [*keys, "cluster"]).select(*keys, "face_id", F.col("next").alias("cluster"))
+        members = written(members)
+        n, left = found.agg(F.count("*"), F.count_if(F.col("id") == F.col("leader"))).first()
+        if exact and n == left:
             return members
-        points = found.where("id = leader").select("project_id", "id", F.col("mean").alias("vector"), F.col("total").alias("weight"))
+        # Once rounds join fewer than a tenth, the rest is similar across rounds only.
+        exact = exact or 10 * left > 9 * n
+        points = found.where("id = leader").select(*keys, "id", F.col("mean").alias("vector"), F.col("total").alias("weight"))
 
 
-def _stored(rows: DataFrame) -> DataFrame:
-    path = f"{scratch(rows.sparkSession)}/clusters"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+def _leaders(points: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys…, id, leader, mean, total) like ``_round``, of all points of a key: no two leaders are similar (from ``threshold`` on), and every
+    other point has joined a similar leader of a smaller id.
 
+    Points are decided in passes: those without a similar undecided one before them are leaders, and those similar to new leaders join the
+    most similar of these (the smaller id of equals).
+    """
+    # Blocks are numbered once; later passes have fewer points in them.
+    placed = running_counts(points, keys, [F.col("id")], F.lit(True)).withColumn("block", F.floor(F.col("before") / PAIR_BLOCK))
+    undecided, done = written(placed.select(*keys, "id", "vector", "block")), []
+    while not undecided.isEmpty():
+        earlier = _similar(undecided, undecided, keys, threshold).select(*keys, "id").distinct()
+        new = written(undecided.join(earlier, [*keys, "id"], "left_anti"))
+        joined = written(_similar(undecided.join(earlier, [*keys, "id"]), new, keys, threshold))
+        done += [new.select(*keys, "id", F.col("id").alias("leader")), joined.select(*keys, "id", "leader")]
+        undecided = written(undecided.join(new.select(*keys, "id"), [*keys, "id"], "left_anti").join(joined.select(*keys, "id"), [*keys, "id"], "left_anti"))
+    if not done:
+        return points.select(*keys, "id", F.col("id").alias("leader"), F.col("vector").alias("mean"), F.col("weight").alias("total"))
+    found = reduce(DataFrame.union, done)
+    own = points.join(found, [*keys, "id"])
+    parts = own.select(*keys, "leader", "weight", F.posexplode("vector").alias("i", "x"))
+    sums = parts.groupBy(*keys, "leader", "i").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("x"), F.sum("weight").alias("total"))
+    means = sums.groupBy(*keys, "leader").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("mean"), F.max("total").alias("total"))
+    return own.select(*keys, "id", "leader").join(means, [*keys, "leader"]).select(*keys, "id", "leader", "mean", "total")
+
+
+def _similar(asked: DataFrame, others: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys…, id, leader): for each asked point the most similar of ``others`` with a smaller id, if any is similar enough.
+
+    Points are packed by their ``block``, ``PAIR_BLOCK`` of a key at most; pairs of blocks of a key meet in tasks of their own, and each gives one row a point.
+    """
+
+    def blocks(rows: DataFrame, side: str) -> DataFrame:
+        packed = rows.groupBy(*keys, "block").agg(F.collect_list(F.struct("id", "vector")).alias(side), F.min("id").alias(f"{side}_low"), F.max("id").alias(f"{side}_high"))
+        return packed.withColumnRenamed("block", f"{side}_block")
+
+    pairs = blocks(asked, "a").join(blocks(others, "b"), keys).where("b_low < a_high").repartition(*keys, "a_block", "b_block").select(*keys, "a", "b")
 
-def _round(points: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(project_id, id, leader, mean, total): points (project_id, id, vector, weight) clustered in runs of ``size``; a leader's row has the
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for row in whole.to_pylist():
+                (a_ids, a), (b_ids, b) = (_by_length(row[side]) for side in ("a", "b"))
+                out: list[tuple] = []
+                for n in a_ids.keys() & b_ids.keys():
+                    scores = _unit(a[n]) @ _unit(b[n]).T
+                    scores = np.where(b_ids[n][None, :] < a_ids[n][:, None], scores, -2)
+                    best = scores.max(1)
+                    # Ids are sorted, so the first of equals is the smallest.
+                    out += [(int(a_ids[n][i]), int(b_ids[n][int(scores[i].argmax())]), float(best[i])) for i in np.flatnonzero(best >= threshold)]
+                if out:
+                    ids, leaders, found = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([*(pa.array([row[k]] * len(out), pa.int64()) for k in keys), pa.array(ids, pa.int64()), pa.array(leaders, pa.int64()), pa.array(found, pa.float64())], [*keys, "id", "leader", "similarity"])
+
+    found = pairs.mapInArrow(compare, ", ".join(f"{k} bigint" for k in keys) + ", id bigint, leader bigint, similarity double")
+    return found.groupBy(*keys, "id").agg(F.max_by("leader", F.struct("similarity", -F.col("leader"))).alias("leader"))
+
+
+def _by_length(points: list[dict]) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """Ids and vectors of a block, for each length of vectors, by id."""
+    found: dict[int, list] = {}
+    for point in sorted(points, key=lambda x: x["id"]):
+        found.setdefault(len(point["vector"]), []).append(point)
+    return {n: np.array([p["id"] for p in rows]) for n, rows in found.items()}, {n: np.array([p["vector"] for p in rows], float) for n, rows in found.items()}
+
+
+def _round(points: DataFrame, keys: list[str], size: int, threshold: float) -> DataFrame:
+    """(keys…, id, leader, mean, total): points (keys…, id, vector, weight) clustered in runs of ``size``; a leader's row has the
     mean and weight of its cluster."""
-    placed = running_counts(points, ["project_id"], [F.col("id")], F.lit(True)).withColumn("round", F.floor(F.col("before") / size))
+    placed = running_counts(points, keys, [F.col("id")], F.lit(True)).withColumn("round", F.floor(F.col("before") / size))
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
@@ -304,9 +379,9 @@ def _round(points: DataFrame, size: int, threshold: float) -> DataFrame:
             of[i] = best
         mean = sums[: len(leaders)] / counts[: len(leaders), None]
         first = np.array(leaders)
-        return pd.DataFrame({"project_id": rows["project_id"].to_numpy(), "id": ids, "leader": ids[first[of]], "mean": [m.tolist() for m in mean[of]], "total": counts[of].astype("int64")})
+        return pd.DataFrame({**{k: rows[k].to_numpy() for k in keys}, "id": ids, "leader": ids[first[of]], "mean": [m.tolist() for m in mean[of]], "total": counts[of].astype("int64")})
 
-    return placed.select("project_id", "round", "id", "vector", "weight").groupBy("project_id", "round").applyInPandas(greedy, "project_id bigint, id bigint, leader bigint, mean array<double>, total bigint")
+    return placed.select(*keys, "round", "id", "vector", "weight").groupBy(*keys, "round").applyInPandas(greedy, ", ".join(f"{k} bigint" for k in keys) + ", id bigint, leader bigint, mean array<double>, total bigint")
 
 
 def cluster_tables(clusters: DataFrame) -> dict[str, DataFrame]:
@@ -318,45 +393,70 @@ def cluster_tables(clusters: DataFrame) -> dict[str, DataFrame]:
 
 
 def reconcile_boxes(old: DataFrame, new: DataFrame, threshold: float = SAME_BOX) -> DataFrame:
-    """(project_id, photo_id, place, face_id, action) of new boxes (x, y, w, h, place: order of detection) against a photo's old
-    ones (face_id): the same box, else the best overlap from ``threshold`` on among those left, box by box; the rest is inserted or
-    has disappeared (place null). Several old faces may have one box; each is matched once, smaller ids first. A photo's boxes are
-    few; many photos share a task's group."""
-
-    columns = ["project_id", "photo_id", "x", "y", "w", "h"]
-    bins = 8 * int(old.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def dealt(rows: DataFrame, last: str) -> DataFrame:
-        bin_ = F.pmod(F.xxhash64("project_id", "photo_id"), F.lit(bins)).alias(f"{last}_bin")
-        return rows.select(bin_, *(F.col(c).alias(f"{last}_{c}") for c in (*columns, last)))  # both sides may come from one table
-
-    def greedy(before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
-        left: dict[tuple, dict[int, tuple]] = {}
-        for project, photo, *box, face in before.iloc[:, 1:].sort_values("face_id_face_id").itertuples(index=False, name=None):
-            left.setdefault((project, photo), {})[face] = tuple(box)
-        rows = []
-        for project, photo, *box, place in after.iloc[:, 1:].sort_values("place_place").itertuples(index=False, name=None):
-            own, box = left.get((project, photo), {}), tuple(box)
-            same = next((face for face, b in own.items() if b == box), None)
-            best = same if same is not None else max(own, key=lambda face: (_overlap(own[face], box), -face), default=None)
-            if same is None and (best is None or _overlap(own[best], box) < threshold):
-                rows.append((project, photo, place, None, "insert"))
-            else:
-                del own[best]
-                rows.append((project, photo, place, best, "keep" if best == same else "move"))
-        rows += [(*key, None, face, "disappeared") for key, own in left.items() for face in own]
-        return pd.DataFrame(rows, columns=["project_id", "photo_id", "place", "face_id", "action"]).astype({"place": "Int64", "face_id": "Int64"})
-
-    pairs = dealt(old, "face_id").groupBy("face_id_bin").cogroup(dealt(new, "place").groupBy("place_bin"))
-    return pairs.applyInPandas(greedy, "project_id bigint, photo_id bigint, place bigint, face_id bigint, action string")
-
-
-def _overlap(a: tuple, b: tuple) -> float:
-    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
-    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    shared = max(0, w) * max(0, h)
-    every = a[2] * a[3] + b[2] * b[3] - shared
-    return shared / every if every else 0.0
+    """(project_id, photo_id, place, face_id, action) of new boxes (x, y, w, h, place: order of detection) against a photo's old ones (face_id).
+
+    In the order of detection, a new box takes an old one that is equal, else the one with the best overlap (the smallest face_id of
+    equals) from ``threshold`` (0.5 or more) on, among those not taken before: keep or move. The rest is inserted (face_id null), and old
+    ones not taken have disappeared (place null). Repeated boxes are taken one by one, smaller ids first. Boxes with a null take no part.
+
+    Boxes meet in cells of a grid as wide as they are, so only boxes that can overlap are compared. Then, in rounds, a new box is settled
+    with its best remaining old box if fewer undecided ones before it can want that box than it has copies left.
+    """
+    photo, box = ["project_id", "photo_id"], ["x", "y", "w", "h"]
+    sound = " AND ".join(f"{c} IS NOT NULL" for c in (*photo, *box))
+    new = written(new.where(sound).select(*photo, *box, "place"))
+    old = written(old.where(sound).select(*photo, *box, "face_id"))
+    # Copies of an old box are one box, taken as often as it has faces.
+    boxes = old.groupBy(*photo, *box).agg(F.min("face_id").alias("box_id"), F.count("*").alias("copies"))
+    marked = boxes.select(*photo, "box_id", "copies", *(F.col(c).alias(f"o_{c}") for c in box))
+    equal = new.join(boxes.select(*photo, *box, "box_id", "copies"), [*photo, *box]).select(*photo, "place", "box_id", "copies", F.lit(2.0).alias("worth"))
+    met = new.select(*photo, *box, "place", F.explode(_cells("x", "y", "w", "h", (-1, 0, 1))).alias("cell"))
+    near = marked.select("*", F.explode(_cells("o_x", "o_y", "o_w", "o_h", (0,))).alias("cell"))
+    pairs = met.join(near, [*photo, "cell"]).drop("cell").where("NOT (x = o_x AND y = o_y AND w = o_w AND h = o_h)")
+    pairs = pairs.withColumn("worth", _overlap()).where(F.col("worth") >= threshold).select(*photo, "place", "box_id", "copies", "worth").distinct()
+    left = written(equal.union(pairs))
+    matched = None
+    while not left.isEmpty():
+        own, wanted = Window.partitionBy(*photo, "place"), Window.partitionBy(*photo, "box_id").orderBy("place")
+        ranked_pairs = left.withColumn("best", F.row_number().over(own.orderBy(F.desc("worth"), "box_id")) == 1).withColumn("before", F.row_number().over(wanted) - 1)
+        settled = written(ranked_pairs.where("best AND before < copies").select(*photo, "place", "box_id", "worth"))
+        matched = settled if matched is None else matched.union(settled)
+        taken = settled.groupBy(*photo, "box_id").agg(F.count("*").alias("taken"))
+        rest = left.join(settled.select(*photo, "place"), [*photo, "place"], "left_anti").join(taken, [*photo, "box_id"], "left")
+        left = written(rest.select(*photo, "place", "box_id", (F.col("copies") - F.coalesce("taken", F.lit(0))).alias("copies"), "worth").where("copies > 0"))
+    kind = F.when(F.col("worth") > 1, "keep").otherwise("move").alias("action")
+    if matched is None:
+        matched = left.select(*photo, "place", "box_id", "worth")
+    # The k-th to take a box gets the k-th smallest face.
+    turn = matched.withColumn("turn", F.row_number().over(Window.partitionBy(*photo, "box_id").orderBy("place")))
+    faces = old.select(*photo, "face_id", F.min("face_id").over(Window.partitionBy(*photo, *box)).alias("box_id"), F.row_number().over(Window.partitionBy(*photo, *box).orderBy("face_id")).alias("turn"))
+    kept = written(turn.join(faces, [*photo, "box_id", "turn"]).select(*photo, F.col("place").cast("bigint"), F.col("face_id").cast("bigint"), kind))
+    missing = F.lit(None).cast("bigint")
+    inserted = new.join(kept.select(*photo, "place"), [*photo, "place"], "left_anti").select(*photo, F.col("place").cast("bigint"), missing, F.lit("insert"))
+    gone = old.join(kept.select(*photo, "face_id"), [*photo, "face_id"], "left_anti").select(*photo, missing, F.col("face_id").cast("bigint"), F.lit("disappeared"))
+    return kept.union(inserted).union(gone)
+
+
+def _cells(x: str, y: str, w: str, h: str, classes: tuple[int, ...]) -> Column:
+    """Cells (size class, column, row) that a box touches in the grids of its size class and those beside it; a cell is wider than the boxes
+    of its class. Overlaps of half and more are of equal or neighbouring classes. A box without an area has none."""
+    size = F.floor(F.log2(F.greatest(w, h).cast("double")))
+
+    def grid(step: int) -> Column:
+        side = F.pow(F.lit(2.0), size + step + 1)
+        at = lambda c: F.floor(c / side).cast("bigint")
+        columns, lines = F.sequence(at(F.col(x)), at(F.col(x) + F.col(w))), F.sequence(at(F.col(y)), at(F.col(y) + F.col(h)))
+        return F.flatten(F.transform(columns, lambda i: F.transform(lines, lambda j: F.struct((size + step).cast("bigint").alias("class"), i.alias("i"), j.alias("j")))))
+
+    cells = F.flatten(F.array(*map(grid, classes)))
+    return F.when((F.col(w) > 0) & (F.col(h) > 0), cells).otherwise(F.array().cast("array<struct<class:bigint,i:bigint,j:bigint>>"))
+
+
+def _overlap() -> Column:
+    """Shared area of boxes (x, y, w, h) and (o_x, o_y, o_w, o_h) as a share of both."""
+    side = lambda at, n: F.greatest(F.lit(0), F.least(F.col(at) + F.col(n), F.col(f"o_{at}") + F.col(f"o_{n}")) - F.greatest(at, f"o_{at}"))
+    shared = side("x", "w") * side("y", "h")
+    return F.coalesce(shared.cast("double") / (F.col("w") * F.col("h") + F.col("o_w") * F.col("o_h") - shared), F.lit(0.0))
 
 
 def face_quality(confidence: Column, box_area: Column, image_area: Column, digits: int = 4) -> Column:

@@ -93,7 +93,7 @@ def ppl6_rematch_apply(assignments: DataFrame, faces: DataFrame) -> DataFrame:
 
 @query(None, "face_embeddings", "assignments")
 def ppl7_unknown_face_clustering(faces: DataFrame, assignments: DataFrame) -> DataFrame:
-    return people.cluster_unknown(faces, assignments)
+    return people.cluster_rounds(faces, assignments)
 
 
 @query(None, "face_embeddings", "assignments")
@@ -102,6 +102,11 @@ def ppl7_clusters_in_rounds(faces: DataFrame, assignments: DataFrame) -> DataFra
     return made["assignments"].join(made["persons"], ["project_id", "cluster"])
 
 
+@query(None, "face_embeddings", "assignments")
+def ppl7_photo_clusters(faces: DataFrame, assignments: DataFrame) -> DataFrame:
+    return people.cluster_rounds(faces, assignments, by=("project_id", "photo_id"))
+
+
 @query(None, "lineitem")
 def ppl9_detection_reconcile(lines: DataFrame) -> DataFrame:
     box = [(F.col("l_partkey") % 400).alias("x"), (F.col("l_suppkey") % 300).alias("y"), (F.col("l_quantity") + 20).cast("bigint").alias("w"), (F.col("l_quantity") + 30).cast("bigint").alias("h")]

@@ -4,6 +4,7 @@ import random
 from datetime import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shoebox.operators import browse, cleanup, ingest, people, search, vectors
@@ -351,6 +352,88 @@ def test_rounds_of_clusters(spark):
     assert people.cluster_rounds(faces.where("false"), none).count() == 0
 
 
+def test_similar_clusters_become_one_wherever_they_stand(spark):
+    rng = np.random.default_rng(11)
+    kinds = np.eye(12)[[*range(12), *range(12)]] + 0.02 * rng.standard_normal((24, 12))
+    faces = spark.createDataFrame([(1, i, kinds[i].tolist(), 0.9, "embedded") for i in range(24)], FACE)
+    got = people.cluster_rounds(faces, spark.createDataFrame([], ASSIGNED), 4).collect()
+    assert {r["face_id"]: r["cluster"] for r in got} == {i: i % 12 for i in range(24)}
+
+
+def test_clusters_end_without_similar_means(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i % 2, i, rng.standard_normal(5).tolist(), 0.9, "embedded") for i in range(120)]
+    got = people.cluster_rounds(spark.createDataFrame(rows, FACE), spark.createDataFrame([], ASSIGNED), 7).collect()
+    assert len(got) == 120
+    same = {}
+    for r in got:
+        same.setdefault((r["project_id"], r["cluster"]), []).append(r["face_id"])
+    for project in (0, 1):
+        means = np.array([np.mean([rows[f][2] for f in own], axis=0) for (p, _), own in same.items() if p == project])
+        unit = means / np.linalg.norm(means, axis=1)[:, None]
+        assert (unit @ unit.T - 2 * np.eye(len(unit)) < people.CLUSTER + 1e-6).all()
+    assert all(c == min(own) for (_, c), own in same.items())
+
+
+def test_leaders_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(people, "PAIR_BLOCK", 8)
+    rng = np.random.default_rng(13)
+    vectors_ = np.eye(4)[rng.integers(0, 4, 30)] + 0.3 * rng.standard_normal((30, 4))
+    points = spark.createDataFrame([(1, i, v.tolist(), 1 + i % 3) for i, v in enumerate(vectors_)], "project_id bigint, id bigint, vector array<double>, weight bigint")
+    unit = vectors_ / np.linalg.norm(vectors_, axis=1)[:, None]
+    got = {r["id"]: r for r in people._leaders(points, ["project_id"], 0.8).collect()}
+    want = {i: r["leader"] for i, r in got.items()}
+    leaders = [i for i in range(30) if want[i] == i]
+    assert len(want) == 30 and len(leaders) > 4 and set(want.values()) == set(leaders)
+    assert all(unit[i] @ unit[j] < 0.8 for i in leaders for j in leaders if i != j)
+    assert all(want[i] < i and unit[i] @ unit[want[i]] >= 0.8 for i in want if want[i] != i)
+    for i, r in got.items():
+        own = [j for j in want if want[j] == r["leader"]]
+        assert np.allclose(r["mean"], np.average(vectors_[own], axis=0, weights=[1 + j % 3 for j in own])) and r["total"] == sum(1 + j % 3 for j in own)
+
+
+def test_clusters_of_photos(spark):
+    rows = [(1, i, i % 3, [1.0, 0.0] if i < 6 else [0.0, 1.0], 0.9, "embedded") for i in range(9)]
+    faces = spark.createDataFrame(rows, "project_id bigint, face_id bigint, photo_id bigint, embedding array<double>, quality double, status string")
+    got = {(r["photo_id"], r["face_id"]): r["cluster"] for r in people.cluster_rounds(faces, spark.createDataFrame([], ASSIGNED), by=("project_id", "photo_id")).collect()}
+    assert got == {(i % 3, i): i % 3 if i < 6 else i for i in range(9)}
+
+
+def one_box_after_another(old, new, threshold=people.SAME_BOX):
+    """The rule of ``reconcile_boxes``, box by box."""
+
+    def overlap(a, b):
+        w, h = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]), min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+        shared = max(0, w) * max(0, h)
+        every = a[2] * a[3] + b[2] * b[3] - shared
+        return shared / every if every else 0.0
+
+    left, rows = {}, []
+    for photo, *box, face in sorted(old, key=lambda r: r[-1]):
+        left.setdefault(photo, {})[face] = tuple(box)
+    for photo, *box, place in sorted(new, key=lambda r: r[-1]):
+        own, box = left.get(photo, {}), tuple(box)
+        same = next((face for face, b in own.items() if b == box), None)
+        best = same if same is not None else max(own, key=lambda face: (overlap(own[face], box), -face), default=None)
+        if same is None and (best is None or overlap(own[best], box) < threshold):
+            rows.append((photo, place, None, "insert"))
+        else:
+            del own[best]
+            rows.append((photo, place, best, "keep" if best == same else "move"))
+    return rows + [(photo, None, face, "disappeared") for photo, own in left.items() for face in own]
+
+
+@pytest.mark.parametrize("spread", [3, 12, 60])
+def test_boxes_equal_brute_force(spark, spread):
+    rng = random.Random(spread)
+    box = lambda: (rng.randrange(spread), rng.randrange(-2, spread), rng.choice([0, 7, 8, 20, 21, 23]), rng.choice([7, 8, 20, 22]))
+    old = [(photo, *box(), i) for i, photo in enumerate(p for p in range(60) for _ in range(rng.randrange(9)))]
+    new = [(photo, *(box() if rng.random() < 0.4 or not old else rng.choice(old)[1:5]), i) for i, photo in enumerate(p for p in range(62) for _ in range(rng.randrange(9)))]
+    table = lambda rows, last: spark.createDataFrame([(1, *r) for r in rows], f"project_id bigint, photo_id bigint, x bigint, y bigint, w bigint, h bigint, {last} bigint")
+    got = [tuple(r)[1:] for r in people.reconcile_boxes(table(old, "face_id"), table(new, "place")).collect()]
+    assert sorted(got, key=repr) == sorted(one_box_after_another(old, new), key=repr)
+
+
 def test_clustered_faces_are_those_without_an_open_assignment(spark):
     from shoebox.sources.tables import load
 
