@@ -29,6 +29,11 @@ def _all_composed(lists: pd.Series) -> pd.Series:
     return lists.map(lambda x: [None if t is None else unicodedata.normalize("NFKC", t) for t in x], na_action="ignore")
 
 
+def stripped(text: Column) -> Column:
+    """A text without the white space around it."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 #: Columns that a model's answer is read into.
 ANSWER = "caption string, ocr_text string, scene_tags array<string>, object_tags array<string>, people_count int, confidence double"
 _NAMES = {"description": "caption", "text": "ocr_text", "scenes": "scene_tags", "objects": "object_tags", "people": "people_count", "score": "confidence"}

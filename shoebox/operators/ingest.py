@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.functions.text import nfkc_all
+from shoebox.functions.text import nfkc_all, stripped
 from shoebox.operators.browse import active
 
 MEDIA = ("jpg", "jpeg", "png", "webp", "heic", "heif", "mp4", "mov", "m4v", "avi", "mkv", "webm")
@@ -224,17 +224,41 @@ def expand_terms(terms: DataFrame, aliases: DataFrame) -> DataFrame:
     return found.select("term", F.array_distinct(F.array_compact(F.concat(F.array("clean", "canonical"), F.coalesce("all", F.array().cast("array<string>"))))).alias("expanded"))
 
 
+#: Labels of the sections of an embedded text, in their order.
+SECTIONS = ("照片描述", "场景标签", "对象标签", "活动标签", "质量标签", "地点线索", "搜索关键词", "语义概念", "OCR文本", "人物数量", "文件名", "相对路径", "拍摄时间", "相机信息", "GPS")
+#: Tag fields in the order in which they are embedded.
+EMBEDDED_TAGS = ("scene_tags", "object_tags", "activity_tags", "quality_tags", "location_clues", "search_keywords", "semantic_concepts")
+
+
 def embedding_texts(analysis: DataFrame, photos: DataFrame, prefix: str = "", with_texts: bool = False) -> DataFrame:
-    """SHA-256 of the caption, the tags, the OCR text and the labelled text of all that is embedded for each photo, null for empty ones;
-    ``with_texts`` adds the four texts."""
-    joined = analysis.join(photos.select("project_id", F.col("id").alias("photo_id"), "taken_at", "city", "camera_model"), ["project_id", "photo_id"])
-    tags = F.array_join(F.array_distinct(F.concat("scene_tags", "object_tags", "activity_tags")), ";")
-    section = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), c))
-    content = F.concat_ws("\n\n", F.lit(prefix or None).cast("string"), section("Caption", F.col("caption")), section("Tags", tags), section("Text", F.col("ocr_text")), section("Date", F.date_format("taken_at", "yyyy-MM-dd")), section("Place", F.col("city")), section("Camera", F.col("camera_model")))
-    digest = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.sha2(c, 256))
-    parts = {"caption": F.col("caption"), "tag": tags, "ocr": F.col("ocr_text"), "content": content}
+    """SHA-256 of the four texts that are embedded for each photo, null for empty ones: its caption, its tags, the text read from it, and the
+    sections of all that is known of it. ``with_texts`` adds the texts.
+
+    Texts and tags are stripped of white space, and empty ones are left out. Tags of all fields are joined by ``;``, each once, where it
+    comes first; in a section they keep repeats and are joined by ``、``. Sections (``SECTIONS``) stand in order with an empty line
+    between; a people count of 0 is none, times are to the minute, coordinates have six places. A ``prefix`` stands on a line before each
+    text that is not empty. Columns that a table does not have count as null.
+    """
+    own = {c: F.col(f"a.{c}") for c in analysis.columns} | {c: F.col(f"p.{c}") for c in photos.columns if c not in ("project_id", "id") and c not in analysis.columns}
+    none = F.lit(None)
+    text = lambda c: F.when(stripped(c) != "", stripped(c))
+    known = lambda c, kind="string": own.get(c, none).cast(kind)
+    tags = {c: F.filter(F.transform(F.coalesce(known(c, "array<string>"), F.array().cast("array<string>")), stripped), lambda t: t != "") for c in EMBEDDED_TAGS}
+    listed = [F.when(F.size(t) > 0, F.array_join(t, "、")) for t in tags.values()]
+    people = F.when(known("people_count", "bigint") > 0, known("people_count"))
+    path = F.coalesce(*(F.when(known(c) != "", known(c)) for c in ("relative_path", "file_path")))
+    camera = F.array_join(F.filter(F.array(known("camera_make"), known("camera_model")), lambda x: x != ""), " ")
+    gps = F.format_string("%.6f, %.6f", known("gps_latitude", "double"), known("gps_longitude", "double"))
+    values = [text(known("caption")), *listed, text(known("ocr_text")), people, known("file_name"), path, F.date_format(known("taken_at", "timestamp"), "yyyy-MM-dd HH:mm"), camera, F.when(known("gps_latitude").isNotNull() & known("gps_longitude").isNotNull(), gps)]
+    content = F.concat_ws("\n\n", *(F.when(v != "", F.concat(F.lit(f"{name}："), v)) for name, v in zip(SECTIONS, values, strict=True)))
+    every = F.array_join(F.array_distinct(F.flatten(F.array(*tags.values()))), ";")
+    head = prefix.strip()
+    parts = {"caption": text(known("caption")), "tag": text(every), "ocr": text(known("ocr_text")), "content": text(content)}
+    if head:
+        parts = {name: F.concat(F.lit(f"{head}\n"), c) for name, c in parts.items()}
+    joined = analysis.alias("a").join(photos.alias("p"), (F.col("a.project_id") == F.col("p.project_id")) & (F.col("a.photo_id") == F.col("p.id")))
     shown = [F.coalesce(c, F.lit("")).alias(f"{name}_text") for name, c in parts.items()] if with_texts else []
-    return joined.select("project_id", "photo_id", *(digest(c).alias(f"{name}_hash") for name, c in parts.items()), *shown)
+    return joined.select("a.project_id", "a.photo_id", *(F.sha2(c, 256).alias(f"{name}_hash") for name, c in parts.items()), *shown)
 
 
 def embedding_state(texts: DataFrame, embeddings: DataFrame, model: str, version: str, dimension: int | None = None) -> DataFrame:

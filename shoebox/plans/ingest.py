@@ -141,15 +141,20 @@ def ing13_alias_expand(analysis: DataFrame) -> DataFrame:
     return ingest.expand_terms(analysis.select(F.explode("object_tags").alias("term")), aliases).select("term", F.array_join("expanded", "|").alias("expanded"))
 
 
-_TEXTS = """, e AS (SELECT a.project_id, a.photo_id, sha256(caption) AS caption_hash, sha256(ocr_text) AS ocr_hash,
-  sha256('Photo' || chr(10) || chr(10) || 'Caption: ' || caption || chr(10) || chr(10) || 'Tags: ' || g || chr(10) || chr(10) || 'Text: ' || ocr_text || coalesce(chr(10) || chr(10) || 'Date: ' || strftime(taken_at, '%Y-%m-%d'), '') || coalesce(chr(10) || chr(10) || 'Place: ' || city, '') || coalesce(chr(10) || chr(10) || 'Camera: ' || camera_model, '')) AS content_hash
-FROM (SELECT x.*, y.g FROM analysis x JOIN (SELECT photo_id, string_agg(t, ';' ORDER BY i) AS g FROM (SELECT photo_id, t, min(i) AS i FROM (SELECT photo_id, unnest(scene_tags || object_tags || activity_tags) AS t, generate_subscripts(scene_tags || object_tags || activity_tags, 1) AS i FROM analysis) GROUP BY ALL) GROUP BY photo_id) y ON y.photo_id = x.photo_id) a
-JOIN photos p ON p.project_id = a.project_id AND p.id = a.photo_id) """
+_STRIP = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+_TAGS16 = {c: f"t{i}" for i, c in enumerate(ingest.EMBEDDED_TAGS)}
+_LINES16 = ["nullif(cap, '')", *(f"nullif(array_to_string({t}, '、'), '')" for t in _TAGS16.values()), "nullif(ocr, '')", "CASE WHEN people_count > 0 THEN CAST(people_count AS VARCHAR) END", "file_name", "file_path", "strftime(taken_at, '%Y-%m-%d %H:%M')", "concat_ws(' ', camera_make, camera_model)", "printf('%.6f, %.6f', gps_latitude, gps_longitude)"]
+_PREFIXED = lambda c: f"CASE WHEN {c} <> '' THEN 'Photo' || chr(10) || {c} END"
+_TEXTS = f""", e0 AS (SELECT a.project_id, a.photo_id, {_STRIP("caption")} AS cap, {_STRIP("ocr_text")} AS ocr, {", ".join(f"list_filter(list_transform({c}, lambda x: {_STRIP('x')}), lambda x: x <> '') AS {t}" for c, t in _TAGS16.items())}, people_count, file_name, file_path, taken_at, camera_make, camera_model, gps_latitude, gps_longitude
+FROM analysis a JOIN photos p ON p.project_id = a.project_id AND p.id = a.photo_id), e1 AS (SELECT *, {" || ".join(_TAGS16.values())} AS every FROM e0),
+e2 AS (SELECT project_id, photo_id, cap, ocr, array_to_string(list_filter(every, lambda x, i: list_position(every, x) = i), ';') AS tag, array_to_string(list_filter([{", ".join(f"'{name}：' || {line}" for name, line in zip(ingest.SECTIONS, _LINES16, strict=True))}], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS content FROM e1),
+e3 AS (SELECT project_id, photo_id, {_PREFIXED("cap")} AS caption_text, {_PREFIXED("tag")} AS tag_text, {_PREFIXED("ocr")} AS ocr_text, {_PREFIXED("content")} AS content_text FROM e2),
+e AS (SELECT project_id, photo_id, sha256(caption_text) AS caption_hash, sha256(tag_text) AS tag_hash, sha256(ocr_text) AS ocr_hash, sha256(content_text) AS content_hash FROM e3) """
 
 
 @query(_TEXTS + "SELECT * FROM e", "analysis", "photos")
 def ing16_embedding_document(analysis: DataFrame, photos: DataFrame) -> DataFrame:
-    return ingest.embedding_texts(analysis, photos, "Photo").drop("tag_hash")
+    return ingest.embedding_texts(analysis, photos, " Photo ")
 
 
 _STATE = _TEXTS + """, s AS (SELECT project_id, photo_id, CASE WHEN photo_id % 5 = 0 THEN 'missing' WHEN photo_id % 5 = 1 THEN 'failed' WHEN photo_id % 5 = 2 OR photo_id % 7 = 0 THEN 'stale' ELSE 'ready' END AS state FROM e) """
@@ -426,9 +431,7 @@ def ing15_ordered_concepts(analysis: DataFrame) -> DataFrame:
 
 
 @query(
-    """, g AS (SELECT project_id, photo_id, string_agg(t, ';' ORDER BY i) AS tag_text FROM (SELECT project_id, photo_id, t, min(i) AS i FROM (SELECT project_id, photo_id, unnest(scene_tags || object_tags || activity_tags) AS t, generate_subscripts(scene_tags || object_tags || activity_tags, 1) AS i FROM analysis) GROUP BY ALL) GROUP BY ALL)
-SELECT a.project_id, a.photo_id, caption AS caption_text, tag_text, ocr_text, 'Photo' || chr(10) || chr(10) || 'Caption: ' || caption || chr(10) || chr(10) || 'Tags: ' || tag_text || chr(10) || chr(10) || 'Text: ' || ocr_text || coalesce(chr(10) || chr(10) || 'Date: ' || strftime(taken_at, '%Y-%m-%d'), '') || coalesce(chr(10) || chr(10) || 'Place: ' || city, '') || coalesce(chr(10) || chr(10) || 'Camera: ' || camera_model, '') AS content_text
-FROM analysis a JOIN photos p ON p.project_id = a.project_id AND p.id = a.photo_id JOIN g ON g.project_id = a.project_id AND g.photo_id = a.photo_id""",
+    _TEXTS + "SELECT project_id, photo_id, coalesce(caption_text, '') AS caption_text, coalesce(tag_text, '') AS tag_text, coalesce(ocr_text, '') AS ocr_text, coalesce(content_text, '') AS content_text FROM e3",
     "analysis", "photos",
 )
 def ing16_embedding_texts(analysis: DataFrame, photos: DataFrame) -> DataFrame:

@@ -434,6 +434,31 @@ def test_boxes_equal_brute_force(spark, spread):
     assert sorted(got, key=repr) == sorted(one_box_after_another(old, new), key=repr)
 
 
+def test_embedded_texts(spark):
+    analysis = spark.createDataFrame(
+        [(1, 1, " A dog\n", ["park", " park ", None], ["dog"], [], ["sharp"], ["Berlin"], ["dog", "pet"], ["animal"], " STOP ", 2), (1, 2, None, None, None, None, None, None, None, None, "  ", 0)],
+        "project_id bigint, photo_id bigint, caption string, scene_tags array<string>, object_tags array<string>, activity_tags array<string>, quality_tags array<string>, location_clues array<string>, search_keywords array<string>, semantic_concepts array<string>, ocr_text string, people_count int",
+    )
+    photos = spark.createDataFrame(
+        [(1, 1, "d.jpg", "a/d.jpg", datetime(2024, 5, 6, 7, 8, 59), "Canon", None, 52.5, 13.4041234), (1, 2, None, None, None, None, None, 1.0, None)],
+        "project_id bigint, id bigint, file_name string, relative_path string, taken_at timestamp, camera_make string, camera_model string, gps_latitude double, gps_longitude double",
+    )
+    one, two = (r.asDict() for r in ingest.embedding_texts(analysis, photos, " Doc ", True).orderBy("photo_id").collect())
+    assert one["caption_text"] == "Doc\nA dog" and one["tag_text"] == "Doc\npark;dog;sharp;Berlin;pet;animal" and one["ocr_text"] == "Doc\nSTOP"
+    assert one["content_text"] == "Doc\n" + "\n\n".join(
+        ["照片描述：A dog", "场景标签：park、park", "对象标签：dog", "质量标签：sharp", "地点线索：Berlin", "搜索关键词：dog、pet", "语义概念：animal", "OCR文本：STOP", "人物数量：2", "文件名：d.jpg", "相对路径：a/d.jpg", "拍摄时间：2024-05-06 07:08", "相机信息：Canon", "GPS：52.500000, 13.404123"]
+    )
+    assert {k: v for k, v in two.items() if k.endswith("text")} == {"caption_text": "", "tag_text": "", "ocr_text": "", "content_text": ""} and two["content_hash"] is None
+
+
+def test_people_scores_count_nulls_as_zero(spark):
+    wanted = spark.createDataFrame([(1, 7, 5), (1, 7, 6)], "project_id bigint, query_id bigint, person_id bigint")
+    held = spark.createDataFrame([(1, 1, 5, "human_confirmed", 0.9, None), (1, 2, 6, "auto_assigned", None, 0.5), (1, 3, 5, "human_confirmed", None, None)], "project_id bigint, face_id bigint, person_id bigint, assignment_status string, confidence double, similarity double")
+    faces = spark.createDataFrame([(1, 1, 10), (1, 2, 10), (1, 3, 11)], "project_id bigint, face_id bigint, photo_id bigint")
+    got = {r["photo_id"]: (r["score"], r["rank"]) for r in search.people_recall(wanted, held, faces, "any").collect()}
+    assert got == {10: (round(0.63 + 0.82 * 0.2 + 0.2, 6), 1), 11: (0.3, 2)}
+
+
 def test_clustered_faces_are_those_without_an_open_assignment(spark):
     from shoebox.sources.tables import load
 
