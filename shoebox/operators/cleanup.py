@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoebox.functions.columns import let
 from shoebox.operators.browse import active
 from shoebox.operators.order import running_counts
+from shoebox.sources.files import written
 
 ACTIVE_JOBS = ("queued", "running", "paused")
 #: Older names of item classes.
@@ -168,18 +172,144 @@ def deletion_reconcile(items: DataFrame, inventory: DataFrame, projects: DataFra
     return found.select("project_id", "photo_id", state.alias("state"))
 
 
-#: (action, states that allow it, state after it)
-TRANSITIONS = [("keep", ["review", "quarantined"], "kept"), ("request_delete", ["review", "kept"], "delete_queued"), ("undo", ["kept", "delete_queued"], "review"), ("retry", ["quarantined", "review"], "review")]
-
-
-def review_actions(items: DataFrame, actions: DataFrame) -> DataFrame:
-    """Outcome of each action (project_id, photo_id, action): the new status, a conflict, or not found."""
-    found = actions.join(items.select("project_id", "photo_id", "status"), ["project_id", "photo_id"], "left")
-    state = F.lit(None).cast("string")
-    for action, allowed, after in TRANSITIONS:
-        state = F.when((F.col("action") == action) & F.col("status").isin(allowed), after).otherwise(state)
-    outcome = F.when(F.col("status").isNull(), "not_found").when(state.isNull(), "conflict").otherwise("done")
-    return found.select("project_id", "photo_id", "action", outcome.alias("outcome"), F.coalesce(state, "status").alias("status"))
+#: States of an item, and those from which an action may start.
+STATES = (
+    "review", "analysis_failed", "analysis_retry_queued", "moving", "move_failed", "queue_failed", "kept", "delete_queued", "quarantined", "restoring", "restore_conflict", "restore_failed", "restored", "deleted_confirmed", "other",
+)
+KEEPABLE = ("review", "analysis_failed", "move_failed", "queue_failed", "restored")
+RESTORABLE = ("quarantined", "restoring", "restore_conflict", "restore_failed")
+#: What was seen of the files when an action ran, and what holds if a table of actions doesn't say.
+FACTS = {"file_present": True, "hash_matches": True, "queue_writable": True, "claimed": False, "stored_present": True, "stored_matches": True}
+#: Actions of an item that are folded at once.
+ACTION_RUN = 256
+_DONE, _UNCHANGED, _CONFLICT, _INVALID, _NOT_QUEUED, _OCCUPIED, _MISSING = range(7)
+_OUTCOMES = ("done", "unchanged", "conflict", "invalid", "invalid", "conflict", "invalid")
+_ITEM = ["project_id", "photo_id"]
+
+
+def review_actions(items: DataFrame, actions: DataFrame, photos: DataFrame) -> dict[str, DataFrame]:
+    """What actions (project_id, photo_id, seq, action; ``FACTS`` if known) make of review items and their photos, in the order of seq.
+
+    ``keep`` an item (from ``KEEPABLE``, if its photo isn't quarantined or deleted), ``delete`` (from ``DELETABLE``: the item is
+    delete_queued and the photo quarantined, its status before kept in previous_photo_status), ``undo`` (from delete_queued) and ``restore``
+    (from ``RESTORABLE``; both make the item restored and the photo what it was, or indexed), ``retry`` (from analysis_failed, with the
+    answer reset), ``label_keep`` and ``label_trash``. A changed or missing file, a queue that can't be written, an entry already
+    claimed and an occupied path are conflicts or invalid, and the last three states are kept as queue_failed, restore_conflict or
+    restore_failed. An item that already is where an action leads stays unchanged.
+
+    ``results``: (…, seq, action, outcome: done, unchanged, conflict, invalid or not_found) of every action. ``items``: (…, status, decision,
+    human_label, previous_photo_status, answer_reset). ``photos``: (project_id, id, status, deleted). Unknown actions are invalid. Items
+    are unique by project and photo, and seq within an item.
+
+    Actions are functions of a finite state. Up to ``ACTION_RUN`` on one item are folded in order; of an item with more, runs of actions
+    become functions from state to state, which are composed run by run, level by level, so no task ever gets all actions of an item.
+    """
+    known = items.columns
+    own = items.select(
+        *_ITEM, "status", *(F.col(c) if c in known else F.lit(None).cast("string").alias(c) for c in ("decision", "human_label", "previous_photo_status")),
+        (F.col("quarantine_path").isNotNull() if "quarantine_path" in known else F.lit(True)).alias("has_path"),
+    ).join(photos.select("project_id", F.col("id").alias("photo_id"), F.col("status").alias("photo_status"), F.col("deleted_at").isNotNull().alias("was_deleted")), _ITEM, "left")
+    is_gone = lambda c: F.coalesce(F.col(c) == "quarantined", F.lit(False))
+    flags = F.struct((is_gone("photo_status") | F.coalesce("was_deleted", F.lit(False))).alias("gone"), is_gone("photo_status").alias("first"), is_gone("previous_photo_status").alias("prev"), F.col("previous_photo_status").isNull().alias("no_prev"), "has_path")
+    own = written(own.withColumn("flags", flags).withColumn("state", 9 * _code(F.col("status"))))
+    facts = F.struct(*((F.coalesce(F.col(c).cast("boolean"), F.lit(default)) if c in actions.columns else F.lit(default)).alias(c) for c, default in FACTS.items()))
+    asked = actions.select(*_ITEM, "seq", F.coalesce("action", F.lit("")).alias("action"), facts.alias("facts")).join(own.select(*_ITEM, "flags"), _ITEM, "left")
+    placed = running_counts(asked.where("flags IS NOT NULL"), _ITEM, [F.col("seq")], F.lit(True)).withColumn("run", F.floor(F.col("before") / ACTION_RUN).cast("bigint"))
+    runs = written(placed.groupBy(*_ITEM, "run").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "facts", "flags"))).alias("acts")))
+
+    functions = runs.join(runs.where("run > 0").select(*_ITEM).distinct(), _ITEM, "left_semi")
+    begun = _starts(functions.select(*_ITEM, F.col("run").alias("n"), _function(F.col("acts")).alias("f")), own)
+    starts = runs.join(begun, (runs["project_id"] == begun["b_project"]) & (runs["photo_id"] == begun["b_photo"]) & (runs["run"] == begun["n"]), "left").select(*_ITEM, "run", "acts", "start")
+    step = lambda acc, a: let(_step(acc["state"], a), lambda r: F.struct(r["next"].alias("state"), F.concat(acc["found"], F.array(F.struct(a["seq"].alias("seq"), a["action"].alias("action"), r["outcome"].alias("code"), r["next"].alias("after")))).alias("found")))
+    folded = starts.join(own.select(*_ITEM, "state"), _ITEM).withColumn("start", F.coalesce("start", "state"))
+    none = F.array().cast("array<struct<seq:bigint,action:string,code:int,after:int>>")
+    told = written(folded.select(*_ITEM, F.inline(F.aggregate("acts", F.struct(F.col("start").alias("state"), none.alias("found")), step)["found"])))
+
+    names = F.array(*map(F.lit, _OUTCOMES))
+    results = told.select(*_ITEM, "seq", "action", F.get(names, "code").alias("outcome"))
+    results = results.union(asked.where("flags IS NULL").select(*_ITEM, F.col("seq").cast("bigint"), "action", F.lit("not_found")))
+    good = F.col("code").isin(_DONE, _UNCHANGED)
+    label = F.when(good & F.col("action").isin("keep", "restore") | (F.col("code") == _DONE) & F.col("action").isin("undo", "label_keep"), "KEEP").when(good & (F.col("action") == "delete") | (F.col("code") == _DONE) & (F.col("action") == "label_trash"), "TRASH")
+    decision = F.when(F.col("code") == _DONE, F.when(F.col("action").isin("keep", "undo"), "KEEP").when(F.col("action") == "delete", "QUARANTINE").when(F.col("action") == "retry", "REVIEW"))
+    ends = told.groupBy(*_ITEM).agg(
+        F.max_by("after", "seq").alias("end"), F.max_by(label, F.when(label.isNotNull(), F.col("seq"))).alias("new_label"), F.max_by(decision, F.when(decision.isNotNull(), F.col("seq"))).alias("new_decision"),
+        F.bool_or((F.col("code") == _DONE) & (F.col("action") == "retry")).alias("reset"),
+    )
+    after = own.join(ends, _ITEM, "left").withColumn("end", F.coalesce("end", "state"))
+    status, photo, prev = _parts(F.col("end"))
+    shown = F.when(status == len(STATES) - 1, F.col("status")).otherwise(F.get(F.array(*map(F.lit, STATES)), status))
+    previous = F.when(prev == 1, F.col("photo_status")).when(prev == 2, "indexed").otherwise(F.col("previous_photo_status"))
+    after_photo = F.when(photo == 0, F.col("photo_status")).when(photo == 1, "quarantined").otherwise(F.coalesce(previous, F.lit("indexed")))
+    made = after.select(
+        *_ITEM, shown.alias("status"), F.coalesce("new_decision", "decision").alias("decision"), F.coalesce("new_label", "human_label").alias("human_label"), previous.alias("previous_photo_status"), F.coalesce("reset", F.lit(False)).alias("answer_reset"),
+        F.when(photo != 0, after_photo).alias("moved"), F.when(photo != 0, photo == 1).alias("moved_gone"),
+    )
+    moved = made.where("moved IS NOT NULL").select("project_id", F.col("photo_id").alias("id"), "moved", "moved_gone")
+    kept = photos.join(moved, ["project_id", "id"], "left").select("project_id", "id", F.coalesce("moved", "status").alias("status"), F.coalesce("moved_gone", F.col("deleted_at").isNotNull()).alias("deleted"))
+    return {"results": results, "items": made.drop("moved", "moved_gone"), "photos": kept}
+
+
+def _code(status: Column) -> Column:
+    found = F.array_position(F.array(*map(F.lit, STATES)), F.coalesce(status, F.lit("other"))).cast("int") - 1
+    return F.when(found < 0, len(STATES) - 1).otherwise(found)
+
+
+def _parts(state: Column) -> tuple[Column, Column, Column]:
+    """Status; photo: 0 as it was, 1 gone, 2 back; status before the deletion: 0 as given, 1 the photo's first, 2 indexed."""
+    return F.floor(state / 9).cast("int"), (F.floor(state / 3) % 3).cast("int"), (state % 3).cast("int")
+
+
+def _step(state: Column, a: Column) -> Column:
+    """struct(next, outcome) of one action on one state."""
+    status, photo, prev = _parts(state)
+    facts, flags, action = a["facts"], a["flags"], a["action"]
+    at = lambda *names: status.isin(*(STATES.index(n) for n in names))
+    back = F.when(prev == 0, flags["prev"]).when(prev == 1, flags["first"]).otherwise(F.lit(False))
+    gone = F.when(photo == 1, F.lit(True)).when(photo == 0, flags["gone"]).otherwise(back)
+    rules = {
+        "keep": F.when(at("kept"), _UNCHANGED).when(~at(*KEEPABLE) | gone, _CONFLICT),
+        "delete": F.when(at("delete_queued", "quarantined"), _UNCHANGED).when(~at(*DELETABLE), _CONFLICT).when(~facts["file_present"], _INVALID).when(~facts["hash_matches"], _CONFLICT).when(~facts["queue_writable"], _NOT_QUEUED),
+        "undo": F.when(~at("delete_queued") | ~facts["file_present"] | facts["claimed"], _CONFLICT),
+        "restore": F.when(at("restored"), _UNCHANGED).when(~at(*RESTORABLE), _CONFLICT).when(~flags["has_path"], _INVALID).when(facts["file_present"] & ~facts["stored_present"], F.when(facts["hash_matches"], _DONE).otherwise(_CONFLICT))
+        .when(facts["file_present"], _OCCUPIED).when(~facts["stored_present"], _MISSING).when(~facts["stored_matches"], _CONFLICT),
+        "retry": F.when(at("analysis_retry_queued"), _UNCHANGED).when(~at("analysis_failed") | gone, _CONFLICT),
+        "label_keep": F.lit(None).cast("int"),
+        "label_trash": F.lit(None).cast("int"),
+    }
+    outcome = reduce(lambda rest, x: F.when(action == x[0], F.coalesce(x[1], F.lit(_DONE))).otherwise(rest), rules.items(), F.lit(_INVALID))
+
+    def after(code: Column) -> Column:
+        target = {"keep": "kept", "delete": "delete_queued", "undo": "restored", "restore": "restored", "retry": "analysis_retry_queued"}
+        done = reduce(lambda rest, x: F.when(action == x[0], STATES.index(x[1])).otherwise(rest), target.items(), status)
+        new = F.when(code == _DONE, done).when(code == _NOT_QUEUED, STATES.index("queue_failed")).when(code == _OCCUPIED, STATES.index("restore_conflict")).when(code == _MISSING, STATES.index("restore_failed")).otherwise(status)
+        deleted, returned = (code == _DONE) & (action == "delete"), (code == _DONE) & action.isin("undo", "restore")
+        new_photo = F.when(deleted, 1).when(returned, 2).otherwise(photo)
+        new_prev = F.when(deleted & (prev == 0) & flags["no_prev"], F.when(photo == 2, 2).otherwise(1)).otherwise(prev)
+        return F.struct((9 * new + 3 * new_photo + new_prev).cast("int").alias("next"), code.cast("int").alias("outcome"))
+
+    return let(outcome, after)
+
+
+def _function(acts: Column) -> Column:
+    """The state that each state becomes by a run of actions."""
+    every = F.sequence(F.lit(0), F.lit(9 * len(STATES) - 1))
+    return F.aggregate(acts, every, lambda f, a: F.transform(f, lambda s: _step(s, a)["next"]))
+
+
+def _starts(functions: DataFrame, own: DataFrame) -> DataFrame:
+    """(b_project, b_photo, n, start): the state before the n-th run of each item, from the functions (project_id, photo_id, n, f) of its runs."""
+    functions = written(functions)
+    if functions.where("n > 0").isEmpty():
+        first = functions.join(own.select(*_ITEM, "state"), _ITEM)
+        return first.select(F.col("project_id").alias("b_project"), F.col("photo_id").alias("b_photo"), "n", F.col("state").alias("start"))
+    groups = written(functions.groupBy(*_ITEM, F.floor(F.col("n") / ACTION_RUN).cast("bigint").alias("group")).agg(F.array_sort(F.collect_list(F.struct("n", "f"))).alias("parts")))
+    every = F.sequence(F.lit(0), F.lit(9 * len(STATES) - 1))
+    whole = F.aggregate("parts", every, lambda f, p: F.transform(f, lambda s: F.get(p["f"], s)))
+    above = _starts(groups.select(*_ITEM, F.col("group").alias("n"), whole.alias("f")), own).withColumnRenamed("n", "group")
+    met = groups.join(above, (groups["project_id"] == above["b_project"]) & (groups["photo_id"] == above["b_photo"]) & (groups["group"] == above["group"]))
+    none = F.array().cast("array<struct<n:bigint,start:int>>")
+    step = lambda acc, p: F.struct(F.get(p["f"], acc["state"]).alias("state"), F.concat(acc["found"], F.array(F.struct(p["n"].alias("n"), acc["state"].alias("start")))).alias("found"))
+    return met.select("b_project", "b_photo", F.inline(F.aggregate("parts", F.struct(F.col("start").alias("state"), none.alias("found")), step)["found"]))
 
 
 #: States from which deletion can be asked for; items that wait for it or are moved stay as they are.

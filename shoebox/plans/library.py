@@ -299,17 +299,65 @@ def cln7_deletion_reconcile(items: DataFrame, photos: DataFrame, projects: DataF
     return cleanup.deletion_reconcile(items, photos, projects)
 
 
-@query(
-    """, a AS (SELECT project_id, photo_id, CASE job_type WHEN 'embed' THEN 'keep' ELSE CASE id % 3 WHEN 0 THEN 'undo' WHEN 1 THEN 'retry' ELSE 'request_delete' END END AS action FROM jobs),
-o AS (SELECT a.*, i.status AS old, CASE WHEN action = 'keep' AND i.status IN ('review', 'quarantined') THEN 'kept' WHEN action = 'request_delete' AND i.status IN ('review', 'kept') THEN 'delete_queued'
-  WHEN action = 'undo' AND i.status IN ('kept', 'delete_queued') THEN 'review' WHEN action = 'retry' AND i.status IN ('quarantined', 'review') THEN 'review' END AS new
-  FROM a LEFT JOIN items i ON i.project_id = a.project_id AND i.photo_id = a.photo_id)
-SELECT project_id, photo_id, action, CASE WHEN old IS NULL THEN 'not_found' WHEN new IS NULL THEN 'conflict' ELSE 'done' END AS outcome, coalesce(new, old) AS status FROM o""",
-    "jobs", "items",
-)
-def cln8_review_actions(jobs: DataFrame, items: DataFrame) -> DataFrame:
-    third = F.when(F.col("id") % 3 == 0, "undo").when(F.col("id") % 3 == 1, "retry").otherwise("request_delete")
-    return cleanup.review_actions(items, jobs.select("project_id", "photo_id", F.when(F.col("job_type") == "embed", "keep").otherwise(third).alias("action")))
+# Actions come in the order of jobs; several meet one item. The SQL goes through them one by one.
+_REVIEW = """RECURSIVE it AS (SELECT i.project_id, i.photo_id, CASE WHEN i.photo_id % 5 = 0 THEN 'analysis_failed' ELSE i.status END AS status, i.decision, i.human_label, CASE WHEN i.photo_id % 3 = 0 THEN 'ai_indexed' END AS prev, CAST(p.status AS VARCHAR) AS photo, p.deleted_at IS NOT NULL AS gone FROM items i LEFT JOIN photos p ON p.project_id = i.project_id AND p.id = i.photo_id),
+ac AS (SELECT photo_id % 7 AS project_id, photo_id, id AS seq, ['keep', 'delete', 'undo', 'restore', 'retry', 'label_trash', 'dance', 'label_keep'][id % 8 + 1] AS action, id % 5 <> 0 AS present, id % 11 <> 0 AS matches, id % 9 <> 0 AS writable, id % 13 = 0 AS claimed, id % 17 <> 0 AS stored FROM jobs),
+nu AS (SELECT *, row_number() OVER (PARTITION BY project_id, photo_id ORDER BY seq) AS n FROM ac),
+st AS (
+  SELECT project_id, photo_id, 0::BIGINT AS n, 0::BIGINT AS seq, '' AS action, '' AS outcome, status, decision, human_label, prev, photo, gone, false AS reset, false AS touched FROM it
+  UNION ALL
+  SELECT project_id, photo_id, n, seq, action, CASE WHEN o IN ('missing', 'not queued') THEN 'invalid' WHEN o = 'occupied' THEN 'conflict' ELSE o END,
+    CASE WHEN o = 'done' THEN CASE action WHEN 'keep' THEN 'kept' WHEN 'delete' THEN 'delete_queued' WHEN 'undo' THEN 'restored' WHEN 'restore' THEN 'restored' WHEN 'retry' THEN 'analysis_retry_queued' ELSE status END WHEN o = 'not queued' THEN 'queue_failed' WHEN o = 'occupied' THEN 'restore_conflict' WHEN o = 'missing' THEN 'restore_failed' ELSE status END,
+    CASE WHEN o = 'done' AND action IN ('keep', 'undo') THEN 'KEEP' WHEN o = 'done' AND action = 'delete' THEN 'QUARANTINE' WHEN o = 'done' AND action = 'retry' THEN 'REVIEW' ELSE decision END,
+    CASE WHEN o IN ('done', 'unchanged') AND action IN ('keep', 'restore') OR o = 'done' AND action IN ('undo', 'label_keep') THEN 'KEEP' WHEN o IN ('done', 'unchanged') AND action = 'delete' OR o = 'done' AND action = 'label_trash' THEN 'TRASH' ELSE human_label END,
+    CASE WHEN o = 'done' AND action = 'delete' THEN coalesce(prev, photo) ELSE prev END,
+    CASE WHEN o = 'done' AND action = 'delete' THEN 'quarantined' WHEN o = 'done' AND action IN ('undo', 'restore') THEN coalesce(prev, 'indexed') ELSE photo END,
+    CASE WHEN o = 'done' AND action = 'delete' THEN true WHEN o = 'done' AND action IN ('undo', 'restore') THEN false ELSE gone END, reset OR o = 'done' AND action = 'retry', touched OR o = 'done' AND action IN ('delete', 'undo', 'restore')
+  FROM (SELECT st.project_id, st.photo_id, nu.n, nu.seq, nu.action, status, decision, human_label, prev, photo, gone, reset, touched, CASE nu.action
+    WHEN 'keep' THEN CASE WHEN status = 'kept' THEN 'unchanged' WHEN status NOT IN ('review', 'analysis_failed', 'move_failed', 'queue_failed', 'restored') OR gone OR coalesce(photo = 'quarantined', false) THEN 'conflict' ELSE 'done' END
+    WHEN 'delete' THEN CASE WHEN status IN ('delete_queued', 'quarantined') THEN 'unchanged' WHEN status NOT IN ('review', 'moving', 'move_failed', 'queue_failed', 'analysis_failed', 'kept', 'restored') THEN 'conflict' WHEN NOT present THEN 'invalid' WHEN NOT matches THEN 'conflict' WHEN NOT writable THEN 'not queued' ELSE 'done' END
+    WHEN 'undo' THEN CASE WHEN status <> 'delete_queued' OR NOT present OR claimed THEN 'conflict' ELSE 'done' END
+    WHEN 'restore' THEN CASE WHEN status = 'restored' THEN 'unchanged' WHEN status NOT IN ('quarantined', 'restoring', 'restore_conflict', 'restore_failed') THEN 'conflict' WHEN present AND NOT stored THEN CASE WHEN matches THEN 'done' ELSE 'conflict' END WHEN present THEN 'occupied' WHEN NOT stored THEN 'missing' ELSE 'done' END
+    WHEN 'retry' THEN CASE WHEN status = 'analysis_retry_queued' THEN 'unchanged' WHEN status <> 'analysis_failed' OR gone OR coalesce(photo = 'quarantined', false) THEN 'conflict' ELSE 'done' END
+    WHEN 'label_keep' THEN 'done' WHEN 'label_trash' THEN 'done' ELSE 'invalid' END AS o
+    FROM st JOIN nu ON nu.project_id = st.project_id AND nu.photo_id = st.photo_id AND nu.n = st.n + 1)),
+fi AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY project_id, photo_id ORDER BY n DESC) = 1)"""
+
+
+def _reviewed(jobs: DataFrame, items: DataFrame, photos: DataFrame) -> dict[str, DataFrame]:
+    n = F.col("id")
+    names = F.array(*map(F.lit, ("keep", "delete", "undo", "restore", "retry", "label_trash", "dance", "label_keep")))
+    facts = {"file_present": n % 5 != 0, "hash_matches": n % 11 != 0, "queue_writable": n % 9 != 0, "claimed": n % 13 == 0, "stored_present": n % 17 != 0}
+    actions = jobs.select((F.col("photo_id") % 7).alias("project_id"), "photo_id", n.alias("seq"), F.get(names, (n % 8).cast("int")).alias("action"), *(c.alias(k) for k, c in facts.items()))
+    items = items.withColumns({"status": F.when(F.col("photo_id") % 5 == 0, "analysis_failed").otherwise(F.col("status")), "previous_photo_status": F.when(F.col("photo_id") % 3 == 0, "ai_indexed")})
+    return cleanup.review_actions(items, actions, photos)
+
+
+def _review_oracle(select: str) -> str:
+    """The recursive part must stand right behind WITH."""
+    text = oracle(f", {_REVIEW.removeprefix('RECURSIVE ')} {select}", "jobs", "items", "photos")
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(None, "jobs", "items", "photos")
+def cln8_review_actions(jobs: DataFrame, items: DataFrame, photos: DataFrame) -> DataFrame:
+    return _reviewed(jobs, items, photos)["results"]
+
+
+SQL["cln8_review_actions"] = _review_oracle("SELECT project_id, photo_id, seq, action, outcome FROM st WHERE n > 0 UNION ALL SELECT project_id, photo_id, seq, action, 'not_found' FROM nu WHERE NOT EXISTS (FROM it WHERE it.project_id = nu.project_id AND it.photo_id = nu.photo_id)")
+
+
+@query(None, "jobs", "items", "photos")
+def cln8_review_tables(jobs: DataFrame, items: DataFrame, photos: DataFrame) -> DataFrame:
+    made = _reviewed(jobs, items, photos)
+    rows = made["items"].select(F.lit("item").alias("kind"), *("project_id", "photo_id", "status", "decision", "human_label", "previous_photo_status", "answer_reset"))
+    return rows.union(made["photos"].select(F.lit("photo"), "project_id", "id", "status", *(F.lit(None).cast("string"),) * 3, "deleted"))
+
+
+SQL["cln8_review_tables"] = _review_oracle(
+    """SELECT 'item' AS kind, project_id, photo_id, status, decision, human_label, prev AS previous_photo_status, reset AS answer_reset FROM fi
+UNION ALL SELECT 'photo', p.project_id, p.id, CASE WHEN touched THEN fi.photo ELSE p.status END, NULL, NULL, NULL, CASE WHEN touched THEN fi.gone ELSE p.deleted_at IS NOT NULL END FROM photos p LEFT JOIN fi ON fi.project_id = p.project_id AND fi.photo_id = p.id"""
+)
 
 
 @query("SELECT DISTINCT j.project_id, j.photo_id AS id, p.id IS NOT NULL AS found FROM jobs j LEFT JOIN photos p ON p.project_id = j.project_id AND p.id = j.photo_id AND p.deleted_at IS NULL", "jobs", "photos")

@@ -459,6 +459,21 @@ def test_people_scores_count_nulls_as_zero(spark):
     assert got == {10: (round(0.63 + 0.82 * 0.2 + 0.2, 6), 1), 11: (0.3, 2)}
 
 
+def test_actions_on_an_item_are_taken_in_order(spark, monkeypatch):
+    items = spark.createDataFrame([(1, 1, "review", "QUARANTINE", None), (1, 2, "analysis_failed", None, None), (1, 3, "quarantined", None, None), (1, 4, "review", None, None)], "project_id bigint, photo_id bigint, status string, decision string, human_label string")
+    photo_rows = spark.createDataFrame([(1, 1, "ai_indexed", None), (1, 2, "indexed", None), (1, 3, "quarantined", datetime(2026, 1, 1)), (1, 4, "quarantined", None)], "project_id bigint, id bigint, status string, deleted_at timestamp")
+    steps = [(1, "keep"), (1, "delete"), (1, "delete"), (1, "keep"), (1, "undo"), (1, "undo"), (1, "delete"), (2, "retry"), (2, "retry"), (2, "keep"), (3, "keep"), (3, "restore"), (3, "keep"), (4, "keep"), (9, "keep"), (4, "jump")]
+    actions = spark.createDataFrame([(1, p, n, a, a != "restore") for n, (p, a) in enumerate(steps)], "project_id bigint, photo_id bigint, seq bigint, action string, file_present boolean")
+    want = ["done", "done", "unchanged", "conflict", "done", "conflict", "done", "done", "unchanged", "conflict", "conflict", "done", "done", "conflict", "not_found", "invalid"]
+    for run in (256, 2):  # in one run, and in a tree of functions
+        monkeypatch.setattr(cleanup, "ACTION_RUN", run)
+        made = cleanup.review_actions(items, actions, photo_rows)
+        assert [r["outcome"] for r in made["results"].orderBy("seq").collect()] == want
+        got = {r["photo_id"]: (r["status"], r["decision"], r["human_label"], r["previous_photo_status"], r["answer_reset"]) for r in made["items"].collect()}
+        assert got == {1: ("delete_queued", "QUARANTINE", "TRASH", "ai_indexed", False), 2: ("analysis_retry_queued", "REVIEW", None, None, True), 3: ("kept", "KEEP", "KEEP", None, False), 4: ("review", None, None, None, False)}
+        assert {r["id"]: (r["status"], r["deleted"]) for r in made["photos"].collect()} == {1: ("quarantined", True), 2: ("indexed", False), 3: ("indexed", False), 4: ("quarantined", False)}
+
+
 def test_clustered_faces_are_those_without_an_open_assignment(spark):
     from shoebox.sources.tables import load
 
