@@ -485,3 +485,27 @@ def ing20_library_paths(photos: DataFrame) -> DataFrame:
     n = F.col("id")
     paths = photos.select("project_id", F.concat(F.when(n % 2 == 0, "/lib/").otherwise("/volume/"), (n % 40).cast("string")).alias("path"), n.alias("position"))
     return ingest.rewrite_library_paths(paths.union(photos.select("project_id", F.concat(F.lit("/library"), F.col("project_id").cast("string")), "id")), "/lib", "/volume")
+
+
+@query("SELECT page_id % 7 AS project_id, 'd' || CAST(page_id % 3 AS STRING) || '/' || CAST(page_id AS STRING) || CASE WHEN page_id % 2 = 0 THEN '.JPG' ELSE '.mp4' END AS relative_path, octet_length(encode(coalesce(html, ''))) AS file_size, sha256(coalesce(html, '')) AS file_hash FROM pages WHERE page_id % 10 <> 7")
+def src1_inventory_of_files(pages: DataFrame) -> DataFrame:
+    """The pages as files of seven projects, one in ten without a media suffix; every root is named twice, once inside another."""
+    base, n = files.scratch(pages.sparkSession), F.col("page_id")
+    suffix = F.when(n % 10 == 7, ".txt").when(n % 2 == 0, ".JPG").otherwise(".mp4")
+    root = F.concat(F.lit(f"{base}/p"), (n % 7).cast("string"))
+    files.write_files(pages.select(F.concat(root, F.lit("/d"), (n % 3).cast("string"), F.lit("/"), n.cast("string"), suffix).alias("file_path"), F.col("html").cast("binary").alias("content")))
+    roots = pages.select((n % 7).alias("project_id"), F.explode(F.array(root, F.concat(root, F.lit("/d1")))).alias("path")).distinct()
+    found = files.inventory(roots)
+    return found.select("project_id", F.regexp_extract("file_path", "(d[0-9]/[^/]*)$", 1).alias("relative_path"), "file_size", "file_hash")
+
+
+@query("SELECT 1 AS version, 'trash' AS action, project_id, id AS photo_id, file_name FROM photos", "photos")
+def snk1_append_batches(photos: DataFrame) -> DataFrame:
+    """All photos in three batches, each appended twice; the lines read back."""
+    path = f"{files.scratch(photos.sparkSession)}/manifest"
+    for batch in range(3):
+        lines = photos.where(f"id % 3 = {batch}").select(F.lit(1).alias("version"), F.lit("trash").alias("action"), "project_id", F.col("id").alias("photo_id"), "file_name")
+        for _ in range(2):
+            files.append_manifest(lines, path, f"batch-{batch}")
+    read = files.read_appended(photos.sparkSession, path)
+    return read.select(F.from_json("value", "version int, action string, project_id bigint, photo_id bigint, file_name string").alias("m")).select("m.*")

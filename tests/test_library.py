@@ -1,6 +1,8 @@
 """Small cases of the library operators whose results are known."""
 
+import hashlib
 import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import numpy as np
@@ -243,14 +245,69 @@ def test_entry_without_the_training_data_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
 
 
+def test_a_file_above_two_gigabytes_is_hashed_in_chunks(spark, tmp_path):
+    from shoebox.sources import files
+
+    size = (1 << 31) + 5
+    with open(tmp_path / "long.mov", "wb") as out:
+        out.truncate(size)
+    digest, rest = hashlib.sha256(), size
+    while rest:
+        digest.update(bytes(min(rest, 1 << 24)))
+        rest -= min(rest, 1 << 24)
+    found = files.inventory(spark.createDataFrame([(1, str(tmp_path))], "project_id bigint, path string")).collect()
+    assert [(r["file_size"], r["file_hash"]) for r in found] == [(size, digest.hexdigest())]
+
+
+def test_manifest_lines_keep_their_numbers(spark, tmp_path):
+    from shoebox.sources import files
+
+    rows = ["first", "", "third", "  ", "ünïcode " * 9, "x" * 300, "", "", "cut"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size, end in ((64, "\n"), (100, "\r\n"), (1 << 20, "\n")):
+            (tmp_path / "m.jsonl").write_bytes(end.join(rows).encode())
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            found = files.manifest_lines(spark, f"{tmp_path}/m.jsonl").orderBy("n").collect()
+            assert [(r["n"], r["value"]) for r in found] == list(enumerate(rows, 1))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_batch_is_appended_once(spark, tmp_path):
+    from shoebox.sources import files
+
+    lines = spark.createDataFrame([(1, "a"), (2, "b")], "photo_id bigint, action string")
+    path = f"{tmp_path}/manifest"
+    broken = lines.select(F.when(F.col("photo_id") == 2, F.raise_error(F.lit("stop"))).otherwise("x").alias("action"), "photo_id")
+    with pytest.raises(Exception, match="stop"):
+        files.append_manifest(broken, path, "one")
+    assert files.append_manifest(lines, path, "one") and not files.append_manifest(lines, path, "one")
+    assert files.append_manifest(lines.where("photo_id = 1"), path, "two")
+    # Two writers of one batch that both found no marker.
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda _: files.append_manifest(lines, path, "three"), range(2)))
+    read = [r["value"] for r in files.read_appended(spark, path).collect()]
+    assert sorted(read) == sorted(['{"action":"a","photo_id":1}', '{"action":"b","photo_id":2}'] * 2 + ['{"action":"a","photo_id":1}'])
+
+
 def test_files_and_exports(spark, tmp_path):
     from shoebox.sources import files
 
     for name, text in (("a/x.JPG", "one"), ("a/b/y.png", "two"), ("a/z.txt", "no"), ("trash/t.jpg", "gone")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
-    found = files.inventory(spark, str(tmp_path), (f"file:{tmp_path}/trash",)).collect()
-    assert sorted((r["file_path"].rsplit("/", 1)[1], r["file_size"]) for r in found) == [("x.JPG", 3), ("y.png", 3)]
+    roots = spark.createDataFrame([(1, str(tmp_path)), (1, f"{tmp_path}/a/"), (2, f"{tmp_path}/a"), (3, f"{tmp_path}/none")], "project_id bigint, path string")
+    found = files.inventory(roots, (f"{tmp_path}/trash",))
+    digest = {"x.JPG": hashlib.sha256(b"one").hexdigest(), "y.png": hashlib.sha256(b"two").hexdigest()}
+    want = sorted((p, n, 3, digest[n]) for p in (1, 2) for n in digest)
+    told = lambda rows: sorted((r["project_id"], r["file_path"].rsplit("/", 1)[1], r["file_size"], r["file_hash"]) for r in rows.collect())
+    assert told(found) == want
+    # Files of the same size and time keep the hash they had; others are read.
+    known = found.withColumn("file_hash", F.lit("old"))
+    (tmp_path / "a/b/y.png").write_text("other")
+    again = files.inventory(roots, (f"{tmp_path}/trash",), known)
+    assert [r[3] for r in told(again)] == ["old", hashlib.sha256(b"other").hexdigest()] * 2
     lines = spark.createDataFrame([(2, "b"), (1, "a")], "photo_id bigint, action string")
     files.write_manifest(lines, f"{tmp_path}/m")
     files.write_manifest(lines, f"{tmp_path}/m")
