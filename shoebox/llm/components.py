@@ -20,16 +20,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     pairs = materialize(pairs.distinct(), "edges")
-    now, before = _mark(pairs), None
-    while now != before:
-        larger = materialize(_large_star(pairs, 2 * now[0]), "edges")
-        pairs = materialize(_small_star(larger, now[0]).distinct(), "edges")
-        now, before = _mark(pairs), now
+    while not _are_stars(pairs):
+        total = pairs.count()
+        larger = materialize(_large_star(pairs, 2 * total), "edges")
+        pairs = materialize(_small_star(larger, total).distinct(), "edges")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select("v", "v").distinct())
 
 
-def _mark(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether every larger end has one edge and no smaller end is a larger one: then smaller ends are their components' smallest nodes."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("larger"), F.lit(0).alias("smaller")).union(pairs.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("larger").alias("l"), F.max("smaller").alias("s")).where("l > 1 OR l > 0 AND s > 0").isEmpty()
 
 
 def _large_star(pairs: DataFrame, total: int) -> DataFrame:
