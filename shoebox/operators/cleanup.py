@@ -30,18 +30,6 @@ def exact_duplicates(photos: DataFrame) -> DataFrame:
     return found.select("project_id", "id", F.col("s.id").alias("source_id"), F.col("s.file_name").alias("source_name"), F.lit("REVIEW").alias("decision"), F.lit("suspected_duplicate").alias("classification"), F.lit(1.0).alias("confidence"))
 
 
-def decide(items: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """Decision of each item: duplicates go to review, videos stay, sure candidates are quarantined, the rest is as judged."""
-    known = duplicates.select("project_id", F.col("id").alias("photo_id"), F.lit(True).alias("is_duplicate"))
-    sure = (F.col("decision") == "QUARANTINE") & (F.col("confidence") >= AUTO_CONFIDENCE)
-    decided = (
-        F.when(F.col("is_duplicate"), "REVIEW").when(F.col("is_video"), "KEEP").when(sure, "QUARANTINE").when(F.col("decision") == "QUARANTINE", "REVIEW").otherwise(F.col("decision"))
-    )
-    reason = F.when(F.col("is_duplicate"), "suspected_duplicate").when(F.col("is_video"), "video_out_of_scope").otherwise(F.col("classification"))
-    found = items.join(known, ["project_id", "photo_id"], "left")
-    return found.select("project_id", "photo_id", decided.alias("decision"), reason.alias("reason"))
-
-
 # Classes that may be moved without a human, and flags of sensitive content that make a rating ADULT.
 AUTO_CLASSES = ("accidental_capture", "severe_blur", "obscured_lens", "blank_image", "meaningless_test_image")
 ADULT_FLAGS = ("explicit_sexual_content", "nudity", "graphic_violence", "gore", "other_adult_content")

@@ -169,16 +169,6 @@ def cln1_exact_duplicates(photos: DataFrame) -> DataFrame:
     return cleanup.exact_duplicates(photos)
 
 
-@query(
-    _DUPLICATES + """SELECT i.project_id, i.photo_id, CASE WHEN d.id IS NOT NULL THEN 'REVIEW' WHEN is_video THEN 'KEEP' WHEN decision = 'QUARANTINE' AND confidence < 0.98 THEN 'REVIEW' ELSE decision END AS decision,
-  CASE WHEN d.id IS NOT NULL THEN 'suspected_duplicate' WHEN is_video THEN 'video_out_of_scope' ELSE classification END AS reason
-FROM items i LEFT JOIN d ON d.project_id = i.project_id AND d.id = i.photo_id AND d.id <> d.source_id""",
-    "photos", "items",
-)
-def cln2_decision_policy(photos: DataFrame, items: DataFrame) -> DataFrame:
-    return cleanup.decide(items, cleanup.exact_duplicates(photos))
-
-
 @query(f"SELECT p.project_id, p.id, CAST(row_number() OVER (PARTITION BY p.project_id ORDER BY p.id) AS INT) AS place FROM photos p WHERE {ACTIVE} AND NOT EXISTS (FROM items i WHERE i.project_id = p.project_id AND i.photo_id = p.id)", "photos", "items")
 def cln3_review_candidates(photos: DataFrame, items: DataFrame) -> DataFrame:
     return cleanup.review_candidates(photos, items)
