@@ -303,9 +303,9 @@ def _leaders(points: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     placed = running_counts(points, keys, [F.col("id")], F.lit(True)).withColumn("block", F.floor(F.col("before") / PAIR_BLOCK))
     undecided, done = written(placed.select(*keys, "id", "vector", "block")), []
     while not undecided.isEmpty():
-        earlier = _similar(undecided, undecided, keys, threshold).select(*keys, "id").distinct()
+        earlier = _nearest_before(undecided, undecided, keys, threshold).select(*keys, "id").distinct()
         new = written(undecided.join(earlier, [*keys, "id"], "left_anti"))
-        joined = written(_similar(undecided.join(earlier, [*keys, "id"]), new, keys, threshold))
+        joined = written(_nearest_before(undecided.join(earlier, [*keys, "id"]), new, keys, threshold))
         done += [new.select(*keys, "id", F.col("id").alias("leader")), joined.select(*keys, "id", "leader")]
         undecided = written(undecided.join(new.select(*keys, "id"), [*keys, "id"], "left_anti").join(joined.select(*keys, "id"), [*keys, "id"], "left_anti"))
     if not done:
@@ -318,7 +318,7 @@ def _leaders(points: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     return own.select(*keys, "id", "leader").join(means, [*keys, "leader"]).select(*keys, "id", "leader", "mean", "total")
 
 
-def _similar(asked: DataFrame, others: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+def _nearest_before(asked: DataFrame, others: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """(keys…, id, leader): for each asked point the most similar of ``others`` with a smaller id, if any is similar enough.
 
     Points are packed by their ``block``, ``PAIR_BLOCK`` of a key at most; pairs of blocks of a key meet in tasks of their own, and each gives one row a point.
