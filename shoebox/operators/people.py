@@ -284,8 +284,10 @@ def cluster_rounds(faces: DataFrame, assignments: DataFrame, size: int = 500, th
         step = found.select(*keys, F.col("id").alias("cluster"), F.col("leader").alias("next"))
         members = found.select(*keys, F.col("id").alias("face_id"), F.col("leader").alias("cluster")) if members is None else members.join(step, [*keys, "cluster"]).select(*keys, "face_id", F.col("next").alias("cluster"))
         members = written(members)
-        n, left = found.agg(F.count("*"), F.count_if(F.col("id") == F.col("leader"))).first()
-        if exact and n == left:
+        sizes = found.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("id") == F.col("leader")).alias("left"))
+        n, left, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("left"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        # A round that holds all points of every key compares them all.
+        if n == left and (exact or most <= size):
             return members
         # Once rounds join fewer than a tenth, the rest is similar across rounds only.
         exact = exact or 10 * left > 9 * n
