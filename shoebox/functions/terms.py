@@ -87,6 +87,25 @@ def _meeting(words: DataFrame, parts: DataFrame) -> DataFrame:
     return met.join(whole.select("part", "gram"), "gram").where(F.contains("word", "part")).select("part", "word").distinct()
 
 
+def parts_within(rows: DataFrame, text: str, parts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with each ``part`` (``by``…, part) of their group that their column ``text`` contains, a row for each.
+
+    Different texts and parts meet by the part's rarest gram, then the rows that hold a text met are compared. A text takes part in the
+    meeting as a digest, so its length only counts once. Null and empty texts and parts meet nothing.
+    """
+    keys = [*by, "text_digest"]
+    marked = rows.where(F.col(text) != "").withColumn("text_digest", F.unhex(F.md5(text)))
+    asked = written(parts.where("part <> ''").select(*by, "part").distinct())
+    own = F.when(F.length("part") < GRAM, F.array("part")).otherwise(F.transform(F.sequence(F.lit(1), F.length("part") - (GRAM - 1)), lambda i: F.substring("part", i, F.lit(GRAM))))
+    grams = asked.select(*by, "part", F.explode(F.array_distinct(own)).alias("gram"))
+    texts = marked.select(*keys, F.col(text).alias("text")).distinct().select(*keys, F.explode(_grams(F.col("text"))).alias("gram"))
+    met = written(texts.join(grams.select(*by, "gram").distinct(), [*by, "gram"], "left_semi"))
+    counts = met.groupBy(*by, "gram").agg(F.count("*").alias("n"))
+    rarest = grams.join(counts, [*by, "gram"], "left").groupBy(*by, "part").agg(F.count_if(F.col("n").isNull()).alias("absent"), F.min_by("gram", F.struct("n", "gram")).alias("gram")).where("absent = 0")
+    pairs = met.join(rarest.select(*by, "part", "gram"), [*by, "gram"]).select(*keys, "part")
+    return marked.join(pairs, keys).where(F.contains(text, "part")).select(*rows.columns, "part")
+
+
 def term_hits(index: TextIndex, terms: DataFrame) -> DataFrame:
     """(project_id, photo_id, term, raw, anywhere, in_entity, in_negative, in_weak): terms that occur in a photo's texts or tags, in any case.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoebox.functions.terms import parts_within
 from shoebox.functions.text import nfkc_all, stripped
 from shoebox.operators.browse import active
 
@@ -388,17 +389,15 @@ def concepts(analysis: DataFrame, aliases: DataFrame, related: DataFrame, tags:
     """(project_id, photo_id, entities, concepts): entities whose alias (alias, entity) is contained in a tag or the caption, and the
     concepts related to them (entity, concept), with those that the number of people implies; all sorted.
 
-    Tags and the OCR text are made distinct before they meet the aliases, so a tag that very many photos carry is tested once.
-    Captions are long and seldom equal, so they are tested row by row; without ``caption`` they are left out.
+    Different texts meet the aliases by grams (``parts_within``), so neither table is read once for each row of the other. Without ``caption``
+    captions are left out. Empty aliases are in no text.
     """
     fields = [F.coalesce(c, F.array().cast("array<string>")) for c in tags]
     terms = analysis.select("project_id", "photo_id", F.explode(F.array_distinct(F.transform(F.concat(*fields, F.array("ocr_text")), F.lower))).alias("term"))
-    tested = terms.select("term").distinct().join(aliases, F.col("term").contains(F.lower("alias"))).select("term", "entity").distinct()
-    found = terms.join(tested, "term").select("project_id", "photo_id", "entity")
     if caption:
-        texts = analysis.select("project_id", "photo_id", F.lower("caption").alias("text"))
-        found = found.union(texts.join(aliases, F.col("text").contains(F.lower("alias"))).select("project_id", "photo_id", "entity"))
-    found = found.distinct()
+        terms = terms.union(analysis.select("project_id", "photo_id", F.lower("caption")))
+    known = aliases.select(F.lower("alias").alias("part"), "entity").distinct()
+    found = parts_within(terms, "term", known.select("part")).join(known, "part").select("project_id", "photo_id", "entity").distinct()
     entities = found.groupBy("project_id", "photo_id").agg(F.sort_array(F.collect_set("entity")).alias("entities"))
     wider = found.join(related, "entity").groupBy("project_id", "photo_id").agg(F.collect_set("concept").alias("wider"))
     n = F.col("people_count")
@@ -430,7 +429,7 @@ def ordered_concepts(analysis: DataFrame, aliases: DataFrame, related: DataFrame
     concepts of people whose alias is a part of it; last, a group word in the caption. Weak scenes in weak sources do not count, and
     weak sources do not give the concept of animals as such. Facets: object and animal, people, group_photo.
 
-    Distinct terms other than captions are tested once; only what is found is gathered for a photo.
+    Different terms meet the aliases by grams (``parts_within``); only what is found is gathered for a photo.
     """
     key = ["project_id", "photo_id"]
     fields = [F.transform(F.array("caption") if c == "caption" else F.coalesce(c, F.array().cast("array<string>")), _placed(SOURCES.index(c))) for c in SOURCES]
@@ -440,11 +439,8 @@ def ordered_concepts(analysis: DataFrame, aliases: DataFrame, related: DataFrame
     numbered = lambda rows, n: rows.withColumn("k", F.lit(n))
     known = numbered(aliases.select(F.lower("alias").alias("alias"), F.col("entity").alias("name")), 0).union(numbered(people_aliases.select(F.lower("alias"), "concept"), 2)).distinct()
     whole = concept_aliases.select(F.lower("alias").alias("term"), F.col("concept").alias("name"), F.lit(1).alias("k"))
-    short = terms.where(F.col("s") != SOURCES.index("caption")).select("term").distinct()
-    tested = short.join(known, F.col("term").contains(F.col("alias"))).select("term", "name", "k").distinct()
-    captions = terms.where(F.col("s") == SOURCES.index("caption"))
     columns = [*key, "s", "i", "name", "k"]
-    hits = terms.where(F.col("s") != SOURCES.index("caption")).join(tested, "term").select(*columns).union(captions.join(known, F.col("term").contains(F.col("alias"))).select(*columns)).union(terms.join(whole, "term").where(~((F.col("name") == "动物") & weak)).select(*columns))
+    hits = parts_within(terms, "term", known.select(F.col("alias").alias("part"))).withColumnRenamed("part", "alias").join(known, "alias").select(*columns).union(terms.join(whole, "term").where(~((F.col("name") == "动物") & weak)).select(*columns))
     order = F.struct("s", "i", "k", "name").alias("o")
     entities = hits.where("k = 0").groupBy(*key, F.col("name").alias("entity")).agg(F.min(order).alias("o"))
     own = hits.where("k > 0").select(*key, F.col("name").alias("concept"), F.col("s").alias("a"), F.col("i").alias("b"), F.col("k").alias("c"), F.lit(0).alias("d"), "name")

@@ -1,8 +1,7 @@
 """Recall, fusion and evidence for batches of search requests.
 
-A recall gives rows (project_id, query_id, photo_id, score, …). Requests are joined to the rows of their project, so the
-smaller side is left to the planner to broadcast. Words of requests are looked for once in each photo, however many
-requests have them (``shoebox.functions.terms``).
+A recall gives rows (project_id, query_id, photo_id, score, …). Requests meet photos on values: words through an inverted index
+(``shoebox.functions.terms``), filters on the values of the filter that leaves fewest photos (``narrowed``), tags and counts by equality.
 """
 
 from __future__ import annotations
@@ -12,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.functions.terms import TAG_WEIGHTS, TEXT_WEIGHTS, TextIndex, term_hits, text_index
+from shoebox.functions.terms import TAG_WEIGHTS, TEXT_WEIGHTS, TextIndex, parts_within, term_hits, text_index
+from shoebox.sources.files import written
 
 KEYS = ["project_id", "query_id", "photo_id"]
 REQUEST = ["project_id", "query_id"]
@@ -48,18 +48,60 @@ def _asked(queries: DataFrame, *columns: str) -> DataFrame:
     return queries.select(*REQUEST, *(F.col(c) if c in have else F.lit(None).alias(c) for c in columns))
 
 
+def _entry(kind: str, value: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+
+
+def _month(time: Column | str) -> Column:
+    """Months since the year 0; empty without a time."""
+    return F.coalesce((F.year(time) * 12 + F.month(time) - 1).cast("string"), F.lit(""))
+
+
+def _magnitude(number: Column) -> Column:
+    """Binary digits of a number; never falls as it grows."""
+    return F.length(F.bin(F.greatest(number.cast("bigint"), F.lit(0).cast("bigint"))))
+
+
+def counted_values(rows: DataFrame) -> DataFrame:
+    """(project_id, kind, held, n): the different values in the rows' ``entries`` (kind, value) and how many rows have them."""
+    return written(rows.select("project_id", F.inline("entries")).groupBy("project_id", "kind", F.col("value").alias("held")).agg(F.count("*").alias("n")))
+
+
+def narrowed(rows: DataFrame, values: DataFrame, choices: DataFrame) -> DataFrame:
+    """(query_id, the rows' columns): rows that a request may want, some of them twice.
+
+    ``choices`` (project_id, query_id, choice, kind, held) list, for each way to narrow a request, the values one of which every row it
+    wants has. The way that leaves fewest rows is taken, and the rows with its values are met by equality.
+    """
+    listed = written(choices.distinct())
+    sizes = listed.join(values, ["project_id", "kind", "held"]).groupBy(*REQUEST, "choice").agg(F.sum("n").alias("n"))
+    best = sizes.groupBy(*REQUEST).agg(F.min_by("choice", F.struct("n", "choice")).alias("choice"))
+    keys = listed.join(best, [*REQUEST, "choice"]).select(*REQUEST, "kind", F.col("held").alias("value"))
+    own = [c for c in rows.columns if c not in ("entries", "project_id")]
+    return rows.select("project_id", *own, F.inline("entries")).join(keys, ["project_id", "kind", "value"]).select(*REQUEST, *own)
+
+
 def metadata_recall(queries: DataFrame, photos: DataFrame, k: int = 5000) -> DataFrame:
     """Photos that meet a request's filters, newest first; score 1. A filter that is null or missing does not count.
 
     date_from and date_to (from on, before) win over year and month, these over months; needs_gps asks for both coordinates or for
     a missing one; camera_make and camera_model are contained, one of them if both are given; iso_min, iso_max; every one of
     place_terms is contained in one of the six place columns.
+
+    Requests meet photos on months, magnitudes of iso, camera names or place names, whichever leave fewest (``narrowed``).
     """
     have = set(queries.columns)
     names = ("year", "month", "months", "date_from", "date_to", "needs_gps", "iso_min", "iso_max", "place_terms", "camera_make", "camera_model")
     asked = [c for c in names if c in have]
-    found = live(photos).join(queries.select(*REQUEST, *(F.col(c).alias(f"q_{c}") for c in asked)), "project_id")
-    gps = F.col("gps_latitude").isNotNull() & F.col("gps_longitude").isNotNull()
+    wanted = queries.select(*REQUEST, *(F.col(c).alias(f"q_{c}") for c in asked))
+    cameras = [c for c in ("camera_make", "camera_model") if c in have]
+    entries = [_entry("month", _month("taken_at")), *([_entry("iso", _magnitude(F.col("iso")))] if have & {"iso_min", "iso_max"} else []), *(_entry(c, F.lower(c)) for c in cameras)]
+    entries += [_entry("place", F.lower(c)) for c in PLACE_COLUMNS] if "place_terms" in have else []
+    read = ["taken_at", "created_at", *(["iso"] if have & {"iso_min", "iso_max"} else []), *cameras, *(["gps_latitude", "gps_longitude"] if "needs_gps" in have else []), *(PLACE_COLUMNS if "place_terms" in have else [])]
+    rows = live(photos).select("project_id", "photo_id", *read, F.array_distinct(F.array(*entries)).alias("entries"))
+    values = counted_values(rows)
+    found = narrowed(rows, values, _metadata_choices(wanted, values, have)).join(wanted, REQUEST)
+    gps = F.col("gps_latitude").isNotNull() & F.col("gps_longitude").isNotNull() if "needs_gps" in have else None
     given = lambda c: F.col(f"q_{c}").isNotNull() if c in have else F.lit(False)
     dated = given("date_from") | given("date_to")
     inside = lambda c: F.lower(c).contains(F.lower(f"q_{c}"))
@@ -75,17 +117,61 @@ def metadata_recall(queries: DataFrame, photos: DataFrame, k: int = 5000) -> Dat
     for column in asked:
         found = found.where(F.col(f"q_{column}").isNull() | rules[column]())
     newest = (F.desc_nulls_last("taken_at"), F.desc("created_at"), F.desc("photo_id"))
+    # Only camera and place names can meet a photo twice.
+    found = found.select(*KEYS, "taken_at", "created_at")
+    found = found.dropDuplicates(KEYS) if cameras or "place_terms" in have else found
     return ranked(found, k, *newest).select(*KEYS, F.lit(1.0).alias("score"), "rank")
 
 
+def _metadata_choices(wanted: DataFrame, values: DataFrame, have: set[str]) -> DataFrame:
+    """The values among which each request's photos are: months for every request, the others where it has such a filter."""
+    col = lambda c: F.col(f"q_{c}") if c in have else F.lit(None)
+    within = lambda kind: wanted.withColumn("kind", F.lit(kind)).join(values, ["project_id", "kind"])
+    out = lambda rows, choice: rows.select(*REQUEST, choice.alias("choice"), "kind", "held")
+    at, month = F.col("held").try_cast("int"), F.col("held").try_cast("int") % 12 + 1
+    same = lambda c, x: (col(c).isNull() | (x == col(c))) if c in have else F.lit(True)
+    edge = lambda c: _month(col(c).cast("timestamp")).try_cast("int")
+    timed = (
+        F.when(col("date_from").isNotNull() | col("date_to").isNotNull(), (col("date_from").isNull() | (at >= edge("date_from"))) & (col("date_to").isNull() | (at <= edge("date_to"))))
+        .when(col("year").isNotNull() | col("month").isNotNull(), same("year", F.floor(at / 12)) & same("month", month))
+        .when((F.size("q_months") > 0) if "months" in have else F.lit(False), F.array_contains("q_months", month) if "months" in have else F.lit(True)).otherwise(True)
+    )
+    parts = [out(within("month").where(timed), F.lit("month"))]
+    if have & {"iso_min", "iso_max"}:
+        low, high = (_magnitude(col(c).cast("double")) for c in ("iso_min", "iso_max"))
+        limited = (col("iso_min").isNotNull() | col("iso_max").isNotNull()) & (col("iso_min").isNull() | (at >= low)) & (col("iso_max").isNull() | (at <= high))
+        parts.append(out(within("iso").where(limited), F.lit("iso")))
+    named = []
+    cameras = [c for c in ("camera_make", "camera_model") if c in have]
+    if cameras:
+        # Of two names either may be met, so both narrow together, and an empty one, which is in all names, not at all.
+        full = reduce(Column.__and__, (col(c).isNull() | (col(c) != "") for c in cameras))
+        named.append(wanted.where(full).select(*REQUEST, F.lit("camera").alias("choice"), F.inline(F.array(*(F.struct(F.lit(c).alias("kind"), F.lower(f"q_{c}").alias("part")) for c in cameras)))))
+    if "place_terms" in have:
+        term = F.explode(F.array_distinct(F.transform("q_place_terms", F.lower)))
+        named.append(wanted.select(*REQUEST, term.alias("part")).select(*REQUEST, F.concat(F.lit("place:"), "part").alias("choice"), F.lit("place").alias("kind"), "part"))
+    if named:
+        asked = reduce(DataFrame.union, named).where("part <> ''")
+        met = parts_within(values.where(F.col("kind").isin("place", *cameras)), "held", asked, ("project_id", "kind"))
+        parts.append(out(met.join(asked, ["project_id", "kind", "part"]), F.col("choice")))
+    return reduce(DataFrame.union, parts)
+
+
+_NUMBERS, _TIMES, _NAMES = ("people_count", "iso"), ("taken_at", "created_at"), ("camera_make", "camera_model")
+
+
 def structured_filter(clauses: DataFrame, photos: DataFrame, analysis: DataFrame) -> DataFrame:
     """Photos for which all clauses (project_id, query_id, field, op, value) of a request hold.
 
     Fields: people_count, iso, taken_at, created_at, camera_make, camera_model, has_gps (eq, ne). Operators: eq, ne, gt, gte, lt,
     lte, contains (in any case), in (values with commas between). Clauses with an unknown field or operator do not count.
+
+    Clauses are tested on the different values of their field (months of times); the clause that leaves fewest photos decides which of
+    them are met (``narrowed``), then all clauses are tested on those.
     """
-    rows = live(photos).join(analysis.select("project_id", "photo_id", "people_count"), ["project_id", "photo_id"], "left")
     op, value = F.col("op"), F.col("value")
+    kinds = {c: "double" for c in _NUMBERS} | {c: "timestamp" for c in _TIMES} | {c: "string" for c in _NAMES}
+    operators = ("eq", "ne", "gt", "gte", "lt", "lte", "contains", "in")
 
     def compare(left: Column, kind: str) -> Column:
         right, text = value.try_cast(kind), left.cast("string")
@@ -93,12 +179,28 @@ def structured_filter(clauses: DataFrame, photos: DataFrame, analysis: DataFrame
         tests = {"eq": left == right, "ne": left != right, "gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right, "contains": F.lower(text).contains(F.lower(value)), "in": several}
         return reduce(lambda out, x: F.when(op == x[0], F.coalesce(x[1], F.lit(False))).otherwise(out), tests.items(), F.lit(True))
 
+    gps_held = lambda has: F.coalesce((has == value.try_cast("boolean")) == (op == "eq"), F.lit(True))
     has_gps = F.col("gps_latitude").isNotNull() & F.col("gps_longitude").isNotNull()
-    kinds = {"people_count": "double", "iso": "double", "taken_at": "timestamp", "created_at": "timestamp", "camera_make": "string", "camera_model": "string"}
-    met = F.when((F.col("field") == "has_gps") & op.isin("eq", "ne"), F.coalesce((has_gps == value.try_cast("boolean")) == (op == "eq"), F.lit(True))).otherwise(F.lit(True))
+    entries = F.array(*(_entry(c, F.col(c)) for c in (*_NUMBERS, *_NAMES)), *(_entry(c, _month(c)) for c in _TIMES), _entry("has_gps", has_gps))
+    joined = live(photos).join(analysis.select("project_id", "photo_id", "people_count"), ["project_id", "photo_id"], "left")
+    rows = joined.select("project_id", "photo_id", *kinds, has_gps.alias("has_gps"), entries.alias("entries"))
+    values = counted_values(rows)
+
+    month, bound = F.col("held").try_cast("int"), _month(value.try_cast("timestamp")).try_cast("int")
+    may = F.when(op == "eq", month == bound).when(op.isin("gt", "gte"), month >= bound).when(op.isin("lt", "lte"), month <= bound).otherwise(F.col("held") != "")
+    for field, kind in kinds.items():
+        if field not in _TIMES:
+            may = F.when(F.col("kind") == field, compare(F.col("held").try_cast(kind), kind)).otherwise(may)
+    may = F.when(F.col("kind") == "has_gps", gps_held(F.col("held") == "true")).otherwise(may)
+    counts = F.when(F.col("field") == "has_gps", op.isin("eq", "ne")).otherwise(F.col("field").isin(*kinds) & op.isin(*operators))
+    tested = clauses.where(counts).withColumn("kind", F.col("field")).join(values, ["project_id", "kind"]).where(may)
+    everything = clauses.select(*REQUEST).distinct().withColumn("kind", F.lit("created_at")).join(values, ["project_id", "kind"])
+    choices = tested.select(*REQUEST, F.concat_ws(" ", "field", "op", "value").alias("choice"), "kind", "held").union(everything.select(*REQUEST, F.lit("").alias("choice"), "kind", "held"))
+
+    met = F.when((F.col("field") == "has_gps") & op.isin("eq", "ne"), gps_held(F.col("has_gps"))).otherwise(F.lit(True))
     for field, kind in kinds.items():
         met = F.when(F.col("field") == field, compare(F.col(field).cast(kind), kind)).otherwise(met)
-    return rows.join(clauses, "project_id").groupBy(*KEYS).agg(F.every(met).alias("met")).where("met").select(*KEYS)
+    return narrowed(rows, values, choices).join(clauses, REQUEST).groupBy(*KEYS).agg(F.every(met).alias("met")).where("met").select(*KEYS)
 
 
 def face_filter(queries: DataFrame, faces: DataFrame, assignments: DataFrame, persons: DataFrame) -> DataFrame:
@@ -118,7 +220,9 @@ def face_count_filter(queries: DataFrame, faces: DataFrame) -> DataFrame:
     """Photos whose number of faces that did not fail lies in the request's [face_min, face_max]; at least one face."""
     counts = faces.where("status <> 'failed'").groupBy("project_id", "photo_id").agg(F.count("*").alias("n"))
     inside = (F.col("n") >= F.coalesce("face_min", F.lit(1))) & (F.col("face_max").isNull() | (F.col("n") <= F.col("face_max")))
-    return counts.join(queries.select("project_id", "query_id", "face_min", "face_max"), "project_id").where(inside).select(*KEYS)
+    # Requests meet the different numbers first, then photos by their number.
+    fit = counts.select("project_id", "n").distinct().join(queries.select(*REQUEST, "face_min", "face_max"), "project_id").where(inside).select(*REQUEST, "n")
+    return counts.join(fit, ["project_id", "n"]).select(*KEYS)
 
 
 def intersect(sets: list[DataFrame], active: list[DataFrame]) -> DataFrame:
@@ -238,12 +342,17 @@ def people_visual_recall(queries: DataFrame, photos: DataFrame, analysis: DataFr
     none = F.array().cast("array<string>")
     asked = _asked(queries, "people_min", "people_terms", "facet_terms").select(*REQUEST, "people_min", F.coalesce(F.col("people_terms").cast("array<string>"), none).alias("terms"), F.coalesce(F.col("facet_terms").cast("array<string>"), none).alias("facets"))
     facets = F.coalesce("semantic_facets", none) if "semantic_facets" in analysis.columns else none
-    own = analysis.select("project_id", "photo_id", "people_count", "search_keywords", "activity_tags", F.concat("semantic_concepts", "search_keywords", "activity_tags").alias("own"), facets.alias("own_facets"))
-    rows = live(photos).select("project_id", "photo_id").join(own, ["project_id", "photo_id"]).join(asked, "project_id")
-    enough = F.coalesce(F.col("people_count") >= F.col("people_min"), F.lit(False))
+    tags = F.array_distinct(F.flatten(F.array(*(F.coalesce(c, none) for c in ("semantic_concepts", "search_keywords", "activity_tags")))))
     group = F.arrays_overlap("search_keywords", F.array(*map(F.lit, GROUP_KEYWORDS))) | F.arrays_overlap("activity_tags", F.array(*map(F.lit, GROUP_ACTIVITIES)))
-    hits = F.concat(F.array_intersect("terms", "own"), F.array_intersect("facets", "own_facets"), F.when(enough, F.array(F.concat(F.lit("people_count>="), F.col("people_min").cast("string")))).otherwise(none))
-    found = rows.where(enough | F.coalesce(group, F.lit(False))).select(*KEYS, F.array_distinct(hits).alias("hits")).where("size(hits) > 0")
+    entry = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), t.cast("string").alias("value"))
+    entries = F.concat(F.transform(tags, entry("tag")), F.transform(F.array_distinct(facets), entry("facet")), F.array(entry("people")(F.col("people_count"))))
+    own = analysis.select("project_id", "photo_id", F.coalesce(group, F.lit(False)).alias("in_group"), F.inline(entries))
+    # Terms, facets and numbers of people meet by equality; a least number stands for the different ones from it on.
+    numbers = own.where("kind = 'people' AND value IS NOT NULL").select("project_id", "value").distinct()
+    enough = asked.join(numbers, "project_id").where(F.col("value").cast("double") >= F.col("people_min")).select(*REQUEST, F.lit("people").alias("kind"), "value", F.concat(F.lit("people_count>="), F.col("people_min").cast("string")).alias("hit"))
+    words = asked.select(*REQUEST, F.inline(F.array_distinct(F.concat(F.transform("terms", entry("tag")), F.transform("facets", entry("facet")))))).withColumn("hit", F.col("value"))
+    met = own.join(words.union(enough), ["project_id", "kind", "value"]).groupBy(*KEYS).agg(F.bool_or(F.col("in_group") | (F.col("kind") == "people")).alias("shown"), F.collect_set("hit").alias("hits"))
+    found = met.where("shown").join(live(photos).select("project_id", "photo_id"), ["project_id", "photo_id"]).select(*KEYS, "hits")
     scored = found.select(*KEYS, F.round(F.least(F.lit(1.0), 0.2 + 0.2 * F.size("hits")), 6).alias("score"), F.array(F.lit("strong")).alias("tiers"), F.sort_array(_tagged("strong", F.col("hits"))).alias("term_hits"))
     return ranked(scored, k, F.desc("score"), "photo_id").select(*KEYS, "score", "tiers", "term_hits", F.lit(0).cast("bigint").alias("negative_hits"), F.lit(False).alias("weak_field"), "rank")
 
@@ -272,7 +381,8 @@ def people_modes(queries: DataFrame, resolved: DataFrame, soft_terms: list[str]
 def resolve_people(queries: DataFrame, persons: DataFrame, terms: Column) -> DataFrame:
     """(project_id, query_id, person_id, term): persons with a search term that the request's text contains; their longest."""
     known = persons.select("project_id", F.col("id").alias("person_id"), F.explode(terms).alias("term")).where("length(term) > 0")
-    found = queries.select("project_id", "query_id", F.lower("text").alias("text")).join(known, "project_id").where(F.col("text").contains(F.col("term")))
+    asked = queries.select(*REQUEST, F.lower("text").alias("text"))
+    found = parts_within(asked, "text", known.select("project_id", F.col("term").alias("part")), ("project_id",)).withColumnRenamed("part", "term").join(known, ["project_id", "term"])
     return ranked(found, 1, F.desc(F.length("term")), "term", by=("project_id", "query_id", "person_id")).select("project_id", "query_id", "person_id", "term")
 
 
@@ -436,11 +546,13 @@ def result_page(rows: DataFrame, photos: DataFrame, page: int, size: int, sorts:
 
 def known_places(queries: DataFrame, photos: DataFrame, checked: bool = False) -> DataFrame:
     """Whether a request's ``place`` is contained in a place name of its project (six columns); names are made distinct first. With
-    ``checked`` only texts of 2 to 12 characters without digits and white space can be one."""
+    ``checked`` only texts of 2 to 12 characters without digits and white space can be one. A null or blank place is none."""
     names = live(photos).select("project_id", F.explode(F.array_compact(F.array(*(F.lower(c) for c in PLACE_COLUMNS)))).alias("name")).distinct()
     asked = queries.select(*REQUEST, "place")
     possible = F.length(F.trim("place")).between(2, 12) & ~F.trim("place").rlike(r"[\d\s]") if checked else F.lit(True)
-    hit = asked.where(possible).join(names, "project_id").where(F.col("name").contains(F.lower(F.trim("place")))).select(*REQUEST).distinct().withColumn("is_place", F.lit(True))
+    part = F.lower(F.trim("place"))
+    met = parts_within(names, "name", asked.where(possible).select("project_id", part.alias("part")), ("project_id",)).select("project_id", "part").distinct()
+    hit = asked.where(possible).withColumn("part", part).join(met, ["project_id", "part"]).select(*REQUEST).distinct().withColumn("is_place", F.lit(True))
     return asked.join(hit, REQUEST, "left").select(*REQUEST, F.coalesce("is_place", F.lit(False)).alias("is_place"))
 
 

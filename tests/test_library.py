@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shoebox.functions import terms
 from shoebox.operators import browse, cleanup, ingest, people, search, vectors
 
 PHOTO = "id bigint, project_id bigint, taken_at timestamp, created_at timestamp, folder_path string, status string, deleted_at timestamp, file_hash string, file_name string"
@@ -565,3 +566,91 @@ def test_aliases_are_found_in_captions(spark):
     related = spark.createDataFrame([("cat", "animal")], "entity string, concept string")
     found = {r["photo_id"]: (r["entities"], r["concepts"]) for r in ingest.concepts(texts, aliases, related).collect()}
     assert found == {1: (["cat"], ["animal"]), 2: (["cat"], ["animal"]), 3: ([], ["people", "portrait"])}
+
+
+def test_parts_within_equal_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda low, high: "".join(rng.choice("abé ") for _ in range(rng.randint(low, high)))
+    texts = [(i, g, None if i % 11 == 0 else word(0, 12)) for i in range(60) for g in (1, 2)] + [(900, 1, "ab " * 5000), (901, 1, "ab"), (901, 1, "ab")]
+    parts = [(rng.choice((1, 2)), word(0, 5)) for _ in range(40)] + [(1, None), (1, ""), (1, "ab"), (1, "ab")]
+    found = terms.parts_within(spark.createDataFrame(texts, "id int, g int, t string"), "t", spark.createDataFrame(parts, "g int, part string"), ("g",))
+    want = [(i, g, t, p) for i, g, t in texts for h, p in set(parts) if g == h and p and t and p in t]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert found.columns == ["id", "g", "t", "part"]
+    assert terms.parts_within(spark.createDataFrame([], "t string"), "t", spark.createDataFrame([("a",)], "part string")).isEmpty()
+
+
+def asked_photos(spark, rng, n=150):
+    """Photos with nulls in every column that requests ask for, most of them in one month."""
+    some = lambda *x: rng.choice((None, *x))
+    day = lambda: None if rng.random() < 0.1 else datetime(2026, 3, rng.randint(1, 31), 5) if rng.random() < 0.6 else datetime(rng.randint(2023, 2026), rng.randint(1, 12), rng.choice((1, 28)))
+    places = ", ".join(f"{c} string" for c in search.PLACE_COLUMNS)
+    rows = [(i, rng.randint(1, 2), day(), day(), datetime(2026, 1, 1) if i % 9 == 0 else None, some(0, 50, 100, 400, 6400), some("Canon", "NIKON", ""), some("EOS", "canon Z"), some(1.0), some(2.0), *(some("Rome", "Old Rome", "Oslo") for _ in search.PLACE_COLUMNS)) for i in range(n)]
+    return spark.createDataFrame(rows, f"id bigint, project_id bigint, taken_at timestamp, created_at timestamp, deleted_at timestamp, iso int, camera_make string, camera_model string, gps_latitude double, gps_longitude double, {places}"), rows
+
+
+def test_metadata_requests_equal_brute_force(spark):
+    rng = random.Random(8)
+    table, rows = asked_photos(spark, rng)
+    some = lambda *x: rng.choice((None, None, *x))
+    asked = [(1 + i % 2, i, some(2024, 2026), some(3, 12), some([], [1, 3]), some(datetime(2026, 3, 9), datetime(2024, 1, 1)), some(datetime(2026, 3, 20), datetime(2024, 12, 28)), some(True, False), some(60, 400), some(100, 9000), some("can", "nikon", ""), some("EOS", "can"), some(["rome"], ["old", "oslo"], [], [""], ["none"])) for i in range(120)]
+    queries = spark.createDataFrame(asked, "project_id bigint, query_id int, year int, month int, months array<int>, date_from timestamp, date_to timestamp, needs_gps boolean, iso_min int, iso_max int, camera_make string, camera_model string, place_terms array<string>")
+    found = {(r["query_id"], r["photo_id"]) for r in search.metadata_recall(queries, table).collect()}
+    holds = lambda text, part: text is not None and part.lower() in text.lower()
+
+    def wants(q, r):
+        project, _, year, month, months, first, end, gps, low, high, make, model, words = q
+        own, taken, deleted, iso, by, of, places = r[1], r[2], r[4], r[5], r[6], r[7], r[10:]
+        if own != project or deleted:
+            return False
+        if first or end:
+            timely = taken and (not first or taken >= first) and (not end or taken < end)
+        elif year or month:
+            timely = taken and year in (None, taken.year) and month in (None, taken.month)
+        else:
+            timely = not months or taken and taken.month in months
+        cameras = [holds(x, y) for x, y in ((by, make), (of, model)) if y is not None]
+        fits = timely and gps in (None, r[8] is not None and r[9] is not None) and (low is None or iso is not None and iso >= low) and (high is None or iso is not None and iso <= high)
+        return fits and (not cameras or any(cameras)) and all(any(holds(p, w) for p in places) for w in words or [])
+
+    want = {(q[1], r[0]) for q in asked for r in rows if wants(q, r)}
+    assert found == want and len(want) > 300
+
+
+def test_structured_requests_equal_brute_force(spark):
+    rng = random.Random(9)
+    table, rows = asked_photos(spark, rng)
+    counts = {(r[1], r[0]): rng.choice((None, 0, 1, 5)) for r in rows if r[0] % 4}
+    analysis = spark.createDataFrame([(p, i, n) for (p, i), n in counts.items()], "project_id bigint, photo_id bigint, people_count int")
+    values = {"people_count": ("1", "5", "x"), "iso": ("100", "400", "50,400"), "taken_at": ("2026-03-09", "2025-01-01"), "created_at": ("2026-03-20",), "camera_make": ("canon", "Canon", "NIKON, Canon"), "camera_model": ("z", "EOS"), "has_gps": ("true", "false", "?"), "other": ("1",)}
+    clauses = [(1 + i % 2, i, f := rng.choice(list(values)), rng.choice(("eq", "ne", "gt", "gte", "lt", "lte", "contains", "in", "near")), rng.choice(values[f])) for i in range(100) for _ in range(rng.randint(1, 3))]
+    found = search.structured_filter(spark.createDataFrame(clauses, "project_id bigint, query_id int, field string, op string, value string"), table, analysis)
+    kinds = {"people_count": float, "iso": float, "taken_at": datetime.fromisoformat, "created_at": datetime.fromisoformat, "camera_make": str, "camera_model": str}
+
+    def cast(kind, text):
+        try:
+            return kind(text)
+        except ValueError:
+            return None
+
+    def holds(r, field, op, value):
+        if field == "has_gps":
+            want = {"true": True, "false": False}.get(value)
+            return op not in ("eq", "ne") or want is None or ((r[8] is not None and r[9] is not None) == want) == (op == "eq")
+        if field not in kinds or op == "near":
+            return True
+        own = {"people_count": counts.get((r[1], r[0])), "iso": r[5], "taken_at": r[2], "created_at": r[3], "camera_make": r[6], "camera_model": r[7]}[field]
+        if own is None:
+            return False
+        if op == "contains":
+            return value.lower() in (str(float(own)) if kinds[field] is float else str(own)).lower()
+        if op == "in":
+            return any(cast(kinds[field], v.strip()) == own for v in value.split(","))
+        v = cast(kinds[field], value)
+        return v is not None and {"eq": own == v, "ne": own != v, "gt": own > v, "gte": own >= v, "lt": own < v, "lte": own <= v}[op]
+
+    asked = {}
+    for project, query, *clause in clauses:
+        asked.setdefault((project, query), []).append(clause)
+    want = {(p, q, r[0]) for (p, q), own in asked.items() for r in rows if r[1] == p and not r[4] and all(holds(r, *c) for c in own)}
+    assert {tuple(r) for r in found.select("project_id", "query_id", "photo_id").collect()} == want and len(want) > 300
