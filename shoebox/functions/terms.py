@@ -69,10 +69,11 @@ def text_index(rows: DataFrame) -> TextIndex:
     return TextIndex(slots.union(_slots(rows, joined=True)), postings, written(postings.select("word").distinct()))
 
 
-def _grams(text: Column) -> Column:
-    """Grams of up to ``GRAM`` characters that can meet a part of that length or, if it is longer, its own grams."""
-    at = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.array(*(at(n) for n in range(1, GRAM + 1)))))
+def _grams(text: Column, sizes: list[int] | None = None) -> Column:
+    """Grams of ``sizes`` characters (up to ``GRAM``) that can meet a part of that length or, if it is longer, its own grams; one pass
+    over the text for each size, however long it is."""
+    every = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes or range(1, GRAM + 1)]
+    return F.array_distinct(F.concat(*every))
 
 
 def _meeting(words: DataFrame, parts: DataFrame) -> DataFrame:
@@ -98,7 +99,11 @@ def parts_within(rows: DataFrame, text: str, parts: DataFrame, by: tuple[str, ..
     asked = written(parts.where("part <> ''").select(*by, "part").distinct())
     own = F.when(F.length("part") < GRAM, F.array("part")).otherwise(F.transform(F.sequence(F.lit(1), F.length("part") - (GRAM - 1)), lambda i: F.substring("part", i, F.lit(GRAM))))
     grams = asked.select(*by, "part", F.explode(F.array_distinct(own)).alias("gram"))
-    texts = marked.select(*keys, F.col(text).alias("text")).distinct().select(*keys, F.explode(_grams(F.col("text"))).alias("gram"))
+    sizes = [r[0] for r in asked.select(F.least(F.length("part"), F.lit(GRAM))).distinct().collect()]
+    if not sizes:
+        return marked.where("false").select(*rows.columns, F.col(text).alias("part"))
+    # Different texts are cut once, however many rows hold them.
+    texts = marked.select(*keys, F.col(text).alias("text")).distinct().select(*keys, F.explode(_grams(F.col("text"), sizes)).alias("gram"))
     met = written(texts.join(grams.select(*by, "gram").distinct(), [*by, "gram"], "left_semi"))
     counts = met.groupBy(*by, "gram").agg(F.count("*").alias("n"))
     rarest = grams.join(counts, [*by, "gram"], "left").groupBy(*by, "part").agg(F.count_if(F.col("n").isNull()).alias("absent"), F.min_by("gram", F.struct("n", "gram")).alias("gram")).where("absent = 0")

@@ -76,9 +76,12 @@ def narrowed(rows: DataFrame, values: DataFrame, choices: DataFrame) -> DataFram
     listed = written(choices.distinct())
     sizes = listed.join(values, ["project_id", "kind", "held"]).groupBy(*REQUEST, "choice").agg(F.sum("n").alias("n"))
     best = sizes.groupBy(*REQUEST).agg(F.min_by("choice", F.struct("n", "choice")).alias("choice"))
-    keys = listed.join(best, [*REQUEST, "choice"]).select(*REQUEST, "kind", F.col("held").alias("value"))
+    keys = written(listed.join(best, [*REQUEST, "choice"]).select(*REQUEST, "kind", F.col("held").alias("value")))
     own = [c for c in rows.columns if c not in ("entries", "project_id")]
-    return rows.select("project_id", *own, F.inline("entries")).join(keys, ["project_id", "kind", "value"]).select(*REQUEST, *own)
+    # Rows go on with their values of the kinds that some request chose, a handful at most.
+    kinds = [r[0] for r in keys.select("kind").distinct().collect()]
+    entries = F.filter("entries", lambda e: e["kind"].isin(*kinds))
+    return rows.select("project_id", *own, F.inline(entries)).join(keys, ["project_id", "kind", "value"]).select(*REQUEST, *own)
 
 
 def metadata_recall(queries: DataFrame, photos: DataFrame, k: int = 5000) -> DataFrame:
