@@ -549,6 +549,56 @@ def merged_assignments(assignments: DataFrame, pairs: DataFrame, cannot_links: D
     return stay.union(moved.select("project_id", "face_id", "person_id", "s_id", "s_status", F.lit("human_merge")))
 
 
+def merge_paths(merges: DataFrame) -> DataFrame:
+    """(project_id, person_id, steps): the merges (project_id, seq, source_id, target_id) that open faces of a source pass through, in
+    order: the first merge of the person, then the first later one of its target, and so on; cycles end with the batch.
+
+    Pointers to the next merge are doubled, so a chain of n merges takes log2(n) rounds. A path is as long as its chain.
+    """
+    key = ["project_id", "seq"]
+    event = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("person_id"))
+    seen = merges.select(*key, "source_id", "target_id", F.inline(F.array(event("source"), event("target"))))
+    later = Window.partitionBy("project_id", "person_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    following = seen.withColumn("next", F.first(F.when(F.col("kind") == "source", F.col("seq")), ignorenulls=True).over(later)).where("kind = 'target'")
+    nodes = written(following.select(*key, "next", F.array(F.struct("seq", "source_id", "target_id")).alias("steps")))
+    while not nodes.where("next IS NOT NULL").isEmpty():
+        ahead = nodes.select("project_id", F.col("seq").alias("next"), F.col("next").alias("further"), F.col("steps").alias("rest"))
+        joined = nodes.join(ahead, ["project_id", "next"], "left")
+        nodes = written(joined.select(*key, F.col("further").alias("next"), F.concat("steps", F.coalesce("rest", F.expr("slice(steps, 1, 0)"))).alias("steps")))
+    first = merges.groupBy("project_id", F.col("source_id").alias("person_id")).agg(F.min("seq").alias("seq"))
+    return first.join(nodes, key).select("project_id", "person_id", "steps")
+
+
+def merged_in_order(assignments: DataFrame, merges: DataFrame, cannot_links: DataFrame) -> DataFrame:
+    """Assignments after a batch of merges (project_id, seq, source_id, target_id), one after the other by ``seq``, which is unique in a
+    project: persons may be in any number of them, also in chains and cycles.
+
+    Each merge does what ``merged_assignments`` says with the faces that its source has by then. A merge of persons with a cannot-link, or of
+    a person with itself, is left out. A face's few assignments are folded over the merges that they pass; others are only passed on.
+    """
+    links = cannot_links.select("project_id", F.col("person_a").alias("a"), F.col("person_b").alias("b")).distinct()
+    marked = merges.where("source_id <> target_id").select("project_id", "seq", "source_id", "target_id", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"))
+    paths = merge_paths(written(marked.join(links, ["project_id", "a", "b"], "left_anti").select("project_id", "seq", "source_id", "target_id")))
+    columns = ["project_id", "face_id", "person_id", "id", "assignment_status", "assignment_source"]
+    source = F.col("assignment_source") if "assignment_source" in assignments.columns else F.lit(None).cast("string")
+    rows = assignments.withColumn("assignment_source", source).select(*columns)
+    open_ = rows.where("assignment_status <> 'rejected'").select("project_id", "face_id", "person_id")
+    passed = open_.join(paths, ["project_id", "person_id"]).groupBy("project_id", "face_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("steps")))).alias("steps"))
+    held = rows.groupBy("project_id", "face_id").agg(F.collect_list(F.struct("person_id", "id", "assignment_status", "assignment_source")).alias("held"))
+    folded = held.join(passed, ["project_id", "face_id"], "left")
+
+    def merged(held: Column, step: Column) -> Column:
+        moves = lambda x: (x["person_id"] == step["source_id"]) & (x["assignment_status"] != "rejected")
+        given = F.element_at(F.filter(held, moves), 1)["assignment_status"]
+        moved = lambda x: F.when(moves(x), x.withField("person_id", step["target_id"]).withField("assignment_source", F.lit("human_merge"))).otherwise(x)
+        revived = lambda x: F.when((x["person_id"] == step["target_id"]) & (x["assignment_status"] == "rejected"), x.withField("assignment_status", given).withField("assignment_source", F.lit("human_merge"))).otherwise(x)
+        taken = F.exists(held, lambda x: x["person_id"] == step["target_id"])
+        return F.when(~F.exists(held, moves), held).when(taken, F.transform(F.filter(held, lambda x: ~moves(x)), revived)).otherwise(F.transform(held, moved))
+
+    after = F.when(F.col("steps").isNull(), F.col("held")).otherwise(F.aggregate("steps", F.col("held"), merged))
+    return folded.select("project_id", "face_id", F.inline(after)).select(*columns)
+
+
 def merged_representatives(persons: DataFrame, pairs: DataFrame) -> DataFrame:
     """(project_id, id, representative) after merges: the target's own, else the source's, which has none any more."""
     source = pairs.select("project_id", F.col("source_id").alias("id"), F.lit(True).alias("gone"))

@@ -313,6 +313,33 @@ def ppl12_merged_tables(assignments: DataFrame) -> DataFrame:
     return people.merged_assignments(assignments, *_pairs(assignments))
 
 
+#: Merges of persons by the last digit of their ids, in order: a chain, a cycle and a target met three times; (6, 8) is barred.
+_CHAIN = ((0, 1), (4, 5), (6, 8), (1, 2), (5, 4), (2, 3), (7, 3), (9, 3), (3, 0))
+
+
+def _merged_step(n: int, source: int, target: int) -> str:
+    """SQL of the ``n``-th merge over the assignments a{n-1}."""
+    return f"""o{n} AS (SELECT *, person_id + {target - source} AS target_id FROM a{n - 1} WHERE person_id % 10 = {source} AND assignment_status <> 'rejected'),
+a{n} AS (SELECT a.project_id, a.face_id, a.person_id, a.id, CASE WHEN o.id IS NOT NULL AND a.assignment_status = 'rejected' THEN o.assignment_status ELSE a.assignment_status END AS assignment_status, CASE WHEN o.id IS NOT NULL AND a.assignment_status = 'rejected' THEN 'human_merge' ELSE a.assignment_source END AS assignment_source
+  FROM a{n - 1} a LEFT JOIN o{n} o ON o.project_id = a.project_id AND o.face_id = a.face_id AND o.target_id = a.person_id WHERE NOT EXISTS (FROM o{n} x WHERE x.project_id = a.project_id AND x.id = a.id)
+  UNION ALL SELECT project_id, face_id, target_id, id, assignment_status, 'human_merge' FROM o{n} o WHERE NOT EXISTS (FROM a{n - 1} a WHERE a.project_id = o.project_id AND a.face_id = o.face_id AND a.person_id = o.target_id))"""
+
+
+_OPEN_CHAIN = [pair for pair in _CHAIN if pair != (6, 8)]
+
+
+@query(
+    ", a0 AS (SELECT project_id, face_id, person_id, id, assignment_status, CAST(NULL AS STRING) AS assignment_source FROM assignments), " + ", ".join(_merged_step(n, *pair) for n, pair in enumerate(_OPEN_CHAIN, 1)) + f" SELECT * FROM a{len(_OPEN_CHAIN)}",
+    "assignments",
+)
+def ppl12_merge_chains(assignments: DataFrame) -> DataFrame:
+    steps = F.array(*(F.struct(F.lit(n).alias("seq"), F.lit(s).alias("s"), F.lit(t).alias("t")) for n, (s, t) in enumerate(_CHAIN)))
+    base = F.col("person_id") - F.col("person_id") % 10
+    merges = assignments.select("project_id", base.alias("base")).distinct().select("project_id", "base", F.inline(steps)).select("project_id", (F.col("base") + F.col("seq")).alias("seq"), (F.col("base") + F.col("s")).alias("source_id"), (F.col("base") + F.col("t")).alias("target_id"))
+    barred = merges.where("source_id % 10 = 6").select("project_id", F.col("source_id").alias("person_a"), F.col("target_id").alias("person_b"))
+    return people.merged_in_order(assignments, merges, barred)
+
+
 @query(
     """, pa AS (SELECT DISTINCT project_id, person_id AS source_id, person_id + 1 AS target_id FROM assignments WHERE person_id % 2 = 0), r AS (SELECT project_id, id, CASE WHEN id % 4 <> 1 THEN id * 10 END AS rep FROM persons)
 SELECT r.project_id, r.id, CASE WHEN EXISTS (FROM pa WHERE pa.project_id = r.project_id AND pa.source_id = r.id) THEN NULL ELSE coalesce(r.rep, g.rep) END AS representative FROM r LEFT JOIN pa ON pa.project_id = r.project_id AND pa.target_id = r.id LEFT JOIN r g ON g.project_id = pa.project_id AND g.id = pa.source_id""",

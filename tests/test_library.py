@@ -654,3 +654,31 @@ def test_structured_requests_equal_brute_force(spark):
         asked.setdefault((project, query), []).append(clause)
     want = {(p, q, r[0]) for (p, q), own in asked.items() for r in rows if r[1] == p and not r[4] and all(holds(r, *c) for c in own)}
     assert {tuple(r) for r in found.select("project_id", "query_id", "photo_id").collect()} == want and len(want) > 300
+
+
+def test_merges_in_order_equal_one_after_the_other(spark):
+    rng = random.Random(12)
+    rows, merges, links = [], [], set()
+    for project in (1, 2):
+        pairs = sorted({(f, p) for f in range(30) for p in rng.sample(range(8), rng.randint(1, 4))})
+        rows += [(project, f, p, 1000 * project + n, rng.choice(("rejected", "auto_assigned", "human_confirmed")), None) for n, (f, p) in enumerate(pairs)]
+        merges += [(project, n, rng.randrange(9), rng.randrange(9)) for n in range(14)] + [(project, 100 + n, 20 + n, 21 + n) for n in range(40)]
+        rows += [(project, 99, 20, 1000 * project + 999, "auto_assigned", None)]
+        links |= {(project, 0, 1), (project, 2, 5)}
+    held = {r[:3]: list(r[3:]) for r in rows}
+    for project, _, s, t in sorted(merges):
+        if s == t or (project, min(s, t), max(s, t)) in links:
+            continue
+        for face in {f for p, f, who in held if (p, who) == (project, s) and held[p, f, who][1] != "rejected"}:
+            own, other = held.pop((project, face, s)), held.get((project, face, t))
+            if other is None:
+                held[project, face, t] = [*own[:2], "human_merge"]
+            elif other[1] == "rejected":
+                other[1:] = [own[1], "human_merge"]
+    table = spark.createDataFrame(rows, "project_id bigint, face_id int, person_id int, id bigint, assignment_status string, assignment_source string")
+    asked = spark.createDataFrame(merges, "project_id bigint, seq int, source_id int, target_id int")
+    found = people.merged_in_order(table, asked, spark.createDataFrame(sorted(links), "project_id bigint, person_a int, person_b int"))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(((*k, *v) for k, v in held.items()), key=repr)
+    assert (1, 99, 60) in held
+    none = people.merged_in_order(table, asked.limit(0), spark.createDataFrame([], "project_id bigint, person_a int, person_b int"))
+    assert sorted(map(tuple, none.collect()), key=repr) == sorted(rows, key=repr)
