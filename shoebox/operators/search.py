@@ -28,6 +28,10 @@ STRICT, NORMAL, FAINT = 0.42, 0.32, 0.25
 #: Least scores of a request for one kind of thing when only vectors speak for a photo: all fields, tags, caption.
 ENTITY_LEAST, ENTITY_TAG, ENTITY_CAPTION = 0.62, 0.62, 0.58
 ANIMAL_FLOOR = 0.65
+# Terms that speak for and against an indoor photo, and scenes that only hint at animals, where a request names none.
+INDOOR_POSITIVE = ("室内", "屋内", "室内场景", "房间", "客厅", "卧室", "厨房", "indoor", "interior")
+INDOOR_NEGATIVE = ("户外", "室外", "自然", "风景", "outdoor", "outside", "landscape", "exterior")
+ANIMAL_SCENES = ("动物园", "宠物店")
 # Activities whose words name animals but that are no search for animals, and tags of group photos.
 ANIMAL_ACTIVITIES = ("钓鱼", "垂钓", "捕鱼", "捞鱼", "摸鱼", "骑马", "赛马", "驯马", "马术", "斗鸡", "放鸟", "牧羊")
 GROUP_KEYWORDS, GROUP_ACTIVITIES = ("合照", "合影", "多人"), ("合影", "合照")
@@ -305,28 +309,31 @@ def _tagged(tier: str, terms: Column) -> Column:
     return F.transform(terms, lambda t: F.concat(F.lit(f"{tier}:"), t))
 
 
-def concept_recall(queries: DataFrame, photos: DataFrame, analysis: DataFrame, k: int, scan: int | None = None) -> DataFrame:
+def concept_recall(queries: DataFrame, photos: DataFrame, analysis: DataFrame, k: int, scan: int | None = None, legacy: bool = False) -> DataFrame:
     """Photos with a concept (semantic_concepts), an entity (object_tags, search_keywords) or, if a request has neither kind of term,
     a facet (semantic_facets) of a request: the mean of the coverages of the kinds it has terms of, 0 for facets alone.
 
     A request of intent animal_search with entities gives a photo with only concepts 0.3 of its score and the tier weak, else the tier is
-    strong. With ``scan`` only the newest so many candidates are scored.
+    strong. With ``scan`` only the newest so many candidates, by their analysis, are scored. Concepts and entities of the raw answer
+    (raw_concepts, raw_entities), if ``analysis`` has them, add to the hits of photos with a hit in the columns, and find none alone.
+    Requests of contract 2 get nothing unless ``legacy``.
     """
     none = F.array().cast("array<string>")
     kinds = {"c": "concept_terms", "e": "entity_terms", "f": "facet_terms"}
-    asked = _asked(queries, *kinds.values(), "intent").select(*REQUEST, "intent", *(F.array_distinct(F.filter(F.coalesce(F.col(c).cast("array<string>"), none), lambda t: F.trim(t) != "")).alias(c) for c in kinds.values()))
+    asked = _asked(queries, *kinds.values(), "intent", "contract").where(F.lit(legacy) | (F.coalesce(F.col("contract").cast("string"), F.lit("1")) != "2")).select(*REQUEST, "intent", *(F.array_distinct(F.filter(F.coalesce(F.col(c).cast("array<string>"), none), lambda t: F.trim(t) != "")).alias(c) for c in kinds.values()))
     facets = F.coalesce("semantic_facets", none) if "semantic_facets" in analysis.columns else none
     entry = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term"))
-    own = F.array_distinct(F.concat(*(F.transform(F.coalesce(c, none), entry(k)) for k, c in (("c", "semantic_concepts"), ("e", F.concat("object_tags", "search_keywords")), ("f", facets)))))
+    own = F.array_distinct(F.concat(*(F.transform(F.coalesce(c, none), entry(k)) for k, c in (("c", "semantic_concepts"), ("e", F.concat("object_tags", "search_keywords")), ("f", facets))), *(F.transform(F.transform(F.coalesce(raw, none), lambda t: F.trim(t)), entry(k)) for k, raw in (("raw_c", "raw_concepts"), ("raw_e", "raw_entities")) if raw in analysis.columns)))
     # Elements meet the terms of requests by equality; only photos with a hit go on.
-    wanted = asked.select(*REQUEST, F.inline(F.concat(*(F.transform(c, entry(k)) for k, c in kinds.items()))))
+    wanted = asked.select(*REQUEST, F.inline(F.concat(*(F.transform(c, entry(k)) for k, c in (*kinds.items(), ("raw_c", "concept_terms"), ("raw_e", "entity_terms"))))))
     hits = analysis.select("project_id", "photo_id", F.inline(own)).join(wanted, ["project_id", "kind", "term"])
-    sets = hits.groupBy(*KEYS).agg(*(F.collect_set(F.when(F.col("kind") == k, F.col("term"))).alias(k) for k in kinds))
-    rows = sets.join(live(photos).select("project_id", "photo_id", "created_at"), ["project_id", "photo_id"]).join(asked, REQUEST)
+    sets = hits.groupBy(*KEYS).agg(*(F.collect_set(F.when(F.col("kind").isin(k, f"raw_{k}"), F.col("term"))).alias(k) for k in kinds), F.bool_or(F.col("kind").isin("c", "e")).alias("in_columns"))
+    rows = sets.join(live(photos).select("project_id", "photo_id"), ["project_id", "photo_id"]).join(asked, REQUEST)
     bare = (F.size("concept_terms") == 0) & (F.size("entity_terms") == 0)
-    rows = rows.where((F.size("c") > 0) | (F.size("e") > 0) | bare)
+    rows = rows.where(F.col("in_columns") | bare)
     if scan is not None:
-        rows = ranked(rows, scan, F.desc("created_at"), F.desc("photo_id")).drop("rank")
+        times = [c for c in ("updated_at", "created_at") if c in analysis.columns]
+        rows = ranked(rows.join(analysis.select("project_id", "photo_id", *times), ["project_id", "photo_id"]), scan, *(F.desc_nulls_last(c) for c in times), F.desc("photo_id")).drop("rank", *times)
     cover = lambda hit, want: F.when(F.size(want) > 0, F.size(hit) / F.size(want))
     parts = F.array_compact(F.array(cover("c", "concept_terms"), cover("e", "entity_terms")))
     mean = F.when(F.size(parts) > 0, F.round(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) / F.size(parts), 6)).otherwise(0.0)
@@ -588,19 +595,24 @@ def facet_filter(rows: DataFrame, analysis: DataFrame, queries: DataFrame, allow
     """(project_id, query_id, photo_id, passes, reason): whether a row has evidence of its request's ``facet`` (night, indoor, animal; null
     or another, and requests of contract 2: none asked).
 
-    ``positive_terms`` and ``negative_terms`` (animal: entities, and scenes that hint at animals only) are looked for in the facet's fields. A
-    high vector score decides first, then the texts; with both kinds of terms only rows of level A or B pass. ``require`` makes night
+    ``positive_terms`` and ``negative_terms`` (animal: entities, and scenes that hint at animals only) are looked for in the facet's fields;
+    indoor requests without them take ``INDOOR_POSITIVE`` and ``INDOOR_NEGATIVE``, animal ones without scenes ``ANIMAL_SCENES``. Words met in
+    file names (``file_name_hits`` of ``rows``) speak for and against indoor photos, the raw answer's animals (``raw_animals`` of ``analysis``)
+    are entities; both columns may be missing. A high vector score decides first, then the texts; with both kinds of terms only rows of level A or B pass. ``require`` makes night
     want positive evidence.
     """
     low = lambda *columns: F.lower(F.concat_ws(" ", *columns))
     texts = analysis.select(
         "project_id", "photo_id", low("caption", "ocr_text", "scene_tags", "object_tags", "activity_tags", "search_keywords", "location_clues").alias("night_text"),
         low("caption", "scene_tags", "object_tags", "activity_tags").alias("indoor_rich"), low("search_keywords", "location_clues").alias("indoor_weak"), low("caption").alias("caption_text"), low("semantic_concepts").alias("concept_text"),
-        F.transform(F.concat("object_tags", "search_keywords"), F.lower).alias("entity_tags"), low("scene_tags", "location_clues").alias("scene_text"),
+        F.transform(F.array_compact(F.flatten(F.array(*(F.coalesce(c, F.array().cast("array<string>")) for c in ("object_tags", "search_keywords", "raw_animals") if c in analysis.columns)))), lambda t: F.lower(F.trim(t))).alias("entity_tags"), low("scene_tags", "location_clues").alias("scene_text"),
     )
     none = F.array().cast("array<string>")
     lowered = lambda c: F.transform(F.coalesce(F.col(c).cast("array<string>"), none), F.lower).alias(c)
     asked = _asked(queries, "facet", "positive_terms", "negative_terms", "contract").select(*REQUEST, F.when(F.coalesce(F.col("contract").cast("string"), F.lit("1")) != "2", F.col("facet")).alias("facet"), lowered("positive_terms"), lowered("negative_terms"))
+    instead = lambda c, facet, terms: F.when((F.col("facet") == facet) & (F.size(c) == 0), F.array(*map(F.lit, terms)))
+    asked = asked.withColumns({"positive_terms": F.coalesce(instead("positive_terms", "indoor", INDOOR_POSITIVE), "positive_terms"), "negative_terms": F.coalesce(instead("negative_terms", "indoor", INDOOR_NEGATIVE), instead("negative_terms", "animal", ANIMAL_SCENES), "negative_terms")})
+    rows = rows.withColumn("name_text", low("file_name_hits") if "file_name_hits" in rows.columns else F.lit(""))
     found = rows.join(texts.withColumn("known", F.lit(True)), ["project_id", "photo_id"], "left").join(asked, REQUEST)
     within = lambda terms, *columns: F.coalesce(F.exists(terms, lambda t: reduce(Column.__or__, (F.col(c).contains(t) for c in columns))), F.lit(False))
     entity = F.arrays_overlap("positive_terms", "entity_tags") | F.exists("positive_terms", lambda t: (F.length(t) >= 2) & (F.col("caption_text").contains(t) | F.col("concept_text").contains(t)))
@@ -610,7 +622,7 @@ def facet_filter(rows: DataFrame, analysis: DataFrame, queries: DataFrame, allow
     case = lambda passes, reason: F.struct(F.lit(passes).alias("passes"), F.lit(reason).alias("reason"))
     entity, scene = F.coalesce(entity, F.lit(False)), within("negative_terms", "scene_text")
     animal = F.when(unknown & sure, case(True, "animal_vector_only_high_confidence")).when(unknown, case(False, "animal_no_ai_analysis")).when(sure, case(True, "animal_vector_high_confidence")).when(entity, case(True, "animal_entity_evidence")).when(scene, case(False, "animal_scene_without_entity")).otherwise(case(False, "animal_no_entity_evidence"))
-    good, bad = within("positive_terms", "indoor_rich"), within("negative_terms", "indoor_rich", "indoor_weak")
+    good, bad = within("positive_terms", "indoor_rich", "name_text"), within("negative_terms", "indoor_rich", "indoor_weak", "name_text")
     indoor = (
         F.when(unknown & sure, case(True, "indoor_vector_only_high_confidence")).when(unknown, case(False, "indoor_no_ai_analysis")).when(sure & bad & ~good, case(False, "indoor_negative_evidence")).when(sure, case(True, "indoor_vector_high_confidence"))
         .when(good & ~bad, case(True, "indoor_positive_visual_evidence")).when(good & strong, case(True, "indoor_conflicting_but_strong_keyword")).when(good, case(False, "indoor_conflicting_evidence"))

@@ -682,3 +682,23 @@ def test_merges_in_order_equal_one_after_the_other(spark):
     assert (1, 99, 60) in held
     none = people.merged_in_order(table, asked.limit(0), spark.createDataFrame([], "project_id bigint, person_a int, person_b int"))
     assert sorted(map(tuple, none.collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_raw_concepts_add_to_hits_and_contracts_switch(spark):
+    table, analysis = media(spark, [("a", {"object_tags": ["cat"]}), ("b", {})])
+    analysis = analysis.withColumns({"semantic_concepts": F.array(F.lit("animal")), "raw_concepts": F.array(F.lit(" home ")), "raw_entities": F.array(F.lit("dog"))})
+    asked = spark.createDataFrame([(1, 1, ["home", "animal"], ["cat", "dog"], "1"), (1, 2, ["home"], ["dog"], None), (1, 3, ["animal"], None, "2")], "project_id bigint, query_id bigint, concept_terms array<string>, entity_terms array<string>, contract string")
+    got = lambda **how: {(r["query_id"], r["photo_id"]): r["score"] for r in search.concept_recall(asked, table, analysis, 10, **how).collect()}
+    assert got() == {(1, 0): 1.0, (1, 1): 0.75}
+    assert got(legacy=True) == {(1, 0): 1.0, (1, 1): 0.75, (3, 0): 1.0, (3, 1): 1.0}
+    assert {p for q, p in got(scan=1) if q == 1} == {1}
+
+
+def test_facets_from_file_names_raw_animals_and_default_terms(spark):
+    _, analysis = media(spark, [("a wall", {}), ("Indoor", {"scene_tags": ["outside"]}), ("grass", {"scene_tags": ["动物园"]}), ("x", {})])
+    analysis = analysis.withColumns({"semantic_concepts": F.array(F.lit("thing")), "raw_animals": F.when(F.col("photo_id") == 3, F.array(F.lit(" Cat ")))})
+    rows = spark.createDataFrame([(1, q, p, 0.0, "C", False, ["INDOOR"] if p == 0 else None) for q in (1, 2) for p in range(4)], "project_id bigint, query_id bigint, photo_id bigint, vector_score double, level string, weak_field boolean, file_name_hits array<string>")
+    asked = spark.createDataFrame([(1, 1, "indoor", None, None), (1, 2, "animal", ["cat"], [])], "project_id bigint, query_id bigint, facet string, positive_terms array<string>, negative_terms array<string>")
+    got = {(r["query_id"], r["photo_id"]): r["reason"] for r in search.facet_filter(rows, analysis, asked).collect()}
+    assert [got[1, p] for p in range(3)] == ["indoor_positive_visual_evidence", "indoor_conflicting_evidence", "indoor_no_positive_visual_evidence"]
+    assert [got[2, p] for p in (0, 2, 3)] == ["animal_no_entity_evidence", "animal_scene_without_entity", "animal_entity_evidence"]
