@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,6 +169,9 @@ KEEPABLE = ("review", "analysis_failed", "move_failed", "queue_failed", "restore
 RESTORABLE = ("quarantined", "restoring", "restore_conflict", "restore_failed")
 #: What was seen of the files when an action ran, and what holds if a table of actions doesn't say.
 FACTS = {"file_present": True, "hash_matches": True, "queue_writable": True, "claimed": False, "stored_present": True, "stored_matches": True}
+#: The facts that an action looks at; an action with these values is a kind, and other actions are of the kinds without facts.
+LOOKS_AT = {"delete": ("file_present", "hash_matches", "queue_writable"), "undo": ("file_present", "claimed"), "restore": ("file_present", "hash_matches", "stored_present", "stored_matches"), "keep": (), "retry": (), "label_keep": (), "label_trash": (), "": ()}
+KINDS = tuple((action, dict(zip(names, values, strict=True))) for action, names in LOOKS_AT.items() for values in product((False, True), repeat=len(names)))
 #: Actions of an item that are folded at once.
 ACTION_RUN = 256
 _DONE, _UNCHANGED, _CONFLICT, _INVALID, _NOT_QUEUED, _OCCUPIED, _MISSING = range(7)
@@ -179,9 +183,10 @@ def review_actions(items: DataFrame, actions: DataFrame, photos: DataFrame) -> d
     """What actions (project_id, photo_id, seq, action; ``FACTS`` if known) make of review items and their photos, in the order of seq.
 
     ``keep`` an item (from ``KEEPABLE``, if its photo isn't quarantined or deleted), ``delete`` (from ``DELETABLE``: the item is
-    delete_queued and the photo quarantined, its status before kept in previous_photo_status), ``undo`` (from delete_queued) and ``restore``
-    (from ``RESTORABLE``; both make the item restored and the photo what it was, or indexed), ``retry`` (from analysis_failed, with the
-    answer reset), ``label_keep`` and ``label_trash``. A changed or missing file, a queue that can't be written, an entry already
+    delete_queued and the photo quarantined, its status before kept in previous_photo_status unless there is one), ``undo`` (from
+    delete_queued) and ``restore`` (from ``RESTORABLE``; both make the item restored and the photo what it was, or indexed, also for the
+    next deletion if the photo has no row or status), ``retry`` (from analysis_failed, with the answer reset), ``label_keep`` and
+    ``label_trash``. A changed or missing file, a queue that can't be written, an entry already
     claimed and an occupied path are conflicts or invalid, and the last three states are kept as queue_failed, restore_conflict or
     restore_failed. An item that already is where an action leads stays unchanged.
 
@@ -191,6 +196,7 @@ def review_actions(items: DataFrame, actions: DataFrame, photos: DataFrame) -> d
 
     Actions are functions of a finite state. Up to ``ACTION_RUN`` on one item are folded in order; of an item with more, runs of actions
     become functions from state to state, which are composed run by run, level by level, so no task ever gets all actions of an item.
+    What each of the ``KINDS`` of actions makes of each state is worked out once for items with equal flags, not for every action.
     """
     known = items.columns
     own = items.select(
@@ -198,15 +204,16 @@ def review_actions(items: DataFrame, actions: DataFrame, photos: DataFrame) -> d
         (F.col("quarantine_path").isNotNull() if "quarantine_path" in known else F.lit(True)).alias("has_path"),
     ).join(photos.select("project_id", F.col("id").alias("photo_id"), F.col("status").alias("photo_status"), F.col("deleted_at").isNotNull().alias("was_deleted")), _ITEM, "left")
     is_gone = lambda c: F.coalesce(F.col(c) == "quarantined", F.lit(False))
-    flags = F.struct((is_gone("photo_status") | F.coalesce("was_deleted", F.lit(False))).alias("gone"), is_gone("photo_status").alias("first"), is_gone("previous_photo_status").alias("prev"), F.col("previous_photo_status").isNull().alias("no_prev"), "has_path")
+    flags = F.struct((is_gone("photo_status") | F.coalesce("was_deleted", F.lit(False))).alias("gone"), is_gone("photo_status").alias("first"), is_gone("previous_photo_status").alias("prev"), F.col("previous_photo_status").isNull().alias("no_prev"), F.col("photo_status").isNull().alias("no_first"), "has_path")
     own = written(own.withColumn("flags", flags).withColumn("state", 9 * _code(F.col("status"))))
     facts = F.struct(*((F.coalesce(F.col(c).cast("boolean"), F.lit(default)) if c in actions.columns else F.lit(default)).alias(c) for c, default in FACTS.items()))
     asked = actions.select(*_ITEM, "seq", F.coalesce("action", F.lit("")).alias("action"), facts.alias("facts")).join(own.select(*_ITEM, "flags"), _ITEM, "left")
     placed = running_counts(asked.where("flags IS NOT NULL"), _ITEM, [F.col("seq")], F.lit(True)).withColumn("run", F.floor(F.col("before") / ACTION_RUN).cast("bigint"))
     runs = written(placed.groupBy(*_ITEM, "run").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "facts", "flags"))).alias("acts")))
 
-    functions = runs.join(runs.where("run > 0").select(*_ITEM).distinct(), _ITEM, "left_semi")
-    begun = _starts(functions.select(*_ITEM, F.col("run").alias("n"), _function(F.col("acts")).alias("f")), own)
+    long = runs.join(runs.where("run > 0").select(*_ITEM).distinct(), _ITEM, "left_semi").select(*_ITEM, F.col("run").alias("n"), F.transform("acts", lambda a: _kind(a["action"], a["facts"])).alias("kinds"), F.get("acts", F.lit(0))["flags"].alias("flags"))
+    moves = own.select("flags").distinct().select("flags", _moves(F.col("flags")).alias("moves"))
+    begun = _starts(long.join(F.broadcast(moves), "flags").select(*_ITEM, "n", _function(F.col("kinds"), F.col("moves")).alias("f")), own)
     starts = runs.join(begun, (runs["project_id"] == begun["b_project"]) & (runs["photo_id"] == begun["b_photo"]) & (runs["run"] == begun["n"]), "left").select(*_ITEM, "run", "acts", "start")
     step = lambda acc, a: let(_step(acc["state"], a), lambda r: F.struct(r["next"].alias("state"), F.concat(acc["found"], F.array(F.struct(a["seq"].alias("seq"), a["action"].alias("action"), r["outcome"].alias("code"), r["next"].alias("after")))).alias("found")))
     folded = starts.join(own.select(*_ITEM, "state"), _ITEM).withColumn("start", F.coalesce("start", "state"))
@@ -272,16 +279,31 @@ def _step(state: Column, a: Column) -> Column:
         new = F.when(code == _DONE, done).when(code == _NOT_QUEUED, STATES.index("queue_failed")).when(code == _OCCUPIED, STATES.index("restore_conflict")).when(code == _MISSING, STATES.index("restore_failed")).otherwise(status)
         deleted, returned = (code == _DONE) & (action == "delete"), (code == _DONE) & action.isin("undo", "restore")
         new_photo = F.when(deleted, 1).when(returned, 2).otherwise(photo)
-        new_prev = F.when(deleted & (prev == 0) & flags["no_prev"], F.when(photo == 2, 2).otherwise(1)).otherwise(prev)
+        # Without a first status nothing is kept yet, so that a later deletion can keep the one that a restored photo has.
+        new_prev = F.when(deleted & (prev == 0) & flags["no_prev"], F.when(photo == 2, 2).when(flags["no_first"], 0).otherwise(1)).otherwise(prev)
         return F.struct((9 * new + 3 * new_photo + new_prev).cast("int").alias("next"), code.cast("int").alias("outcome"))
 
     return let(outcome, after)
 
 
-def _function(acts: Column) -> Column:
+def _kind(action: Column, facts: Column) -> Column:
+    """The place of an action in ``KINDS``."""
+    first = {name: next(i for i, k in enumerate(KINDS) if k[0] == name) for name in LOOKS_AT}
+    place = lambda name: reduce(lambda n, fact: 2 * n + facts[fact].cast("int"), LOOKS_AT[name], F.lit(0)) + first[name]
+    return reduce(lambda rest, name: F.when(action == name, place(name)).otherwise(rest), LOOKS_AT, F.lit(first[""]))
+
+
+def _moves(flags: Column) -> Column:
+    """For each of ``KINDS`` the state that each state becomes."""
+    every = F.sequence(F.lit(0), F.lit(9 * len(STATES) - 1))
+    kinds = F.array(*(F.struct(F.lit(action).alias("action"), F.struct(*(F.lit(seen.get(c, default)).alias(c) for c, default in FACTS.items())).alias("facts")) for action, seen in KINDS))
+    return F.transform(kinds, lambda k: F.transform(every, lambda s: _step(s, {"action": k["action"], "facts": k["facts"], "flags": flags})["next"]))
+
+
+def _function(kinds: Column, moves: Column) -> Column:
     """The state that each state becomes by a run of actions."""
     every = F.sequence(F.lit(0), F.lit(9 * len(STATES) - 1))
-    return F.aggregate(acts, every, lambda f, a: F.transform(f, lambda s: _step(s, a)["next"]))
+    return F.aggregate(kinds, every, lambda f, k: let(F.get(moves, k), lambda move: F.transform(f, lambda s: F.get(move, s))))
 
 
 def _starts(functions: DataFrame, own: DataFrame) -> DataFrame:

@@ -532,6 +532,90 @@ def test_actions_on_an_item_are_taken_in_order(spark, monkeypatch):
         assert {r["id"]: (r["status"], r["deleted"]) for r in made["photos"].collect()} == {1: ("quarantined", True), 2: ("indexed", False), 3: ("indexed", False), 4: ("quarantined", False)}
 
 
+def test_an_item_without_a_photo_keeps_the_status_it_was_restored_to(spark, monkeypatch):
+    items = spark.createDataFrame([(1, p, "review", None) for p in (1, 2, 3)] + [(1, 4, "review", "ai_indexed")], "project_id bigint, photo_id bigint, status string, previous_photo_status string")
+    photo_rows = spark.createDataFrame([(1, 3, None, None)], "project_id bigint, id bigint, status string, deleted_at timestamp")
+    steps = [(1, "delete"), (2, "delete"), (2, "undo"), (2, "delete"), (3, "delete"), (3, "undo"), (3, "delete"), (4, "delete"), (4, "undo"), (4, "delete")]
+    actions = spark.createDataFrame([(1, p, n, a) for n, (p, a) in enumerate(steps)], "project_id bigint, photo_id bigint, seq bigint, action string")
+    for run in (256, 2):
+        monkeypatch.setattr(cleanup, "ACTION_RUN", run)
+        made = cleanup.review_actions(items, actions, photo_rows)
+        assert {r["photo_id"]: (r["status"], r["previous_photo_status"]) for r in made["items"].collect()} == {1: ("delete_queued", None), 2: ("delete_queued", "indexed"), 3: ("delete_queued", "indexed"), 4: ("delete_queued", "ai_indexed")}
+        assert [tuple(r) for r in made["photos"].collect()] == [(1, 3, "quarantined", True)]
+
+
+def one_action_after_another(items, photo_rows, actions):
+    """The rules of ``review_actions``, action by action: outcomes by seq, items and photos."""
+    state = {p: dict(status=s, prev=prev, label=None, decision=None, reset=False) for p, s, prev in items}
+    shown, given, outcomes = {p: list(photo_rows.get(p, (None, False))) for p in state}, set(photo_rows), {}
+    for p, seq, action, present, matches, writable, claimed, stored, same in actions:
+        if p not in state:
+            outcomes[seq] = "not_found"
+            continue
+        x, photo = state[p], shown[p]
+        s, out = x["status"], "invalid"
+        gone = photo[1] or photo[0] == "quarantined"
+        if action == "keep":
+            out = "unchanged" if s == "kept" else "conflict" if s not in cleanup.KEEPABLE or gone else "done"
+        elif action == "delete":
+            if s in ("delete_queued", "quarantined"):
+                out = "unchanged"
+            elif s not in cleanup.DELETABLE or present and not matches:
+                out = "conflict"
+            elif present and not writable:
+                x["status"] = "queue_failed"
+            elif present:
+                out, x["prev"], shown[p] = "done", x["prev"] or photo[0], ["quarantined", True]
+        elif action == "undo":
+            out = "conflict" if s != "delete_queued" or not present or claimed else "done"
+        elif action == "restore":
+            if s == "restored":
+                out = "unchanged"
+            elif s not in cleanup.RESTORABLE or present and not stored and not matches or not present and stored and not same:
+                out = "conflict"
+            elif present and stored:
+                out, x["status"] = "conflict", "restore_conflict"
+            elif not present and not stored:
+                x["status"] = "restore_failed"
+            else:
+                out = "done"
+        elif action == "retry":
+            out = "unchanged" if s == "analysis_retry_queued" else "conflict" if s != "analysis_failed" or gone else "done"
+        elif action in ("label_keep", "label_trash"):
+            out, x["label"] = "done", action[6:].upper()
+        if out == "done" and action in ("undo", "restore"):
+            shown[p] = [x["prev"] or "indexed", False]
+        if out == "done":
+            x["status"] = {"keep": "kept", "delete": "delete_queued", "undo": "restored", "restore": "restored", "retry": "analysis_retry_queued"}.get(action, s)
+            x["decision"] = {"keep": "KEEP", "undo": "KEEP", "delete": "QUARANTINE", "retry": "REVIEW"}.get(action, x["decision"])
+            x["reset"] |= action == "retry"
+        if out == "done" and action in ("keep", "restore", "undo", "delete") or out == "unchanged" and action in ("keep", "restore", "delete"):
+            x["label"] = "TRASH" if action == "delete" else "KEEP"
+        outcomes[seq] = out
+    return outcomes, {p: tuple(x.values()) for p, x in state.items()}, {p: tuple(shown[p]) for p in given}
+
+
+@pytest.mark.parametrize("run", [256, 3])
+def test_actions_equal_those_taken_one_by_one(spark, monkeypatch, run):
+    monkeypatch.setattr(cleanup, "ACTION_RUN", run)
+    rng = random.Random(run)
+    starts = (None, "indexed", "ai_indexed", "quarantined")
+    items = [(p, rng.choice((*cleanup.STATES[:-1], "elsewhere")), rng.choice((None, *starts))) for p in range(80)]
+    photo_rows = {p: (rng.choice(starts), rng.random() < 0.2) for p in range(80) if p % 3}
+    facts = lambda: (rng.random() < 0.7, rng.random() < 0.8, rng.random() < 0.8, rng.random() < 0.2, rng.random() < 0.5, rng.random() < 0.7)
+    names = ("delete", "undo", "delete", "undo", "restore", "keep", "retry", "label_keep", "label_trash", "dance")
+    actions = [(rng.randrange(82), n, rng.choice(names), *facts()) for n in range(1500)]
+    made = cleanup.review_actions(
+        spark.createDataFrame([(1, *r) for r in items], "project_id bigint, photo_id bigint, status string, previous_photo_status string"),
+        spark.createDataFrame([(1, *r) for r in actions], "project_id bigint, photo_id bigint, seq bigint, action string, file_present boolean, hash_matches boolean, queue_writable boolean, claimed boolean, stored_present boolean, stored_matches boolean"),
+        spark.createDataFrame([(1, p, s, datetime(2026, 1, 1) if gone else None) for p, (s, gone) in photo_rows.items()], "project_id bigint, id bigint, status string, deleted_at timestamp"),
+    )
+    outcomes, ends, shown = one_action_after_another(items, photo_rows, actions)
+    assert {r["seq"]: r["outcome"] for r in made["results"].collect()} == outcomes
+    assert {r["photo_id"]: (r["status"], r["previous_photo_status"], r["human_label"], r["decision"], r["answer_reset"]) for r in made["items"].collect()} == ends
+    assert {r["id"]: (r["status"], r["deleted"]) for r in made["photos"].collect()} == shown
+
+
 def test_clustered_faces_are_those_without_an_open_assignment(spark):
     from shoebox.sources.tables import load
 
