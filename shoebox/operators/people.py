@@ -17,6 +17,8 @@ from shoebox.operators.vectors import BLOCK, _unit, element_mean
 from shoebox.sources.files import written
 
 ACCEPT, REVIEW, CLUSTER, MIN_QUALITY, MAX_SAMPLES, SAME_BOX = 0.62, 0.48, 0.50, 0.70, 200, 0.70
+#: Different old boxes of a photo from which on boxes meet in cells.
+CROWD = 32
 #: Vectors of a block of which all pairs with another block are compared in one task.
 PAIR_BLOCK = 512
 
@@ -394,14 +396,15 @@ def cluster_tables(clusters: DataFrame) -> dict[str, DataFrame]:
     return {"persons": persons.select("project_id", "cluster", F.lit(False).alias("is_named"), "face_count", "representative"), "assignments": rows}
 
 
-def reconcile_boxes(old: DataFrame, new: DataFrame, threshold: float = SAME_BOX) -> DataFrame:
+def reconcile_boxes(old: DataFrame, new: DataFrame, threshold: float = SAME_BOX, crowd: int = CROWD) -> DataFrame:
     """(project_id, photo_id, place, face_id, action) of new boxes (x, y, w, h, place: order of detection) against a photo's old ones (face_id).
 
     In the order of detection, a new box takes an old one that is equal, else the one with the best overlap (the smallest face_id of
     equals) from ``threshold`` (0.5 or more) on, among those not taken before: keep or move. The rest is inserted (face_id null), and old
     ones not taken have disappeared (place null). Repeated boxes are taken one by one, smaller ids first. Boxes with a null take no part.
 
-    Boxes meet in cells of a grid as wide as they are, so only boxes that can overlap are compared. Then, in rounds, a new box is settled
+    In a photo of more than ``crowd`` different old boxes, boxes meet in cells of a grid as wide as they are, so only boxes that can overlap
+    are compared; in others, which are most, a new box meets every old one and no cells are shuffled. Then, in rounds, a new box is settled
     with its best remaining old box if fewer undecided ones before it can want that box than it has copies left.
     """
     photo, box = ["project_id", "photo_id"], ["x", "y", "w", "h"]
@@ -409,11 +412,12 @@ def reconcile_boxes(old: DataFrame, new: DataFrame, threshold: float = SAME_BOX)
     new = written(new.where(sound).select(*photo, *box, "place"))
     old = written(old.where(sound).select(*photo, *box, "face_id"))
     # Copies of an old box are one box, taken as often as it has faces.
-    boxes = old.groupBy(*photo, *box).agg(F.min("face_id").alias("box_id"), F.count("*").alias("copies"))
+    boxes = written(old.groupBy(*photo, *box).agg(F.min("face_id").alias("box_id"), F.count("*").alias("copies")))
+    crowded = written(boxes.groupBy(*photo).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(*photo, F.lit(True).alias("crowded")))
     marked = boxes.select(*photo, "box_id", "copies", *(F.col(c).alias(f"o_{c}") for c in box))
     equal = new.join(boxes.select(*photo, *box, "box_id", "copies"), [*photo, *box]).select(*photo, "place", "box_id", "copies", F.lit(2.0).alias("worth"))
-    met = new.select(*photo, *box, "place", F.explode(_cells("x", "y", "w", "h", (-1, 0, 1))).alias("cell"))
-    near = marked.select("*", F.explode(_cells("o_x", "o_y", "o_w", "o_h", (0,))).alias("cell"))
+    met = new.join(crowded, photo, "left").select(*photo, *box, "place", F.explode(_cells("x", "y", "w", "h", (-1, 0, 1), F.col("crowded"))).alias("cell"))
+    near = marked.join(crowded, photo, "left").select(*marked.columns, F.explode(_cells("o_x", "o_y", "o_w", "o_h", (0,), F.col("crowded"))).alias("cell"))
     pairs = met.join(near, [*photo, "cell"]).drop("cell").where("NOT (x = o_x AND y = o_y AND w = o_w AND h = o_h)")
     pairs = pairs.withColumn("worth", _overlap()).where(F.col("worth") >= threshold).select(*photo, "place", "box_id", "copies", "worth").distinct()
     left = written(equal.union(pairs))
@@ -439,9 +443,10 @@ def reconcile_boxes(old: DataFrame, new: DataFrame, threshold: float = SAME_BOX)
     return kept.union(inserted).union(gone)
 
 
-def _cells(x: str, y: str, w: str, h: str, classes: tuple[int, ...]) -> Column:
+def _cells(x: str, y: str, w: str, h: str, classes: tuple[int, ...], crowded: Column) -> Column:
     """Cells (size class, column, row) that a box touches in the grids of its size class and those beside it; a cell is wider than the boxes
-    of its class. Overlaps of half and more are of equal or neighbouring classes. A box without an area has none."""
+    of its class. Overlaps of half and more are of equal or neighbouring classes. A box without an area has none; a photo that is not
+    ``crowded`` is one cell."""
     size = F.floor(F.log2(F.greatest(w, h).cast("double")))
 
     def grid(step: int) -> Column:
@@ -450,7 +455,8 @@ def _cells(x: str, y: str, w: str, h: str, classes: tuple[int, ...]) -> Column:
         columns, lines = F.sequence(at(F.col(x)), at(F.col(x) + F.col(w))), F.sequence(at(F.col(y)), at(F.col(y) + F.col(h)))
         return F.flatten(F.transform(columns, lambda i: F.transform(lines, lambda j: F.struct((size + step).cast("bigint").alias("class"), i.alias("i"), j.alias("j")))))
 
-    cells = F.flatten(F.array(*map(grid, classes)))
+    zero = F.lit(0).cast("bigint")
+    cells = F.when(crowded, F.flatten(F.array(*map(grid, classes)))).otherwise(F.array(F.struct(zero.alias("class"), zero.alias("i"), zero.alias("j"))))
     return F.when((F.col(w) > 0) & (F.col(h) > 0), cells).otherwise(F.array().cast("array<struct<class:bigint,i:bigint,j:bigint>>"))
 
 

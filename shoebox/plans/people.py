@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shoebox.operators import people
 from shoebox.plans.library import query
+from shoebox.sources.files import written
 
 _SAMPLES = """, s AS (SELECT a.project_id, a.person_id, a.id, CAST(embedding AS DOUBLE[]) AS e, quality FROM assignments a JOIN face_embeddings f ON f.project_id = a.project_id AND f.face_id = a.face_id
   WHERE assignment_status LIKE 'human%' AND is_positive QUALIFY {where} row_number() OVER (PARTITION BY a.project_id, a.person_id ORDER BY quality DESC, a.id DESC) <= {limit})"""
@@ -110,7 +111,7 @@ def ppl7_photo_clusters(faces: DataFrame, assignments: DataFrame) -> DataFrame:
 @query(None, "lineitem")
 def ppl9_detection_reconcile(lines: DataFrame) -> DataFrame:
     box = [(F.col("l_partkey") % 400).alias("x"), (F.col("l_suppkey") % 300).alias("y"), (F.col("l_quantity") + 20).cast("bigint").alias("w"), (F.col("l_quantity") + 30).cast("bigint").alias("h")]
-    rows = lines.select((F.col("l_orderkey") % 7).alias("project_id"), F.col("l_orderkey").alias("photo_id"), *box, (F.col("l_linenumber") + F.col("l_partkey") * 10).cast("bigint").alias("face_id"), "l_linenumber").distinct()
+    rows = written(lines.select((F.col("l_orderkey") % 7).alias("project_id"), F.col("l_orderkey").alias("photo_id"), *box, (F.col("l_linenumber") + F.col("l_partkey") * 10).cast("bigint").alias("face_id"), "l_linenumber").distinct())
     new = rows.where("l_linenumber <> 3").withColumn("x", F.when(F.col("l_linenumber") == 2, F.col("x") + 3).when(F.col("l_linenumber") == 4, F.col("x") + 200).otherwise(F.col("x"))).withColumnRenamed("face_id", "place")
     return people.reconcile_boxes(rows.drop("l_linenumber"), new.drop("l_linenumber"))
 
